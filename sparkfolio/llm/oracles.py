@@ -2,6 +2,18 @@
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_QUINT = [f"CAST('0x' || substr(hexed, {5 * i + 1}, 5) AS INTEGER)" for i in range(8)]
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({q} >> {s}) & 31) + 1, 1)" for q in _QUINT for s in (15, 10, 5, 0))
+
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, hexed, max(page_id) OVER (PARTITION BY hexed) AS last_id FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
+FROM d
+"""
+
 OP4 = """
 WITH sized AS (
   SELECT row_number() OVER () AS row_no, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS order_key,
@@ -78,6 +90,7 @@ SELECT page_id, host, path, split_part(best, ' ', 1) AS rule, coalesce(split_par
 """
 
 ORACLES = {
+    "op1_warc_index": OP1,
     "op4_mix_sources": OP4,
     "op8_decontaminate": OP8,
     "op9_url_filter": OP9,

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, urls
+from . import chat, decontaminate, mixing, pii, quality, simhash, spans, tokens, urls, warc
+from .common import scratch
 from .oracles import ORACLES
 
 
@@ -15,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no capture times: one second per page stands in
+    captured = F.timestamp_seconds(F.lit(1735689600) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31536000)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", captured.alias("captured"))
+    index = warc.archive_pages(pages, scratch(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -25,6 +39,24 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: A conversation whose texts are made of a chat template's control strings.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_windows(turns.unionByName(more)))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.covered(F.col("hits"))
@@ -48,13 +80,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_edited(docs.withColumn("edits", tokens.review_edits(F.col("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_index,
+        op2_simhash_anchors,
         op3_quality_llr,
         op4_mix_sources,
+        op5_chat_windows,
+        op6_sentence_spans,
+        op7_pii_disclosure,
         op8_decontaminate,
         op9_url_filter,
+        op10_token_edits,
     )
 }
 
