@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import numerals as N
+from ..functions import text as X
+from ..functions import titles as T
+from ..functions import visibility as V
+from ..operators import catalog, citations, governance, graph, retrieval, upsert
+from ..sources import files, pages
+from .standins import ACTIVE_SQL, ARTICLES_SQL, LAWS_SQL, LINES, RELATIONS_SQL, articles, laws, nation_relations, slim_laws, table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Words that queries look for.
+TERMS = ["that", "with", "was"]
+WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def count_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 def query(oracle: str | None = None):
@@ -31,9 +47,534 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+# --- catalogue and statistics
+
+
 @query("SELECT lang AS level, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
-def facet_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("lang").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+def facet_by_level(spark, d):
+    return catalog.counts(table(spark, d, "documents"), F.col("lang"), "level")
+
+
+@query("SELECT source AS source_name, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source")
+def facet_by_source(spark, d):
+    return catalog.counts(table(spark, d, "documents"), F.col("source"), "source_name")
+
+
+@query("SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders WHERE trim(o_orderstatus) <> '' GROUP BY 1")
+def status_distribution(spark, d):
+    return catalog.counts(table(spark, d, "orders"), F.col("o_orderstatus"), "status")
+
+
+@query("SELECT topic, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS topic FROM part) WHERE topic <> '' GROUP BY topic")
+def topic_facet(spark, d):
+    tags = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("，")).alias("topic_tags"))
+    return catalog.topic_facet(tags)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'widget')")
+def topic_filter(spark, d):
+    return table(spark, d, "part").where(V.has_topic(F.replace("p_name", F.lit(" "), F.lit(",")), " widget\t")).select("p_partkey", "p_name")
+
+
+@query(f"WITH {LAWS_SQL} SELECT count(*) AS total_laws, count(*) FILTER (WHERE {ACTIVE_SQL}) AS laws, count(*) FILTER (WHERE quality_flag = 'empty_text') AS empty_text, count(*) FILTER (WHERE duplicate_of IS NOT NULL) AS duplicates FROM laws")
+def active_counts(spark, d):
+    return slim_laws(spark, d).agg(F.count(F.lit(1)).alias("total_laws"), F.count_if(V.active()).alias("laws"), F.count_if(F.col("quality_flag") == "empty_text").alias("empty_text"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"))
+
+
+@query("SELECT max(CASE WHEN event_type = 'purchase' THEN ts ELSE ts - INTERVAL 1 DAY END) AS content_updated_at FROM events")
+def content_updated_max(spark, d):
+    rows = table(spark, d, "events").select(F.when(F.col("event_type") == "purchase", F.col("ts")).alias("updated_at"), F.expr("ts - INTERVAL 1 DAY").alias("created_at"))
+    return catalog.content_updated(rows)
+
+
+@query(
+    "SELECT user_id AS source_name, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_status, arg_max(ts, event_id) AS last_finished, "
+    "max(event_id) FILTER (WHERE event_type = 'purchase') AS ok_id, arg_max(ts, event_id) FILTER (WHERE event_type = 'purchase') AS ok_finished FROM events WHERE user_id IS NOT NULL GROUP BY user_id"
+)
+def latest_sync_per_source(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_name"), F.when(F.col("event_type") == "purchase", "ok").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("finished_at"))
+    return catalog.latest_per_source(log).withColumn("last_status", F.when(F.col("last_status") == "ok", "purchase").otherwise(F.col("last_status")))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 1")
+def latest_attempt(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(1)
+
+
+@query(f"WITH {LAWS_SQL} SELECT id, title, level, source_name FROM laws WHERE {ACTIVE_SQL} AND level = 'en' ORDER BY id DESC LIMIT 20 OFFSET 20")
+def catalog_page_id(spark, d):
+    page, _ = catalog.list_laws(slim_laws(spark, d), number=2, level="en")
+    return page.select("id", "title", "level", "source_name")
+
+
+@query(f"WITH {LAWS_SQL} SELECT id, coalesce(CASE WHEN level = 'en' THEN content_hash END, source_name) AS changed FROM laws WHERE {ACTIVE_SQL} ORDER BY 2 DESC, id DESC LIMIT 20")
+def catalog_page_updated(spark, d):
+    dated = slim_laws(spark, d).withColumns({"updated_at": F.when(F.col("level") == "en", F.col("content_hash")), "created_at": F.col("source_name")})
+    page, _ = catalog.list_laws(dated, sort="updated")
+    return page.select("id", F.coalesce("updated_at", "created_at").alias("changed"))
+
+
+@query(
+    f"WITH {LAWS_SQL}, {ARTICLES_SQL} SELECT id, level, source_name FROM laws WHERE {ACTIVE_SQL} AND "
+    "(contains(lower(title), 'thereon') OR EXISTS (SELECT 1 FROM articles a WHERE a.law_id = laws.id AND contains(lower(a.text), 'scum')))"
+)
+def catalog_text_filter(spark, d):
+    hit = articles(spark, d).where(V.contains_ci(F.col("text"), "scum")).select(F.col("law_id").alias("hit_id")).distinct()
+    rows = slim_laws(spark, d).where(V.active()).join(hit, F.col("id") == F.col("hit_id"), "left")
+    return rows.where(V.contains_ci(F.col("title"), "thereon") | F.col("hit_id").isNotNull()).select("id", "level", "source_name")
+
+
+@query(f"WITH {ARTICLES_SQL} SELECT law_id, id, pos, pos // 50 + 1 AS page FROM articles")
+def reader_page(spark, d):
+    """The reader's page of every article of every law."""
+    return articles(spark, d).select("law_id", "id", "pos", (F.floor(F.col("pos") / 50) + 1).cast("long").alias("page"))
+
+
+@query(f"WITH {ARTICLES_SQL} SELECT law_id, min(pos) AS pos, min(pos) // 50 + 1 AS page FROM articles WHERE contains(text, '|') GROUP BY law_id")
+def reader_locate_article(spark, d):
+    found = articles(spark, d).where(F.contains("text", F.lit("|"))).groupBy("law_id").agg(F.min("pos").alias("pos"))
+    return found.withColumn("page", (F.floor(F.col("pos") / 50) + 1).cast("long"))
+
+
+@query(f"WITH {ARTICLES_SQL} SELECT law_id, id, text FROM articles WHERE contains(lower(text), 'disgusting')")
+def in_document_search(spark, d):
+    return articles(spark, d).where(V.contains_ci(F.col("text"), "Disgusting")).select("law_id", "id", "text")
+
+
+@query("SELECT round(100.0 * (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) / (SELECT count(*) FROM documents), 6) AS coverage")
+def embedding_coverage(spark, d):
+    embedded = table(spark, d, "embeddings").agg(F.count("embedding").alias("n"))
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("all")).select(F.round(F.try_divide(100.0 * embedded.scalar(), F.col("all")), 6).alias("coverage"))
+
+
+# --- relations and the graph
+
+
+def _nation_laws(spark, d):
+    x = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.lit(None).cast("bigint")
+    return x.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.col("r_name").alias("level"), F.lit("现行有效").alias("status"), none.alias("duplicate_of"), none.alias("superseded_by"), F.lit(None).cast("string").alias("quality_flag"))
+
+
+def _relation_rows(out: bool) -> str:
+    mine, other = ("s", "t") if out else ("t", "s")
+    return f"SELECT {mine} AS law, {other} AS other, rel_type, CAST(count(*) AS BIGINT) AS n FROM relations GROUP BY ALL"
+
+
+@query(f"WITH {RELATIONS_SQL} {_relation_rows(True)}")
+def relations_outgoing(spark, d):
+    return nation_relations(spark, d).groupBy(F.col("s").alias("law"), F.col("t").alias("other"), "rel_type").agg(count_rows())
+
+
+@query(f"WITH {RELATIONS_SQL} {_relation_rows(False)}")
+def relations_incoming(spark, d):
+    return nation_relations(spark, d).groupBy(F.col("t").alias("law"), F.col("s").alias("other"), "rel_type").agg(count_rows())
+
+
+@query(f"WITH {RELATIONS_SQL}, o AS ({_relation_rows(True)}), i AS ({_relation_rows(False)}) SELECT *, 'out' AS direction FROM o UNION ALL SELECT *, 'in' FROM i")
+def relations_both_tagged(spark, d):
+    """Counted once, then seen from either end."""
+    n = nation_relations(spark, d).groupBy("s", "t", "rel_type").agg(count_rows())
+    ways = F.array(F.struct(F.col("s").alias("law"), F.col("t").alias("other"), F.lit("out").alias("direction")), F.struct(F.col("t").alias("law"), F.col("s").alias("other"), F.lit("in").alias("direction")))
+    return n.select("rel_type", "n", F.explode(ways).alias("w")).select("w.law", "w.other", "rel_type", "n", "w.direction")
+
+
+@query(f"WITH {RELATIONS_SQL} SELECT DISTINCT s, t, rel_type FROM relations")
+def graph_edges_distinct(spark, d):
+    return nation_relations(spark, d).distinct()
+
+
+@query(
+    f"WITH {RELATIONS_SQL}, o AS (SELECT s, count(*) AS n FROM relations GROUP BY s), i AS (SELECT t, count(*) AS n FROM relations GROUP BY t) "
+    "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, r_name AS level, CAST(coalesce(o.n, 0) AS BIGINT) AS n_out, CAST(coalesce(i.n, 0) AS BIGINT) AS n_in "
+    "FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON s = n_nationkey LEFT JOIN i ON t = n_nationkey"
+)
+def graph_nodes_degree(spark, d):
+    shown = _nation_laws(spark, d).where(V.indexable()).select("id", "title", "level")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_out", "n_in")}
+    n = nation_relations(spark, d).groupBy("s", "t").agg(count_rows())  # summed first: two rows a pair are left to stack
+    ends = n.select(F.explode(F.array(F.struct(F.col("s").alias("id"), F.col("n").alias("o"), F.lit(0).alias("i")), F.struct(F.col("t").alias("id"), F.lit(0).alias("o"), F.col("n").alias("i")))).alias("e"))
+    degree = ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.o").cast("long").alias("n_out"), F.sum("e.i").cast("long").alias("n_in"))
+    return shown.join(degree, "id", "left").withColumns(zero)
+
+
+@query(
+    f"WITH {RELATIONS_SQL}, m AS (SELECT n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') "
+    "SELECT DISTINCT s, t, rel_type FROM relations WHERE s IN (SELECT id FROM m) AND t IN (SELECT id FROM m)"
+)
+def graph_board_subgraph(spark, d):
+    members = _nation_laws(spark, d).where("level = 'ASIA'")
+    return graph.induced(members, nation_relations(spark, d)).distinct().select("s", "t", "rel_type")
+
+
+@query(f"WITH {RELATIONS_SQL}, e AS (SELECT DISTINCT s AS id, t AS other FROM relations UNION SELECT DISTINCT t, s FROM relations) SELECT CAST(id AS INTEGER) AS id, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM e GROUP BY id")
+def graph_adjacency(spark, d):
+    pairs = nation_relations(spark, d).select("s", "t").distinct()
+    near = graph.adjacency(_nation_laws(spark, d), pairs)
+    return near.select(F.col("id").cast("int").alias("id"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+_RULES = [("red goods", "red blue"), ("cold goods", "cold"), ("small parts", "bolt gear widget")]
+_BOARD_SQL = "CASE WHEN regexp_matches(p_name, 'red|blue') THEN 'red goods' WHEN regexp_matches(p_name, 'cold') THEN 'cold goods' WHEN regexp_matches(p_name, 'bolt|gear|widget') THEN 'small parts' ELSE '其他' END"
+
+
+@query(f"SELECT p_partkey, p_name, {_BOARD_SQL} AS board FROM part")
+def board_classify(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_name", T.classify(F.col("p_name"), _RULES).alias("board"))
+
+
+@query(f"SELECT {_BOARD_SQL} AS board, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1")
+def board_counts(spark, d):
+    return table(spark, d, "part").groupBy(T.classify(F.col("p_name"), _RULES).alias("board")).agg(count_rows()).orderBy(F.desc("n"), "board")
+
+
+@query(f"WITH {RELATIONS_SQL}, e AS (SELECT DISTINCT s, t, rel_type FROM relations) SELECT a.s, a.t, a.rel_type FROM e a WHERE a.s < a.t AND EXISTS (SELECT 1 FROM e b WHERE b.s = a.t AND b.t = a.s AND b.rel_type = a.rel_type)")
+def audit_symmetric_pairs(spark, d):
+    rows = nation_relations(spark, d).distinct().select(F.col("s").alias("from_id"), F.col("t").alias("to_id"), "rel_type")
+    return graph.symmetric_pairs(rows).select(F.col("from_id").alias("s"), F.col("to_id").alias("t"), "rel_type")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def audit_isolated(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    owned = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("law_id"), F.struct("l_orderkey", "l_linenumber").alias("id"))
+    ends = owned.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"))
+    return graph.isolated(orders, owned, ends)
+
+
+@query("SELECT l.doc_id, l.quality FROM labels l WHERE l.quality > 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND contains(d.text, ','))")
+def audit_ghost_marks(spark, d):
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("law_id"), F.col("quality").alias("saved"))
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit(","))).select(F.col("doc_id").alias("id"))
+    return graph.ghost_marks(marks, docs.select("id", F.col("id").alias("law_id")), docs.select(F.col("id").alias("from_id"))).select(F.col("law_id").alias("doc_id"), F.col("saved").alias("quality"))
+
+
+@query(f"WITH {LAWS_SQL} SELECT l.doc_id AS law_id, title FROM labels l JOIN laws ON laws.id = l.doc_id WHERE l.quality = 0")
+def audit_failed(spark, d):
+    return graph.failed_marks(_marks(spark, d), slim_laws(spark, d)).select("law_id", "title")
+
+
+def _marks(spark, d):
+    return table(spark, d, "labels").select(F.col("doc_id").alias("law_id"), F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"), (F.col("toxic") * 3).alias("attempts"))
+
+
+@query("SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN quality = 1 THEN 'ok' ELSE 'failed' END AS status FROM labels) GROUP BY status")
+def marks_by_status(spark, d):
+    return _marks(spark, d).groupBy("status").agg(count_rows())
+
+
+@query(f"WITH {LAWS_SQL} SELECT id FROM laws WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = id AND (quality = 1 OR toxic * 3 >= 3)) ORDER BY id LIMIT 50")
+def pending_queue(spark, d):
+    x = slim_laws(spark, d).select("id")
+    return graph.pending(x, x.select(F.col("id").alias("law_id")), _marks(spark, d), n=50)
+
+
+@query(f"WITH {RELATIONS_SQL} SELECT DISTINCT s AS law_id FROM relations JOIN nation ON t = n_nationkey WHERE n_name = 'CHINA' AND s <> t")
+def referencing_after_change(spark, d):
+    changed = table(spark, d, "nation").where("n_name = 'CHINA'").select(F.col("n_nationkey").alias("t"))
+    return nation_relations(spark, d).join(F.broadcast(changed), "t", "left_semi").where("s <> t").select(F.col("s").alias("law_id")).distinct()
+
+
+# --- retrieval
+
+_STATS_SQL = f"toks AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks), tf AS (SELECT id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(w) AS term, len(w) AS dl FROM toks) WHERE term IN ('that', 'with', 'was') GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), seg AS (SELECT id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.000001 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY id)"
+
+
+def _units(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _segment_scores(spark, d):
+    units = _units(spark, d)
+    return retrieval.bm25(retrieval.postings(units), retrieval.corpus_stats(units), TERMS).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_id AS id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)) GROUP BY doc_id, term")
+def postings(spark, d):
+    return retrieval.postings(_units(spark, d)).select("id", "term", "tf", "dl")
+
+
+@query(f"WITH {_STATS_SQL} SELECT id, score FROM seg ORDER BY score DESC, id LIMIT 10")
+def bm25_topk(spark, d):
+    return _segment_scores(spark, d).orderBy(F.desc("score"), "id").limit(10)
+
+
+_PHRASE_SQL = "p AS (SELECT doc_id AS id, (length(text) - length(replace(lower(text), 'the on', ''))) / 6.0 AS tf, greatest(length(text) - 2, 0) AS dl FROM documents), ps AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM p), kw AS (SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.000001 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM p, ps WHERE tf > 0)"
+
+
+@query(f"WITH {_PHRASE_SQL} SELECT id, score FROM kw ORDER BY score DESC, id LIMIT 20")
+def substring_phrase_rank(spark, d):
+    return retrieval.phrase_scores(_units(spark, d), ["the on"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query("SELECT doc_id AS id, CAST(length(text) - length(replace(text, 'heat', '')) + length(text) - length(replace(text, 'that', '')) AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'heat') OR contains(lower(text), 'that')")
+def like_fallback_rank(spark, d):
+    return retrieval.like_scores(_units(spark, d), ["heat", "that"])
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _query_vector(spark, d) -> list[float]:
+    return _vectors(spark, d).where("id = 7").first()["embedding"]
+
+
+_VECTOR_SQL = "v AS (SELECT vec_id AS id, round(coalesce(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 0), 6) AS score FROM embeddings)"
+
+
+@query(f"WITH {_VECTOR_SQL} SELECT id, score FROM v ORDER BY score DESC, id DESC LIMIT 10")
+def vector_topk_cosine(spark, d):
+    return retrieval.vector_scores(_vectors(spark, d), _query_vector(spark, d)).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.desc("id")).limit(10)
+
+
+_RRF_SQL = f"WITH {_STATS_SQL}, {_PHRASE_SQL}, {_VECTOR_SQL}, legs AS (SELECT id, 0 AS leg, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM seg UNION ALL SELECT id, 1, row_number() OVER (ORDER BY score DESC, id) - 1 FROM kw UNION ALL SELECT id, 2, row_number() OVER (ORDER BY score DESC, id DESC) - 1 FROM v), fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, string_agg(CASE leg WHEN 0 THEN 'segment' WHEN 1 THEN 'keyword' ELSE 'vector' END, ',' ORDER BY leg) AS reasons FROM legs GROUP BY id)"
+
+
+def _fused(spark, d):
+    units = _units(spark, d)
+    rounded = lambda df: df.withColumn("score", F.round("score", 6))
+    legs = [
+        ("segment", retrieval.ranked(_segment_scores(spark, d))),
+        ("keyword", retrieval.ranked(rounded(retrieval.phrase_scores(units, ["the on"])))),
+        ("vector", retrieval.ranked(rounded(retrieval.vector_scores(_vectors(spark, d), _query_vector(spark, d))), higher_id=True)),
+    ]
+    return retrieval.rrf(legs)
+
+
+@query(f"{_RRF_SQL} SELECT id, score, reasons FROM fused")
+def rrf_fusion(spark, d):
+    return _fused(spark, d).select("id", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"{_RRF_SQL}, {LAWS_SQL} SELECT id, score, level FROM fused JOIN laws USING (id) WHERE {ACTIVE_SQL} ORDER BY score DESC, id LIMIT 10 OFFSET 10")
+def hybrid_page(spark, d):
+    seen = slim_laws(spark, d).where(V.active()).select("id", "level")
+    return _fused(spark, d).join(seen, "id").select("id", F.round("score", 6).alias("score"), "level").orderBy(F.desc("score"), "id").offset(10).limit(10)
+
+
+@query(f"{_RRF_SQL}, {LAWS_SQL} SELECT count(*) AS total FROM fused JOIN laws USING (id) WHERE {ACTIVE_SQL}")
+def hybrid_total(spark, d):
+    return _fused(spark, d).join(slim_laws(spark, d).where(V.active()).select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(
+    f"{_RRF_SQL}, e AS (SELECT min(doc_id) AS id FROM documents WHERE source = 'src1') SELECT coalesce(f.id, e.id) AS id, CASE WHEN e.id IS NOT NULL THEN 10.0::DOUBLE ELSE score END AS score, CASE WHEN e.id IS NOT NULL THEN 'exact_article' ELSE 'keyword' END AS match_type FROM fused f FULL JOIN e ON e.id = f.id"
+)
+def exact_hit_pinned(spark, d):
+    exact = table(spark, d, "documents").where("source = 'src1'").agg(F.min("doc_id").alias("id"))
+    fused = _fused(spark, d).join(exact.withColumn("is_exact", F.lit(True)), "id", "full")
+    hit = F.coalesce("is_exact", F.lit(False))
+    return fused.select("id", F.when(hit, retrieval.EXACT_SCORE).otherwise(F.round("score", 6)).alias("score"), F.when(hit, "exact_article").otherwise("keyword").alias("match_type"))
+
+
+@query(
+    "WITH t AS (SELECT item_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)), "
+    "f AS (SELECT item_id, term, min(p) AS p FROM t WHERE length(term) >= 2 GROUP BY item_id, term), j AS (SELECT item_id, string_agg(term, ' ' ORDER BY p) AS terms FROM f GROUP BY item_id) "
+    "SELECT item_id, coalesce(terms, '') AS terms FROM benchmark LEFT JOIN j USING (item_id)"
+)
+def tokenize_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("WITH q(id, terms) AS (VALUES (1, '证券发行,内幕交易,证券,券发,发行,内幕,幕交,交易'), (2, 'disclosure,rules'), (3, '信息披露,信息,息披,披露')) SELECT CAST(id AS INTEGER) AS id, terms FROM q")
+def highlight_terms(spark, d):
+    q = spark.createDataFrame([(1, "证券发行，内幕交易"), (2, "disclosure rules"), (3, "信息披露的")], "id int, q string")
+    return q.select("id", F.array_join(F.filter(X.highlight_terms(F.col("q")), lambda t: ~t.isin("信息披露的", "露的")), ",").alias("terms"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN length(text) <= 260 THEN text WHEN p = 0 THEN substr(text, 1, 260) ELSE substr(text, CAST(least(greatest(p - 1 + 2 - 130, 0), length(text) - 260) AS BIGINT) + 1, 260) END AS snippet "
+    "FROM (SELECT doc_id, text, strpos(lower(text), 'that') AS p FROM documents)"
+)
+def snippet_window(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), ["that"]).alias("snippet"))
+
+
+@query(
+    "SELECT doc_id AS id, CAST((length(t) - length(replace(t, 'with', ''))) // 4 + 3 * ((length(s) - length(replace(s, 'with', ''))) // 4) + (length(t) - length(replace(t, 'and', ''))) // 3 + 3 * ((length(s) - length(replace(s, 'and', ''))) // 3) AS BIGINT) AS score "
+    "FROM (SELECT doc_id, lower(text) AS t, lower(split_part(text, chr(10), 1)) AS s FROM documents) WHERE (contains(t, 'with') OR contains(s, 'with')) AND (contains(t, 'and') OR contains(s, 'and'))"
+)
+def offline_and_search(spark, d):
+    units = _units(spark, d).select("id", F.col("id").alias("law_id"), F.substring_index("text", "\n", 1).alias("title"), "text")
+    return retrieval.offline_search(units, " With and").select("id", "score")
+
+
+# --- texts, titles, citations
+
+
+@query(f"WITH {ARTICLES_SQL} SELECT law_id, pos, text FROM articles")
+def split_lines_to_articles(spark, d):
+    return articles(spark, d).select("law_id", "pos", "text")
+
+
+@query("SELECT law_id, pos, article_no, text FROM (VALUES (1, 0, '第一条', '甲'), (1, 1, '第二条之一', '乙' || chr(10) || '丙'), (2, 0, '', '无条'), (3, 0, '第3条', '第3条')) v(law_id, pos, article_no, text)")
+def split_articles(spark, d):
+    laws_ = spark.createDataFrame([(1, "第一章\n第一条 甲\n第二条之一　乙\n丙\n"), (2, "无条"), (3, "第3条")], "id int, full_text string")
+    return X.split_articles(laws_).select("law_id", F.col("pos").cast("int").alias("pos"), "article_no", "text")
+
+
+@query("SELECT sha256(text) AS content_hash, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark, d):
+    return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(count_rows(), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query(f"WITH {LAWS_SQL} SELECT grp, id AS keeper_id FROM (SELECT *, level || ' ' || source_name AS grp, row_number() OVER (PARTITION BY level, source_name ORDER BY CASE source_name WHEN 'src0' THEN 2 ELSE 1 END DESC, length(full_text) DESC, id) AS rn, count(*) OVER (PARTITION BY level, source_name) AS n FROM laws WHERE duplicate_of IS NULL AND superseded_by IS NULL) WHERE rn = 1 AND n > 1")
+def dedupe_keeper(spark, d):
+    fine = laws(spark, d).where(V.edge_ok())
+    return governance.keepers(fine, F.concat_ws(" ", "level", "source_name"), T.source_rank(F.col("source_name"), {"src0": 2})).select("grp", "keeper_id")
+
+
+@query()
+def near_dup_similarity(spark, d):
+    """Texts with one beginning compared with the longest of them, by difflib within the length bound."""
+    rows = laws(spark, d).drop("duplicate_of").withColumn("duplicate_of", F.lit(None).cast("bigint"))
+    found = governance.duplicates(rows, group=F.substring("full_text", 1, 40), rank=F.lit(0))
+    return found.select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) < 200 THEN 'empty_text' WHEN NOT contains(text, chr(10)) THEN 'unsplit' END AS quality_flag FROM documents")
+def quality_flags(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_text"), F.lit(None).cast("bigint").alias("duplicate_of"), F.lit(None).cast("string").alias("quality_flag"))
+    split = docs.where(F.contains("full_text", F.lit("\n"))).select(F.col("id").alias("law_id"))
+    none = docs.where("false").select("id", F.col("id").alias("duplicate_of"))
+    return governance.flag(docs, split, none).select("id", "quality_flag")
+
+
+@query(f"WITH {LAWS_SQL} SELECT count(*) AS laws, count(*) FILTER (WHERE quality_flag = 'duplicate') AS duplicate, count(*) FILTER (WHERE quality_flag = 'empty_text') AS empty_text, count(*) FILTER (WHERE quality_flag = 'unsplit') AS unsplit, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) WHERE length(trim(t)) < 5) AS empty_articles FROM laws")
+def governance_report(spark, d):
+    return governance.report(slim_laws(spark, d), articles(spark, d))
+
+
+_TITLES = ["【甲站】《证券法》（2023年修订）", "公司法(2018年修正)", "《关于印发《办法》的通知》", "  信托法　", "证券法"]
+
+
+@query("SELECT title, norm FROM (VALUES ('【甲站】《证券法》（2023年修订）', '证券法'), ('公司法(2018年修正)', '公司法'), ('《关于印发《办法》的通知》', '关于印发《办法》的通知'), ('  信托法　', '信托法'), ('证券法', '证券法')) v(title, norm)")
+def title_normalize(spark, d):
+    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.normalize_title(F.col("title")).alias("norm"))
+
+
+@query("SELECT title, label FROM (VALUES ('【甲站】《证券法》（2023年修订）', '2023年修订'), ('公司法(2018年修正)', '2018年修正'), ('《关于印发《办法》的通知》', NULL), ('  信托法　', NULL), ('证券法', NULL)) v(title, label)")
+def version_label(spark, d):
+    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.version_label(F.col("title")).alias("label"))
+
+
+@query(
+    "SELECT raw, no FROM (VALUES ('第1条', '第一条'), ('第101条', '第一百零一条'), ('第9999条', '第九千九百九十九条'), ('第19条之2（经修改）', '第十九条之二'), ('第0条', '第0条'), ('第10000条', '第10000条'), "
+    "('第19十一条', '第19十一条'), ('第一一十九条', '第一一十九条'), ('第十条', '第十条'), ('第一百〇一条', '第一百零一条')) v(raw, no)"
+)
+def article_no_normalize(spark, d):
+    raw = ["第1条", "第101条", "第9999条", "第19条之2（经修改）", "第0条", "第10000条", "第19十一条", "第一一十九条", "第十条", "第一百〇一条"]
+    return spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", N.normalize_article_no(F.col("raw")).alias("no"))
+
+
+_ANSWERS = [(1, "见【证券法·第五十条、第51条】和【《公司法》·全文；证券法·第50条】。"), (2, "无"), (3, "【民法典·第一条】【散文】")]
+
+
+@query("SELECT CAST(id AS INTEGER) AS id, CAST(nth AS INTEGER) AS nth, title, article_no FROM (VALUES (1, 0, '证券法', '第五十条'), (1, 1, '证券法', '第五十一条'), (1, 2, '《公司法》', '全文'), (1, 3, '证券法', '第五十条'), (3, 0, '民法典', '第一条')) v(id, nth, title, article_no)")
+def citation_extract(spark, d):
+    return citations.citations(spark.createDataFrame(_ANSWERS, "id int, text string")).select("id", "nth", "title", "article_no")
+
+
+@query("SELECT CAST(id AS INTEGER) AS id, ref_title, article_no, law_id, article_id FROM (VALUES (1, '证券法', '第五十条', 10, 101), (1, '证券法', '第五十一条', 10, 102), (1, '《公司法》', '全文', 11, NULL), (3, '民法典', '第一条', NULL, NULL)) v(id, ref_title, article_no, law_id, article_id)")
+def citation_resolve(spark, d):
+    laws_ = spark.createDataFrame([(10, "中华人民共和国证券法", None, None, None), (11, "公司法", None, None, None), (12, "关于修改《证券法》的决定", None, None, None)], "id int, title string, duplicate_of bigint, superseded_by bigint, quality_flag string")
+    arts = spark.createDataFrame([(101, 10, "第五十条"), (102, 10, "第51条"), (103, 11, "第一条")], "id int, law_id int, article_no string")
+    return citations.resolve(spark.createDataFrame(_ANSWERS, "id int, text string"), laws_, arts).select("id", "ref_title", "article_no", "law_id", "article_id")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 266) || chr(10) || '……（中略）……' || chr(10) || right(text, 134) END AS digest FROM documents")
+def digest_head_tail(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.digest(F.col("text"), 400).alias("digest"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_salvage(spark, d):
+    reply = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
+    return table(spark, d, "events").select("event_id", X.salvage_json(reply, "k BIGINT")["k"].alias("k"))
+
+
+# --- pages
+
+
+@query(
+    """SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '(?s)<[^>]*>', '', 'g'),
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages"""
+)
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS source_name FROM pages")
+def page_host(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.host(F.col("url")).alias("host"), pages.source_name(F.col("url")).alias("source_name"))
+
+
+@query()
+def page_links(spark, d):
+    return pages.links(table(spark, d, "pages"))
+
+
+@query()
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.plain_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, substr(md5(url), 1, 16) AS name FROM pages")
+def page_archive_name(spark, d):
+    return table(spark, d, "pages").select("page_id", files.archive_name(F.col("url")).alias("name"))
+
+
+# --- ingest and history
+
+
+def _batch(spark, d):
+    """The English documents again, some with a line more, as a crawl's batch."""
+    x = laws(spark, d).where("level = 'en'")
+    more = F.when(F.contains("full_text", F.lit("scum")), F.concat("full_text", F.lit("\nmore"))).otherwise(F.col("full_text"))
+    return x.select(F.col("id").cast("string").alias("title"), "source_name", more.alias("full_text"))
+
+
+def _titled(spark, d):
+    """Laws whose title is their number."""
+    return laws(spark, d).where(~F.contains("full_text", F.lit("|"))).withColumn("title", F.col("id").cast("string"))
+
+
+_ACTIONS_SQL = f"""WITH {LAWS_SQL}, held AS (SELECT CAST(id AS VARCHAR) AS title, * EXCLUDE (title) FROM laws WHERE NOT contains(full_text, '|')),
+batch AS (SELECT CAST(id AS VARCHAR) AS title, source_name, CASE WHEN contains(full_text, 'scum') THEN full_text || chr(10) || 'more' ELSE full_text END AS full_text FROM laws WHERE level = 'en'),
+actions AS (SELECT b.title, b.source_name, c.id AS current_id, CASE WHEN length(b.full_text) < 50 THEN 'skip' WHEN c.content_hash = sha256(b.full_text) THEN 'skip' WHEN c.id IS NOT NULL THEN 'update'
+  WHEN sha256(b.full_text) IN (SELECT content_hash FROM held) THEN 'skip' ELSE 'insert' END AS action
+  FROM batch b LEFT JOIN held c ON c.title = b.title AND c.source_name = b.source_name AND c.duplicate_of IS NULL AND c.superseded_by IS NULL)"""
+
+
+@query(f"{_ACTIONS_SQL} SELECT title, source_name, current_id, action FROM actions")
+def upsert_actions(spark, d):
+    return upsert.classify(_batch(spark, d), _titled(spark, d)).select("title", "source_name", "current_id", "action")
+
+
+@query(f"{_ACTIONS_SQL} SELECT (SELECT count(*) FROM held) + count(*) FILTER (WHERE action IN ('insert', 'update')) AS rows, count(*) FILTER (WHERE action = 'update') AS superseded, count(*) FILTER (WHERE action = 'insert') AS fresh FROM actions")
+def scd_snapshot(spark, d):
+    held = _titled(spark, d)
+    full = held.withColumns({c: F.lit(None).cast("string") for c in ("status", "created_at", "updated_at", "version_label")})
+    after = upsert.apply(upsert.classify(_batch(spark, d), held), full, "2025-01-01T00:00:00")
+    return after.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"), F.count_if(F.col("superseded_by").isNull() & F.col("created_at").isNotNull()).alias("fresh"))
+
+
+@query("SELECT coalesce(l.doc_id, d.doc_id) AS law_id, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(l.toxic * 3, 0) + 1 ELSE l.toxic * 3 END AS attempts FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE lang = 'de') d ON d.doc_id = l.doc_id")
+def attempt_counter(spark, d):
+    run = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("law_id"), F.lit("ok").alias("status"))
+    return upsert.mark_attempts(_marks(spark, d), run).select("law_id", "attempts")
+
+
+@query("SELECT conv_id, turn, role, substr(text, 1, 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4")
+def chat_history_trim(spark, d):
+    return upsert.keep_last(table(spark, d, "conversations"), n=4, chars=200).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, turn, '【' || conv_id || '·' || turn || '】（' || role || '）' || substr(text, 1, 500) AS result FROM conversations")
+def tool_result_format(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", X.tool_result(F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("role"), F.col("text")).alias("result"))
 
 
-FLAGSHIP = facet_by_level
+FLAGSHIP = bm25_topk
