@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 #: A run has at least so many consecutive sentences and so many words.
 RUN_SENTENCES, RUN_WORDS = 3, 12
@@ -87,18 +87,19 @@ def all_runs(docs: DataFrame) -> DataFrame:
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, version, gone): the sentences of a text that lie in a repeated run which isn't its first.
 
-    The first of equal runs is that with the least (doc_id, version, pos). Its
-    place is found by an aggregation with map-side combine; the join back
-    carries no texts, and Spark can split a run that very many texts share.
+    The first of equal runs is that with the least (doc_id, version, pos). Runs
+    are counted first with map-side combine; only those found twice or more go
+    on. Their first places come from an aggregation of the same kind. What is
+    joined back is stored before, so Spark can split a run that very many texts
+    share; no texts are carried.
     """
-    found = cut(all_runs(docs))
+    found = stored(all_runs(docs), "runs")
+    twice = stored(found.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("run").alias("twice_run")), "twice")
+    shared = stored(found.join(twice, found["run"] == twice["twice_run"]).drop("twice_run"), "shared")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
-    first = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(F.col("run").alias("first_run"), "first")
-    later = found.join(first, (found["run"] == F.col("first_run")) & (place != F.col("first")))
-    return (
-        later.groupBy("doc_id", "version")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("gone"))
-    )
+    first = stored(shared.groupBy(F.col("run").alias("first_run")).agg(F.min(place).alias("first")), "first")
+    later = shared.join(first, (shared["run"] == first["first_run"]) & (place != first["first"]))
+    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
