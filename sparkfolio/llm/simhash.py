@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by anchor-point covering."""
+"""SimHash near-duplicates by anchor-point covering, and similar shingle sets by min-hash bands."""
 
 from __future__ import annotations
 
@@ -10,33 +10,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .components import connected_components
 
 #: Fingerprints link at this many differing bits or fewer.
 THRESHOLD = 3
 #: Shingles are hashed and counted in pieces of this many.
 PIECE = 65536
+#: Texts are similar from this share of common shingles on.
+SIMILAR = 0.8
+#: Min-hash bands and the rows of each: similar texts share a band with probability 0.999; EXTRA more deal out what a band holds unlike.
+BANDS, ROWS, EXTRA = 24, 6, 32
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64-bit SimHash of the word shingles of a text, as a signed integer."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, in order, in pieces."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     joined, n = b" ".join(w), max(1, len(w) - words + 1)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, n, PIECE):
         hi = min(n, lo + PIECE)
         a, b = begins[lo:hi].tolist(), (ends[lo + words - 1 : hi + words - 1] if len(w) >= words else ends[-1:]).tolist()
-        h = np.array([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], dtype=np.uint64)
+        yield np.array([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], dtype=np.uint64)
+
+
+def print_of(pieces: list[np.ndarray]) -> int:
+    """64-bit SimHash of shingle hashes, as a signed integer; 0 without any."""
+    n, ones = sum(map(len, pieces)), np.zeros(64, dtype=np.int64)
+    for h in pieces:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little").view(np.int64)
-    return int(bits[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """64-bit SimHash of the word shingles of a text, as a signed integer."""
+    return print_of(list(shingle_hashes(text, words)))
+
+
+def min_hashes(pieces: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """(bands, extra) of the different shingle hashes of a text; none of either without shingles."""
+    import xxhash
+
+    if not pieces:
+        return [], []
+    h, k = np.unique(np.concatenate(pieces)), BANDS * ROWS + EXTRA
+    salts = np.random.default_rng(64).integers(0, 2**63, size=(2, k), dtype=np.uint64)
+    least = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(h), 1024):
+        mixed = (h[lo : lo + 1024, None] ^ salts[0]) * (salts[1] | np.uint64(1))
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)]
+    return np.array(bands, dtype=np.uint64).view(np.int64).tolist(), least[BANDS * ROWS :].astype(np.uint32).view(np.int32).tolist()
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -101,31 +131,106 @@ def links(distinct: DataFrame) -> DataFrame:
     return home.join(near, (home["anchor"] == near["anchor"]) & (F.col("fp_a") < F.col("fp_b")) & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id") -> DataFrame:
+def prints_and_bands(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, version, bands, extra) of each row; ``version`` is a hash of the text."""
+
+    @F.pandas_udf("fp long, bands array<long>, extra array<int>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            pieces = list(shingle_hashes(t, words))
+            rows.append((print_of(pieces), *min_hashes(pieces)))
+        return pd.DataFrame(rows, columns=["fp", "bands", "extra"])
+
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("doc_id", "version", "m.*"), "prints")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose texts (node, text) have at least that share of common shingles: each is compared as a whole."""
+
+    @F.pandas_udf("boolean")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, held = [], None, np.zeros(0, dtype=np.uint64)
+        whole = lambda t: np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(t, words)]))
+        for x, y in zip(a, b, strict=True):
+            if y != last:
+                last, held = y, whole(y)
+            mine = whole(x)
+            common = len(np.intersect1d(mine, held, assume_unique=True))
+            out.append(bool(common >= least * (len(mine) + len(held) - common)))
+        return pd.Series(out, dtype="bool")
+
+    ones = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    others = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(ones, "a").join(others, "b").where(compare("text_a", "text_b")).select("a", "b")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, least: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, bands, extra) whose texts are similar.
+
+    In each band's bucket every node is compared with the least one, not with
+    all: a group of n copies makes n pairs a band. Nodes unlike their bucket's
+    least are dealt anew, by one more min-hash a round, until no bucket holds
+    two; so a passage common to very many unlike texts makes no pairs among all
+    of them. Sizes and least nodes come from aggregations with map-side
+    combine and are stored before they are joined, so that Spark can split a
+    large bucket. Bands find similar texts by chance, with the probability
+    given above; what is found is compared exactly.
+    """
+
+    def dealt(members: DataFrame) -> DataFrame:
+        first = stored(members.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last"), "buckets")
+        return stored(members.join(first, "band").where("node > b").select("band", F.col("node").alias("a"), "b"), "members")
+
+    left = dealt(nodes.select("node", F.explode_outer("bands").alias("band")).where("band is not null").distinct())
+    wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    own = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = stored(own.groupBy("node").agg(F.max("text").alias("text")), "candidates")
+    found, step = None, 0
+    while not left.isEmpty():
+        good = stored(alike(left.select("a", "b").distinct(), texts, words, least), "similar")
+        found = good if found is None else found.union(good)
+        more = nodes.select(F.col("node").alias("a"), F.get("extra", F.lit(step % EXTRA)).alias("extra"))
+        rest = left.join(good, ["a", "b"], "left_anti").join(more, "a")
+        left = dealt(rest.select(F.col("a").alias("node"), F.xxhash64("band", F.lit(step), "extra").alias("band")))
+        step += 1
+    return found if found is not None else left.select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", similar: float | None = None) -> DataFrame:
     """One row per row of ``docs``: (key, fp, component_id).
 
     Equal fingerprints are one node whose representative is their least key,
     found with map-side combine; links are searched between distinct
     fingerprints only, so copies make no pairs. component_id is the least key
-    that can be reached over links. Null and blank texts have fingerprint 0
-    and link like any other; a null key takes its group's component and is no
-    representative (a group without keys has a null component); repeated rows
-    stay; an empty table gives no rows. Very long texts are hashed in pieces.
+    that can be reached over links. With ``similar`` texts that share at least
+    so much of their shingles are linked too, which 3 bits of 64 don't reach.
+    Null and blank texts have fingerprint 0 and link like any other; a null key
+    takes its group's component and is no representative (a group without keys
+    has a null component); repeated rows stay, and of different texts with one
+    key the greatest is compared; an empty table gives no rows. Very long texts
+    are hashed in pieces.
     """
-    prints = cut(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), "text"), words).select("doc_id", "fp"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    prints = cut(fingerprints(rows, words).select("doc_id", "fp")) if similar is None else prints_and_bands(rows, words)
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(groups.where("rep is not null")))
+    found = links(groups.where("rep is not null"))
+    if similar is not None:
+        nodes = stored(prints.where("doc_id is not null").groupBy("fp", "version").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("extra").alias("extra")), "nodes")
+        own = nodes.select("node", "fp").join(groups, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        found = found.union(own).union(similar_links(rows, nodes.select("node", "bands", "extra"), words, similar))
+    found = connected_components(found)
     named = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, prints["fp"] == named["group_fp"]).select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similar: float | None = SIMILAR) -> DataFrame:
     """The rows of ``docs``, with their columns, without near-duplicates: of each component the smallest doc_id stays.
 
     Of repeated rows of that doc_id one stays. Rows without a doc_id can't be
     named; of each component that has only such rows all stay.
     """
-    found = near_duplicates(docs, words)
+    found = near_duplicates(docs, words, similar=similar)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else left

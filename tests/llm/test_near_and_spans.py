@@ -61,7 +61,7 @@ def test_near_duplicates_equal_brute_force(spark):
     prints = {i: brute_print(t, 3) for i, t in rows}
     assert {i: v[0] % 2**64 for i, v in got.items()} == prints
     assert {i: v[1] for i, v in got.items()} == brute_components(prints)
-    kept = {r.doc_id for r in simhash.keep_one(docs, words=3).collect()}
+    kept = {r.doc_id for r in simhash.keep_one(docs, words=3, similar=None).collect()}
     assert kept == set(brute_components(prints).values())
 
 
@@ -169,3 +169,46 @@ def test_spans_equal_brute_force(spark):
 
 def test_spans_of_an_empty_table(spark):
     assert spans.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shingle_set(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(5)
+    passage = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(60)]
+    rows = [(0, None), (1, ""), (2, "one two")]
+    for i in range(10, 40):  # unlike, but for a long passage in half of them
+        rows.append((i, " ".join((passage if i % 2 else []) + [f"v{rng.randrange(5000)}" for _ in range(90)])))
+    for i in range(40, 120):
+        w = rows[rng.randrange(3, 33)][1].split(" ")
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    prints = {i: brute_print(t, 5) for i, t in rows}
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    wide = 0
+    for a in parent:
+        for b in parent:
+            if a < b:
+                close = (prints[a] ^ prints[b]).bit_count() <= 3
+                both = len(sets[a] | sets[b])
+                if close or both and len(sets[a] & sets[b]) >= 0.8 * both:
+                    wide += not close
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    assert wide > 20
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similar=0.8).collect()}
+    assert got == {i: find(i) for i in parent}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(got.values())
+    assert simhash.keep_one(docs.where("false")).count() == 0
