@@ -191,8 +191,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """All captures in global order by URL key, timestamp and page_id; index_part and index_pos number them.
 
     Each task merges its key range of every run by a loser tree. Ranges are cut
-    by the whole key, so one URL with a third of all captures spans many of
-    them, and hold about MERGE_ROWS rows whatever the table's size. ``captures``
+    by the whole key, then by archive and place, so one URL with a third of all
+    captures, or one capture repeated so often, spans many of them, and hold about MERGE_ROWS rows whatever the table's size. ``captures``
     is computed once before, since range bounds take a sample of it.
     """
     captures = cut(captures)
@@ -211,7 +211,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
             frame["index_pos"] = range(len(frame))
             yield frame
 
-    ranged = captures.repartitionByRange(parts, "url_key", "timestamp", "page_id").sortWithinPartitions("archive", "run_pos")
+    ranged = captures.repartitionByRange(parts, "url_key", "timestamp", "page_id", "archive", "run_pos").sortWithinPartitions("archive", "run_pos")
     return ranged.mapInPandas(run, MERGED)
 
 
