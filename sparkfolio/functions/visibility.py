@@ -34,6 +34,11 @@ def contains_ci(text: Column, part: Column | str) -> Column:
     return F.contains(F.lower(text), F.lower(F.lit(part) if isinstance(part, str) else part))
 
 
+def like_ci(text: Column, pattern: str) -> Column:
+    """Case-insensitive LIKE: ``%`` and ``_`` in the pattern are wildcards and nothing escapes them."""
+    return F.lower(text).like(pattern.lower().replace("\\", "\\\\"))
+
+
 def topics(tags: Column) -> Column:
     """The tags of a comma-separated list; white space goes, full-width commas count."""
     plain = F.translate(F.coalesce(tags, F.lit("")), "， \t\n\r　", ",")
@@ -48,6 +53,12 @@ def has_topic(tags: Column, topic: str | None) -> Column:
     return F.array_contains(topics(tags), wanted) if wanted else F.lit(False)
 
 
+def has_offline_topic(tags: Column, topic: str) -> Column:
+    """The offline reader's test: lists split at commas and semicolons of either width, tags trimmed and compared without case."""
+    tag_list = F.transform(F.split(F.coalesce(tags, F.lit("")), "[,，;；]"), lambda x: F.lower(F.btrim(x)))
+    return F.array_contains(tag_list, topic.strip().lower())
+
+
 def law_filters(level: str | None = None, status: str | None = None, source_name: str | None = None, law_id: int | None = None, topic: str | None = None, alias: str | None = None) -> Column:
     """All filters that are set; null or empty sets none, but for a blank topic."""
     tests = [_c(alias, n) == v for n, v in (("level", level), ("status", status), ("source_name", source_name)) if v]

@@ -98,3 +98,14 @@ def reader(articles: DataFrame, laws: DataFrame, law_id: int, number: int = 1, s
     elif q:
         rows = rows.where(V.contains_ci(F.coalesce("article_no", F.lit("")), q) | V.contains_ci(F.col("text"), q))
     return rows.orderBy("id").offset((number - 1) * size).limit(size), rows.count(), number, target
+
+
+def fingerprint(laws: DataFrame, relations: DataFrame, changed: Column) -> DataFrame:
+    """One row (laws, relations, changed, last_id): equal as long as what a cached graph was made from is."""
+    counted = laws.agg(F.count(F.lit(1)).alias("laws"), F.max(changed).alias("changed"), F.max("id").alias("last_id"))
+    return counted.withColumn("relations", relations.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+def stale(rows: DataFrame, changed: Column, now: Column, days: int = 7) -> DataFrame:
+    """``rows`` with ``stale``: last changed more than ``days`` days before ``now``, or never."""
+    return rows.withColumn("stale", F.coalesce(changed < now - F.make_dt_interval(F.lit(days)), F.lit(True)))

@@ -140,9 +140,14 @@ def rrf(legs: list[tuple[str, DataFrame]]) -> DataFrame:
     )
 
 
+def best_title(laws: DataFrame, title: str) -> DataFrame:
+    """(law_id): the law of that title, else the one with the shortest title that holds it; null if there is none."""
+    return laws.where(F.contains("title", F.lit(title))).select(F.min_by("id", F.struct(F.col("title") != title, F.length("title"), F.col("id"))).alias("law_id"))
+
+
 def exact_hits(articles: DataFrame, laws: DataFrame, title: str, article_no: str) -> DataFrame:
     """(id): the article a query cites. The title is met exactly, else as part of the shortest title; then its number."""
-    found = laws.where(F.contains("title", F.lit(title))).select(F.min_by("id", F.struct(F.col("title") != title, F.length("title"), F.col("id"))).alias("law_id"))
+    found = best_title(laws, title)
     wanted = articles.join(F.broadcast(found.where("law_id is not null")), "law_id").where(normalize_article_no(F.col("article_no")) == article_no)
     return wanted.select(F.min_by("id", F.struct(F.col("article_no") != article_no, "id")).alias("id")).where("id is not null")
 

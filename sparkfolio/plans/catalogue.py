@@ -577,4 +577,106 @@ def tool_result_format(spark, d):
     return c.select("conv_id", "turn", X.tool_result(F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("role"), F.col("text")).alias("result"))
 
 
+
+# --- upkeep of derived tables, and what the client computes
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang <> 'en'")
+def index_missing_units(spark, d):
+    held = retrieval.postings(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"))
+    return retrieval.missing_from_index(_units(spark, d).select("id"), held)
+
+
+@query(f"WITH {RELATIONS_SQL} SELECT DISTINCT s, t, rel_type FROM relations")
+def relation_backfill(spark, d):
+    rows = nation_relations(spark, d)
+    return upsert.add_missing(rows.where("rel_type = 'A'").distinct(), rows, "s", "t", "rel_type")
+
+
+def _changed_nation(spark, d):
+    """(changed, articles, relations): each nation a law of one article; one nation's text has changed."""
+    nations = table(spark, d, "nation")
+    units = nations.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("law_id"))
+    relations = nation_relations(spark, d).select(F.col("s").alias("from_id"), F.col("t").alias("to_id"), "rel_type", F.lit(0).alias("id"))
+    return nations.where("n_name = 'CHINA'").select(F.col("n_nationkey").alias("id")), units, relations
+
+
+@query(f"WITH {RELATIONS_SQL}, c AS (SELECT n_nationkey FROM nation WHERE n_name = 'CHINA') SELECT s, t, rel_type, count(*) AS n FROM relations WHERE s NOT IN (FROM c) AND t NOT IN (FROM c) GROUP BY ALL")
+def invalidated_relations(spark, d):
+    changed, units, relations = _changed_nation(spark, d)
+    left, _, _ = upsert.invalidate(changed, units, relations, units, units)
+    return left.groupBy(F.col("from_id").alias("s"), F.col("to_id").alias("t"), "rel_type").agg(count_rows())
+
+
+@query(
+    f"WITH {RELATIONS_SQL}, c AS (SELECT n_nationkey AS k FROM nation WHERE n_name = 'CHINA') SELECT n_nationkey AS law_id FROM nation "
+    "WHERE n_nationkey NOT IN (SELECT k FROM c) AND NOT EXISTS (SELECT 1 FROM relations JOIN c ON t = k WHERE s = n_nationkey)"
+)
+def invalidated_marks(spark, d):
+    changed, units, relations = _changed_nation(spark, d)
+    return upsert.invalidate(changed, units, relations, units, units.select("law_id"))[2]
+
+
+@query("SELECT l.doc_id, l.quality FROM labels l WHERE NOT (l.quality > 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND contains(d.text, ',')))")
+def ghost_marks_cleared(spark, d):
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("law_id"), F.col("quality").alias("saved"))
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit(","))).select(F.col("doc_id").alias("id"))
+    left = graph.without_ghosts(marks, docs.select("id", F.col("id").alias("law_id")), docs.select(F.col("id").alias("from_id")))
+    return left.select(F.col("law_id").alias("doc_id"), F.col("saved").alias("quality"))
+
+
+@query("SELECT o_custkey, last(o_orderstatus ORDER BY o_orderdate, o_orderkey) AS o_orderstatus, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def keyed_overwrite(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("written"))
+    return upsert.overwrite(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"), "o_custkey", "written").drop("written")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS laws, (SELECT max(o_orderdate) FROM orders) AS changed, (SELECT max(o_orderkey) FROM orders) AS last_id, (SELECT count(*) FROM lineitem) AS relations")
+def cache_fingerprint(spark, d):
+    return catalog.fingerprint(table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), table(spark, d, "lineitem"), F.col("o_orderdate"))
+
+
+@query("SELECT user_id, max(ts) AS changed, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS stale FROM events GROUP BY user_id")
+def stale_sources(spark, d):
+    events = table(spark, d, "events")
+    last = events.groupBy("user_id").agg(F.max("ts").alias("changed"))
+    return catalog.stale(last.withColumn("now", events.agg(F.max("ts")).scalar()), F.col("changed"), F.col("now")).drop("now")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%_idg%t%'")
+def catalog_wildcard_filter(spark, d):
+    return table(spark, d, "part").where(V.like_ci(F.col("p_name"), "%_IDG%t%")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'widget')")
+def offline_topic_filter(spark, d):
+    return table(spark, d, "part").where(V.has_offline_topic(F.replace("p_name", F.lit(" "), F.lit("； ")), " Widget ")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey AS law_id FROM part WHERE contains(p_name, 'widget') ORDER BY p_name <> 'widget', length(p_name), p_partkey LIMIT 1")
+def title_best_match(spark, d):
+    return retrieval.best_title(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "widget")
+
+
+@query("SELECT doc_id AS law_id, split_part(text, chr(10), 1) AS text FROM documents WHERE text IS NOT NULL")
+def first_article(spark, d):
+    return articles(spark, d).groupBy("law_id").agg(F.min_by("text", "id").alias("text"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) < 8 THEN repeat('*', length(c_name)) ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked FROM customer")
+def secret_mask(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.mask_secret(F.col("c_name")).alias("masked"))
+
+
+@query(
+    f"WITH {RELATIONS_SQL}, e AS (SELECT s AS id FROM relations UNION ALL SELECT t FROM relations), g AS (SELECT id, count(*) AS deg FROM e GROUP BY id), "
+    "n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, r_name AS level, coalesce(deg, 0) AS deg FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON g.id = n_nationkey), "
+    "a AS (SELECT id, deg, (row_number() OVER (PARTITION BY level ORDER BY deg DESC, id) - 1) / count(*) OVER (PARTITION BY level) * 2 * pi() AS angle, sin(id * 12.9898 + 78.233) * 43758.5453 AS noise FROM n), "
+    "b AS (SELECT id, deg, angle + (noise - floor(noise)) * 0.1 AS turn FROM a) SELECT id, round(420 * cos(turn), 4) AS x, round(420 * sin(turn), 4) AS y, round(2.6 + 0.9 * sqrt(deg), 4) AS r FROM b"
+)
+def graph_layout(spark, d):
+    places = graph.layout(graph_nodes_degree(spark, d))
+    return places.select("id", *[F.round(c, 4).alias(c) for c in ("x", "y", "r")])
+
+
 FLAGSHIP = bm25_topk
