@@ -577,7 +577,6 @@ def tool_result_format(spark, d):
     return c.select("conv_id", "turn", X.tool_result(F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("role"), F.col("text")).alias("result"))
 
 
-
 # --- upkeep of derived tables, and what the client computes
 
 
