@@ -1,13 +1,15 @@
-"""SimHash near-duplicates by anchor-point covering, and similar shingle sets by min-hash bands."""
+"""SimHash near-duplicates by anchor-point covering, and similar shingle sets by an exact prefix-filter join."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, stored
@@ -19,8 +21,8 @@ THRESHOLD = 3
 PIECE = 65536
 #: Texts are similar from this share of common shingles on.
 SIMILAR = 0.8
-#: Min-hash bands and the rows of each: similar texts share a band with probability 0.999; EXTRA more deal out what a band holds unlike.
-BANDS, ROWS, EXTRA = 24, 6, 32
+#: Shingles met in more than one of about SAMPLE texts come last in the common order of shingles; at most COMMON of them are told apart.
+SAMPLE, COMMON = 8192, 65536
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -52,21 +54,21 @@ def fingerprint(text: str | None, words: int) -> int:
     return print_of(list(shingle_hashes(text, words)))
 
 
-def min_hashes(pieces: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """(bands, extra) of the different shingle hashes of a text; none of either without shingles."""
-    import xxhash
+def set_of(pieces: list[np.ndarray]) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *pieces]))
+
 
-    if not pieces:
-        return [], []
-    h, k = np.unique(np.concatenate(pieces)), BANDS * ROWS + EXTRA
-    salts = np.random.default_rng(64).integers(0, 2**63, size=(2, k), dtype=np.uint64)
-    least = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(h), 1024):
-        mixed = (h[lo : lo + 1024, None] ^ salts[0]) * (salts[1] | np.uint64(1))
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)]
-    return np.array(bands, dtype=np.uint64).view(np.int64).tolist(), least[BANDS * ROWS :].astype(np.uint32).view(np.int32).tolist()
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first of the sorted ``shingles`` in the common order (by count, then hash), so many that two sets with a similarity of ``least`` have one in both their prefixes."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    size = min(n, n - math.ceil(least * n - 1e-9) + 1)
+    if not len(common):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return shingles[np.argsort(np.where(common[at] == shingles, counts[at], 0), kind="stable")[:size]]
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -131,70 +133,125 @@ def links(distinct: DataFrame) -> DataFrame:
     return home.join(near, (home["anchor"] == near["anchor"]) & (F.col("fp_a") < F.col("fp_b")) & close).select("a", "b")
 
 
-def prints_and_bands(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, version, bands, extra) of each row; ``version`` is a hash of the text."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the commonest shingles of a bounded sample of texts.
+
+    They only order the shingles, so that few texts meet at one: whatever the
+    sample, the join over prefixes in that order misses nothing.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_of(list(shingle_hashes(t, words))).view(np.int64) for t in texts], dtype="object")
+
+    rows = docs.select(F.xxhash64("text").alias("version"), "text")
+    some = rows.where(F.pmod("version", F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    held = some.select("version", shingles("text").alias("held")).dropDuplicates(["version"])
+    often = held.select(F.explode_outer("held").alias("h")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = sorted((r["h"] % 2**64, r["n"]) for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect())
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, version, fp, shape, n, keys) of each row.
 
-    @F.pandas_udf("fp long, bands array<long>, extra array<int>")
+    ``version`` is a hash of the text, ``shape`` one of its set of shingles
+    (null without any), ``n`` their number and ``keys`` the set's prefix.
+    """
+    import xxhash
+
+    common, counts = common_shingles(docs, words)
+
+    @F.pandas_udf("fp long, shape long, n long, keys array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             pieces = list(shingle_hashes(t, words))
-            rows.append((print_of(pieces), *min_hashes(pieces)))
-        return pd.DataFrame(rows, columns=["fp", "bands", "extra"])
+            held = set_of(pieces)
+            shape = xxhash.xxh3_64_intdigest(held.tobytes()) - 2**63 if len(held) else None
+            rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least).view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "shape", "n", "keys"]).astype({"shape": "Int64"})
 
     return stored(docs.select("doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("doc_id", "version", "m.*"), "prints")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose texts (node, text) have at least that share of common shingles: each is compared as a whole."""
+def alike(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b: versions) whose texts have at least that share of common shingles: each is compared as a whole."""
 
     @F.pandas_udf("boolean")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         out, last, held = [], None, np.zeros(0, dtype=np.uint64)
-        whole = lambda t: np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(t, words)]))
         for x, y in zip(a, b, strict=True):
             if y != last:
-                last, held = y, whole(y)
-            mine = whole(x)
+                last, held = y, set_of(list(shingle_hashes(y, words)))
+            mine = set_of(list(shingle_hashes(x, words)))
             common = len(np.intersect1d(mine, held, assume_unique=True))
             out.append(bool(common >= least * (len(mine) + len(held) - common)))
         return pd.Series(out, dtype="bool")
 
-    ones = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    others = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(ones, "a").join(others, "b").where(compare("text_a", "text_b")).select("a", "b")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("version")).union(pairs.select(F.col("b").alias("version"))).distinct()
+    own = docs.select(F.xxhash64("text").alias("version"), "text").join(wanted, "version", "left_semi")
+    texts = stored(own.dropDuplicates(["version"]), "candidates")
+    ones = texts.select(F.col("version").alias("a"), F.col("text").alias("text_a"))
+    others = texts.select(F.col("version").alias("b"), F.col("text").alias("text_b"))
+    return stored(pairs.join(ones, "a").join(others, "b").where(compare("text_a", "text_b")).select("a", "b"), "similar")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, words: int, least: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, bands, extra) whose texts are similar.
+def can_be_alike(one: str, other: str, least: float) -> Column:
+    """Whether sets of n shingles whose first common key has the places pos can have that similarity: by length, and by what comes after the key."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    lengths = F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6)
+    return lengths & (F.least(n - F.col(f"{one}.pos"), m - F.col(f"{other}.pos")) >= (n + m) * F.lit(least / (1 + least)) - F.lit(1e-6))
 
-    In each band's bucket every node is compared with the least one, not with
-    all: a group of n copies makes n pairs a band. Nodes unlike their bucket's
-    least are dealt anew, by one more min-hash a round, until no bucket holds
-    two; so a passage common to very many unlike texts makes no pairs among all
-    of them. Sizes and least nodes come from aggregations with map-side
-    combine and are stored before they are joined, so that Spark can split a
-    large bucket. Bands find similar texts by chance, with the probability
-    given above; what is found is compared exactly.
-    """
 
-    def dealt(members: DataFrame) -> DataFrame:
-        first = stored(members.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last"), "buckets")
-        return stored(members.join(first, "band").where("node > b").select("band", F.col("node").alias("a"), "b"), "members")
-
-    left = dealt(nodes.select("node", F.explode_outer("bands").alias("band")).where("band is not null").distinct())
-    wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    own = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
-    texts = stored(own.groupBy("node").agg(F.max("text").alias("text")), "candidates")
-    found, step = None, 0
-    while not left.isEmpty():
-        good = stored(alike(left.select("a", "b").distinct(), texts, words, least), "similar")
-        found = good if found is None else found.union(good)
-        more = nodes.select(F.col("node").alias("a"), F.get("extra", F.lit(step % EXTRA)).alias("extra"))
-        rest = left.join(good, ["a", "b"], "left_anti").join(more, "a")
-        left = dealt(rest.select(F.col("a").alias("node"), F.xxhash64("band", F.lit(step), "extra").alias("band")))
-        step += 1
-    return found if found is not None else left.select("a", "b")
+def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) of doc_ids whose components are those of ``known`` and of all pairs of texts that are similar.
+
+    Texts with one set of shingles are one. Similar sets have a key of their
+    prefixes in common, so every pair that can be similar meets at one. First
+    each text is compared with one of those at each of its keys, that where the
+    key comes first: the text with the fewest shingles of its own, which the
+    others are most like. Then all pairs are compared that share a key and
+    aren't in one component yet. So a group of n near copies makes n pairs a
+    key, but no two texts are left out that nothing links.
+    """
+    sets = stored(
+        prints.where("doc_id is not null and shape is not null")
+        .groupBy("shape")
+        .agg(F.min("doc_id").alias("lead"), F.min("version").alias("version"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")),
+        "sets",
+    )
+    copies = prints.where("doc_id is not null").join(sets.select("shape", "lead"), "shape").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    at_key = W.partitionBy("key").orderBy("pos", "version")
+    met = stored(
+        sets.select("version", "n", F.posexplode_outer("keys").alias("pos", "key"))
+        .select("key", F.struct("version", "n", "pos").alias("x"), "pos", "version")
+        .withColumn("first", F.first("x").over(at_key))
+        .withColumn("more", F.lead("pos").over(at_key))
+        .where((F.col("x.version") != F.col("first.version")) | F.col("more").isNotNull())
+        .select("key", "x", "first"),
+        "met",
+    )
+    leads = sets.select("version", "lead")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        ends = pairs.join(leads.toDF("a", "lead_a"), "a").join(leads.toDF("b", "lead_b"), "b")
+        return ends.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+
+    stars = met.where((F.col("x.version") != F.col("first.version")) & can_be_alike("x", "first", least))
+    good = alike(stars.select(F.col("x.version").alias("a"), F.col("first.version").alias("b")).distinct(), docs, words, least)
+    joined = cut(connected_components(known.union(copies).union(named(good))))
+    place = sets.select("version", "lead").join(joined, F.col("lead") == F.col("node"), "left").select(F.col("version").alias("of"), F.coalesce("component", "lead").alias("c"))
+    placed = met.select("key", "x").join(place, F.col("x.version") == F.col("of")).drop("of")
+    placed = stored(placed, "placed")
+    open_keys = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "open")
+    apart = stored(placed.join(open_keys, "key"), "apart")
+    ones, others = apart.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("c").alias("d")), apart
+    meet = (F.col("k") == F.col("key")) & (F.col("d") < F.col("c")) & can_be_alike("x", "y", least)
+    pairs = others.join(ones, meet).select(F.col("x.version").alias("a"), F.col("y.version").alias("b")).distinct()
+    rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), docs, words, least)
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(named(rest))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", similar: float | None = None) -> DataFrame:
@@ -204,21 +261,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", simila
     found with map-side combine; links are searched between distinct
     fingerprints only, so copies make no pairs. component_id is the least key
     that can be reached over links. With ``similar`` texts that share at least
-    so much of their shingles are linked too, which 3 bits of 64 don't reach.
+    so much of their shingles are linked too, which 3 bits of 64 don't reach:
+    all such pairs count, of every text of a key.
     Null and blank texts have fingerprint 0 and link like any other; a null key
     takes its group's component and is no representative (a group without keys
-    has a null component); repeated rows stay, and of different texts with one
-    key the greatest is compared; an empty table gives no rows. Very long texts
+    has a null component); repeated rows stay; an empty table gives no rows. Very long texts
     are hashed in pieces.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    prints = cut(fingerprints(rows, words).select("doc_id", "fp")) if similar is None else prints_and_bands(rows, words)
+    prints = cut(fingerprints(rows, words).select("doc_id", "fp")) if similar is None else prints_and_sets(rows, words, similar)
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(groups.where("rep is not null"))
     if similar is not None:
-        nodes = stored(prints.where("doc_id is not null").groupBy("fp", "version").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("extra").alias("extra")), "nodes")
-        own = nodes.select("node", "fp").join(groups, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        found = found.union(own).union(similar_links(rows, nodes.select("node", "bands", "extra"), words, similar))
+        own = prints.where("doc_id is not null").select("doc_id", "fp").distinct().join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = similar_links(rows, prints, found.union(own), words, similar)
     found = connected_components(found)
     named = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, prints["fp"] == named["group_fp"]).select(F.col("doc_id").alias(key), "fp", "component_id")

@@ -212,3 +212,36 @@ def test_similar_texts_equal_brute_force(spark):
     assert got == {i: find(i) for i in parent}
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(got.values())
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_hub_links_all_its_satellites(spark):
+    rng = random.Random(8)
+    hub = [f"h{i}" for i in range(304)]
+    rows = [(700, " ".join(hub)), (5000, " ".join(f"z{i}" for i in range(304)))]
+    for i in range(1000):
+        w = list(hub)
+        at = rng.randrange(5)
+        for k in range(6):  # 5 shingles each, so 270 of 330 are common with the hub
+            w[at + 10 + 48 * k + rng.randrange(36)] = f"s{i}-{k}"
+        rows.append((i + (i >= 700), " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(700, i) >= 0.8 for i in range(1001)) and sum(like(0, i) < 0.8 for i in range(1, 1001)) > 900
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similar=0.8).collect()}
+    assert got == {i: 0 if i <= 1000 else i for i, _ in rows}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(2)
+    common = np.unique(rng.integers(0, 2**64, 50, dtype=np.uint64))
+    for n in (1, 2, 4, 5, 9, 10, 45, 300):
+        for _ in range(40):
+            whole = np.concatenate([common[: n // 3], rng.integers(0, 2**64, n - n // 3, dtype=np.uint64)])
+            gone = rng.integers(0, n // 5 + 1)
+            other = np.concatenate([rng.permutation(whole)[gone:], rng.integers(0, 2**64, rng.integers(0, n // 5 + 1), dtype=np.uint64)])
+            a, b = np.unique(whole), np.unique(other)
+            both = len(np.intersect1d(a, b))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                x, y = (simhash.prefix(s, common, np.arange(len(common)) % 7 + 2, 0.8) for s in (a, b))
+                assert len(np.intersect1d(x, y))
