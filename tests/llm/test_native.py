@@ -59,22 +59,45 @@ def test_filters_on_verdicts_stay_linear(spark):
     assert plan.index("Filter") < plan.index("Generate")
 
 
+def test_long_text_of_different_words_repeats_nothing(spark):
+    docs = spark.createDataFrame([(1,)], "doc_id long").selectExpr("doc_id", "array_join(transform(sequence(1, 700000), i -> cast(i as string)), ' ') as text")
+    more = docs.selectExpr("doc_id + 1 as doc_id", "concat(text, ' 5 6 7') as text")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.judge_quality(docs.union(more), labels).collect()}
+    assert got == {1: (700_000, 0), 2: (700_003, 6)}
+
+
 def test_log_ratio(spark):
-    good = [(i, " ".join(f"g{(i * 7 + j) % 40}" for j in range(80)), "s") for i in range(60)]
+    good = [(i, " ".join(f"g{(i * 7 + j) % 100}" for j in range(80)), "s") for i in range(60)]
     bad = [(100 + i, " ".join(f"JUNK{(i * 3 + j * j) % 60}!!" for j in range(80)), "s") for i in range(20)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    docs = docs_of(spark, good + bad)
-    p = quality.Quality(buckets=4096)
-    ratios = quality.log_ratios(docs, labels, p)
-    hashed = {r.doc_id: r.grams for r in docs.select("doc_id", quality.gram_buckets(F.transform(quality.words(F.col("text")), lambda w: F.xxhash64(w)), 4096).alias("grams")).collect()}
-    raw, trusted = Counter(g for v in hashed.values() for g in v), Counter(g for i in range(30) for g in hashed[i])
-    sr, st = sum(raw.values()) + 4096, sum(trusted.values()) + 4096
-    for b in range(4096):
+    slur = [(200 + i, " ".join(f"g{(i * 7 + j) % 100}" for j in range(79)) + " SLUR", "s") for i in range(12)]
+    said = [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(8)] + [(200 + i, 1, 1) for i in range(5)] + [(3, 1, None), (None, 0, 1)]
+    labels = spark.createDataFrame(said, "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, good + bad + slur)
+    p = quality.Quality(words=4096, pairs=1024)
+    kinds = {r.doc_id: r.kind for r in quality.labelled(labels, p).collect()}
+    assert {k for k, v in kinds.items() if v == "bad"} == {*range(100, 108), *range(200, 205)} and {kinds[i] for i in range(40)} == {"fit", "held"}
+    ratios = quality.log_ratios(docs, quality.labelled(labels, p), p)
+    u = F.transform(quality.words(F.col("text")), lambda w: F.xxhash64(w))
+    one = {r.doc_id: r.g for r in docs.select("doc_id", quality.word_buckets(u, p).alias("g")).collect()}
+    two = {r.doc_id: r.g for r in docs.select("doc_id", quality.pair_buckets(u, p).alias("g")).collect()}
+    hashed = {i: one[i] + two[i] for i in one}
+    raw, trusted = Counter(g for v in hashed.values() for g in v), Counter(g for i, k in kinds.items() if k == "fit" for g in hashed[i])
+    n = p.words + p.pairs
+    sr, st = sum(raw.values()) + n, sum(trusted.values()) + n
+    for b in range(n):
         assert math.isclose(ratios[b], math.log((trusted[b] + 1) / st) - math.log((raw[b] + 1) / sr), abs_tol=1e-9)
-    got = {r.doc_id: (r.score, r.kept, r.base_failed) for r in quality.judge_quality(docs, labels, p).collect()}
+    got = {r.doc_id: r for r in quality.judge_quality(docs, labels, p).collect()}
     for i, v in hashed.items():
-        assert math.isclose(got[i][0], sum(ratios[g] for g in v) / len(v), rel_tol=1e-6, abs_tol=1e-6)
-    assert all(got[i][0] > p.threshold for i in range(60)) and all(got[100 + i][0] < p.threshold for i in range(20))
+        assert math.isclose(got[i].score, sum(ratios[g] for g in v) / len(v), rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(got[i].worst_word, min(ratios[g] for g in one[i]), rel_tol=1e-6)
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in [*range(100, 120), *range(200, 212)])
+
+
+def test_thresholds():
+    assert quality.threshold([], [1.0], 0.1) == -math.inf and quality.threshold([1.0], [], 0.1) == -math.inf
+    assert quality.threshold([1.0, 2.0, 3.0], [-1.0, 0.0], 0.0) == 0.5 and quality.threshold([1.0, 2.0], [5.0], 0.0) == -math.inf
+    assert quality.threshold([float(i) for i in range(10)], [0.5, 1.5, 8.5], 0.2) == 1.75
 
 
 def test_quality_of_an_empty_table(spark):
