@@ -53,46 +53,50 @@ def test_base_spans_of_given_cases():
 
 
 def brute_terms(rows, p):
-    """Disclosing (entity value, term) pairs by plain counting."""
-    contexts, entities, documents = defaultdict(set), defaultdict(set), Counter()
+    """Disclosing (entity, term) pairs by plain counting."""
+    mentioned, together, documents, texts = Counter(), Counter(), Counter(), defaultdict(set)
     for _, text in rows:
-        documents.update(set(re.split(pii.NO_TERM, (text or "").lower())))
-        for e, c, t, _, _ in pii.mentions(text or "", pii.base_spans(text), p):
-            contexts[e, t.lower()].add(c)
-            entities[e].add(c)
+        spans = pii.base_spans(text)
+        terms = {t for t, _, _ in pii.term_places(text or "", spans)}
+        documents.update(terms)
+        for e in pii.entities(text or "", spans):
+            mentioned[e] += 1
+            texts[e].add(text)
+            for t in terms:
+                together[e, t] += 1
+                texts[e, t].add(text)
     n = len(rows)
-    found = set()
-    for (e, t), c in contexts.items():
-        ic = math.log(n / len(entities[e]))
-        if len(c) >= p.support and ic > 0 and math.log(len(c) * n / (documents[t] * len(entities[e]))) >= p.alpha * ic:
-            found.add((e, t))
-    return found
+    ic = {e: math.log(n / m) for e, m in mentioned.items()}
+    return {(e, t) for (e, t), k in together.items() if len(texts[e, t]) > 1 and ic[e] > 0 and math.log(k * n / (documents[t] * mentioned[e])) >= p.alpha * ic[e]}
 
 
 def test_disclosing_terms(spark):
     rng = random.Random(2)
     filler = lambda n: " ".join(rng.choice(["alpha", "bravo", "delta", "gamma", "omega", "sigma", "kappa", "theta", "lambda"]) for _ in range(n))
-    rows = [(i, f"{filler(8)} Wendelin writes to w.k@mail.example.com {filler(9)}") for i in range(6)]
+    rows = [(i, f"{filler(8)} Wendelin writes to w.k@mail.example.com {filler(9)} 王小明在 {filler(60)} Old WENDELIN. w_wendelin {filler(9)}") for i in range(6)]
     rows += [(i, f"{filler(20)} nothing here") for i in range(10, 60)]
-    rows += [(60, None), (61, ""), (62, rows[0][1]), (62, rows[0][1]), (None, "call +1 (415) 555-2671"), (63, "x" * 300_000)]
-    docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, key string")
+    rows += [(60, None), (61, ""), (62, rows[0][1]), (62, rows[0][1]), (None, "call +1 (415) 555-2671"), (63, "x " * 150_000), (64, "Zenobia at 4111 1111 1111 1111"), (65, "Zenobia at 4111 1111 1111 1111")]
+    rows += [(i, rows[1][1]) for i in range(70, 100)]  # copies weigh alike in all counts
+    docs = spark.createDataFrame([(i, t, "n", 1, "m", "h", "v") for i, t in rows], "doc_id long, text string, key string, terms int, masked string, hit_key string, version string")
     p = pii.Disclosure()
     got = pii.digest_columns(pii.find_pii(docs, p)).collect()
     pairs = brute_terms(rows, p)
-    assert any(t == "wendelin" for _, t in pairs) and not any(t in ("alpha", "bravo", "nothing") for _, t in pairs)
+    found = {t for _, t in pairs}
+    assert {"wendelin", "王小", "小明"} <= found and not found & {"alpha", "bravo", "nothing", "zenobia"}
     want = []
     for i, text in rows:
         base = brute_base(text)
-        terms = sorted({(b, e) for x, _, t, b, e in pii.mentions(text or "", pii.base_spans(text), p) if (x, t.lower()) in pairs})
+        own = set(pii.entities(text or "", base))
+        terms = sorted({(b, e) for t, b, e in pii.term_places(text or "", base) if any((x, t) in pairs for x in own)})
         c = Counter(k for k, _, _ in base)
         said = pii.as_text(base)
         every = ",".join(x for x in [said, pii.as_text([("term", b, e) for b, e in terms])] if x)
-        want.append((i, c["email"], c["ip"], c["card"], c["phone"], hashlib.sha256(said.encode()).hexdigest(), every))
+        want.append((i, c["email"], c["ip"], c["card"], c["phone"], hashlib.sha256(said.encode()).hexdigest(), every, len(terms)))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     clean = {r.doc_id: r for r in pii.sanitise(docs, p).collect()}
-    assert "<EMAIL>" in clean[0].text and "<TERM>" in clean[0].text and "Wendelin" not in clean[0].text
-    assert clean[20].text == rows[16][1] and clean[60].text is None and clean[None].text == "call <PHONE>"
-    assert pii.sanitise(docs, p).columns == docs.columns and pii.sanitise(docs.limit(0), p).count() == 0
+    assert "<EMAIL>" in clean[0].text and "<TERM>" in clean[0].text and "wendelin" not in clean[0].text.lower()
+    assert clean[20].text == rows[16][1] and clean[60].text is None and clean[None].text == "call <PHONE>" and clean[64].text == "Zenobia at <CARD>"
+    assert clean[0].terms == 1 and clean[0].masked == "m" and pii.sanitise(docs, p).columns == docs.columns and pii.sanitise(docs.limit(0), p).count() == 0
 
 
 def full_count(text):
