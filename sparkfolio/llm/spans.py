@@ -14,13 +14,31 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: A run has at least so many consecutive sentences and so many words.
-RUN_SENTENCES, RUN_WORDS = 3, 12
-#: A sentence of more words counts as several of this many.
-LONG_SENTENCE = 12
+RUN_SENTENCES, RUN_WORDS = 3, 24
+#: A sentence of more words counts as several: it is cut before each word whose hash is the least of NEAR words on either
+#: side, so that a passage is cut alike wherever it stands, and pieces of more than LONG_PIECE words are cut by count.
+LONG_SENTENCE, NEAR, LONG_PIECE = 12, 2, 24
 #: A sentence ends after one of these marks before white space, or at a line's end.
 END = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Places among the words of a long sentence where its pieces begin: chosen by the words around, then by count."""
+    import xxhash
+
+    h = np.array([xxhash.xxh32_intdigest(f"{a} {b}") for a, b in zip(["", *words], words)], dtype=np.int64)  # noqa: B905
+    least = np.ones(len(h), dtype=bool)
+    for d in range(1, NEAR + 1):
+        least[d:] &= h[d:] < h[:-d]
+        least[:-d] &= h[:-d] <= h[d:]
+    out = [0]
+    for i in [*np.nonzero(least)[0].tolist(), len(words)]:
+        out += range(out[-1] + LONG_PIECE, i, LONG_PIECE)
+        if out[-1] < i < len(words):
+            out.append(i)
+    return out
+
+
 def sentences(text: str | None) -> list[tuple[int, int, int]]:
     """(begin, end, words) of the sentences of a text; long ones come in pieces, blank ones not at all."""
     out, text, at = [], text or "", 0
@@ -29,10 +47,10 @@ def sentences(text: str | None) -> list[tuple[int, int, int]]:
         n = len(piece.split())
         if n > LONG_SENTENCE:
             places = [(m.start() + at, m.end() + at) for m in re.finditer(r"\S+", piece)]
-            for i in range(0, len(places), LONG_SENTENCE):
-                some = places[i : i + LONG_SENTENCE]
-                out.append((begin, some[-1][1], len(some)))
-                begin = some[-1][1]
+            starts = cuts([text[b:e].lower() for b, e in places])
+            for i, j in zip(starts, [*starts[1:], len(places)], strict=True):
+                out.append((begin, places[j - 1][1], j - i))
+                begin = places[j - 1][1]
         elif n:
             out.append((begin, stop, n))
         at = after
@@ -40,28 +58,32 @@ def sentences(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def runs(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
-    """Runs of a text: their first sentences, their lengths in sentences, and their hashes.
+    """Runs of a text: their first sentences, their lengths in sentences, and the halves of their 128-bit hashes.
 
     From each sentence on, the shortest run with enough sentences and words;
-    so a run depends on nothing before it. A text too short for one is one run.
+    so a run depends on nothing before it; besides, the shortest that ends with
+    the text. A text too short for one is one run.
     """
     import xxhash
 
     found = sentences(text)
     if not found:
-        return [], [], np.zeros(0, dtype=np.int64)
+        return [], [], np.zeros((0, 2), dtype=np.int64)
     low = [" ".join(text[b:e].lower().split()).encode("utf-8", "surrogatepass") for b, e, _ in found]
     total = np.concatenate([[0], np.cumsum([n for _, _, n in found])])
     begin = np.arange(len(found))
     end = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS, side="left"), begin + RUN_SENTENCES)
     whole = end <= len(found)
-    begin, end = (begin[whole], end[whole]) if whole.any() else (np.array([0]), np.array([len(found)]))
-    hashes = [xxhash.xxh3_64_intdigest(b"\n".join(low[b:e])) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-    return begin.tolist(), (end - begin).tolist(), np.array(hashes, dtype=np.uint64).view(np.int64)
+    last = max(0, min(len(found) - RUN_SENTENCES, int(np.searchsorted(total, total[-1] - RUN_WORDS, side="right")) - 1))
+    more = [] if whole.any() and end[whole][-1] == len(found) else [last]
+    begin, end = np.append(begin[whole], more).astype(int), np.append(end[whole], [len(found)] * len(more)).astype(int)
+    hashes = b"".join([xxhash.xxh3_128_digest(b"\n".join(low[b:e])) for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    return begin.tolist(), (end - begin).tolist(), np.frombuffer(hashes, dtype=np.int64).reshape(-1, 2)
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, len, run): a row for every run of every text. ``version`` is a hash of the text."""
+    """(doc_id, version, pos, len, run, rest): a row for every run of every text. ``version`` is a hash of the text; run and rest are a hash of the run."""
+    names = ["doc_id", "version", "pos", "len", "run", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,12 +98,16 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 hashes.append(h)
                 n += len(p)
                 if n >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(np.concatenate(hashes))], names=["doc_id", "version", "pos", "len", "run"])
+                    yield made(ids, versions, pos, lens, hashes)
                     ids, versions, pos, lens, hashes, n = [], [], [], [], [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(np.concatenate(hashes))], names=["doc_id", "version", "pos", "len", "run"])
+                yield made(ids, versions, pos, lens, hashes)
+
+    def made(ids: list, versions: list, pos: list, lens: list, hashes: list) -> pa.RecordBatch:
+        h = np.concatenate(hashes)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, run long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, run long, rest long")
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
@@ -89,16 +115,17 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
 
     The first of equal runs is that with the least (doc_id, version, pos). Runs
     are counted first with map-side combine; only those found twice or more go
-    on. Their first places come from an aggregation of the same kind. What is
+    on. Runs are told apart by 128 bits, whose chance agreement is left out of
+    account. Their first places come from an aggregation of the same kind. What is
     joined back is stored before, so Spark can split a run that very many texts
     share; no texts are carried.
     """
     found = stored(all_runs(docs), "runs")
-    twice = stored(found.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("run").alias("twice_run")), "twice")
-    shared = stored(found.join(twice, found["run"] == twice["twice_run"]).drop("twice_run"), "shared")
+    twice = stored(found.groupBy("run", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    shared = stored(found.join(twice, ["run", "rest"]), "shared")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
-    first = stored(shared.groupBy(F.col("run").alias("first_run")).agg(F.min(place).alias("first")), "first")
-    later = shared.join(first, (shared["run"] == first["first_run"]) & (place != first["first"]))
+    first = stored(shared.groupBy("run", "rest").agg(F.min(place).alias("first")), "first")
+    later = shared.join(first, ["run", "rest"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("gone"))
 
 
@@ -109,10 +136,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     white space before it; all else stays as it is, byte for byte. Rows with
     the same doc_id and text count as one text, so they keep their passages.
     Null text stays null with no sentences, a null doc_id comes after all
-    others, extra columns stay; an empty table stays empty.
+    others, of ties in doc_id the text with the least hash is first; texts of
+    any length are judged as a whole; extra columns stay, but n_sentences and
+    n_removed are replaced; an empty table stays empty.
     """
     gone = repeated_sentences(docs).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "gone")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_version")), "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_version")), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def clean(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -131,5 +161,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((text, len(found), len(bad)))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
-    rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
-    return joined.withColumn("made", clean(docs["text"], F.col("gone"))).select(*[docs[c] for c in rest], "made.*")
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
+    return joined.select("row", clean("row.text", "gone").alias("made")).select(*rest, "made.*")

@@ -124,8 +124,11 @@ def brute_spans(rows):
                 e += 1
             if e - b >= spans.RUN_SENTENCES and sum(n for _, _, n in s[b:e]) >= spans.RUN_WORDS:
                 ends.append((b, e))
-        if not ends and s:
-            ends = [(0, len(s))]
+        if s and (not ends or ends[-1][1] < len(s)):
+            b = len(s)
+            while b and (len(s) - b < spans.RUN_SENTENCES or sum(n for _, _, n in s[b:]) < spans.RUN_WORDS):
+                b -= 1
+            ends.append((b, len(s)))
         bad = set()
         for b, e in ends:
             if tuple(low[b:e]) in seen:
@@ -148,7 +151,8 @@ def test_spans_equal_brute_force(spark):
     rows = [(i, " ".join(sentence() for _ in range(rng.randrange(1, 12)))) for i in range(40)]
     rows += [(i, f"{sentence()} {sentence()}\n{rng.choice(passage)}\n{sentence()}") for i in range(40, 80)]
     rows += [(80, None), (81, ""), (82, "Short."), (83, "Short."), (None, rows[0][1]), (84, "No! " * 3000), (85, rows[50][1]), (85, rows[50][1]), (86, "word " * 5000)]
-    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_removed int")
+    docs = spark.createDataFrame([(i, t, 7, 1, 2, 3) for i, t in rows], "doc_id long, text string, n_removed int, gone int, made int, row int")
+    assert set(spans.remove_repeats(docs).columns) == {"doc_id", "text", "n_removed", "n_sentences", "gone", "made", "row"}
     got = defaultdict(list)
     for r in spans.remove_repeats(docs).collect():
         got[r.doc_id].append((r.text, r.n_sentences, r.n_removed))
@@ -167,6 +171,24 @@ def test_spans_equal_brute_force(spark):
     assert len(text[86].split()) < 40 and text[86]
 
 
+def test_pasted_passages_are_found_at_any_offset(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") + str(rng.randrange(4000))
+    rows, pasted = [], []
+    for k, n in enumerate([51, 52, 55, 60, 70, 80, 100, 120] * 5):
+        marks = k % 2
+        passage = " ".join(word() + ("." if marks and rng.random() < 0.12 else "") for _ in range(n))
+        for c in range(2):
+            before, after = (" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(2))
+            rows.append((2 * k + c, f"{before} {passage} {after}"))
+        pasted.append(passage)
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in enumerate(pasted):
+        assert got[2 * k].n_removed == 0 and got[2 * k].text == rows[2 * k][1]
+        lost = len(rows[2 * k + 1][1].split()) - len(got[2 * k + 1].text.split())
+        assert 0.3 * len(passage.split()) <= lost <= len(passage.split()), (k, lost)
+
+
 def test_spans_of_an_empty_table(spark):
     assert spans.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
