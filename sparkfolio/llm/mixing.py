@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, sealed, stored, words
 
 #: Cells into which the slots' cumulative range is dealt for the interval join.
 CELLS = 4096
@@ -18,7 +18,10 @@ CHUNK = 4096
 
 @dataclass(frozen=True)
 class Mix:
-    """``weights`` repeat over the sources by code point, null last; together they get ``share`` of all words."""
+    """``weights`` repeat over the sources by code point, null last; together they get ``share`` of all words.
+
+    ``epochs`` bounds how often a source is taken, ``block_words`` is the size of a block, whatever the corpus' size.
+    """
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
@@ -26,9 +29,19 @@ class Mix:
     block_words: int = 256
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    """The place of a document in its source's shuffled order."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")))
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """The place of a document in its source's shuffled order: equal for equal rows only, so null or repeated ids spread by their texts."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def unit_key(order_key: Column, source: Column) -> Column:
+    return F.md5(F.concat(order_key, source.isNull().cast("string"), F.coalesce(source, F.lit(""))))
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, order_key, copies): equal rows are one unit, counted with map-side combine."""
+    rows = docs.select(docs["doc_id"], docs["source"], size_of(docs["text"]).alias("size"), shuffle_key(docs["doc_id"], docs["text"]).alias("order_key"))
+    return stored(rows.groupBy("doc_id", "source", "size", "order_key").agg(F.count(F.lit(1)).alias("copies")), "units")
 
 
 def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
@@ -45,18 +58,16 @@ def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
     after = by_ratio.rowsBetween(0, W.unboundedFollowing)
     whole = W.partitionBy(F.lit(1))
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in mix.weights]), (F.col("nth") % len(mix.weights) + 1).cast("int"))
-    block = F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(F.col("budget") / (F.lit(2000) * F.col("n_sources")))), F.ceil(F.col("budget") / F.lit(2**30)))
     return (
         sized.groupBy("source")
-        .agg(F.sum("size").cast("long").alias("source_size"))
+        .agg(F.sum(F.col("size") * F.col("copies")).cast("long").alias("source_size"))
         .withColumn("nth", F.row_number().over(everything) - 1)
         .withColumn("weight", weight)
         .withColumn("cap", F.lit(mix.epochs) * F.col("source_size"))
         .withColumn("budget", F.lit(float(mix.share)) * F.sum("source_size").over(whole))
-        .withColumn("n_sources", F.count(F.lit(1)).over(whole))
         .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.max("level").over(whole) * F.col("weight")))
-        .withColumn("block_words", block.cast("long"))
+        .withColumn("block_words", F.lit(mix.block_words).cast("long"))
         .withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
         .withColumn("wanted", F.least(F.floor("target").cast("long"), F.col("cap").cast("long")))
         .withColumn("full_epochs", F.when(F.col("source_size") > 0, F.expr("wanted div source_size")).otherwise(F.lit(0)).cast("long"))
@@ -64,7 +75,7 @@ def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
         .withColumn("rest_blocks", F.ceil(F.col("rest") / F.col("block_words")).cast("long"))
         .withColumn("n_slots", F.col("full_epochs") * F.col("n_blocks") + F.col("rest_blocks"))
         .withColumn("first_slot", F.coalesce(F.sum("n_slots").over(everything.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-        .drop("level", "cap", "n_sources")
+        .drop("level", "cap")
     )
 
 
@@ -96,7 +107,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     )
     points = (
         spark.range(g if total else 0)
-        .select(F.col("id").alias("slot"), F.expr(f"pmod(id * {f}L, {g}L)").alias("point"))
+        .select(F.col("id").alias("slot"), F.expr(f"cast(cast(id as decimal(19, 0)) * {f} % {g} as long)").alias("point"))
         .where(F.col("point") < total)
         .withColumn("cell", F.expr(f"point div {width}"))
         .withColumn("chunk", F.expr(f"slot div {CHUNK}"))
@@ -117,17 +128,16 @@ def schedule(plan: DataFrame) -> DataFrame:
     )
 
 
-def positions(sized: DataFrame) -> DataFrame:
-    """Where each document begins in its source's shuffled stream of words: sums over 4096 stretches of the order, then within one."""
-    sized = sized.withColumn("order_key", shuffle_key(F.col("doc_id"))).withColumn("stretch", F.substring("order_key", 1, 3))
+def positions(rows: DataFrame) -> DataFrame:
+    """Where each unit begins in its source's shuffled stream of words: sums over 4096 stretches of the order, then within one."""
+    rows = rows.withColumn("stretch", F.substring("order_key", 1, 3)).withColumn("all", F.col("size") * F.col("copies"))
     upto = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
-    sums = sized.groupBy("source", "stretch").agg(F.sum("size").alias("n")).select(F.col("source").alias("s_source"), F.col("stretch").alias("s_stretch"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
-    within = W.partitionBy("source", "stretch").orderBy("order_key", "doc_id", "size")
+    sums = rows.groupBy("source", "stretch").agg(F.sum("all").alias("n")).select(F.col("source").alias("s_source"), F.col("stretch").alias("s_stretch"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
+    within = W.partitionBy("source", "stretch").orderBy("order_key").rowsBetween(W.unboundedPreceding, -1)
     return (
-        sized.withColumn("nth", F.row_number().over(within))
-        .withColumn("begin", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        rows.withColumn("begin", F.coalesce(F.sum("all").over(within), F.lit(0)))
         .join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("stretch") == F.col("s_stretch")))
-        .select("doc_id", "source", "size", "stretch", "nth", (F.col("begin") + F.col("offset")).cast("long").alias("begin"))
+        .select("doc_id", "source", "size", "order_key", "copies", (F.col("begin") + F.col("offset")).cast("long").alias("begin"))
     )
 
 
@@ -135,31 +145,75 @@ def size_of(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+#: Copies of one unit that are spread together.
+PORTION = 4096
+
+
+def takes(docs: DataFrame, mix: Mix) -> DataFrame:
+    """(doc_id, source, size, order_key, copy, source_size, target, slot, epoch, place, first_word, n_words).
+
+    A row for every stretch of a document that a slot takes, and one without
+    slot for a document whose blocks no slot names. ``place`` counts words in the
+    source's stream, so slot and place order the mix.
+    """
+    rows = units(docs)
+    plan = cut(source_plan(rows, mix))
+    slots = stored(schedule(plan), "slots")
+    facts = plan.select(F.col("source").alias("p_source"), "source_size", "target", F.col("block_words").alias("p_words"))
+    placed = positions(rows).join(facts, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    # few rows have copies; those of one row are dealt to tasks before they are written out
+    portions = placed.withColumn("portion", F.explode(F.expr(f"sequence(0L, (copies - 1) div {PORTION})"))).repartition("order_key", "portion")
+    single = portions.withColumn("copy", F.explode(F.expr(f"sequence(portion * {PORTION}, least(copies, (portion + 1) * {PORTION}) - 1)")))
+    single = single.withColumn("begin", F.col("begin") + F.col("copy") * F.col("size")).drop("portion", "copies")
+    spread = F.when(F.col("size") > 0, F.expr("sequence(begin div p_words, (begin + size - 1) div p_words)"))
+    pieces = single.withColumn("piece", F.explode_outer(spread))
+    named = slots.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "slot", "epoch", "words")
+    first = F.greatest(F.col("begin"), F.col("piece") * F.col("p_words"))
+    n = F.least(F.col("begin") + F.col("size"), F.col("piece") * F.col("p_words") + F.col("words")) - first
+    joined = pieces.join(named, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("piece") == F.col("s_block")), "left")
+    return joined.select(
+        "doc_id", "source", "size", "order_key", "copy", "source_size", "target", "slot", "epoch",
+        first.alias("place"), (first - F.col("begin")).alias("first_word"), F.when(F.col("slot").isNotNull(), F.greatest(n, F.lit(0))).otherwise(0).cast("long").alias("n_words"),
+    )
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """How many words the mix takes of each document: (doc_id, source, size, source_size, target, taken).
 
     Each row of ``docs`` gives one row. A source's documents stand in a
-    shuffled stream (by a digest of doc_id) that is cut into equal blocks of
-    words; slots of the schedule name blocks, ``rank`` counting through the
-    stream again for each epoch, and the last slot of a source is cut to end
-    on its target. A document's take is the sum of its overlaps with its
-    blocks' slots, at most ``epochs`` times its size. Null sources are a source
-    of their own, null and blank texts have size 0 and take 0, repeated rows
-    take places of their own, an empty table gives an empty result. Reruns
-    agree, since nothing depends on the order of rows.
+    shuffled stream (by a digest of doc_id and text) that is cut into equal
+    blocks of words; slots of the schedule name blocks, ``rank`` counting
+    through the stream again for each epoch, and the last slot of a source is
+    cut to end on its target. A document's take is the sum of the stretches
+    its blocks' slots take, at most ``epochs`` times its size. Null sources are
+    a source of their own, null and blank texts have size 0 and take 0, null
+    ids and repeated rows take places of their own, ties don't arise but
+    between equal rows, texts of any length are spread over their blocks, extra
+    columns are left out, an empty table gives an empty result. Reruns agree,
+    since nothing depends on the order of rows.
     """
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
-    plan = cut(source_plan(sized, mix))
-    slots = schedule(plan).groupBy("source", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    facts = plan.select(F.col("source").alias("p_source"), "source_size", "target", F.col("block_words").alias("p_words"))
-    placed = positions(sized).join(facts, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    spread = F.when(F.col("size") > 0, F.expr("sequence(begin div p_words, (begin + size - 1) div p_words)"))
-    pieces = placed.withColumn("piece", F.explode_outer(spread))
-    slots = slots.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "words", "times")
-    overlap = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("piece") * F.col("p_words") + F.col("words")) - F.greatest(F.col("begin"), F.col("piece") * F.col("p_words")))
-    return (
-        pieces.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("piece") == F.col("s_block")), "left")
-        .groupBy("doc_id", "source", "size", "stretch", "nth", "source_size", "target")
-        .agg(F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
-    )
+    found = takes(docs, mix).groupBy("doc_id", "source", "size", "order_key", "copy", "source_size", "target").agg(F.sum("n_words").cast("long").alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_stream(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself: ``docs`` with text cut to one taken stretch a row, and slot, epoch, place and n_words.
+
+    Sorted by slot and place the rows are the mixed sequence: a slot's rows are
+    the stretches of one block, in order. White space goes with the word before
+    it. Each stretch appears as often as the schedule takes it; documents of
+    which nothing is taken have no row, so null and blank texts have none.
+    Null ids and sources, repeated rows and long texts are treated as in
+    ``mix_documents``. Other columns stay; columns of the four names are replaced.
+    """
+    made = ["slot", "epoch", "place", "n_words"]
+    found = takes(docs, mix).where("n_words > 0").withColumn("unit", unit_key(F.col("order_key"), F.col("source")))
+    lists = found.groupBy("unit", "copy").agg(F.collect_list(F.struct("slot", "epoch", "place", "first_word", "n_words")).alias("list"))
+    rest = [c for c in docs.columns if c not in made and c != "text"]
+    rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("rest"), docs["text"].alias("body"), unit_key(shuffle_key(docs["doc_id"], docs["text"]), docs["source"]).alias("unit"))
+    pieces = F.split(F.regexp_replace("body", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    joined = rows.dropDuplicates(["unit"]).join(lists, "unit").withColumn("pieces", pieces)
+    cut_out = lambda x: F.struct(*[x[c].alias(c) for c in made], F.array_join(F.slice("pieces", (x["first_word"] + 1).cast("int"), x["n_words"].cast("int")), "").alias("stretch"))
+    taken = sealed(joined.select("rest", "list", "pieces"), "list", "pieces").select("rest", F.explode_outer(F.transform("list", cut_out)).alias("x"))
+    named = taken.select("rest", F.col("x.stretch").alias("body"), *[F.col("x")[c].alias(f"x_{c}") for c in made])
+    return named.select(*[F.col("body").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns if c not in made], *[F.col(f"x_{c}").alias(c) for c in made])

@@ -16,7 +16,7 @@ FROM d
 
 OP4 = """
 WITH sized AS (
-  SELECT row_number() OVER () AS row_no, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS order_key,
+  SELECT row_number() OVER () AS row_no, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS order_key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
 src AS (
@@ -24,15 +24,14 @@ src AS (
   FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap,
-    1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS budget, count(*) OVER () AS n_sources
+    1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS budget
   FROM src),
 leveled AS (
   SELECT *, (budget - coalesce(CAST(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0::DOUBLE))
     / CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM weighed),
 targeted AS (
-  SELECT *, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target,
-    CAST(greatest(1, least(256, floor(budget / (2000 * n_sources))), ceil(budget / 1073741824)) AS BIGINT) AS block_words
+  SELECT *, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target
   FROM leveled),
 plan AS (
   SELECT *, least(CAST(floor(target) AS BIGINT), cap) AS wanted,

@@ -123,8 +123,9 @@ def brute_targets(sizes):
 
 def test_mixing(spark):
     rows = TEXTS + [(100 + i, "w " * (i % 50), ("hot", "hot", "b", None, "tiny")[i % 5] if i else "tiny") for i in range(400)]
+    rows += [(77, "same row again", "hot")] * 9000  # more copies than one portion
     got = mixing.mix_documents(docs_of(spark, rows)).collect()
-    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
@@ -141,10 +142,39 @@ def test_mixing(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixed_stream(spark):
+    rows = [r for r in TEXTS if r[0] != 5] + [(100 + i, f" w{i} \n" + "x y  " * (i % 50), ("hot", "hot", "b", None, "tiny")[i % 5]) for i in range(200)]
+    rows += [(None, f"no id {i % 7}", "hot") for i in range(90)] + [(999, "z " * 3000, "b")]
+    docs = docs_of(spark, rows, "slot int, unit string").withColumn("pieces", F.lit(3))
+    mix = mixing.Mix(block_words=16)
+    taken = Counter()
+    for r in mixing.mix_documents(docs, mix).collect():
+        taken[r.doc_id, r.source] += r.taken
+    stream = sorted(mixing.mixed_stream(docs, mix).collect(), key=lambda r: (r.slot, r.place))
+    assert set(stream[0].asDict()) == set(docs.columns) | {"epoch", "place", "n_words"} and {r.pieces for r in stream} == {3}
+    texts = {}
+    for i, t, s in rows:
+        texts.setdefault((i, s), []).append(t or "")
+    said, slots = Counter(), {}
+    for r in stream:
+        said[r.doc_id, r.source] += r.n_words
+        assert len(WORD.findall(r.text)) == r.n_words and any(r.text in t for t in texts[r.doc_id, r.source])
+        slots.setdefault(r.slot, []).append(r)
+    assert said == +taken
+    for rows_ in slots.values():
+        assert len({(r.source, r.epoch) for r in rows_}) == 1 and sum(r.n_words for r in rows_) <= 16
+        assert all(a.place + a.n_words == b.place for a, b in zip(rows_, rows_[1:], strict=False))
+    order = [v[0].source for _, v in sorted(slots.items())]
+    share = Counter(order)
+    for s, n in share.items():  # every source's slots are spread evenly over the sequence
+        half = order[: len(order) // 2].count(s)
+        assert abs(half - n / 2) <= 3, (s, half, n)
+    assert mixing.mixed_stream(docs.limit(0)).count() == 0
+
+
 def test_schedule_is_even(spark):
     rows = [(i, "w " * 40, "abc"[i % 3]) for i in range(300)]
-    sized = docs_of(spark, rows).select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    plan = cut(mixing.source_plan(sized, mixing.Mix(block_words=4)))
+    plan = cut(mixing.source_plan(mixing.units(docs_of(spark, rows)), mixing.Mix(block_words=4)))
     slots = sorted(mixing.schedule(plan).collect(), key=lambda r: r.slot)
     share = {r.source: r.n_slots / len(slots) for r in plan.collect()}
     seen = Counter()
