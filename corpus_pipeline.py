@@ -7,7 +7,6 @@ so a stage's work is never repeated and a lost executor costs its tasks only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkfolio.llm import decontaminate, mixing, pii, quality, simhash
 from sparkfolio.llm.common import scratch
@@ -35,19 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with their target and ``taken``; those it takes none of go.
-
-    Rows with equal doc_id, source and size share their words evenly.
-    """
-    mixed = (
-        mixing.mix_documents(docs)
-        .groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-        .agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.ceil(F.avg("taken")).cast("long").alias("taken"))
-        .where("taken > 0")
-    )
-    sized = docs.withColumn("size", mixing.size_of(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(F.col("m_id")) & sized["source"].eqNullSafe(F.col("m_source")) & (sized["size"] == F.col("m_size"))
-    return sized.join(mixed, same).drop("m_id", "m_source", "m_size")
+    """The mix: a row for every stretch of a text that the schedule takes, with slot, epoch, place and n_words; see ``mixing.mixed_stream``."""
+    return mixing.mixed_stream(docs)
 
 
 STAGES = [
