@@ -4,28 +4,34 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
+
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 #: Strings that chat templates use as marks; inside texts a backslash follows their first character.
 CONTROL = re.compile(r"<\||</?s>|\[/?INST\]|<</?SYS>>|\\")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-#: What counts as a token for the budget.
-TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Tokens that a turn's three marks count for.
+MARKS = 3
 
 
 @dataclass(frozen=True)
 class Windows:
-    """Tokens of a window's turns with what it repeats; of that history at most ``history_turns`` turns and ``history_tokens`` tokens."""
+    """Tokens of a window's turns with what it repeats; of that history at most ``history_turns`` turns and ``history_tokens`` tokens.
+
+    Tokens are those of the rank file ``ranks``; ``MARKS`` are added for each turn.
+    """
 
-    budget: int = 2048
+    budget: int = 512
     history_turns: int = 2
-    history_tokens: int = 512
+    history_tokens: int = 128
+    ranks: str = tokens.RANKS
 
 
 def escape(text: str) -> str:
@@ -43,15 +49,15 @@ class Formatter:
     ``start`` to ``total``. One turn beyond the budget is a window of its own.
     """
 
-    def __init__(self, p: Windows):
-        self.p, self.total, self.start, self.number = p, 0, 0, 0
+    def __init__(self, p: Windows, count: Callable[[str], int]):
+        self.p, self.count, self.total, self.start, self.number = p, count, 0, 0, 0
         self.system: tuple[str, str, int] | None = None
         self.repeated: list[tuple[str, str, int]] = []
         self.new: list[tuple[str, str, int]] = []
         self.extra = 0
 
     def add(self, role: str, text: str) -> Iterator[dict]:
-        n = len(TOKEN.findall(text)) + 3
+        n = self.count(role) + self.count(text) + MARKS
         if self.new and self.total - self.start + n + self.extra > self.p.budget:
             yield self.window()
             self.begin(n)
@@ -106,15 +112,18 @@ def format_windows(turns: DataFrame, p: Windows = Windows()) -> DataFrame:
     order, which holds no more than a window of them.
     """
 
+    ranks = tokens.ship(turns.sparkSession, p.ranks)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: Formatter | None = None
+        encode = tokens.shipped_encoder(ranks).encode_ordinary
         out: list[dict] = []
         size, conv_before = 0, None
         for begins, conv, row in _grouped(batches):
             if begins:
                 if made:
                     out.append({"conv_id": conv_before, **made.window()})
-                made, conv_before = Formatter(p), conv
+                made, conv_before = Formatter(p, lambda t: len(encode(t))), conv
             for w in made.add(row.role, row.text):
                 out.append({"conv_id": conv, **w})
                 size += len(w["text"])
@@ -140,24 +149,30 @@ def parse_window(text: str) -> list[tuple[str, str]]:
     return out
 
 
-DIGESTED = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+DIGESTED = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long, n_repeated long"
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation of ``format_windows``' rows in their order: what its windows say, read from their texts alone."""
+    """One row per conversation of ``format_windows``' rows, which it sorts: what its windows say, read from their texts alone, and how many there are and turns they repeat.
+
+    A null conv_id is a conversation; repeated windows are read as often as
+    they come; extra columns are left out; no windows, no rows. A
+    conversation's windows stream through one task, since one digest covers
+    them all; it holds one of them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         state: list | None = None
 
         def done() -> None:
-            out.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
+            out.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:]))
 
         for begins, conv, row in _grouped(batches):
             if begins:
                 if state:
                     done()
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             for role, text in parse_window(row.text)[row.n_repeated :]:
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -167,6 +182,7 @@ def read_back(windows: DataFrame) -> DataFrame:
                 state[4].update(said.encode("utf-8", "surrogatepass"))
             state[5] += len(row.text)
             state[6] += 1
+            state[7] += row.n_repeated
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTED.split(", ")]).astype({"conv_id": "Int64"})
                 out.clear()
@@ -175,4 +191,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTED.split(", ")]).astype({"conv_id": "Int64"})
 
-    return windows.mapInPandas(run, DIGESTED)
+    ordered = windows.select("conv_id", "window", "text", "n_repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInPandas(run, DIGESTED)

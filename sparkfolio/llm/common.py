@@ -18,10 +18,12 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or in tests one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of this machine only where no other has executors."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="sparkfolio-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

@@ -82,7 +82,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.count_edited(docs.withColumn("edits", tokens.review_edits(F.col("text"))))
+    trees = tokens.plant(docs.withColumn("edits", tokens.review_edits(F.col("text"))))
+    return tokens.apply_edits(trees).drop("tree")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

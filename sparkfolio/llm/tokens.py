@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: The pattern that splits text into pre-tokens for the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,6 +24,17 @@ SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 SEGMENT = 512
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Hand the driver's rank file to all executors; returns the name for ``shipped_encoder``."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+@lru_cache(maxsize=2)
+def shipped_encoder(name: str):
+    return encoder(SparkFiles.get(name))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str = RANKS):
     import tiktoken
@@ -47,15 +62,25 @@ class TokenTree:
     characters that edits made it encode.
     """
 
-    def __init__(self, text: str, count):
-        self.count, self.texts, self.encoded = count, segments(text), 0
+    def __init__(self, texts: list[str], counts: list[int], count):
+        self.count, self.texts, self.encoded = count, list(texts), 0
         self.width = 1 << max(0, len(self.texts) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
-        for i, t in enumerate(self.texts):
-            self.sums[self.width + i] = len(t), count(t)
+        for i, (t, n) in enumerate(zip(texts, counts, strict=True)):
+            self.sums[self.width + i] = len(t), n
         for i in range(self.width - 1, 0, -1):
             self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
+    @classmethod
+    def of(cls, text: str, count) -> TokenTree:
+        texts = segments(text)
+        return cls(texts, [count(t) for t in texts], count)
+
+    def leaves(self) -> list[tuple[str, int]]:
+        """(text, tokens) of the leaves that hold text; one of an empty document."""
+        held = [(t, int(self.sums[self.width + i, 1])) for i, t in enumerate(self.texts) if t]
+        return held or [("", 0)]
+
     @property
     def chars(self) -> int:
         return int(self.sums[1, 0])
@@ -110,40 +135,75 @@ class TokenTree:
         return "".join(self.texts)
 
 
-def count_edited(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, n_edits, n_chars_after, n_tokens_after, n_encoded) per row of ``docs`` (doc_id, text, edits).
+TREE = "texts array<string>, counts array<int>"
+
+
+def plant(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """``docs`` with tree, the leaves (texts, counts) of their tokens' trees, in place of text: stored in the shared folder, so later edits encode no text again but what they touch.
+
+    Null text is an empty document; null ids, repeated rows, ties, long texts
+    and extra columns stay as they are, but a column called tree is replaced;
+    an empty table gives one.
+    """
+    name = ship(docs.sparkSession, ranks)
+
+    @F.pandas_udf(TREE)
+    def grow(texts: pd.Series) -> pd.DataFrame:
+        encode = shipped_encoder(name).encode_ordinary
+        cut = [segments(t or "") for t in texts]
+        return pd.DataFrame({"texts": cut, "counts": [[len(encode(t)) for t in some] for some in cut]})
+
+    return stored(docs.select(*[docs[c] for c in docs.columns if c not in ("text", "tree")], grow(docs["text"]).alias("tree")), "trees")
+
+
+def apply_edits(trees: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """(doc_id, n_chars, n_tokens, n_edits, n_chars_after, n_tokens_after, n_encoded, tree) per row of ``trees`` (doc_id, tree, edits).
 
     ``edits`` is an array of (begin, end, replacement), done in order, each on
     the text the last one left; null stands for none, a null place for 0 and a
-    null replacement for the empty string. Null text is empty. Repeated rows,
-    ties and extra columns make no difference, an empty table gives no rows.
-    ``n_encoded`` is the characters that all edits encoded again. The tokens
-    of one text at a time are counted, by segments.
+    null replacement for the empty string. The tree that comes out can be
+    stored for the next edits. Null ids and repeated rows stay, ties and extra
+    columns make no difference, an empty table gives no rows. ``n_encoded`` is
+    the characters that all edits encoded again, however long the text.
     """
-    shape = "n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_encoded long"
+    name = ship(trees.sparkSession, ranks)
+    shape = f"n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_encoded long, {TREE}"
 
     @F.pandas_udf(shape)
-    def run(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        encode = encoder(ranks).encode_ordinary
+    def run(tree: pd.DataFrame, edits: pd.Series) -> pd.DataFrame:
+        encode = shipped_encoder(name).encode_ordinary
         rows = []
-        for text, todo in zip(texts, edits, strict=True):
-            tree = TokenTree(text or "", lambda t: len(encode(t)))
-            chars, tokens, n = tree.chars, tree.tokens, 0
+        for texts, counts, todo in zip(tree["texts"], tree["counts"], edits, strict=True):
+            own = TokenTree(texts, counts, lambda t: len(encode(t)))
+            chars, tokens, n = own.chars, own.tokens, 0
             for e in todo if todo is not None else ():
                 if e is not None:
-                    tree.edit(int(e["begin"] or 0), int(e["end"] or 0), e["replacement"] or "")
+                    own.edit(int(e["begin"] or 0), int(e["end"] or 0), e["replacement"] or "")
                     n += 1
-            rows.append((chars, tokens, n, tree.chars, tree.tokens, tree.encoded))
+            left = own.leaves()
+            rows.append((chars, tokens, n, own.chars, own.tokens, own.encoded, [t for t, _ in left], [k for _, k in left]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
 
-    return docs.select("doc_id", run("text", "edits").alias("r")).select("doc_id", "r.*")
+    made = trees.select("doc_id", run("tree", "edits").alias("r"))
+    return made.select("doc_id", *[F.col("r")[c.split()[0]].alias(c.split()[0]) for c in shape.split(", ")[:6]], F.struct("r.texts", "r.counts").alias("tree"))
+
+
+def count_edited(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """The counts of ``apply_edits`` for ``docs`` (doc_id, text, edits) whose trees aren't stored yet; cases as there."""
+    return apply_edits(plant(docs, ranks), ranks).drop("tree")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the rows of ``edits`` (doc_id, nth, begin, end, replacement) gathered per document, in order of nth."""
-    gathered = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "begin", "end", "replacement"))).alias("e"))
-    gathered = gathered.select(F.col("doc_id").alias("edit_id"), F.transform("e", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["replacement"].alias("replacement"))).alias("edits"))
-    return docs.join(gathered, F.col("doc_id") == F.col("edit_id"), "left").drop("edit_id")
+    """``docs`` or stored trees with the rows of ``edits`` (doc_id, nth, begin, end, replacement) gathered per document, in order of nth.
+
+    A column called edits is replaced, all others stay. Edits without doc_id
+    belong to no document, ties in nth go by place, then replacement.
+    """
+    rows = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("edited")).agg(F.array_sort(F.collect_list(F.struct("nth", "begin", "end", "replacement"))).alias("e"))
+    gathered = rows.select("edited", F.transform("e", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["replacement"].alias("replacement"))).alias("todo"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = packed.join(gathered, F.col("row.doc_id") == F.col("edited"), "left")
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "edits"], F.col("todo").alias("edits"))
 
 
 def review_edits(text: Column) -> Column:

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -108,7 +109,7 @@ def full_count(text):
 def test_edited_counts_equal_whole_encodings(text, edits):
     was, tokens.SEGMENT = tokens.SEGMENT, 8
     try:
-        tree = tokens.TokenTree(text, full_count)
+        tree = tokens.TokenTree.of(text, full_count)
         assert tree.tokens == full_count(text) and tree.text() == text
         for b, e, new in edits:
             n = len(text)
@@ -117,6 +118,8 @@ def test_edited_counts_equal_whole_encodings(text, edits):
             text = text[:b] + new + text[e:]
             tree.edit(b, e, new)
             assert tree.text() == text and tree.tokens == full_count(text) and tree.chars == len(text)
+            texts, counts = zip(*tree.leaves(), strict=True)
+            tree = tokens.TokenTree(list(texts), list(counts), full_count)  # as read from a table
     finally:
         tokens.SEGMENT = was
 
@@ -133,6 +136,24 @@ def test_count_edited(spark):
     assert by_id[1][1:6] == (9600, full_count(rows[0][1]), 3, len(first), full_count(first)) and 0 < by_id[1][6] < 6000
     assert by_id[2][1:6] == (0, 0, 1, 1, 1) and by_id[3][4:6] == (8, full_count("new text")) and by_id[4][2:6] == (full_count("a" * 5000), 0, 5000, full_count("a" * 5000))
     assert tokens.count_edited(tokens.with_edits(docs.limit(0), edits)).count() == 0
+    assert tokens.with_edits(docs.withColumn("edited", F.lit(1)), edits).columns == ["doc_id", "text", "n_tokens", "edited", "edits"]
+
+
+def test_later_edits_go_to_stored_trees(spark):
+    rows = [(i, f"Document {i} says some words, and some more. " * (20 * i)) for i in range(8)]
+    trees = tokens.plant(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "text" not in trees.columns
+    edit = lambda k: spark.createDataFrame([(3, 0, 100 * k, 100 * k + 30, f"new{k}"), (7, 0, 5000, 5000, " put in ")], "doc_id long, nth int, begin int, end int, replacement string")
+    text = dict(rows)
+    for k in (1, 2, 3):
+        done = tokens.apply_edits(tokens.with_edits(trees, edit(k)))
+        text[3] = text[3][: 100 * k] + f"new{k}" + text[3][100 * k + 30 :]
+        text[7] = text[7][:5000] + " put in " + text[7][5000:]
+        got = {r.doc_id: r for r in done.collect()}
+        for i, t in text.items():
+            assert (got[i].n_chars_after, got[i].n_tokens_after) == (len(t), full_count(t)), (k, i)
+            assert (0 < got[i].n_encoded < 4000) == (i in (3, 7)) and "".join(got[i].tree.texts) == t
+        trees = done.select("doc_id", "tree")
 
 
 def brute_chat(turns):
@@ -161,13 +182,14 @@ def test_chat_round_trip(spark):
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, window string")
     p = chat.Windows(budget=300, history_turns=3, history_tokens=100)
     windows = chat.format_windows(df, p).cache()
-    got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+    got = {r.conv_id: r for r in chat.read_back(windows.orderBy(F.desc("window"))).collect()}
+    assert sum(r.n_repeated for r in got.values()) == sum(w.n_repeated for w in windows.collect()) > 0
     assert {c: tuple(r)[1:5] for c, r in got.items()} == brute_chat(turns)
     every = windows.collect()
     assert sum(len(w.text) for w in every) == sum(r.formatted_chars for r in got.values())
     for w in every:
         parsed = chat.parse_window(w.text)
-        cost = [len(chat.TOKEN.findall(t)) + 3 for _, t in parsed]
+        cost = [full_count(r) + full_count(t) + chat.MARKS for r, t in parsed]
         assert sum(cost) <= p.budget or len(parsed) - w.n_repeated == 1
         assert len(parsed) > w.n_repeated and len(w.loss) == sum(r == "assistant" for r, _ in parsed[w.n_repeated :])
         body = w.text.replace(chat.TURN, "").replace(chat.BODY, "").replace(chat.END, "")
@@ -215,13 +237,13 @@ def test_merge_of_many_runs(spark):
         runs = [sorted((rng.randrange(50), n) for n in range(rng.randrange(0, 30))) for _ in range(k)]
         merged = list(warc.LoserTree([[((a,), b) for a, b in r] for r in runs]))
         assert [m[0][0] for m in merged] == sorted(a for r in runs for a, _ in r) and len(merged) == sum(map(len, runs))
-    was, warc.MERGE_ROWS, records = warc.MERGE_ROWS, 20, warc.FILE_RECORDS
-    warc.FILE_RECORDS = 7
+    was, warc.MERGE_ROWS, size = warc.MERGE_ROWS, 20, warc.FILE_BYTES
+    warc.FILE_BYTES = 7 * (warc.HEADER_BYTES + 3)
     try:
         pages = spark.range(200).selectExpr("id as page_id", "concat('http://h', cast(id % 3 as string), '.org/') as url", "cast(id as string) as html", "timestamp_seconds(500 - id) as captured")
         got = sorted(warc.archive_pages(pages.repartition(3), scratch(spark, "warc")).collect(), key=lambda r: (r.index_part, r.index_pos))
     finally:
-        warc.MERGE_ROWS, warc.FILE_RECORDS = was, records
+        warc.MERGE_ROWS, warc.FILE_BYTES = was, size
     assert [(r.url_key, r.timestamp) for r in got] == sorted((r.url_key, r.timestamp) for r in got) and len(got) == 200
     assert len({r.index_part for r in got}) > 3 and len({r.archive for r in got}) > 10
 
@@ -229,3 +251,10 @@ def test_merge_of_many_runs(spark):
 def test_url_keys():
     assert warc.url_key("https://www.Example.com:80/A?b#c") == "com,example)/a?b#c"
     assert [warc.page_of(f"<urn:uuid:00000000-0000-4000-{v:016x}"[:-12] + f"-{v % 2**64:016x}"[5:] + ">") for v in (5,)] == [5]
+
+
+def test_chat_query_makes_windows(spark):
+    import sparkfolio.llm.queries as q
+
+    got = q.op5_chat_windows(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n_windows > 1 for r in got) >= 10 and sum(r.n_repeated for r in got) >= 10
