@@ -233,12 +233,15 @@ def test_decontamination(spark):
         assert got[i].copies == (2 if i == 9 else 1)
     clean = decontaminate.clean_documents(docs, bench)
     assert sorted(r.doc_id for r in clean.collect()) == [2, 4, 5, 9, 9] and clean.columns == docs.columns
-    decontaminate_max, decontaminate.MAX_BROADCAST = decontaminate.MAX_BROADCAST, 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = {r.doc_id: (r.n_words, r.hits, r.item_ids) for r in decontaminate.find_leaks(docs, bench).collect()}
+        shuffled = decontaminate.find_leaks(docs, bench, most=0)
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: (r.n_words, r.copies, r.hits, r.item_ids) for r in shuffled.collect()} == {i: (r.n_words, r.copies, r.hits, r.item_ids) for i, r in got.items()}
     finally:
-        decontaminate.MAX_BROADCAST = decontaminate_max
-    assert shuffled == {i: (r.n_words, r.hits, r.item_ids) for i, r in got.items()}
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    odd = docs.withColumns({"leak_key": F.lit(1), "row": F.lit("r"), "key": F.lit(2)})
+    assert decontaminate.clean_documents(odd, bench).columns == odd.columns
     none = decontaminate.find_leaks(docs, bench.limit(0)).collect()
     assert len(none) == 11 and not any(r.hits for r in none)
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
