@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, row_key, stored
 from .components import connected_components
 
 #: Fingerprints link at this many differing bits or fewer.
@@ -153,7 +153,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, version, fp, shape, n, keys) of each row.
+    """(key, doc_id, version, fp, shape, n, keys) of each row.
 
     ``version`` is a hash of the text, ``shape`` one of its set of shingles
     (null without any), ``n`` their number and ``keys`` the set's prefix.
@@ -172,7 +172,7 @@ def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
             rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least).view(np.int64)))
         return pd.DataFrame(rows, columns=["fp", "shape", "n", "keys"]).astype({"shape": "Int64"})
 
-    return stored(docs.select("doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("doc_id", "version", "m.*"), "prints")
+    return stored(docs.select("key", "doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("key", "doc_id", "version", "m.*"), "prints")
 
 
 def alike(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -254,6 +254,20 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(named(rest))
 
 
+def placed(docs: DataFrame, words: int, similar: float | None) -> DataFrame:
+    """(key, doc_id, fp, component_id) per row of ``docs`` (doc_id, text); ``key`` tells different rows apart."""
+    rows = docs.select("doc_id", "text", row_key(docs, "doc_id", "text").alias("key"))
+    prints = cut(fingerprints(rows, words).select("key", "doc_id", "fp")) if similar is None else prints_and_sets(rows, words, similar)
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = links(groups.where("rep is not null"))
+    if similar is not None:
+        own = prints.where("doc_id is not null").select("doc_id", "fp").distinct().join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = similar_links(rows.drop("key"), prints, found.union(own), words, similar)
+    found = connected_components(found)
+    named = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, prints["fp"] == named["group_fp"]).select("key", "doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", similar: float | None = None) -> DataFrame:
     """One row per row of ``docs``: (key, fp, component_id).
 
@@ -265,31 +279,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", simila
     all such pairs count, of every text of a key.
     Null and blank texts have fingerprint 0 and link like any other; a null key
     takes its group's component and is no representative (a group without keys
-    has a null component); repeated rows stay; an empty table gives no rows. Very long texts
-    are hashed in pieces.
+    has a null component); repeated rows stay; extra columns are left out; an
+    empty table gives no rows. Very long texts are hashed in pieces.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    prints = cut(fingerprints(rows, words).select("doc_id", "fp")) if similar is None else prints_and_sets(rows, words, similar)
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(groups.where("rep is not null"))
-    if similar is not None:
-        own = prints.where("doc_id is not null").select("doc_id", "fp").distinct().join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = similar_links(rows, prints, found.union(own), words, similar)
-    found = connected_components(found)
-    named = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["group_fp"]).select(F.col("doc_id").alias(key), "fp", "component_id")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs["text"])
+    return placed(rows, words, similar).select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similar: float | None = SIMILAR) -> DataFrame:
     """The rows of ``docs``, with their columns, without near-duplicates: of each component the smallest doc_id stays.
 
-    Of repeated rows of that doc_id one stays. Rows without a doc_id can't be
-    named; of each component that has only such rows all stay.
+    Of repeated rows of that doc_id one stays. Rows without a doc_id go if
+    their component has one; where none has, one row of each different text
+    stays. Null, blank and very long texts are treated as in
+    ``near_duplicates``; extra columns stay whatever their names; an empty
+    table stays empty.
     """
-    found = near_duplicates(docs, words, similar=similar)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else left
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    found = placed(slim, words, similar)
+    gone = found.where("component_id is not null and not doc_id <=> component_id").select(F.col("key").alias("gone_key")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = rows.select("row", row_key(rows, "doc_id", "text").alias("key"))
+    return rows.join(gone, F.col("key") == F.col("gone_key"), "left_anti").dropDuplicates(["key"]).select("row.*")
 
 
 def hex_print(fp: str = "fp"):

@@ -16,8 +16,8 @@ from .common import cut
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive file, and index rows of a merge task.
-FILE_RECORDS, MERGE_ROWS = 4096, 50_000
+#: Bytes of an archive file before compression, a record's headers, and index rows of a merge task.
+FILE_BYTES, HEADER_BYTES, MERGE_ROWS = 64 << 20, 600, 50_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -70,12 +70,17 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write gzip-compressed archives under ``path`` with Spark's writer, whose commit makes lost tasks harmless."""
+    """Write gzip-compressed archives under ``path`` with Spark's writer, whose commit makes lost tasks harmless.
+
+    Files roll over at about FILE_BYTES: after as many records as make that
+    much at the mean size of a record, which digests deal to files at random.
+    """
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit("")))).alias("n")).first()["n"] or 0
     (
         records(pages, least_bytes)
         .write.option("lineSep", CRLF + CRLF)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
+        .option("maxRecordsPerFile", max(1, int(FILE_BYTES // (mean + HEADER_BYTES))))
         .text(path)
     )
 
@@ -221,7 +226,8 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
     Null html is an empty payload, a null url leaves its header out and has an
     empty URL key, a null page_id is neither referred to nor returned as other
     than null (such a row revisits the largest page_id with its payload, if
-    any), a null capture time has an empty timestamp. Repeated rows are records
+    any), a null capture time has an empty timestamp. A payload may be as long as
+    a string can be; its archive is as large then. Repeated rows are records
     of their own; equal page_ids with equal payloads are all responses if
     theirs is the largest. Extra columns aren't archived; no pages, no rows.
     """

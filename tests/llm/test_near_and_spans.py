@@ -89,6 +89,11 @@ def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "a b c", "x"), (7, "a b c", "x"), (7, "a b c", "x"), (None, "q r s t", "x")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == [(7, 7), (7, 7), (None, 7), (None, None)]
+    more = [*rows, (None, "q r s t", "y"), (None, "u v w x y z", "x"), (8, None, "x"), (9, " ", "x")]
+    for similar in (None, 0.8):
+        docs = spark.createDataFrame(more, "doc_id long, text string, gone_id string")
+        kept = simhash.keep_one(docs, similar=similar)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(7, "a b c"), (8, None), (None, "q r s t"), (None, "u v w x y z")] and kept.columns == docs.columns
 
 
 def test_components(spark):
