@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,9 @@ PIECE = 65536
 #: Texts are similar from this share of common shingles on.
 SIMILAR = 0.8
 #: Shingles met in more than one of about SAMPLE texts come last in the common order of shingles; at most COMMON of them are told apart.
-SAMPLE, COMMON = 8192, 65536
+SAMPLE, COMMON = 8192, 16384
+#: Bits of a set's sketch: each shingle flips one, so sets differ in at least as many shingles as sketches in bits.
+SKETCH = 512
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -59,6 +62,12 @@ def set_of(pieces: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *pieces]))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in SKETCH classes, as longs."""
+    classes = (shingles >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """The first of the sorted ``shingles`` in the common order (by count, then hash), so many that two sets with a similarity of ``least`` have one in both their prefixes."""
     n = len(shingles)
@@ -148,35 +157,43 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     some = rows.where(F.pmod("version", F.lit(max(1, docs.count() // SAMPLE))) == 0)
     held = some.select("version", shingles("text").alias("held")).dropDuplicates(["version"])
     often = held.select(F.explode_outer("held").alias("h")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = sorted((r["h"] % 2**64, r["n"]) for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect())
-    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+    found = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(key, doc_id, version, fp, shape, n, keys) of each row.
+    """(key, doc_id, version, fp, shape, n, keys, bits) of each row.
 
     ``version`` is a hash of the text, ``shape`` one of its set of shingles
-    (null without any), ``n`` their number and ``keys`` the set's prefix.
+    (null without any), ``n`` their number, ``keys`` the set's prefix and ``bits`` its sketch.
     """
     import xxhash
 
     common, counts = common_shingles(docs, words)
 
-    @F.pandas_udf("fp long, shape long, n long, keys array<long>")
+    @F.pandas_udf("fp long, shape long, n long, keys array<long>, bits array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             pieces = list(shingle_hashes(t, words))
             held = set_of(pieces)
             shape = xxhash.xxh3_64_intdigest(held.tobytes()) - 2**63 if len(held) else None
-            rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least).view(np.int64)))
-        return pd.DataFrame(rows, columns=["fp", "shape", "n", "keys"]).astype({"shape": "Int64"})
+            rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least).view(np.int64), sketch(held)))
+        return pd.DataFrame(rows, columns=["fp", "shape", "n", "keys", "bits"]).astype({"shape": "Int64"})
 
     return stored(docs.select("key", "doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("key", "doc_id", "version", "m.*"), "prints")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b: versions) whose texts have at least that share of common shingles: each is compared as a whole."""
+def near_sketches(one: Column, other: Column, n: Column, m: Column, least: float) -> Column:
+    """Whether sets of n and m shingles may have that similarity by their sketches: they differ in as many shingles as bits, or more."""
+    bits = reduce(lambda p, q: p + q, [F.bit_count(F.get(one, i).bitwiseXOR(F.get(other, i))) for i in map(F.lit, range(SKETCH // 64))])
+    return bits <= (n + m) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b: versions) whose texts have at least that share of common shingles: each that the sketches allow is compared as a whole."""
 
     @F.pandas_udf("boolean")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -189,7 +206,9 @@ def alike(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFr
             out.append(bool(common >= least * (len(mine) + len(held) - common)))
         return pd.Series(out, dtype="bool")
 
-    pairs = stored(pairs, "pairs")
+    slim = sets.select("version", "n", "bits")
+    both = pairs.join(slim.toDF("a", "n_a", "bits_a"), "a").join(slim.toDF("b", "n_b", "bits_b"), "b")
+    pairs = stored(both.where(near_sketches(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), least)).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("version")).union(pairs.select(F.col("b").alias("version"))).distinct()
     own = docs.select(F.xxhash64("text").alias("version"), "text").join(wanted, "version", "left_semi")
     texts = stored(own.dropDuplicates(["version"]), "candidates")
@@ -213,13 +232,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
     each text is compared with one of those at each of its keys, that where the
     key comes first: the text with the fewest shingles of its own, which the
     others are most like. Then all pairs are compared that share a key and
-    aren't in one component yet. So a group of n near copies makes n pairs a
+    aren't in one component yet and whose sketches allow it. So a group of n near copies makes n pairs a
     key, but no two texts are left out that nothing links.
     """
     sets = stored(
         prints.where("doc_id is not null and shape is not null")
         .groupBy("shape")
-        .agg(F.min("doc_id").alias("lead"), F.min("version").alias("version"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")),
+        .agg(F.min("doc_id").alias("lead"), F.min("version").alias("version"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")),
         "sets",
     )
     copies = prints.where("doc_id is not null").join(sets.select("shape", "lead"), "shape").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
@@ -240,17 +259,19 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
         return ends.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
 
     stars = met.where((F.col("x.version") != F.col("first.version")) & can_be_alike("x", "first", least))
-    good = alike(stars.select(F.col("x.version").alias("a"), F.col("first.version").alias("b")).distinct(), docs, words, least)
+    good = alike(stars.select(F.col("x.version").alias("a"), F.col("first.version").alias("b")).distinct(), sets, docs, words, least)
     joined = cut(connected_components(known.union(copies).union(named(good))))
     place = sets.select("version", "lead").join(joined, F.col("lead") == F.col("node"), "left").select(F.col("version").alias("of"), F.coalesce("component", "lead").alias("c"))
     placed = met.select("key", "x").join(place, F.col("x.version") == F.col("of")).drop("of")
     placed = stored(placed, "placed")
     open_keys = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "open")
-    apart = stored(placed.join(open_keys, "key"), "apart")
-    ones, others = apart.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("c").alias("d")), apart
+    bits = sets.select(F.col("version").alias("of"), "bits")
+    apart = stored(placed.join(open_keys, "key").join(bits, F.col("x.version") == F.col("of")).drop("of"), "apart")
+    ones, others = apart.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("c").alias("d"), F.col("bits").alias("bits_y")), apart
     meet = (F.col("k") == F.col("key")) & (F.col("d") < F.col("c")) & can_be_alike("x", "y", least)
+    meet &= near_sketches(F.col("bits"), F.col("bits_y"), F.col("x.n"), F.col("y.n"), least)
     pairs = others.join(ones, meet).select(F.col("x.version").alias("a"), F.col("y.version").alias("b")).distinct()
-    rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), docs, words, least)
+    rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), sets, docs, words, least)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(named(rest))
 
 

@@ -272,3 +272,5 @@ def test_prefixes_of_similar_sets_meet():
             if both >= 0.8 * (len(a) + len(b) - both):
                 x, y = (simhash.prefix(s, common, np.arange(len(common)) % 7 + 2, 0.8) for s in (a, b))
                 assert len(np.intersect1d(x, y))
+            differ = len(a) + len(b) - 2 * both
+            assert sum(int(v).bit_count() for v in (simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)) <= differ
