@@ -56,6 +56,7 @@ def normalize_article_no(no: Column) -> Column:
     return let(F.regexp_replace(F.coalesce(no, F.lit("")), r"(?U)^\s+|\s+$", ""), normal)
 
 
+# The pattern of a citation.
 CITATION = rf"(?U)《?([^《》\s，。；：？！]{{2,30}}?)》?\s*第({NUMBER})条"
 
 

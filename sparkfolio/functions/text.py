@@ -11,11 +11,16 @@ from .numerals import NUMBER
 from .titles import strip
 
 # Stop words and terms of the field.
-STOP_WORDS = "的 了 和 与 及 或 是 在 对 为 有 什么 怎么 如何 哪些 多少 吗 呢 请 问 关于 以及 或者 应当 可以 要求 规定 进行 相关 有关".split(" ")
-TERMS = (
-    "内幕交易 短线交易 信息披露 信息披露义务 减持 注册制 退市整理期 关联交易 独立董事 融资融券 要约收购 合格投资者 债券违约 股权激励 "
-    "操纵市场 虚假陈述 内幕信息 控股股东 实际控制人 一致行动人 证券发行 上市公司 证券交易所 证券公司 证券投资基金 行政处罚 行政复议 听证"
-).split(" ")
+STOP_WORDS = [
+    "的", "了", "和", "与", "及", "或", "是", "在", "对", "为",
+    "有", "什么", "怎么", "如何", "哪些", "多少", "吗", "呢", "请", "问",
+    "关于", "以及", "或者", "应当", "可以", "要求", "规定", "进行", "相关", "有关",
+]
+TERMS = [
+    "内幕交易", "短线交易", "信息披露", "信息披露义务", "减持", "注册制", "退市整理期", "关联交易", "独立董事", "融资融券",
+    "要约收购", "合格投资者", "债券违约", "股权激励", "操纵市场", "虚假陈述", "内幕信息", "控股股东", "实际控制人", "一致行动人",
+    "证券发行", "上市公司", "证券交易所", "证券公司", "证券投资基金", "行政处罚", "行政复议", "听证",
+]
 ARTICLE_START = rf"(?Udm)(?=^第{NUMBER}条)"
 ARTICLE_HEAD = rf"(?Us)^(第{NUMBER}条(?:之[一二三四五六七八九十\d]+)?)\s*(.*)$"
 QUERY_GAP = r"(?U)[\s，。、；：？！·,.:;?!]+"
@@ -81,8 +86,12 @@ def mask_secret(secret: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words for the index: lower-cased runs of letters and digits; of Chinese runs the pairs of neighbours and the terms they hold."""
+    """Words for the index: lower-cased runs of letters and digits; of Chinese runs the pairs of neighbours and the terms they hold. Texts without Chinese take one pass."""
     low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(r"\p{IsHan}"), _mixed_tokens(low)).otherwise(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+
+
+def _mixed_tokens(low: Column) -> Column:
     latin = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
     runs = F.regexp_extract_all(low, F.lit(r"(\p{IsHan}+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
@@ -103,6 +112,16 @@ def highlight_terms(query: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda s: s["t"])
 
 
+def offline_snippet(text: Column, terms: list[str], before: int = 100, size: int = 260) -> Column:
+    """White space collapsed; from some characters before the first hit, with dots where text is left out."""
+    t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    places = F.filter(F.array(*[F.locate(x.lower(), F.lower(t)) for x in terms]), lambda p: p > 0)
+    first = F.coalesce(F.array_min(places), F.lit(1)) if terms else F.lit(1)
+    begin = F.greatest(first - 1 - before, F.lit(0))
+    head, tail = F.when(begin > 0, "…").otherwise(""), F.when(begin + size < F.length(t), "…").otherwise("")
+    return F.concat(head, F.substring(t, begin + 1, F.lit(size)), tail)
+
+
 def salvage_json(reply: Column, schema: str) -> Column:
     """What a reply holds between its first { and last }, parsed; null if it can't be."""
     return F.from_json(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1), schema)

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 # Boards with their key words; the first that hits wins.
 BOARDS = [
-    ("债券固收", "债券 可转换 资产支持 国债 回购"),
-    ("基金资管", "基金 资产管理 理财 私募 公募 托管人"),
-    ("投资者保护", "投资者 适当性"),
-    ("期货衍生品", "期货 衍生品 期权 套期保值"),
-    ("并购重组", "收购 并购 重组 要约 合并 分立"),
-    ("信息披露", "披露 定期报告 临时公告"),
-    ("发行上市", "发行 上市 承销 保荐 注册"),
-    ("交易结算", "交易 结算 经纪 融资融券 转融通"),
-    ("监管执法", "处罚 稽查 监察 监管 复议 诉讼 最高人民法院 刑法 检察 公安 赔偿 执法 禁入"),
-    ("税收", "税"),
-    ("数据网络", "数据 网络 密码 电信 电子签名 个人信息"),
-    ("金融基础", "银行 货币 信托 保险 票据 洗钱 外汇 支付 金融"),
-    ("证券综合", "证券 证券交易所"),
-    ("公司治理", "公司 股东 董事 监事 治理 章程 企业 合伙 破产 商事登记"),
-    ("商事通用", "民法典 民事 立法 竞争 垄断 拍卖 招标 海商 产品质量 广告 消费者 标准化 预算 贸易 外商投资 不正当 电子商务"),
+    ("债券固收", ["债券", "可转换", "资产支持", "国债", "回购"]),
+    ("基金资管", ["基金", "资产管理", "理财", "私募", "公募", "托管人"]),
+    ("投资者保护", ["投资者", "适当性"]),
+    ("期货衍生品", ["期货", "衍生品", "期权", "套期保值"]),
+    ("并购重组", ["收购", "并购", "重组", "要约", "合并", "分立"]),
+    ("信息披露", ["披露", "定期报告", "临时公告"]),
+    ("发行上市", ["发行", "上市", "承销", "保荐", "注册"]),
+    ("交易结算", ["交易", "结算", "经纪", "融资融券", "转融通"]),
+    ("监管执法", ["处罚", "稽查", "监察", "监管", "复议", "诉讼", "最高人民法院", "刑法", "检察", "公安", "赔偿", "执法", "禁入"]),
+    ("税收", ["税"]),
+    ("数据网络", ["数据", "网络", "密码", "电信", "电子签名", "个人信息"]),
+    ("金融基础", ["银行", "货币", "信托", "保险", "票据", "洗钱", "外汇", "支付", "金融"]),
+    ("证券综合", ["证券", "证券交易所"]),
+    ("公司治理", ["公司", "股东", "董事", "监事", "治理", "章程", "企业", "合伙", "破产", "商事登记"]),
+    ("商事通用", ["民法典", "民事", "立法", "竞争", "垄断", "拍卖", "招标", "海商", "产品质量", "广告", "消费者", "标准化", "预算", "贸易", "外商投资", "不正当", "电子商务"]),
 ]
 NO_BOARD = "其他"
 #: Trust in sources, and short names.
@@ -37,6 +37,7 @@ SOURCE_RANKS = {
 }
 ALIASES = [("最高检", "最高人民检察院"), ("最高法", "最高人民法院"), ("证监会", "中国证券监督管理委员会")]
 COUNTRY = "中华人民共和国"
+# Patterns of document numbers, versions and kinds of documents.
 DOC_NUMBER = r"[（(](?:证监会令|证监会公告|主席令|国务院令|财政部令|法释|银发|发改)[^）)]*[）)]"
 VERSION = r"[（(](\d{4}年(?:修订|修正))[）)]"
 ANY_VERSION = r"[（(]\d{4}年?(?:修订|修正)?[）)]"
@@ -49,11 +50,11 @@ def strip(c: Column, more: str = "") -> Column:
     return F.regexp_replace(c, rf"(?U)^[\s{more}]+|[\s{more}]+$", "")
 
 
-def classify(title: Column, rules: list[tuple[str, str]] = BOARDS, fallback: str = NO_BOARD) -> Column:
+def classify(title: Column, rules: list[tuple[str, list[str]]] = BOARDS, fallback: str = NO_BOARD) -> Column:
     """The first board one of whose key words the title contains."""
     board = F.lit(fallback)
     for name, keys in reversed(rules):
-        board = F.when(title.rlike("|".join(keys.split(" "))), name).otherwise(board)
+        board = F.when(title.rlike("|".join(keys)), name).otherwise(board)
     return board
 
 

@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 from ..functions import visibility as V
 from ..functions.numerals import normalize_article_no
 
+# The columns a catalogue page shows.
 CARD = ["id", "title", "doc_number", "issuer", "level", "topic_tags", "issue_date", "effective_date", "status", "source_name", "source_url", "updated_at"]
 
 
+def cards(laws: DataFrame) -> DataFrame:
+    """The columns of a catalogue page, without texts."""
+    return laws.select(*[c for c in CARD if c in laws.columns])
+
+
+def by_id(laws: DataFrame, law_id: int) -> DataFrame:
+    return laws.where(F.col("id") == law_id)
+
+
+def latest_runs(log: DataFrame) -> DataFrame:
+    """One row: the last attempt and the last success of all, in one aggregation."""
+    ok = F.when(F.col("status") == "ok", F.col("id"))
+    return log.agg(F.max("id").alias("last_id"), F.max_by("source_name", "id").alias("last_source"), F.max_by("status", "id").alias("last_status"), F.max(ok).alias("ok_id"), F.max_by("source_name", ok).alias("ok_source"))
+
+
 def check_page(number: int, size: int, sort: str = "id") -> None:
     if not 1 <= number <= 1_000_000 or not 1 <= size <= 100:
         raise ValueError("page from 1 to 1000000 and page size from 1 to 100")

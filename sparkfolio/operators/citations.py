@@ -31,14 +31,31 @@ def citations(answers: DataFrame, text: str = "text") -> DataFrame:
     return answers.select("id", F.posexplode_outer(extract(F.col(text))).alias("nth", "c")).where("c is not null").select("id", "nth", "c.title", "c.raw_no", normalize_article_no(F.col("c.raw_no")).alias("article_no"))
 
 
+#: Characters of a part that are looked up before the whole is compared.
+GRAM = 4
+
+
+def containing(parts: DataFrame, part: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of ``parts`` joined with those of ``names`` whose name contains the part, whatever the case.
+
+    An equi-join: a part's first characters, up to GRAM, are met by the grams
+    of that length of the names; then the whole part is compared.
+    """
+    low = F.lower(part)
+    keyed = parts.withColumn("gram", F.substring(low, 1, GRAM)).where(F.length(part) > 0)
+    size = F.length(name)
+    grams = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.lower(name), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    spread = names.withColumn("gram", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))))
+    return keyed.join(spread, "gram").where(F.contains(F.lower(name), low)).drop("gram")
+
+
 def match_titles(cited: DataFrame, laws: DataFrame, variants=T.title_variants, keys=T.fuzzy_keys, guard=T.match_ok) -> DataFrame:
     """(title, law_id): the law each different title means.
 
     Exact names come first, in the order of the title's variants, each also
     with and without the country's name: an equi-join. Titles that found none
     are looked for as parts of laws' names, the best key and the shortest name
-    first. That join compares texts, and titles are few against laws; Spark
-    broadcasts the smaller side.
+    first.
     """
     names = cited.select("title").distinct()
     seen = laws.where(V.indexable()).select(F.col("id").alias("law_id"), F.col("title").alias("law_title"))
@@ -50,7 +67,7 @@ def match_titles(cited: DataFrame, laws: DataFrame, variants=T.title_variants, k
     left = names.join(exact, "title", "left_anti")
     parts = left.select("title", F.posexplode(variants(F.col("title"))).alias("p", "v")).where(F.length("v") >= 4)
     parts = parts.select("title", "p", F.posexplode(keys(F.col("v"))).alias("q", "key")).where(F.length("key") >= 4)
-    found = parts.join(seen, F.contains(F.lower("law_title"), F.lower("key"))).where(guard(F.col("title"), F.col("law_title")))
+    found = containing(parts, "key", seen, "law_title").where(guard(F.col("title"), F.col("law_title")))
     fuzzy = found.groupBy("title").agg(F.min_by("law_id", F.struct("p", "q", F.length("law_title"), "law_id")).alias("law_id"))
     return exact.unionByName(fuzzy)
 
@@ -78,10 +95,29 @@ def match_references(refs: DataFrame, laws: DataFrame) -> DataFrame:
     seen = laws.select(F.col("id").alias("law_id"), F.col("title").alias("law_title"))
     exact = forms.join(seen, F.col("v") == F.col("law_title")).groupBy("ref_title").agg(F.min_by("law_id", F.struct("p", "law_id")).alias("law_id"))
     left = forms.join(exact, "ref_title", "left_anti")
-    fuzzy = left.join(seen, F.contains(F.lower("law_title"), F.lower("v"))).groupBy("ref_title").agg(F.min_by("law_id", F.struct(F.length("v"), "p", F.length("law_title"), "law_id")).alias("law_id"))
+    fuzzy = containing(left, "v", seen, "law_title").groupBy("ref_title").agg(F.min_by("law_id", F.struct(F.length("v"), "p", F.length("law_title"), "law_id")).alias("law_id"))
     return exact.unionByName(fuzzy)
 
 
+def require(wanted: DataFrame, laws: DataFrame, articles: DataFrame) -> DataFrame:
+    """(article_id, law_id, title, article_no, text) of fixed citations (article_id); one that isn't there is an error."""
+    own = articles.select(F.col("id").alias("article_id"), "law_id", "article_no", "text")
+    named = wanted.select("article_id").join(own, "article_id", "left").join(laws.select(F.col("id").alias("law_id"), "title"), "law_id", "left")
+    missing = F.assert_true(F.col("title").isNotNull(), F.concat(F.lit("no article "), F.col("article_id").cast("string")))
+    return named.where(missing.isNull()).select("article_id", "law_id", "title", "article_no", "text")
+
+
+def preset(questions: DataFrame, asked: str) -> DataFrame:
+    """Questions (id, question, ...) that are what was asked, white space apart."""
+    plain = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return questions.where((plain(F.col("question")) == plain(F.lit(asked))) & (plain(F.lit(asked)) != ""))
+
+
+def within(answers: DataFrame, title: str, text: str = "text") -> DataFrame:
+    """(id, inside): whether all of an answer's citations name that law; an answer without citations is inside."""
+    return answers.select("id", F.forall(extract(F.col(text)), lambda c: T.clean_title(c["title"]) == T.clean_title(F.lit(title))).alias("inside"))
+
+
 def new_relations(items: DataFrame, laws: DataFrame, articles: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, outcome) of extracted items (law_id, ref_title, rel_type, note).
 

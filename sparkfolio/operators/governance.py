@@ -26,19 +26,20 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def could_be_similar(a, b):
-    """An upper bound of the similarity from the lengths alone reaches the threshold."""
-    la, lb = (F.least(F.length(F.coalesce(c, F.lit(""))), F.lit(COMPARED)) for c in (a, b))
+    """An upper bound of the similarity from the lengths alone reaches the threshold. As the similarity is one of beginnings, lengths count up to there."""
+    la, lb = (F.least(c, F.lit(COMPARED)) for c in (a, b))
     return 2.0 * F.least(la, lb) >= SIMILAR * (la + lb)
 
 
 def keepers(laws: DataFrame, group, rank) -> DataFrame:
-    """(grp, keeper_id, keeper_hash, keeper_text): of each group the law of the best rank, then the longest text, then the lowest id; an aggregation, so no group is sorted in one task."""
-    best = F.min_by(F.struct("id", "content_hash", "full_text"), F.struct(-rank, -F.length(F.coalesce("full_text", F.lit(""))), F.col("id"))).alias("k")
-    return laws.groupBy(group.alias("grp")).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.col("k.id").alias("keeper_id"), F.col("k.content_hash").alias("keeper_hash"), F.col("k.full_text").alias("keeper_text"))
+    """(grp, keeper_id, keeper_hash, keeper_chars): of each group the law of the best rank, then the longest text, then the lowest id; an aggregation of narrow rows, so no group is sorted in one task."""
+    chars = F.length(F.coalesce("full_text", F.lit("")))
+    best = F.min_by(F.struct("id", "content_hash", chars.alias("chars")), F.struct(-rank, -chars, F.col("id"))).alias("k")
+    return laws.groupBy(group.alias("grp")).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.col("k.id").alias("keeper_id"), F.col("k.content_hash").alias("keeper_hash"), F.col("k.chars").alias("keeper_chars"))
 
 
 def duplicates(laws: DataFrame, group=None, rank=None) -> DataFrame:
-    """(id, duplicate_of): laws with the title of a keeper and an equal hash or a similar text.
+    """(id, duplicate_of, similarity): laws with the title of a keeper and an equal hash or a similar text.
 
     Each is compared with its group's keeper only, and only if the lengths
     allow it.
@@ -46,10 +47,14 @@ def duplicates(laws: DataFrame, group=None, rank=None) -> DataFrame:
     group = T.normalize_title(F.col("title")) if group is None else group
     rank = T.source_rank(F.col("source_name")) if rank is None else rank
     fine = laws.where(V.edge_ok())
-    pairs = fine.withColumn("grp", group).join(keepers(fine, group, rank), "grp").where(F.col("id") != F.col("keeper_id"))
-    same = F.col("content_hash") == F.col("keeper_hash")
-    likely = pairs.where(F.coalesce(same, F.lit(False)) | could_be_similar(F.col("full_text"), F.col("keeper_text")))
-    scored = likely.withColumn("similarity", F.when(same, F.lit(1.0)).otherwise(similarity("full_text", "keeper_text")))
+    slim = fine.select("id", "content_hash", F.length(F.coalesce("full_text", F.lit(""))).alias("chars"), group.alias("grp"))
+    pairs = slim.join(keepers(fine, group, rank), "grp").where(F.col("id") != F.col("keeper_id"))
+    same = F.coalesce(F.col("content_hash") == F.col("keeper_hash"), F.lit(False))
+    likely = pairs.where(same | could_be_similar(F.col("chars"), F.col("keeper_chars"))).select("id", "keeper_id", same.alias("same"))
+    texts = fine.select(F.col("id").alias("of_id"), F.substring("full_text", 1, COMPARED).alias("text"))
+    mine, other = texts.toDF("id", "mine"), texts.toDF("keeper_id", "other")
+    scored = likely.where("not same").join(mine, "id").join(other, "keeper_id").select("id", "keeper_id", similarity("mine", "other").alias("similarity"))
+    scored = scored.unionByName(likely.where("same").select("id", "keeper_id", F.lit(1.0).alias("similarity")))
     return scored.where(F.col("similarity") >= SIMILAR).select("id", F.col("keeper_id").alias("duplicate_of"), "similarity")
 
 

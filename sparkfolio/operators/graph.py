@@ -73,6 +73,27 @@ def law_relations(relations: DataFrame, articles: DataFrame, laws: DataFrame, la
     return tagged[0].unionByName(tagged[1])
 
 
+def wiki_context(relations: DataFrame, articles: DataFrame, laws: DataFrame, law_id: int, n: int = 10) -> DataFrame:
+    """The first ``n`` outgoing relations of a law, by id: what a page about it is told of."""
+    found = outgoing(relations, articles, laws, law_id)
+    return found.select("relation_id", "from_article_no", "rel_type", "note", F.col("to_title").alias("target"), "to_article_no").orderBy("relation_id").limit(n)
+
+
+def endpoints(relations: DataFrame, articles: DataFrame) -> DataFrame:
+    """Relations (id, from_id, to_id, from_law_id, to_law_id, ...) with both ends' laws: from the articles, else what the row itself says."""
+    own = articles.select("id", "law_id")
+    x = relations.join(own.toDF("from_id", "found_from"), "from_id", "left").join(own.toDF("to_id", "found_to"), "to_id", "left")
+    return x.withColumns({"from_law_id": F.coalesce("found_from", "from_law_id"), "to_law_id": F.coalesce("found_to", "to_law_id")}).select(*relations.columns)
+
+
+def curated(laws: DataFrame, relations: DataFrame, articles: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a fixed set of laws: different edges within it, sorted, and degrees over the article relations within it."""
+    inside = law_edges(relations, articles).where(F.col("s").isin(ids) & F.col("t").isin(ids))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_out", "n_in")}
+    shown = laws.where(F.col("id").isin(ids)).select("id", "title").join(degrees(inside), "id", "left").withColumns(zero)
+    return shown.orderBy("id"), inside.select("s", "t", "rel_type").distinct().orderBy("s", "t", "rel_type")
+
+
 def symmetric_pairs(relations: DataFrame) -> DataFrame:
     """Relations from a lower to a higher article whose reverse exists with the same type."""
     back = relations.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"), "rel_type")
@@ -125,16 +146,44 @@ def referencing(relations: DataFrame, articles: DataFrame, changed: DataFrame) -
     return hit.select(F.col("s").alias("law_id")).distinct()
 
 
+def rings(node_rows: DataFrame) -> DataFrame:
+    """(level, radius) of the rings that hold nodes, from the inside.
+
+    In legend order, other levels last: a ring is wide enough for its nodes'
+    spacing and a gap away from the one before. A scan over the few levels.
+    """
+    place = F.array_position(F.array(*[F.lit(v) for v in [*LEVELS, NO_LEVEL]]), F.col("level")).cast("int")
+    held = node_rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", "n", F.when(place > 0, place).otherwise(len(LEVELS) + 2).alias("ring"))
+    ordered = held.agg(F.array_sort(F.collect_list(F.struct("ring", "level", "n"))).alias("rows"))
+    radius = lambda before, n: F.greatest(before + F.lit(GAP), n * F.lit(SPACING / (2 * 3.141592653589793)))
+    start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<level:string,radius:double>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        r = radius(acc["at"], x["n"])
+        return F.struct(r.alias("at"), F.concat(acc["out"], F.array(F.struct(x["level"].alias("level"), r.alias("radius")))).alias("out"))
+
+    return ordered.select(F.explode_outer(F.aggregate("rows", start, step)["out"]).alias("x")).where("x is not null").select("x.level", "x.radius")
+
+
+#: Room between rings and between nodes of a ring.
+GAP, SPACING = 60.0, 14.0
+
+
 def layout(node_rows: DataFrame) -> DataFrame:
     """(id, x, y, r): a ring per level, in each ring by degree, with a fixed jitter."""
-    ring = F.array_position(F.array(*[F.lit(v) for v in [*LEVELS, NO_LEVEL]]), F.col("level")).cast("int")
     degree = F.col("n_out") + F.col("n_in")
     in_ring = W.partitionBy("level")
     angle = (F.row_number().over(in_ring.orderBy(degree.desc(), "id")) - 1) / F.count(F.lit(1)).over(in_ring) * 2 * 3.141592653589793
     noise = F.sin(F.col("id") * 12.9898 + 78.233) * 43758.5453
     turn = angle + (noise - F.floor(noise)) * 0.1
-    radius = F.lit(60.0) * F.when(ring > 0, ring).otherwise(F.lit(len(LEVELS) + 1))
-    return node_rows.select("id", (radius * F.cos(turn)).alias("x"), (radius * F.sin(turn)).alias("y"), (F.lit(2.6) + 0.9 * F.sqrt(degree)).alias("r"))
+    placed = node_rows.select("id", "level", turn.alias("turn"), (F.lit(2.6) + 0.9 * F.sqrt(degree)).alias("r")).join(F.broadcast(rings(node_rows)), "level")
+    return placed.select("id", (F.col("radius") * F.cos("turn")).alias("x"), (F.col("radius") * F.sin("turn")).alias("y"), "r")
+
+
+def labelled(node_rows: DataFrame, zoom: float, least: float = 8.0) -> DataFrame:
+    """Nodes whose label is shown: the larger ones always, others from a zoom on."""
+    degree = F.col("n_out") + F.col("n_in")
+    return node_rows.where(degree * F.lit(float(zoom)) >= F.lit(float(least)))
 
 
 def nearest(places: DataFrame, x: float, y: float, within: float) -> DataFrame:

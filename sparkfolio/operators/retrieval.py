@@ -7,11 +7,12 @@ nothing is cut to k before fusion, since totals count every candidate.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import visibility as V
 from ..functions.numerals import normalize_article_no
+from ..sources.shared import numbered
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -49,16 +50,12 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
 def ranked(scores: DataFrame, higher_id: bool = False) -> DataFrame:
     """(id, rank) by score, best first, then by id, the lower first unless ``higher_id``.
 
-    Ranks of all candidates are needed, so they are dealt to steps of a
-    hundredth of the score; counts per step give offsets, and each task ranks
-    within steps. Counts and ranks read one shuffle. Only nearly equal scores
-    share a step whatever their number.
+    Scores that agree to nine digits are equal. Ranks of all candidates are
+    needed, so they are numbered by ranges of (score, id): however many share a
+    score, they span several ranges.
     """
-    dealt = scores.select("id", "score", (-F.floor(F.col("score") * 100)).cast("long").alias("step")).repartition("step")
-    upto = W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)  # over the steps
-    offsets = dealt.groupBy("step").agg(F.count("id").alias("n"), F.max("score").alias("top")).select("step", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = W.partitionBy("step").orderBy(F.desc("score"), F.desc("id") if higher_id else F.asc("id"))
-    return dealt.join(F.broadcast(offsets), "step").select("id", (F.col("before") + F.row_number().over(within) - 1).cast("long").alias("rank"))
+    keyed = scores.select("id", (-F.round("score", 9)).alias("minus"), (-F.col("id") if higher_id else F.col("id")).alias("tie"))
+    return numbered(keyed, "minus", "tie").select("id", (F.col("nth") - 1).alias("rank"))
 
 
 def segment_leg(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
@@ -177,7 +174,7 @@ def fuse(legs: list[tuple[str, DataFrame]], fallback: DataFrame | None = None, e
         F.when(hit, F.lit(EXACT_SCORE)).otherwise(F.round("score", 6)).alias("score"),
         F.when(hit, "exact_article").otherwise("keyword").alias("match_type"),
         F.when(hit, F.concat(F.array(F.lit("exact_article")), reasons)).otherwise(reasons).alias("reasons"),
-        F.struct((~hit).alias("later"), (-F.coalesce("score", F.lit(0.0))).alias("minus"), "first").alias("place"),
+        F.struct((~hit).alias("later"), (-F.round(F.coalesce("score", F.lit(0.0)), 12)).alias("minus"), "first").alias("place"),
     )
 
 
@@ -208,6 +205,35 @@ def clamp_page(number, size, most: int = 100, default: int = 10) -> tuple[int, i
     return number, size
 
 
+def safe_top_k(value, default: int = 8, most: int = 50) -> int:
+    """A tool's number of results: what isn't a number gives the default, others are clamped."""
+    try:
+        return min(most, max(1, int(value)))
+    except (TypeError, ValueError):
+        return default
+
+
+def search_topk(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, k: int = 8, **more) -> DataFrame:
+    """The first ``k`` results as one page."""
+    return search(articles, laws, index, stats, query, number=1, size=safe_top_k(k), **more)[0]
+
+
+def has_more(total: int, number: int, size: int, shown: int) -> bool:
+    return (number - 1) * size + shown < total
+
+
+def unified(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, law_page: int = 1, article_page: int = 1, size: int = 10, **filters) -> tuple[DataFrame, DataFrame | None]:
+    """(laws, articles) that a query finds, each with its own page; without a query only the laws that pass the filters."""
+    from . import catalog
+
+    seen = V.active() & V.law_filters(**filters)
+    if not query.strip():
+        return catalog.list_laws(laws, number=law_page, size=size, **filters)[0], None
+    matched = articles.where(V.contains_ci(F.coalesce("text", F.lit("")), query)).select("law_id")
+    found = catalog.list_laws(laws, number=law_page, size=size, q=query, matched=matched, **filters)[0]
+    return found, search(articles, laws, index, stats, query, keep=seen, number=article_page, size=size)[0]
+
+
 def search(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, keep=None, vector: list[float] | None = None, number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame, str]:
     """(page, total, mode) of a query: segment, keyword and vector legs, the fallback, a cited article first."""
     spark = articles.sparkSession
@@ -229,7 +255,7 @@ def parse(query: str):
 
 
 def backfill_embeddings(articles: DataFrame, embed, batch: int = 64, chars: int = 3000) -> DataFrame:
-    """(id, embedding) of articles without one; a batch whose call fails is left for the next run."""
+    """(id, embedding, error) of articles without one; a batch whose call fails gives its error and is left for the next run."""
 
     def run(frames):
         for frame in frames:
@@ -237,11 +263,12 @@ def backfill_embeddings(articles: DataFrame, embed, batch: int = 64, chars: int
                 some = frame.iloc[at : at + batch]
                 try:
                     vectors = embed([t[:chars] for t in some["text"].fillna("")])
-                except Exception:
+                except Exception as e:  # whatever the injected function raises
+                    yield some[["id"]].assign(embedding=None, error=f"{type(e).__name__}: {e}"[:200])
                     continue
-                yield some[["id"]].assign(embedding=list(vectors))
+                yield some[["id"]].assign(embedding=list(vectors), error=None)
 
-    return articles.where("embedding is null").select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+    return articles.where("embedding is null").select("id", "text").mapInPandas(run, "id long, embedding array<float>, error string")
 
 
 def offline_search(units: DataFrame, query: str, title: str = "title") -> DataFrame:

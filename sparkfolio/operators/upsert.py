@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import visibility as V
+from ..sources.shared import numbered
 from . import graph
 
 LEAST_TEXT = 50
@@ -19,13 +18,9 @@ REPLACED = ["doc_number", "issue_date", "effective_date"]
 
 
 def next_ids(rows: DataFrame, taken: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with id above every taken one, in the given order; offsets per range of the order, so no task numbers all rows."""
-    spread = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(1024)))
-    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over 1024 rows
-    offsets = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    """``rows`` with id above every taken one, in the given order."""
     top = taken.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    within = W.partitionBy("part").orderBy(*order)
-    return spread.join(F.broadcast(offsets), "part").withColumn("top", top).withColumn("id", (F.col("top") + F.col("before") + F.row_number().over(within)).cast("long")).drop("part", "before", "top")
+    return numbered(rows, *order).withColumn("top", top).withColumn("id", (F.col("top") + F.col("nth")).cast("long")).drop("nth", "top")
 
 
 def classify(batch: DataFrame, laws: DataFrame) -> DataFrame:
@@ -60,7 +55,11 @@ def apply(actions: DataFrame, laws: DataFrame, now: str) -> DataFrame:
         **{c: F.coalesce(F.col(f"new.{c}"), F.col(c)) for c in ("issuer", "status") if has(c)},
     }
     updated = joined.select(*[F.when(F.col("new").isNotNull(), made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in laws.columns])
-    old = laws.join(changed.select("id"), "id", "left_semi").withColumns({"superseded_by": F.col("id"), "status": F.lit("已修订")}).drop("id")
+    # a version that another row holds already isn't kept twice
+    elsewhere = laws.select("content_hash", F.col("id").alias("other_id"))
+    replaced = laws.join(changed.select("id"), "id", "left_semi")
+    twice = replaced.select("id", "content_hash").join(elsewhere, "content_hash").where("id <> other_id").select("id").distinct()
+    old = replaced.join(twice, "id", "left_anti").withColumns({"superseded_by": F.col("id"), "status": F.lit("已修订")}).drop("id")
     fresh = actions.where("action = 'insert'")
     blank = {c: F.lit(None).cast(t) for c, t in laws.dtypes if c != "id"}
     fresh = fresh.select(*[(F.col(c) if c in fresh.columns else blank[c]).alias(c) for c in laws.columns if c != "id"])
@@ -127,5 +126,15 @@ def keep_last(messages: DataFrame, n: int = 40, chars: int = 8000) -> DataFrame:
     return messages.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= n).drop("rn").withColumn("text", F.substring("text", 1, chars))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def recent_views(views: DataFrame, n: int = 6) -> DataFrame:
+    """(user, law_id, viewed) of each user's last ``n`` different laws in views (user, law_id, viewed)."""
+    last = views.groupBy("user", "law_id").agg(F.max("viewed").alias("viewed"))
+    rank = F.row_number().over(W.partitionBy("user").orderBy(F.desc("viewed"), "law_id"))
+    return last.withColumn("rn", rank).where(F.col("rn") <= n).drop("rn")
+
+
+def client_history(messages: DataFrame, n: int = 80) -> DataFrame:
+    """Of each conversation's messages (conv_id, turn, role, ...) the last ``n``, less assistant's ones that would come first."""
+    kept = messages.withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("rn") <= n).drop("rn")
+    first = kept.groupBy("conv_id").agg(F.min(F.when(F.col("role") != "assistant", F.col("turn"))).alias("first_turn"))
+    return kept.join(first, "conv_id").where(F.col("turn") >= F.col("first_turn")).drop("first_turn")

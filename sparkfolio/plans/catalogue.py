@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numerals as N
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import visibility as V
-from ..operators import catalog, citations, governance, graph, retrieval, upsert
-from ..sources import files, pages
-from .standins import ACTIVE_SQL, ARTICLES_SQL, LAWS_SQL, LINES, RELATIONS_SQL, articles, laws, nation_relations, slim_laws, table
+from .. import schema
+from ..operators import catalog, citations, governance, graph, index, retrieval, upsert
+from ..sources import files, pages, shared
+from .standins import ACTIVE_SQL, ARTICLES_SQL, LAWS_SQL, NAMED_SQL, RELATIONS_SQL, TITLED_SQL, TRADE_SQL, articles, laws, named, nation_relations, slim_laws, table, titled, trade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,9 +76,26 @@ def topic_filter(spark, d):
     return table(spark, d, "part").where(V.has_topic(F.replace("p_name", F.lit(" "), F.lit(",")), " widget\t")).select("p_partkey", "p_name")
 
 
-@query(f"WITH {LAWS_SQL} SELECT count(*) AS total_laws, count(*) FILTER (WHERE {ACTIVE_SQL}) AS laws, count(*) FILTER (WHERE quality_flag = 'empty_text') AS empty_text, count(*) FILTER (WHERE duplicate_of IS NOT NULL) AS duplicates FROM laws")
+def _stats(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("law_id"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("law_id"), "embedding")
+    return catalog.stats(slim_laws(spark, d), docs.join(vectors, "law_id", "left"), nation_relations(spark, d))
+
+
+_COUNTS_SQL = f"{LAWS_SQL}, seen AS (SELECT {ACTIVE_SQL} AS act, embedding IS NOT NULL AS emb FROM laws LEFT JOIN embeddings ON vec_id = id)"
+
+
+@query(f"WITH {LAWS_SQL} SELECT count(*) AS total_laws, count(*) FILTER (WHERE {ACTIVE_SQL}) AS laws FROM laws")
 def active_counts(spark, d):
-    return slim_laws(spark, d).agg(F.count(F.lit(1)).alias("total_laws"), F.count_if(V.active()).alias("laws"), F.count_if(F.col("quality_flag") == "empty_text").alias("empty_text"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"))
+    return _stats(spark, d).select("total_laws", "laws")
+
+
+@query(
+    f"WITH {_COUNTS_SQL} SELECT count(*) AS total_laws, count(*) FILTER (WHERE act) AS laws, count(*) AS articles, count(*) FILTER (WHERE emb) AS embedded, count(*) FILTER (WHERE act) AS searchable, "
+    "count(*) FILTER (WHERE act AND emb) AS embedded_searchable, (SELECT count(*) FROM lineitem) AS relations, round(100.0::DOUBLE * count(*) FILTER (WHERE act AND emb) / count(*) FILTER (WHERE act)) AS coverage FROM seen"
+)
+def library_stats(spark, d):
+    return _stats(spark, d)
 
 
 @query("SELECT max(CASE WHEN event_type = 'purchase' THEN ts ELSE ts - INTERVAL 1 DAY END) AS content_updated_at FROM events")
@@ -96,15 +113,19 @@ def latest_sync_per_source(spark, d):
     return catalog.latest_per_source(log).withColumn("last_status", F.when(F.col("last_status") == "ok", "purchase").otherwise(F.col("last_status")))
 
 
-@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 1")
+@query(
+    "SELECT max(event_id) AS last_id, arg_max(user_id, event_id) AS last_source, arg_max(event_type, event_id) AS last_status, "
+    "max(event_id) FILTER (WHERE event_type = 'purchase') AS ok_id, arg_max(user_id, event_id) FILTER (WHERE event_type = 'purchase') AS ok_source FROM events WHERE user_id IS NOT NULL"
+)
 def latest_attempt(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(1)
+    log = table(spark, d, "events").where("user_id is not null").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_name"), F.when(F.col("event_type") == "purchase", "ok").otherwise(F.col("event_type")).alias("status"))
+    return catalog.latest_runs(log).withColumn("last_status", F.when(F.col("last_status") == "ok", "purchase").otherwise(F.col("last_status")))
 
 
 @query(f"WITH {LAWS_SQL} SELECT id, title, level, source_name FROM laws WHERE {ACTIVE_SQL} AND level = 'en' ORDER BY id DESC LIMIT 20 OFFSET 20")
 def catalog_page_id(spark, d):
-    page, _ = catalog.list_laws(slim_laws(spark, d), number=2, level="en")
-    return page.select("id", "title", "level", "source_name")
+    page, _ = catalog.list_laws(catalog.cards(slim_laws(spark, d).withColumn("row", F.lit(0))).join(slim_laws(spark, d).select("id", "duplicate_of", "superseded_by", "quality_flag"), "id"), number=2, level="en")
+    return catalog.cards(page)
 
 
 @query(f"WITH {LAWS_SQL} SELECT id, coalesce(CASE WHEN level = 'en' THEN content_hash END, source_name) AS changed FROM laws WHERE {ACTIVE_SQL} ORDER BY 2 DESC, id DESC LIMIT 20")
@@ -115,106 +136,188 @@ def catalog_page_updated(spark, d):
 
 
 @query(
-    f"WITH {LAWS_SQL}, {ARTICLES_SQL} SELECT id, level, source_name FROM laws WHERE {ACTIVE_SQL} AND "
-    "(contains(lower(title), 'thereon') OR EXISTS (SELECT 1 FROM articles a WHERE a.law_id = laws.id AND contains(lower(a.text), 'scum')))"
+    f"WITH {LAWS_SQL}, {ARTICLES_SQL}, hit AS (SELECT DISTINCT law_id FROM articles WHERE contains(lower(text), 'scum')) "
+    f"SELECT id, level, source_name FROM laws WHERE {ACTIVE_SQL} AND (contains(lower(title), 'scum') OR id IN (SELECT law_id FROM hit)) ORDER BY id DESC LIMIT 100"
 )
 def catalog_text_filter(spark, d):
-    hit = articles(spark, d).where(V.contains_ci(F.col("text"), "scum")).select(F.col("law_id").alias("hit_id")).distinct()
-    rows = slim_laws(spark, d).where(V.active()).join(hit, F.col("id") == F.col("hit_id"), "left")
-    return rows.where(V.contains_ci(F.col("title"), "thereon") | F.col("hit_id").isNotNull()).select("id", "level", "source_name")
+    matched = articles(spark, d).where(V.contains_ci(F.col("text"), "scum"))
+    return catalog.list_laws(slim_laws(spark, d), size=100, q="scum", matched=matched)[0].select("id", "level", "source_name")
+
+
+@query(f"WITH {LAWS_SQL}, {ARTICLES_SQL}, hit AS (SELECT DISTINCT law_id FROM articles WHERE contains(lower(text), 'scum')) SELECT count(*) AS total FROM laws WHERE {ACTIVE_SQL} AND (contains(lower(title), 'scum') OR id IN (SELECT law_id FROM hit))")
+def catalog_text_total(spark, d):
+    matched = articles(spark, d).where(V.contains_ci(F.col("text"), "scum"))
+    return catalog.list_laws(slim_laws(spark, d), q="Scum", matched=matched)[1]
+
+
+#: The document with the most lines.
+_LONGEST_SQL = "longest AS (SELECT doc_id FROM documents ORDER BY len(string_split(text, chr(10))) DESC, doc_id LIMIT 1)"
+
+
+def _longest(spark, d) -> int:
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    return table(spark, d, "documents").select("doc_id", n.alias("n")).orderBy(F.desc("n"), "doc_id").first()["doc_id"]
+
+
+def _shown(found):
+    rows, total, number, target = found
+    return rows.select("id", "article_no", "text", F.lit(total).cast("long").alias("total"), F.lit(number).cast("long").alias("page"), F.lit(target).cast("long").alias("target"))
+
+
+_OWN_SQL = f"{ARTICLES_SQL}, {_LONGEST_SQL}, own AS (SELECT id, article_no, text FROM articles WHERE law_id = (SELECT doc_id FROM longest))"
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT law_id, id, pos, pos // 50 + 1 AS page FROM articles")
+@query(f"WITH {_OWN_SQL} SELECT id, article_no, text, (SELECT count(*) FROM own) AS total, CAST(2 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM own ORDER BY id LIMIT 3 OFFSET 3")
 def reader_page(spark, d):
-    """The reader's page of every article of every law."""
-    return articles(spark, d).select("law_id", "id", "pos", (F.floor(F.col("pos") / 50) + 1).cast("long").alias("page"))
+    return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), number=2, size=3))
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT law_id, min(pos) AS pos, min(pos) // 50 + 1 AS page FROM articles WHERE contains(text, '|') GROUP BY law_id")
+@query(f"WITH {_OWN_SQL} SELECT id, article_no, text, (SELECT count(*) FROM own) AS total, CAST(2 AS BIGINT) AS page, (SELECT min(id) + 2 FROM own) AS target FROM own ORDER BY id LIMIT 2 OFFSET 2")
 def reader_locate_article(spark, d):
-    found = articles(spark, d).where(F.contains("text", F.lit("|"))).groupBy("law_id").agg(F.min("pos").alias("pos"))
-    return found.withColumn("page", (F.floor(F.col("pos") / 50) + 1).cast("long"))
+    return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), number=1, size=2, article_no="第三条"))
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT law_id, id, text FROM articles WHERE contains(lower(text), 'disgusting')")
+@query(f"WITH {_OWN_SQL}, hit AS (SELECT * FROM own WHERE contains(lower(text), 'an')) SELECT id, article_no, text, (SELECT count(*) FROM hit) AS total, CAST(1 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM hit ORDER BY id LIMIT 50")
 def in_document_search(spark, d):
-    return articles(spark, d).where(V.contains_ci(F.col("text"), "Disgusting")).select("law_id", "id", "text")
+    return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), q="An"))
 
 
-@query("SELECT round(100.0 * (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) / (SELECT count(*) FROM documents), 6) AS coverage")
+@query(f"WITH {_LONGEST_SQL} SELECT CAST(NULL AS BIGINT) AS id, '全文' AS article_no, text, CAST(1 AS BIGINT) AS total, CAST(1 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM documents WHERE doc_id = (FROM longest)")
+def reader_without_articles(spark, d):
+    return _shown(catalog.reader(articles(spark, d).where("false"), laws(spark, d), _longest(spark, d)))
+
+
+@query(f"WITH {_OWN_SQL} SELECT id, article_no FROM own ORDER BY id")
+def article_index(spark, d):
+    return catalog.article_index(articles(spark, d), _longest(spark, d))
+
+
+@query(f"WITH {LAWS_SQL} SELECT id, title, level FROM laws WHERE id = 7")
+def law_by_id(spark, d):
+    return catalog.by_id(slim_laws(spark, d), 7).select("id", "title", "level")
+
+
+@query(f"WITH {_COUNTS_SQL} SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE act AND emb) / count(*) FILTER (WHERE act)) AS coverage FROM seen")
 def embedding_coverage(spark, d):
-    embedded = table(spark, d, "embeddings").agg(F.count("embedding").alias("n"))
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("all")).select(F.round(F.try_divide(100.0 * embedded.scalar(), F.col("all")), 6).alias("coverage"))
+    return _stats(spark, d).select("coverage")
 
 
 # --- relations and the graph
 
 
-def _nation_laws(spark, d):
-    x = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    none = F.lit(None).cast("bigint")
-    return x.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.col("r_name").alias("level"), F.lit("现行有效").alias("status"), none.alias("duplicate_of"), none.alias("superseded_by"), F.lit(None).cast("string").alias("quality_flag"))
+def _counted(found, *by):
+    return found.groupBy(*by).agg(count_rows())
 
 
-def _relation_rows(out: bool) -> str:
-    mine, other = ("s", "t") if out else ("t", "s")
-    return f"SELECT {mine} AS law, {other} AS other, rel_type, CAST(count(*) AS BIGINT) AS n FROM relations GROUP BY ALL"
+@query(f"WITH {TRADE_SQL} SELECT t AS to_law_id, n_name AS to_title, rel_type, CAST(count(*) AS BIGINT) AS n FROM edges JOIN nation ON t = n_nationkey WHERE s = 7 GROUP BY ALL")
+def relations_outgoing(spark, d):
+    laws_, arts, rels = trade(spark, d)
+    return _counted(graph.outgoing(rels, arts, laws_, 7), "to_law_id", "to_title", "rel_type")
 
 
-@query(f"WITH {RELATIONS_SQL} {_relation_rows(True)}")
-def relations_outgoing(spark, d):
-    return nation_relations(spark, d).groupBy(F.col("s").alias("law"), F.col("t").alias("other"), "rel_type").agg(count_rows())
+#: The nation with the most suppliers.
+_SELLER_SQL = "seller AS (SELECT s_nationkey FROM supplier GROUP BY s_nationkey ORDER BY count(*) DESC, s_nationkey LIMIT 1)"
+
+
+def _seller(spark, d) -> int:
+    return table(spark, d, "supplier").groupBy("s_nationkey").count().orderBy(F.desc("count"), "s_nationkey").first()["s_nationkey"]
 
 
-@query(f"WITH {RELATIONS_SQL} {_relation_rows(False)}")
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT s AS from_law_id, n_name AS from_title, rel_type, CAST(count(*) AS BIGINT) AS n FROM edges JOIN nation ON s = n_nationkey WHERE t = (FROM seller) GROUP BY ALL")
 def relations_incoming(spark, d):
-    return nation_relations(spark, d).groupBy(F.col("t").alias("law"), F.col("s").alias("other"), "rel_type").agg(count_rows())
+    laws_, arts, rels = trade(spark, d)
+    return _counted(graph.outgoing(rels, arts, laws_, _seller(spark, d), incoming=True), "from_law_id", "from_title", "rel_type")
 
 
-@query(f"WITH {RELATIONS_SQL}, o AS ({_relation_rows(True)}), i AS ({_relation_rows(False)}) SELECT *, 'out' AS direction FROM o UNION ALL SELECT *, 'in' FROM i")
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL}, x AS (SELECT s, t, rel_type, 'out' AS direction FROM edges WHERE s = (FROM seller) UNION ALL SELECT s, t, rel_type, 'in' FROM edges WHERE t = (FROM seller)) SELECT s AS from_law_id, t AS to_law_id, rel_type, direction, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY ALL")
 def relations_both_tagged(spark, d):
-    """Counted once, then seen from either end."""
-    n = nation_relations(spark, d).groupBy("s", "t", "rel_type").agg(count_rows())
-    ways = F.array(F.struct(F.col("s").alias("law"), F.col("t").alias("other"), F.lit("out").alias("direction")), F.struct(F.col("t").alias("law"), F.col("s").alias("other"), F.lit("in").alias("direction")))
-    return n.select("rel_type", "n", F.explode(ways).alias("w")).select("w.law", "w.other", "rel_type", "n", "w.direction")
+    laws_, arts, rels = trade(spark, d)
+    return _counted(graph.law_relations(rels, arts, laws_, _seller(spark, d)), "from_law_id", "to_law_id", "rel_type", "direction")
 
 
-@query(f"WITH {RELATIONS_SQL} SELECT DISTINCT s, t, rel_type FROM relations")
+@query(f"WITH {TRADE_SQL} SELECT DISTINCT s, t, rel_type FROM edges")
 def graph_edges_distinct(spark, d):
-    return nation_relations(spark, d).distinct()
+    laws_, arts, rels = trade(spark, d)
+    return graph.edges(rels, arts, laws_)
 
 
-@query(
-    f"WITH {RELATIONS_SQL}, o AS (SELECT s, count(*) AS n FROM relations GROUP BY s), i AS (SELECT t, count(*) AS n FROM relations GROUP BY t) "
-    "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, r_name AS level, CAST(coalesce(o.n, 0) AS BIGINT) AS n_out, CAST(coalesce(i.n, 0) AS BIGINT) AS n_in "
-    "FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON s = n_nationkey LEFT JOIN i ON t = n_nationkey"
+_NODES_SQL = (
+    f"{TRADE_SQL}, o AS (SELECT s, count(*) AS n FROM edges GROUP BY s), i AS (SELECT t, count(*) AS n FROM edges GROUP BY t), "
+    "nodes AS (SELECT n_nationkey AS id, n_name AS title, r_name AS level, CAST(coalesce(o.n, 0) AS BIGINT) AS n_out, CAST(coalesce(i.n, 0) AS BIGINT) AS n_in "
+    "FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON s = n_nationkey LEFT JOIN i ON t = n_nationkey)"
 )
+
+
+@query(f"WITH {_NODES_SQL} SELECT *, '现行有效' AS status, '其他' AS board FROM nodes")
 def graph_nodes_degree(spark, d):
-    shown = _nation_laws(spark, d).where(V.indexable()).select("id", "title", "level")
-    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_out", "n_in")}
-    n = nation_relations(spark, d).groupBy("s", "t").agg(count_rows())  # summed first: two rows a pair are left to stack
-    ends = n.select(F.explode(F.array(F.struct(F.col("s").alias("id"), F.col("n").alias("o"), F.lit(0).alias("i")), F.struct(F.col("t").alias("id"), F.lit(0).alias("o"), F.col("n").alias("i")))).alias("e"))
-    degree = ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.o").cast("long").alias("n_out"), F.sum("e.i").cast("long").alias("n_in"))
-    return shown.join(degree, "id", "left").withColumns(zero)
+    laws_, arts, rels = trade(spark, d)
+    return graph.nodes(laws_, rels, arts)
+
+
+@query(f"WITH {_NODES_SQL} SELECT id FROM nodes WHERE (n_out + n_in) * 0.01 >= 8")
+def graph_labels(spark, d):
+    return graph.labelled(graph_nodes_degree(spark, d), 0.01).select("id")
 
 
 @query(
-    f"WITH {RELATIONS_SQL}, m AS (SELECT n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') "
-    "SELECT DISTINCT s, t, rel_type FROM relations WHERE s IN (SELECT id FROM m) AND t IN (SELECT id FROM m)"
+    f"WITH {TRADE_SQL}, m AS (SELECT n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') "
+    "SELECT DISTINCT s, t, rel_type FROM edges WHERE s IN (SELECT id FROM m) AND t IN (SELECT id FROM m)"
 )
 def graph_board_subgraph(spark, d):
-    members = _nation_laws(spark, d).where("level = 'ASIA'")
-    return graph.induced(members, nation_relations(spark, d)).distinct().select("s", "t", "rel_type")
+    laws_, arts, rels = trade(spark, d)
+    return graph.induced(laws_.where("level = 'ASIA'"), graph.edges(rels, arts, laws_)).select("s", "t", "rel_type")
 
 
-@query(f"WITH {RELATIONS_SQL}, e AS (SELECT DISTINCT s AS id, t AS other FROM relations UNION SELECT DISTINCT t, s FROM relations) SELECT CAST(id AS INTEGER) AS id, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM e GROUP BY id")
+@query(f"WITH {TRADE_SQL}, e AS (SELECT DISTINCT s AS id, t AS other FROM edges UNION SELECT DISTINCT t, s FROM edges) SELECT id, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM e GROUP BY id")
 def graph_adjacency(spark, d):
-    pairs = nation_relations(spark, d).select("s", "t").distinct()
-    near = graph.adjacency(_nation_laws(spark, d), pairs)
-    return near.select(F.col("id").cast("int").alias("id"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+    laws_, arts, rels = trade(spark, d)
+    near = graph.adjacency(laws_, graph.edges(rels, arts, laws_))
+    return near.select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@query(f"WITH {TRADE_SQL} SELECT e.id AS relation_id, a.article_no AS from_article_no, rel_type, note, n_name AS target, b.article_no AS to_article_no FROM edges e JOIN ends a ON a.id = from_id JOIN ends b ON b.id = to_id JOIN nation ON t = n_nationkey WHERE s = 7 ORDER BY e.id LIMIT 10")
+def wiki_context(spark, d):
+    laws_, arts, rels = trade(spark, d)
+    return graph.wiki_context(rels, arts, laws_, 7)
+
+
+@query(f"WITH {TRADE_SQL} SELECT id, s AS from_law_id, CAST(-1 AS INTEGER) AS to_law_id FROM edges")
+def relation_endpoints(spark, d):
+    """Suppliers aren't among the articles, so their ends keep what the relation says."""
+    _, arts, rels = trade(spark, d)
+    said = rels.withColumns({"from_law_id": F.lit(-2), "to_law_id": F.lit(-1)})
+    return graph.endpoints(said, arts.where("id % 2 = 0")).select("id", "from_law_id", "to_law_id")
 
 
-_RULES = [("red goods", "red blue"), ("cold goods", "cold"), ("small parts", "bolt gear widget")]
+_FEW = [1, 3, 4, 7, 8, 15]
+
+
+@query(f"WITH {TRADE_SQL}, e AS (SELECT * FROM edges WHERE s IN {tuple(_FEW)} AND t IN {tuple(_FEW)}) SELECT n_nationkey AS id, n_name AS title, (SELECT count(*) FROM e WHERE s = n_nationkey) AS n_out, (SELECT count(*) FROM e WHERE t = n_nationkey) AS n_in FROM nation WHERE n_nationkey IN {tuple(_FEW)}")
+def curated_nodes(spark, d):
+    laws_, arts, rels = trade(spark, d)
+    return graph.curated(laws_, rels, arts, _FEW)[0]
+
+
+@query(f"WITH {TRADE_SQL} SELECT DISTINCT s, t, rel_type FROM edges WHERE s IN {tuple(_FEW)} AND t IN {tuple(_FEW)}")
+def curated_edges(spark, d):
+    laws_, arts, rels = trade(spark, d)
+    return graph.curated(laws_, rels, arts, _FEW)[1]
+
+
+@query(f"WITH {TRADE_SQL} SELECT id, from_id, to_id, rel_type FROM edges WHERE s IN {tuple(_FEW)} AND t IN {tuple(_FEW)}")
+def extract_relations(spark, d):
+    laws_, arts, rels = trade(spark, d)
+    return files.extract(laws_, arts, rels, _FEW)["relations"].select("id", "from_id", "to_id", "rel_type")
+
+
+@query(f"WITH {TRADE_SQL} SELECT e.id AS article_id, law_id, n_name AS title, article_no FROM ends e JOIN nation ON law_id = n_nationkey WHERE e.id IN (0, 2, 4, 1)")
+def fixed_citations(spark, d):
+    laws_, arts, _ = trade(spark, d)
+    wanted = spark.createDataFrame([(0,), (2,), (4,), (1,)], "article_id long")
+    return citations.require(wanted, laws_, arts.withColumn("text", F.lit(""))).drop("text")
+
+
+_RULES = [("red goods", ["red", "blue"]), ("cold goods", ["cold"]), ("small parts", ["bolt", "gear", "widget"])]
 _BOARD_SQL = "CASE WHEN regexp_matches(p_name, 'red|blue') THEN 'red goods' WHEN regexp_matches(p_name, 'cold') THEN 'cold goods' WHEN regexp_matches(p_name, 'bolt|gear|widget') THEN 'small parts' ELSE '其他' END"
 
 
@@ -223,6 +326,16 @@ def board_classify(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", T.classify(F.col("p_name"), _RULES).alias("board"))
 
 
+_SUBJECTS = {0: ("债券", "债券固收"), 1: ("公司债务", "公司治理"), 2: ("税", "税收"), 3: ("公司基金", "基金资管"), 4: ("x", "其他"), 5: ("证券交易", "交易结算"), 6: ("监管企业", "监管执法")}
+_SUBJECT_SQL = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in _SUBJECTS.items()) + " END"
+
+
+@query(f"SELECT p_partkey, {_SUBJECT_SQL} AS board FROM part")
+def board_of_titles(spark, d):
+    said = F.element_at(F.array(*[F.lit(v[0]) for _, v in sorted(_SUBJECTS.items())]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.classify(F.concat("p_name", said)).alias("board"))
+
+
 @query(f"SELECT {_BOARD_SQL} AS board, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1")
 def board_counts(spark, d):
     return table(spark, d, "part").groupBy(T.classify(F.col("p_name"), _RULES).alias("board")).agg(count_rows()).orderBy(F.desc("n"), "board")
@@ -269,10 +382,16 @@ def pending_queue(spark, d):
     return graph.pending(x, x.select(F.col("id").alias("law_id")), _marks(spark, d), n=50)
 
 
-@query(f"WITH {RELATIONS_SQL} SELECT DISTINCT s AS law_id FROM relations JOIN nation ON t = n_nationkey WHERE n_name = 'CHINA' AND s <> t")
+@query(f"WITH {LAWS_SQL} SELECT count(*) AS n FROM laws WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = id AND (quality = 1 OR toxic * 3 >= 3))")
+def pending_count(spark, d):
+    x = slim_laws(spark, d).select("id")
+    return graph.pending(x, x.select(F.col("id").alias("law_id")), _marks(spark, d)).agg(count_rows())
+
+
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT DISTINCT s AS law_id FROM edges WHERE t = (FROM seller) AND s <> t")
 def referencing_after_change(spark, d):
-    changed = table(spark, d, "nation").where("n_name = 'CHINA'").select(F.col("n_nationkey").alias("t"))
-    return nation_relations(spark, d).join(F.broadcast(changed), "t", "left_semi").where("s <> t").select(F.col("s").alias("law_id")).distinct()
+    changed, arts, rels = _changed_nation(spark, d)
+    return graph.referencing(rels, arts, changed)
 
 
 # --- retrieval
@@ -284,14 +403,19 @@ def _units(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _index(spark, d):
+    """The stored index of the documents: made when first asked for, renewed when the input's files are others."""
+    root = f"{shared.folder(spark)}/index/{files.fingerprint(spark, f'{d}/documents.parquet')}"
+    return index.refresh(_units(spark, d), root)
+
+
 def _segment_scores(spark, d):
-    units = _units(spark, d)
-    return retrieval.bm25(retrieval.postings(units), retrieval.corpus_stats(units), TERMS).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(*_index(spark, d), TERMS).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT doc_id AS id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)) GROUP BY doc_id, term")
 def postings(spark, d):
-    return retrieval.postings(_units(spark, d)).select("id", "term", "tf", "dl")
+    return _index(spark, d)[0].select("id", "term", "tf", "dl")
 
 
 @query(f"WITH {_STATS_SQL} SELECT id, score FROM seg ORDER BY score DESC, id LIMIT 10")
@@ -347,25 +471,69 @@ def rrf_fusion(spark, d):
     return _fused(spark, d).select("id", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"{_RRF_SQL}, {LAWS_SQL} SELECT id, score, level FROM fused JOIN laws USING (id) WHERE {ACTIVE_SQL} ORDER BY score DESC, id LIMIT 10 OFFSET 10")
+#: What search does for the three words: segment leg, keyword leg (the whole phrase before any of its words), vector leg, fused.
+_WORD_TF = ", ".join(f"(length(text) - length(replace(lower(text), '{w}', ''))) / {len(w)}.0 AS tf{i}" for i, w in enumerate([" ".join(TERMS), *TERMS]))
+_WORD_IDF = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(4))
+_bm = lambda i: f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 0.000001 END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+_SEARCH_SQL = (
+    f"WITH {_STATS_SQL.replace(', 6) AS score FROM tf', ', 9) AS score FROM tf')}, c AS (SELECT doc_id AS id, {_WORD_TF}, greatest(length(text) - 2, 0) AS dl FROM documents), "
+    f"cs AS (SELECT count(*) AS n, avg(dl) AS avgdl, {_WORD_IDF} FROM c), "
+    f"k AS (SELECT id, CASE WHEN tf0 > 0 THEN {_bm(0)} + 1e6 ELSE {_bm(1)} + {_bm(2)} + {_bm(3)} END AS score FROM c, cs WHERE tf0 + tf1 + tf2 + tf3 > 0), "
+    f"{_VECTOR_SQL.replace(', 6) AS score FROM embeddings', ', 9) AS score FROM embeddings JOIN documents ON doc_id = vec_id')}, legs AS (SELECT id, 0 AS leg, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM seg UNION ALL "
+    "SELECT id, 1, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 FROM k UNION ALL SELECT id, 2, row_number() OVER (ORDER BY score DESC, id DESC) - 1 FROM v), "
+    f"{LAWS_SQL}, fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, string_agg(CASE leg WHEN 0 THEN 'segment' WHEN 1 THEN 'keyword' ELSE 'vector' END, ',' ORDER BY leg) AS reasons, min(leg * 1000000000 + rank) AS first FROM legs GROUP BY id), "
+    f"shown AS (SELECT fused.*, level FROM fused JOIN laws USING (id) WHERE {ACTIVE_SQL})"
+)
+_PAGE_SQL = "SELECT id, round(score, 6) AS score, 'keyword' AS match_type, reasons, level FROM shown ORDER BY round(score, 12) DESC, first, id LIMIT 10"
+
+
+def _library(spark, d):
+    """(articles, laws, postings, statistics): each document a law of one article, with its embedding if it has one."""
+    seen = slim_laws(spark, d).withColumns({"status": F.lit("现行有效"), "source_url": F.lit("")})
+    vectors = _vectors(spark, d)
+    arts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("law_id"), F.lit(None).cast("string").alias("article_no"), "text").join(vectors, "id", "left")
+    return arts, seen, *_index(spark, d)
+
+
+def _results(found):
+    return found.select("id", "score", "match_type", F.array_join("reasons", ",").alias("reasons"), "level")
+
+
+@query(f"{_SEARCH_SQL} {_PAGE_SQL} OFFSET 10")
 def hybrid_page(spark, d):
-    seen = slim_laws(spark, d).where(V.active()).select("id", "level")
-    return _fused(spark, d).join(seen, "id").select("id", F.round("score", 6).alias("score"), "level").orderBy(F.desc("score"), "id").offset(10).limit(10)
+    return _results(retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d), number=2)[0])
 
 
-@query(f"{_RRF_SQL}, {LAWS_SQL} SELECT count(*) AS total FROM fused JOIN laws USING (id) WHERE {ACTIVE_SQL}")
+@query(f"{_SEARCH_SQL} SELECT count(*) AS total FROM shown")
 def hybrid_total(spark, d):
-    return _fused(spark, d).join(slim_laws(spark, d).where(V.active()).select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("total"))
+    return retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d))[1]
+
+
+@query(f"{_SEARCH_SQL} {_PAGE_SQL.replace('LIMIT 10', 'LIMIT 5')}")
+def search_first_results(spark, d):
+    return _results(retrieval.search_topk(*_library(spark, d), " ".join(TERMS), 5, keep=V.active(), vector=_query_vector(spark, d)))
 
 
 @query(
-    f"{_RRF_SQL}, e AS (SELECT min(doc_id) AS id FROM documents WHERE source = 'src1') SELECT coalesce(f.id, e.id) AS id, CASE WHEN e.id IS NOT NULL THEN 10.0::DOUBLE ELSE score END AS score, CASE WHEN e.id IS NOT NULL THEN 'exact_article' ELSE 'keyword' END AS match_type FROM fused f FULL JOIN e ON e.id = f.id"
+    f"{_SEARCH_SQL.replace('UNION ALL SELECT id, 2, row_number() OVER (ORDER BY score DESC, id DESC) - 1 FROM v', '')}, "
+    f"found AS (SELECT id FROM laws WHERE {ACTIVE_SQL} AND contains(lower((SELECT text FROM documents WHERE doc_id = id)), 'that with was') ORDER BY id DESC LIMIT 10), "
+    "arts AS (SELECT id FROM shown ORDER BY round(score, 12) DESC, first, id LIMIT 10) SELECT 'law' AS side, id FROM found UNION ALL SELECT 'article', id FROM arts"
 )
+def unified_search(spark, d):
+    laws_, arts = retrieval.unified(*_library(spark, d), " ".join(TERMS))
+    return laws_.select(F.lit("law").alias("side"), "id").unionByName(arts.select(F.lit("article").alias("side"), "id"))
+
+
+@query("SELECT c_custkey AS id, 10.0::DOUBLE AS score, 'exact_article' AS match_type, 'exact_article' AS reasons FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer WHERE c_nationkey = 7) WHERE rn = 2")
 def exact_hit_pinned(spark, d):
-    exact = table(spark, d, "documents").where("source = 'src1'").agg(F.min("doc_id").alias("id"))
-    fused = _fused(spark, d).join(exact.withColumn("is_exact", F.lit(True)), "id", "full")
-    hit = F.coalesce("is_exact", F.lit(False))
-    return fused.select("id", F.when(hit, retrieval.EXACT_SCORE).otherwise(F.round("score", 6)).alias("score"), F.when(hit, "exact_article").otherwise("keyword").alias("match_type"))
+    """A nation's customers are its articles, in order; the query cites the second one."""
+    laws_ = trade(spark, d)[0].withColumn("source_url", F.lit(""))
+    buyers = table(spark, d, "customer")
+    place = buyers.alias("a").join(buyers.select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k")), (F.col("n") == F.col("c_nationkey")) & (F.col("k") <= F.col("c_custkey"))).where("c_nationkey = 7").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("no"))
+    arts = place.select(F.col("c_custkey").alias("id"), F.lit(7).alias("law_id"), F.concat(F.lit("第"), F.col("no").cast("string"), F.lit("条")).alias("article_no"), F.lit("text").alias("text"))
+    units = arts.select("id", "text")
+    found, _, _ = retrieval.search(arts, laws_, retrieval.postings(units), retrieval.corpus_stats(units), "《NATION_7》第二条")
+    return found.select("id", "score", "match_type", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
@@ -377,10 +545,27 @@ def tokenize_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("WITH q(id, terms) AS (VALUES (1, '证券发行,内幕交易,证券,券发,发行,内幕,幕交,交易'), (2, 'disclosure,rules'), (3, '信息披露,信息,息披,披露')) SELECT CAST(id AS INTEGER) AS id, terms FROM q")
+@query(
+    "WITH s AS (SELECT item_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM (SELECT item_id, regexp_split_to_array(text, '[\\s，。、；：？！·,.:;?!]+') AS w FROM benchmark)), "
+    "t AS (SELECT item_id, unnest(w) AS term, unnest(range(1000001, 1000001 + len(w))) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)), "
+    "f AS (SELECT item_id, term, min(p) AS p FROM (SELECT * FROM s UNION ALL SELECT * FROM t) WHERE length(term) >= 2 GROUP BY item_id, term), j AS (SELECT item_id, string_agg(term, ',' ORDER BY length(term) DESC, p) AS terms FROM f GROUP BY item_id) "
+    "SELECT item_id, coalesce(terms, '') AS terms FROM benchmark LEFT JOIN j USING (item_id)"
+)
 def highlight_terms(spark, d):
-    q = spark.createDataFrame([(1, "证券发行，内幕交易"), (2, "disclosure rules"), (3, "信息披露的")], "id int, q string")
-    return q.select("id", F.array_join(F.filter(X.highlight_terms(F.col("q")), lambda t: ~t.isin("信息披露的", "露的")), ",").alias("terms"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.highlight_terms(F.col("text")), ",").alias("terms"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '(?i)(widget|cold|old)', '<mark>\\1</mark>', 'g') AS marked FROM part")
+def highlight_markup(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.highlight(F.col("p_name"), ["old", "Cold", "widget"]).alias("marked"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN b > 0 THEN '…' ELSE '' END || substr(t, CAST(b AS BIGINT) + 1, 260) || CASE WHEN b + 260 < length(t) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, t, CASE WHEN p = 0 THEN 0 ELSE greatest(p - 1 - 100, 0) END AS b "
+    "FROM (SELECT doc_id, t, strpos(lower(t), 'that') AS p FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)))"
+)
+def offline_snippet(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.offline_snippet(F.col("text"), ["that"]).alias("snippet"))
 
 
 @query(
@@ -408,10 +593,30 @@ def split_lines_to_articles(spark, d):
     return articles(spark, d).select("law_id", "pos", "text")
 
 
-@query("SELECT law_id, pos, article_no, text FROM (VALUES (1, 0, '第一条', '甲'), (1, 1, '第二条之一', '乙' || chr(10) || '丙'), (2, 0, '', '无条'), (3, 0, '第3条', '第3条')) v(law_id, pos, article_no, text)")
+def _structured(spark, d):
+    """Documents whose every line is an article of its own, after a preamble."""
+    lines_ = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), x))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.concat(F.lit("总则\n"), F.array_join(lines_, "\n")).alias("full_text"))
+
+
+_SPLIT_SQL = f"{ARTICLES_SQL}, split AS (SELECT law_id, pos, article_no, CASE WHEN body = '' THEN article_no ELSE body END AS text FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM articles))"
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT law_id, pos, article_no, text FROM split")
 def split_articles(spark, d):
-    laws_ = spark.createDataFrame([(1, "第一章\n第一条 甲\n第二条之一　乙\n丙\n"), (2, "无条"), (3, "第3条")], "id int, full_text string")
-    return X.split_articles(laws_).select("law_id", F.col("pos").cast("int").alias("pos"), "article_no", "text")
+    return X.split_articles(_structured(spark, d))
+
+
+@query(
+    f"WITH {_SPLIT_SQL}, changed AS (SELECT doc_id FROM documents WHERE lang = 'de'), top AS (SELECT max(id) AS top FROM articles WHERE law_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')) "
+    "SELECT id, law_id, article_no, text FROM articles WHERE law_id NOT IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')) UNION ALL "
+    "SELECT (SELECT top FROM top) + row_number() OVER (ORDER BY law_id, pos), law_id, article_no, text FROM split WHERE law_id IN (FROM changed)"
+)
+def articles_rebuilt(spark, d):
+    """The articles of changed laws come out in the order of their text, with ids above all others."""
+    docs = _structured(spark, d)
+    held = articles(spark, d).join(docs.where("lang <> 'fr'").select(F.col("id").alias("law_id")), "law_id", "left_semi").withColumn("embedding", F.lit(None).cast("array<float>"))
+    return upsert.rebuild_articles(held, docs, docs.where("lang = 'de'").select("id")).select("id", "law_id", "article_no", "text")
 
 
 @query("SELECT sha256(text) AS content_hash, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -419,18 +624,40 @@ def content_hash_dups(spark, d):
     return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(count_rows(), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query(f"WITH {LAWS_SQL} SELECT grp, id AS keeper_id FROM (SELECT *, level || ' ' || source_name AS grp, row_number() OVER (PARTITION BY level, source_name ORDER BY CASE source_name WHEN 'src0' THEN 2 ELSE 1 END DESC, length(full_text) DESC, id) AS rn, count(*) OVER (PARTITION BY level, source_name) AS n FROM laws WHERE duplicate_of IS NULL AND superseded_by IS NULL) WHERE rn = 1 AND n > 1")
+@query(
+    f"WITH {TITLED_SQL} SELECT p_name AS grp, id AS keeper_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY CASE source_name WHEN '中国人大网' THEN 95 WHEN '中国证监会' THEN 70 ELSE 0 END DESC, length(p_type) DESC, id) AS rn, "
+    "count(*) OVER (PARTITION BY p_name) AS n FROM titled) WHERE rn = 1 AND n > 1"
+)
 def dedupe_keeper(spark, d):
-    fine = laws(spark, d).where(V.edge_ok())
-    return governance.keepers(fine, F.concat_ws(" ", "level", "source_name"), T.source_rank(F.col("source_name"), {"src0": 2})).select("grp", "keeper_id")
+    fine = titled(spark, d).where(V.edge_ok())
+    return governance.keepers(fine, T.normalize_title(F.col("title")), T.source_rank(F.col("source_name"))).select("grp", "keeper_id")
 
 
 @query()
 def near_dup_similarity(spark, d):
-    """Texts with one beginning compared with the longest of them, by difflib within the length bound."""
+    """Texts with one title, their first line, compared with the longest of them, by difflib within the length bound."""
     rows = laws(spark, d).drop("duplicate_of").withColumn("duplicate_of", F.lit(None).cast("bigint"))
-    found = governance.duplicates(rows, group=F.substring("full_text", 1, 40), rank=F.lit(0))
-    return found.select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+    return governance.duplicates(rows).select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {TITLED_SQL} SELECT status, CAST(count(*) AS BIGINT) AS n FROM titled GROUP BY status")
+def status_counts(spark, d):
+    return governance.status_counts(titled(spark, d))
+
+
+@query("SELECT n_nationkey AS id, n_name AS title, CASE WHEN n_name = 'NATION_7' THEN '已废止' ELSE '现行有效' END AS status FROM nation")
+def status_set(spark, d):
+    return governance.set_status(trade(spark, d)[0], "NATION_7", "已废止", schema.STATUSES)[0].select("id", "title", "status")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(sk-[A-Za-z0-9]{16,}|api[_-]?key\\W{1,4}[A-Za-z0-9_-]{12,}|bearer\\s+[A-Za-z0-9._-]{16,})')")
+def texts_with_secrets(spark, d):
+    return files.with_secrets(table(spark, d, "documents"), "text").select("doc_id")
+
+
+@query(f"WITH {TITLED_SQL} SELECT id, title, status, CAST(NULL AS VARCHAR) AS issuer, CAST(NULL AS BIGINT) AS duplicate_of FROM titled")
+def schema_migrated(spark, d):
+    return schema.migrate(schema.migrate(titled(spark, d).drop("duplicate_of"), schema.LAWS), schema.LAWS).select("id", "title", "status", "issuer", "duplicate_of")
 
 
 @query("SELECT doc_id AS id, CASE WHEN length(text) < 200 THEN 'empty_text' WHEN NOT contains(text, chr(10)) THEN 'unsplit' END AS quality_flag FROM documents")
@@ -446,41 +673,138 @@ def governance_report(spark, d):
     return governance.report(slim_laws(spark, d), articles(spark, d))
 
 
-_TITLES = ["【甲站】《证券法》（2023年修订）", "公司法(2018年修正)", "《关于印发《办法》的通知》", "  信托法　", "证券法"]
-
-
-@query("SELECT title, norm FROM (VALUES ('【甲站】《证券法》（2023年修订）', '证券法'), ('公司法(2018年修正)', '公司法'), ('《关于印发《办法》的通知》', '关于印发《办法》的通知'), ('  信托法　', '信托法'), ('证券法', '证券法')) v(title, norm)")
+@query(f"WITH {TITLED_SQL} SELECT id, title, p_name AS norm FROM titled")
 def title_normalize(spark, d):
-    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.normalize_title(F.col("title")).alias("norm"))
+    return titled(spark, d).select("id", "title", T.normalize_title(F.col("title")).alias("norm"))
 
 
-@query("SELECT title, label FROM (VALUES ('【甲站】《证券法》（2023年修订）', '2023年修订'), ('公司法(2018年修正)', '2018年修正'), ('《关于印发《办法》的通知》', NULL), ('  信托法　', NULL), ('证券法', NULL)) v(title, label)")
+@query(f"WITH {TITLED_SQL} SELECT id, CASE id % 4 WHEN 1 THEN '2023年修订' WHEN 2 THEN '2018年修正' END AS label FROM titled")
 def version_label(spark, d):
-    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.version_label(F.col("title")).alias("label"))
+    return titled(spark, d).select("id", T.version_label(F.col("title")).alias("label"))
+
+
+@query(f"WITH {TITLED_SQL} SELECT id, CASE id % 4 WHEN 2 THEN p_name || '(2018年修正)|' || p_name ELSE p_name END AS variants FROM titled")
+def title_variants(spark, d):
+    return titled(spark, d).select("id", F.array_join(T.title_variants(F.col("title")), "|").alias("variants"))
+
+
+@query("SELECT p_partkey, p_name || '管理办法' || CASE WHEN length(p_type) >= 4 THEN '|' || p_type ELSE '' END AS keys FROM part")
+def title_keys(spark, d):
+    said = F.concat("p_type", F.lit("、《"), "p_name", F.lit("管理办法》(2020年修订)；ab"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.fuzzy_keys(said), "|").alias("keys"))
+
+
+@query("SELECT p_partkey, '关于修改《中华人民共和国' || p_name || '》的决定|中华人民共和国' || p_name || '|' || p_name AS variants FROM part")
+def reference_variants(spark, d):
+    said = F.concat(F.lit("关于修改《中华人民共和国"), "p_name", F.lit("》的决定"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.reference_variants(said), "|").alias("variants"))
+
+
+def _said(n: int) -> str:
+    """Numeral of 1..199."""
+    digits, tens = "零一二三四五六七八九", n % 100 // 10
+    low = ("" if tens == 1 and n < 100 else digits[tens]) + "十" if tens else ""
+    gap = "零" if n > 100 and 0 < n % 100 < 10 else ""
+    return ("一百" if n >= 100 else "") + gap + low + (digits[n % 10] if n % 10 else "")
+
+
+_SAID_SQL = "said(n, word) AS (VALUES " + ", ".join(f"({n}, '{_said(n)}')" for n in range(1, 161)) + ")"
 
 
 @query(
-    "SELECT raw, no FROM (VALUES ('第1条', '第一条'), ('第101条', '第一百零一条'), ('第9999条', '第九千九百九十九条'), ('第19条之2（经修改）', '第十九条之二'), ('第0条', '第0条'), ('第10000条', '第10000条'), "
-    "('第19十一条', '第19十一条'), ('第一一十九条', '第一一十九条'), ('第十条', '第十条'), ('第一百〇一条', '第一百零一条')) v(raw, no)"
+    f"WITH {_SAID_SQL} SELECT o_orderkey, '第' || a.word || '条' || CASE WHEN o_orderkey % 3 = 0 THEN '之' || b.word ELSE '' END AS article_no "
+    "FROM orders JOIN said a ON a.n = o_orderkey % 150 + 1 JOIN said b ON b.n = o_orderkey % 7 + 2"
 )
 def article_no_normalize(spark, d):
-    raw = ["第1条", "第101条", "第9999条", "第19条之2（经修改）", "第0条", "第10000条", "第19十一条", "第一一十九条", "第十条", "第一百〇一条"]
-    return spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", N.normalize_article_no(F.col("raw")).alias("no"))
+    k = F.col("o_orderkey")
+    raw = F.concat(F.lit(" 第"), (k % 150 + 1).cast("string"), F.lit("条"), F.when(k % 3 == 0, F.concat(F.lit("之"), (k % 7 + 2).cast("string"))).otherwise(""), F.when(k % 5 == 0, "（经修改）").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", N.normalize_article_no(raw).alias("article_no"))
+
+
+@query(f"WITH {_SAID_SQL} SELECT p_partkey, replace(p_name, ' ', '_') AS title, '第' || word || '条' AS article_no FROM part JOIN said ON n = p_partkey % 150 + 1")
+def citation_parse(spark, d):
+    asked = F.concat(F.lit("《"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("》 第"), (F.col("p_partkey") % 150 + 1).cast("string"), F.lit("条怎么说"))
+    return table(spark, d, "part").select("p_partkey", N.parse_citation(asked).alias("c")).select("p_partkey", "c.title", "c.article_no")
 
 
-_ANSWERS = [(1, "见【证券法·第五十条、第51条】和【《公司法》·全文；证券法·第50条】。"), (2, "无"), (3, "【民法典·第一条】【散文】")]
+def _answers(spark, d):
+    """Each part's answer cites its law three times, one article twice, and once as a whole."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    no = lambda n: F.concat(F.lit("第"), n.cast("string"), F.lit("条"))
+    text = F.concat(F.lit("见【"), name, F.lit("·"), no(k % 30 + 1), F.lit("、"), no(k % 30 + 2), F.lit("】和【《"), name, F.lit("》·全文；"), name, F.lit("·"), no(k % 30 + 1), F.lit("】。【散文】"))
+    return table(spark, d, "part").select(k.alias("id"), text.alias("text"))
 
 
-@query("SELECT CAST(id AS INTEGER) AS id, CAST(nth AS INTEGER) AS nth, title, article_no FROM (VALUES (1, 0, '证券法', '第五十条'), (1, 1, '证券法', '第五十一条'), (1, 2, '《公司法》', '全文'), (1, 3, '证券法', '第五十条'), (3, 0, '民法典', '第一条')) v(id, nth, title, article_no)")
+_CITED_SQL = (
+    f"{_SAID_SQL}, cited AS (SELECT p_partkey AS id, p_name, unnest([0, 1, 2, 3]) AS nth FROM part), "
+    "numbers AS (SELECT c.id, p_name, CAST(nth AS INTEGER) AS nth, CASE nth WHEN 2 THEN '《' || p_name || '》' ELSE p_name END AS title, CASE nth WHEN 2 THEN '全文' ELSE '第' || word || '条' END AS article_no, CASE WHEN nth <> 2 THEN n END AS n "
+    "FROM cited c JOIN said ON n = c.id % 30 + 1 + CASE nth WHEN 1 THEN 1 ELSE 0 END)"
+)
+
+
+@query(f"WITH {_CITED_SQL} SELECT id, nth, title, article_no FROM numbers")
 def citation_extract(spark, d):
-    return citations.citations(spark.createDataFrame(_ANSWERS, "id int, text string")).select("id", "nth", "title", "article_no")
+    return citations.citations(_answers(spark, d)).select("id", "nth", "title", "article_no")
 
 
-@query("SELECT CAST(id AS INTEGER) AS id, ref_title, article_no, law_id, article_id FROM (VALUES (1, '证券法', '第五十条', 10, 101), (1, '证券法', '第五十一条', 10, 102), (1, '《公司法》', '全文', 11, NULL), (3, '民法典', '第一条', NULL, NULL)) v(id, ref_title, article_no, law_id, article_id)")
+@query(
+    f"WITH {_CITED_SQL}, {NAMED_SQL} SELECT q.id, q.title AS ref_title, q.article_no, l.id AS law_id, CASE WHEN q.n <= 20 THEN l.id * 100 + q.n END AS article_id "
+    "FROM numbers q JOIN named l ON l.p_name = q.p_name WHERE nth < 3"
+)
 def citation_resolve(spark, d):
-    laws_ = spark.createDataFrame([(10, "中华人民共和国证券法", None, None, None), (11, "公司法", None, None, None), (12, "关于修改《证券法》的决定", None, None, None)], "id int, title string, duplicate_of bigint, superseded_by bigint, quality_flag string")
-    arts = spark.createDataFrame([(101, 10, "第五十条"), (102, 10, "第51条"), (103, 11, "第一条")], "id int, law_id int, article_no string")
-    return citations.resolve(spark.createDataFrame(_ANSWERS, "id int, text string"), laws_, arts).select("id", "ref_title", "article_no", "law_id", "article_id")
+    return citations.resolve(_answers(spark, d), *named(spark, d)).select("id", "ref_title", "article_no", "law_id", "article_id")
+
+
+@query(
+    f"WITH {NAMED_SQL}, w AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS title FROM part) "
+    "SELECT w.title, arg_min(l.id, length(l.title) * 1000000 + l.id) AS law_id FROM w JOIN named l ON contains(lower(l.title), lower(w.title)) WHERE length(w.title) >= 4 GROUP BY w.title"
+)
+def citation_part_of_title(spark, d):
+    parts = table(spark, d, "part").select(F.element_at(F.split("p_name", " "), 2).alias("title")).where(F.length("title") >= 4).distinct()
+    return citations.match_titles(parts, named(spark, d)[0])
+
+
+@query("SELECT p_name AS key, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS target FROM part GROUP BY p_name")
+def citation_chips(spark, d):
+    return citations.unique_targets(table(spark, d, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("target")))
+
+
+@query("SELECT p_partkey AS id, p_name AS question FROM part WHERE replace(p_name, ' ', '') = 'coldwidget'")
+def preset_question(spark, d):
+    return citations.preset(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question")), " cold\twid get ")
+
+
+@query("SELECT p_partkey AS id, p_name = 'cold widget' AS inside FROM part")
+def answers_within_law(spark, d):
+    return citations.within(_answers(spark, d), "《cold widget》")
+
+
+def _references(spark, d):
+    """Each law refers to the next one by id, through a decision that amends it."""
+    laws_, arts = named(spark, d)
+    ids = shared.numbered(laws_.select("id", "title"), "id")
+    after = ids.select((F.col("nth") - 1).alias("nth"), F.col("title").alias("next_title"))
+    items = ids.join(after, "nth").select(F.col("id").alias("law_id"), F.concat(F.lit("关于修改《"), "next_title", F.lit("》的决定")).alias("ref_title"), F.lit("引用").alias("rel_type"), F.lit("note").alias("note"))
+    nowhere = laws_.where("id % 5 = 0").select(F.col("id").alias("law_id"), F.lit("no such law at all").alias("ref_title"), F.lit("引用").alias("rel_type"), F.lit("").alias("note"))
+    held = laws_.where("id % 3 = 0").join(ids.select("id", "nth"), "id").join(ids.select((F.col("nth") - 1).alias("nth"), F.col("id").alias("next_id")), "nth")
+    held = held.select((F.col("id") * 100 + 1).alias("from_id"), (F.col("next_id") * 100 + 1).alias("to_id"), F.lit("引用").alias("rel_type"))
+    return citations.new_relations(items.unionByName(nowhere), laws_, arts, held)
+
+
+_NEXT_SQL = f"{NAMED_SQL}, follows AS (SELECT id, lead(id) OVER (ORDER BY id) AS next_id FROM named)"
+
+
+@query(f"WITH {_NEXT_SQL} SELECT id * 100 + 1 AS from_id, next_id * 100 + 1 AS to_id, '引用' AS rel_type, 'note' AS note FROM follows WHERE next_id IS NOT NULL AND id % 3 <> 0")
+def new_relations(spark, d):
+    return _references(spark, d)[0]
+
+
+@query(
+    f"WITH {_NEXT_SQL}, o AS (SELECT id AS law_id, CASE WHEN next_id IS NULL THEN 0 ELSE 1 END AS saved, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS unmatched FROM follows) "
+    "SELECT law_id, CAST(saved + unmatched AS INTEGER) AS extracted, CAST(saved AS INTEGER) AS saved, CAST(unmatched AS INTEGER) AS unmatched FROM o WHERE saved + unmatched > 0"
+)
+def relation_outcome(spark, d):
+    return _references(spark, d)[1]
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 266) || chr(10) || '……（中略）……' || chr(10) || right(text, 134) END AS digest FROM documents")
@@ -494,6 +818,12 @@ def json_salvage(spark, d):
     return table(spark, d, "events").select("event_id", X.salvage_json(reply, "k BIGINT")["k"].alias("k"))
 
 
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def remote_stats(spark, d):
+    replies = table(spark, d, "events").where(F.get_json_object("props", "$.k").isNotNull()).select(F.col("props").alias("value"))
+    return files.stats_snapshot(replies, ["k"])
+
+
 # --- pages
 
 
@@ -510,12 +840,20 @@ def page_host(spark, d):
     return table(spark, d, "pages").select("page_id", pages.host(F.col("url")).alias("host"), pages.source_name(F.col("url")).alias("source_name"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, url, unnest(l) AS l, CAST(unnest(range(0, len(l))) AS BIGINT) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*'')[^>]*>.*?</a\s*>') AS l FROM pages)),
+    b AS (SELECT page_id, pos, url AS base, trim(replace(regexp_replace(l, '(?s)<[^>]*>', '', 'g'), '&amp;', '&')) AS text, replace(regexp_extract(l, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1), '&amp;', '&') AS href FROM a),
+    c AS (SELECT page_id, pos, text, CASE WHEN starts_with(href, '/') THEN regexp_extract(base, '^[a-z]+://[^/?#]*') || href ELSE href END AS url FROM b WHERE text <> '')
+    SELECT page_id, min(pos) AS pos, arg_min(text, pos) AS text, url FROM c WHERE starts_with(url, 'http') GROUP BY page_id, url"""
+)
 def page_links(spark, d):
     return pages.links(table(spark, d, "pages"))
 
 
-@query()
+@query(
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', '', 'g'),
+      '(?s)<[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[^\S\n]*\n\s*', chr(10), 'g'), chr(10) || ' ' || chr(9) || chr(13)) AS text FROM pages"""
+)
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", pages.plain_text(F.col("html")).alias("text"))
 
@@ -552,12 +890,24 @@ def upsert_actions(spark, d):
     return upsert.classify(_batch(spark, d), _titled(spark, d)).select("title", "source_name", "current_id", "action")
 
 
-@query(f"{_ACTIONS_SQL} SELECT (SELECT count(*) FROM held) + count(*) FILTER (WHERE action IN ('insert', 'update')) AS rows, count(*) FILTER (WHERE action = 'update') AS superseded, count(*) FILTER (WHERE action = 'insert') AS fresh FROM actions")
+@query(
+    f"{_ACTIONS_SQL}, todo AS (SELECT a.*, b.full_text, sha256(b.full_text) AS new_hash FROM actions a JOIN batch b USING (title, source_name)), "
+    "kept AS (SELECT h.id, h.title, h.source_name, coalesce(t.new_hash, h.content_hash) AS content_hash, h.superseded_by, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS created_at, CASE WHEN t.current_id IS NOT NULL THEN 'now' END AS updated_at FROM held h LEFT JOIN todo t ON t.current_id = h.id AND t.action = 'update'), "
+    "old AS (SELECT h.title, h.source_name, h.content_hash, h.id AS superseded_by, '已修订' AS status, CAST(NULL AS VARCHAR) AS created_at FROM held h JOIN todo t ON t.current_id = h.id WHERE t.action = 'update' AND NOT EXISTS (SELECT 1 FROM held x WHERE x.content_hash = h.content_hash AND x.id <> h.id)), "
+    "made AS (SELECT title, source_name, new_hash AS content_hash, CAST(NULL AS BIGINT) AS superseded_by, '现行有效' AS status, 'now' AS created_at FROM todo WHERE action = 'insert') "
+    "SELECT * FROM kept UNION ALL SELECT (SELECT max(id) FROM held) + row_number() OVER (ORDER BY source_name, title, content_hash), *, NULL FROM (SELECT * FROM old UNION ALL SELECT * FROM made)"
+)
 def scd_snapshot(spark, d):
     held = _titled(spark, d)
     full = held.withColumns({c: F.lit(None).cast("string") for c in ("status", "created_at", "updated_at", "version_label")})
-    after = upsert.apply(upsert.classify(_batch(spark, d), held), full, "2025-01-01T00:00:00")
-    return after.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"), F.count_if(F.col("superseded_by").isNull() & F.col("created_at").isNotNull()).alias("fresh"))
+    after = upsert.apply(upsert.classify(_batch(spark, d), held), full, "now")
+    return after.select("id", "title", "source_name", "content_hash", "superseded_by", "status", "created_at", "updated_at")
+
+
+@query(f"{_ACTIONS_SQL} SELECT 'stream' AS source_name, CAST(count(*) FILTER (WHERE action = 'insert') AS INTEGER) AS new_count, CAST(count(*) FILTER (WHERE action = 'update') AS INTEGER) AS updated_count, 'partial' AS status, 'e1; e2' AS detail FROM actions")
+def run_log(spark, d):
+    errors = spark.createDataFrame([(2, "e2"), (1, "e1")], "nth int, error string")
+    return upsert.run_log("stream", upsert.classify(_batch(spark, d), _titled(spark, d)), errors)
 
 
 @query("SELECT coalesce(l.doc_id, d.doc_id) AS law_id, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(l.toxic * 3, 0) + 1 ELSE l.toxic * 3 END AS attempts FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE lang = 'de') d ON d.doc_id = l.doc_id")
@@ -571,6 +921,20 @@ def chat_history_trim(spark, d):
     return upsert.keep_last(table(spark, d, "conversations"), n=4, chars=200).select("conv_id", "turn", "role", "text")
 
 
+@query(
+    "SELECT conv_id, turn, role FROM (SELECT *, min(CASE WHEN role <> 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3) WHERE turn >= first"
+)
+def client_history(spark, d):
+    return upsert.client_history(table(spark, d, "conversations"), n=3).select("conv_id", "turn", "role")
+
+
+@query("SELECT user, law_id, viewed FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY viewed DESC, law_id) AS rn FROM (SELECT user_id AS user, event_type AS law_id, max(event_id) AS viewed FROM events WHERE user_id IS NOT NULL GROUP BY ALL)) WHERE rn <= 2".replace("user,", '"user",').replace("AS user", 'AS "user"').replace("BY user ", 'BY "user" '))
+def recent_views(spark, d):
+    views = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("user"), F.col("event_type").alias("law_id"), F.col("event_id").alias("viewed"))
+    return upsert.recent_views(views, n=2)
+
+
 @query("SELECT conv_id, turn, '【' || conv_id || '·' || turn || '】（' || role || '）' || substr(text, 1, 500) AS result FROM conversations")
 def tool_result_format(spark, d):
     c = table(spark, d, "conversations")
@@ -593,27 +957,22 @@ def relation_backfill(spark, d):
 
 
 def _changed_nation(spark, d):
-    """(changed, articles, relations): each nation a law of one article; one nation's text has changed."""
-    nations = table(spark, d, "nation")
-    units = nations.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("law_id"))
-    relations = nation_relations(spark, d).select(F.col("s").alias("from_id"), F.col("t").alias("to_id"), "rel_type", F.lit(0).alias("id"))
-    return nations.where("n_name = 'CHINA'").select(F.col("n_nationkey").alias("id")), units, relations
+    """(changed, articles, relations): the text of the nation with the most suppliers has changed."""
+    _, arts, rels = trade(spark, d)
+    return spark.createDataFrame([(_seller(spark, d),)], "id int"), arts, rels
 
 
-@query(f"WITH {RELATIONS_SQL}, c AS (SELECT n_nationkey FROM nation WHERE n_name = 'CHINA') SELECT s, t, rel_type, count(*) AS n FROM relations WHERE s NOT IN (FROM c) AND t NOT IN (FROM c) GROUP BY ALL")
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT id, from_id, to_id, rel_type FROM edges WHERE s <> (FROM seller) AND t <> (FROM seller)")
 def invalidated_relations(spark, d):
     changed, units, relations = _changed_nation(spark, d)
-    left, _, _ = upsert.invalidate(changed, units, relations, units, units)
-    return left.groupBy(F.col("from_id").alias("s"), F.col("to_id").alias("t"), "rel_type").agg(count_rows())
+    return upsert.invalidate(changed, units, relations, units, units)[0].select("id", "from_id", "to_id", "rel_type")
 
 
-@query(
-    f"WITH {RELATIONS_SQL}, c AS (SELECT n_nationkey AS k FROM nation WHERE n_name = 'CHINA') SELECT n_nationkey AS law_id FROM nation "
-    "WHERE n_nationkey NOT IN (SELECT k FROM c) AND NOT EXISTS (SELECT 1 FROM relations JOIN c ON t = k WHERE s = n_nationkey)"
-)
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT n_nationkey AS law_id FROM nation WHERE n_nationkey <> (FROM seller) AND NOT EXISTS (SELECT 1 FROM edges WHERE s = n_nationkey AND t = (FROM seller))")
 def invalidated_marks(spark, d):
     changed, units, relations = _changed_nation(spark, d)
-    return upsert.invalidate(changed, units, relations, units, units.select("law_id"))[2]
+    marks = table(spark, d, "nation").select(F.col("n_nationkey").alias("law_id"))
+    return upsert.invalidate(changed, units, relations, units, marks)[2]
 
 
 @query("SELECT l.doc_id, l.quality FROM labels l WHERE NOT (l.quality > 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND contains(d.text, ',')))")
@@ -668,10 +1027,8 @@ def secret_mask(spark, d):
 
 
 @query(
-    f"WITH {RELATIONS_SQL}, e AS (SELECT s AS id FROM relations UNION ALL SELECT t FROM relations), g AS (SELECT id, count(*) AS deg FROM e GROUP BY id), "
-    "n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, r_name AS level, coalesce(deg, 0) AS deg FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON g.id = n_nationkey), "
-    "a AS (SELECT id, deg, (row_number() OVER (PARTITION BY level ORDER BY deg DESC, id) - 1) / count(*) OVER (PARTITION BY level) * 2 * pi() AS angle, sin(id * 12.9898 + 78.233) * 43758.5453 AS noise FROM n), "
-    "b AS (SELECT id, deg, angle + (noise - floor(noise)) * 0.1 AS turn FROM a) SELECT id, round(420 * cos(turn), 4) AS x, round(420 * sin(turn), 4) AS y, round(2.6 + 0.9 * sqrt(deg), 4) AS r FROM b"
+    f"WITH {_NODES_SQL}, a AS (SELECT id, n_out + n_in AS deg, dense_rank() OVER (ORDER BY level) AS ring, (row_number() OVER (PARTITION BY level ORDER BY n_out + n_in DESC, id) - 1) / count(*) OVER (PARTITION BY level) * 2 * pi() AS angle, "
+    "sin(id * 12.9898 + 78.233) * 43758.5453 AS noise FROM nodes), b AS (SELECT id, deg, ring, angle + (noise - floor(noise)) * 0.1 AS turn FROM a) SELECT id, round(60 * ring * cos(turn), 4) AS x, round(60 * ring * sin(turn), 4) AS y, round(2.6 + 0.9 * sqrt(deg), 4) AS r FROM b"
 )
 def graph_layout(spark, d):
     places = graph.layout(graph_nodes_degree(spark, d))

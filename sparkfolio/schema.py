@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 LAWS = (
     "id BIGINT, title STRING, doc_number STRING, issuer STRING, level STRING, topic_tags STRING, issue_date STRING, "
     "published_at STRING, effective_date STRING, status STRING, source_name STRING, source_url STRING, content_hash STRING, "
@@ -14,6 +17,14 @@ WIKI = "id BIGINT, law_id BIGINT, markdown STRING, model_used STRING, generated_
 SYNC_LOG = "id BIGINT, source_name STRING, started_at STRING, finished_at STRING, new_count INT, updated_count INT, status STRING, detail STRING"
 TABLES = {"laws": LAWS, "articles": ARTICLES, "relations": RELATIONS, "relation_extractions": MARKS, "wiki_pages": WIKI, "sync_log": SYNC_LOG}
 
+
+
+def migrate(df: DataFrame, ddl: str) -> DataFrame:
+    """``df`` with the schema's columns in its order: those it lacks are null, others are cast; run again it changes nothing."""
+    wanted = [x.strip().split(" ", 1) for x in ddl.split(", ")]
+    return df.select(*[(F.col(n).cast(kind) if n in df.columns else F.lit(None).cast(kind)).alias(n) for n, kind in wanted])
+
+
 # Fixed values.
 STATUSES = ["现行有效", "已修订", "已废止"]
 RELATION_TYPES = ["引用", "修订替代", "上位法", "同一事项", "程序衔接"]

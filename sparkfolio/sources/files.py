@@ -69,6 +69,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes with the names, sizes or times of the files under a path."""
+    import hashlib
+
+    fs, p = _fs(spark, path)
+    found, rows = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(repr(sorted(rows)).encode(), usedforsecurity=False).hexdigest()
+
+
 def snapshots(spark: SparkSession, root: str) -> list[str]:
     """Complete snapshots under a root, oldest first."""
     fs, p = _fs(spark, root)

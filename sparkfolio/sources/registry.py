@@ -13,8 +13,10 @@ SOURCE = "name STRING, base_url STRING, list_url STRING, level STRING, method ST
 
 
 def enabled_sources(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    names = [x.split()[0] for x in SOURCE.split(", ")]
-    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries if e.get("enabled", True)], SOURCE)
+    """Sources that are switched on; whole numbers will do where fractions are expected."""
+    kinds = {name: {"DOUBLE": float, "INT": int, "BOOLEAN": bool}.get(kind, str) for name, kind in (x.split() for x in SOURCE.split(", "))}
+    row = lambda e: tuple(None if e.get(n) is None else kind(e[n]) for n, kind in kinds.items())
+    return spark.createDataFrame([row(e) for e in entries if e.get("enabled", True)], SOURCE)
 
 
 def targets(entries: list[dict], only: str = "") -> list[dict]:
