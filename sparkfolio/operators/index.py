@@ -7,6 +7,8 @@ of an older one are undisturbed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,18 @@ def versions(spark: SparkSession, root: str) -> list[str]:
     if not fs.exists(p):
         return []
     done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(done(s.getPath(), "units/_SUCCESS")))
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_") and fs.exists(done(s.getPath(), "units/_SUCCESS")))
 
 
 def write(postings: DataFrame, units: DataFrame, root: str, name: str) -> None:
-    """Ranges of terms are sorted, so that a query's terms are met in few row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{root}/{name}/postings")
-    units.write.mode("overwrite").parquet(f"{root}/{name}/units")
+    """Ranges of terms are sorted, so that a query's terms are met in few row groups. The version appears as a whole."""
+    made = f"{root}/_made/{uuid.uuid4().hex}"
+    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{made}/postings")
+    units.write.parquet(f"{made}/units")
+    fs, source = files._fs(postings.sparkSession, made)
+    target = files._fs(postings.sparkSession, f"{root}/{name}")[1]
+    if fs.exists(target) or not fs.rename(source, target):  # another job was first
+        fs.delete(source, True)
 
 
 def read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -177,9 +177,9 @@ def reader_locate_article(spark, d):
     return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), number=1, size=2, article_no="第三条"))
 
 
-@query(f"WITH {_OWN_SQL}, hit AS (SELECT * FROM own WHERE contains(lower(text), 'an')) SELECT id, article_no, text, (SELECT count(*) FROM hit) AS total, CAST(1 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM hit ORDER BY id LIMIT 50")
+@query(f"WITH {_OWN_SQL}, hit AS (SELECT * FROM own WHERE contains(lower(text), 'e')) SELECT id, article_no, text, (SELECT count(*) FROM hit) AS total, CAST(1 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM hit ORDER BY id LIMIT 50")
 def in_document_search(spark, d):
-    return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), q="An"))
+    return _shown(catalog.reader(articles(spark, d), laws(spark, d), _longest(spark, d), q="E"))
 
 
 @query(f"WITH {_LONGEST_SQL} SELECT CAST(NULL AS BIGINT) AS id, '全文' AS article_no, text, CAST(1 AS BIGINT) AS total, CAST(1 AS BIGINT) AS page, CAST(NULL AS BIGINT) AS target FROM documents WHERE doc_id = (FROM longest)")
@@ -650,9 +650,11 @@ def status_set(spark, d):
     return governance.set_status(trade(spark, d)[0], "NATION_7", "已废止", schema.STATUSES)[0].select("id", "title", "status")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(sk-[A-Za-z0-9]{16,}|api[_-]?key\\W{1,4}[A-Za-z0-9_-]{12,}|bearer\\s+[A-Za-z0-9._-]{16,})')")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 4 IN (1, 2)")
 def texts_with_secrets(spark, d):
-    return files.with_secrets(table(spark, d, "documents"), "text").select("doc_id")
+    k = F.col("p_partkey") % 4
+    said = F.when(k == 1, "API_key = 'a1b2c3d4e5f6'").when(k == 2, F.concat("p_name", F.lit(" bearer  abcdefgh.ijklmnop"))).when(k == 3, "api_key: short").otherwise(F.col("p_name"))
+    return files.with_secrets(table(spark, d, "part").select("p_partkey", said.alias("text")), "text").select("p_partkey")
 
 
 @query(f"WITH {TITLED_SQL} SELECT id, title, status, CAST(NULL AS VARCHAR) AS issuer, CAST(NULL AS BIGINT) AS duplicate_of FROM titled")
@@ -968,9 +970,11 @@ def invalidated_relations(spark, d):
     return upsert.invalidate(changed, units, relations, units, units)[0].select("id", "from_id", "to_id", "rel_type")
 
 
-@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT n_nationkey AS law_id FROM nation WHERE n_nationkey <> (FROM seller) AND NOT EXISTS (SELECT 1 FROM edges WHERE s = n_nationkey AND t = (FROM seller))")
+@query(f"WITH {TRADE_SQL}, {_SELLER_SQL} SELECT n_nationkey AS law_id FROM nation WHERE n_nationkey <> (FROM seller) AND NOT EXISTS (SELECT 1 FROM edges WHERE s = n_nationkey AND s % 2 = 0 AND t = (FROM seller))")
 def invalidated_marks(spark, d):
+    """Customers of nations with odd numbers aren't articles here, so those nations refer to nothing."""
     changed, units, relations = _changed_nation(spark, d)
+    units = units.where("id % 2 = 1 or law_id % 2 = 0")
     marks = table(spark, d, "nation").select(F.col("n_nationkey").alias("law_id"))
     return upsert.invalidate(changed, units, relations, units, marks)[2]
 
