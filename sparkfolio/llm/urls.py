@@ -70,8 +70,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rule's path. The longest rule (host and path together, then the longer
     host) wins; without one the verdict is ``default`` and the rule null. Each
     distinct URL is judged once, so repeated URLs cost one lookup, and repeated
-    rows, ties and extra columns stay as they are. Columns of ``pages`` named
-    host, path, rule or verdict are replaced. No rules: all get ``default``.
+    rows, null ids and extra columns stay as they are. A null or empty URL has an
+    empty host and path and fits no rule; a long one makes no more expressions
+    than the rules have shapes. Of rules that tie in length and host, block
+    stands. Columns of ``pages`` named host, path, rule or verdict are
+    replaced. No rules: all get ``default``; no pages: no rows.
     """
     prepared = prepare_rules(rules)
     shape = prepared.agg(

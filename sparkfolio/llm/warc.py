@@ -229,7 +229,8 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
     any), a null capture time has an empty timestamp. A payload may be as long as
     a string can be; its archive is as large then. Repeated rows are records
     of their own; equal page_ids with equal payloads are all responses if
-    theirs is the largest. Extra columns aren't archived; no pages, no rows.
+    theirs is the largest. Ties in the whole key go by archive and place. Extra columns aren't archived; no
+    pages, no rows.
     """
     write_archives(pages, path, least_bytes)
     return merge_index(capture_runs(pages.sparkSession, path))
