@@ -19,6 +19,7 @@ RUN_SENTENCES, RUN_WORDS = 3, 24
 #: side, so that a passage is cut alike wherever it stands, and pieces of more than LONG_PIECE words are cut by count.
 LONG_SENTENCE, NEAR, LONG_PIECE = 12, 2, 24
 #: A sentence ends after one of these marks before white space, or at a line's end.
+WORD = re.compile(r"\S+")
 END = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 
 
@@ -26,17 +27,15 @@ def cuts(words: list[str]) -> list[int]:
     """Places among the words of a long sentence where its pieces begin: chosen by the words around, then by count."""
     import xxhash
 
-    h = np.array([xxhash.xxh32_intdigest(f"{a} {b}") for a, b in zip(["", *words], words)], dtype=np.int64)  # noqa: B905
-    least = np.ones(len(h), dtype=bool)
-    for d in range(1, NEAR + 1):
-        least[d:] &= h[d:] < h[:-d]
-        least[:-d] &= h[:-d] <= h[d:]
+    own = [xxhash.xxh32_intdigest(w) for w in words]
+    edge = [1 << 40] * NEAR
+    h = [*edge, own[0], *[(x * 31 + y * 17) & 0xFFFFFFFF for x, y in zip(own[1:], own, strict=False)], *edge]
     out = [0]
-    for i in [*np.nonzero(least)[0].tolist(), len(words)]:
-        out += range(out[-1] + LONG_PIECE, i, LONG_PIECE)
-        if out[-1] < i < len(words):
-            out.append(i)
-    return out
+    for i in range(1, len(words)):
+        v = h[i + NEAR]
+        if v < h[i + NEAR - 1] and v <= h[i + NEAR + 1] and v < min(h[i : i + NEAR]) and v <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1]):
+            out += [*range(out[-1] + LONG_PIECE, i, LONG_PIECE), i]
+    return [*out, *range(out[-1] + LONG_PIECE, len(words), LONG_PIECE)]
 
 
 def sentences(text: str | None) -> list[tuple[int, int, int]]:
@@ -46,7 +45,7 @@ def sentences(text: str | None) -> list[tuple[int, int, int]]:
         piece, begin = text[at:stop], at
         n = len(piece.split())
         if n > LONG_SENTENCE:
-            places = [(m.start() + at, m.end() + at) for m in re.finditer(r"\S+", piece)]
+            places = [m.span() for m in WORD.finditer(text, at, stop)]
             starts = cuts([text[b:e].lower() for b, e in places])
             for i, j in zip(starts, [*starts[1:], len(places)], strict=True):
                 out.append((begin, places[j - 1][1], j - i))
