@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, simhash, spans, tokens, urls, warc
+from . import audit, chat, decontaminate, mixing, pii, quality, simhash, spans, tokens, urls, warc
 from .common import scratch
 from .oracles import ORACLES
 
@@ -86,6 +86,10 @@ def op10_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.apply_edits(trees).drop("tree")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_url_filter,
         op10_token_edits,
+        op11_filter_audit,
     )
 }
 
