@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from . import audit, chat, decontaminate, mixing, negatives, pii, quality, simhash, spans, tokens, urls, warc
+from . import audit, chat, decontaminate, mixing, negatives, packing, pii, quality, simhash, spans, tokens, urls, warc
 from .common import scratch
 from .oracles import ORACLES
 
@@ -90,6 +94,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@F.pandas_udf(LongType())
+def crc32_of_ids(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: zlib.crc32(np.asarray(x, dtype="<u4").tobytes()))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", crc32_of_ids("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
@@ -109,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_url_filter,
         op10_token_edits,
         op11_filter_audit,
+        op12_best_fit_packing,
         op13_hard_negatives,
     )
 }
