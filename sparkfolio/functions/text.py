@@ -99,9 +99,9 @@ def _mixed_tokens(low: Column) -> Column:
     return F.concat(latin, pairs, terms)
 
 
-def query_terms(query: Column) -> Column:
+def query_terms(query: Column, cut=tokens) -> Column:
     """Different tokens of 2 characters or more that aren't stop words, in order."""
-    return F.filter(F.array_distinct(tokens(query)), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
+    return F.filter(F.array_distinct(cut(query)), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
 def highlight_terms(query: Column) -> Column:

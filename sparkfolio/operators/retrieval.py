@@ -1,18 +1,22 @@
 """Index, retrieval legs and their fusion.
 
-Every leg is a DataFrame (id, rank), rank from 0, over all its candidates;
+Every leg gives scores (id, score) of all its candidates, and ranks from 0;
 nothing is cut to k before fusion, since totals count every candidate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..functions import segment
 from ..functions import text as X
 from ..functions import visibility as V
 from ..functions.numerals import normalize_article_no
-from ..sources.shared import numbered
+from ..sources.shared import numbered, stored
+from . import grams
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -21,14 +25,17 @@ LEGS = ["segment", "keyword", "vector"]
 
 
 def postings(units: DataFrame, tokens=X.tokens) -> DataFrame:
-    """(term, id, tf, dl) of units (id, text); dl is the unit's number of tokens. Counted with map-side combine per unit and term."""
-    words = units.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
+    """(term, id, tf, dl) of units (id, text); dl is the unit's number of tokens. Counted with map-side combine per unit and term.
+
+    ``tokens`` is a segmenter, or a function from a text column to an array column.
+    """
+    words = segment.words_of(units, tokens).select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
     return words.where("term is not null").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def corpus_stats(units: DataFrame, tokens=X.tokens) -> DataFrame:
     """One row (n, avgdl)."""
-    return units.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return segment.words_of(units, tokens).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
 
 
 def missing_from_index(units: DataFrame, index: DataFrame) -> DataFrame:
@@ -36,34 +43,54 @@ def missing_from_index(units: DataFrame, index: DataFrame) -> DataFrame:
     return units.join(index.select("id").distinct(), "id", "left_anti")
 
 
+def idf_of(n, df):
+    """A term's weight by the units that hold it; a common one keeps a small weight."""
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
+
+
 def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     """(id, score) of the units that hold any of the terms. Only their postings are read; the one-row statistics are a scalar subquery."""
     hits = index.where(F.col("term").isin(terms)) if terms else index.where("false")
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
+    idf = idf_of(F.col("n"), F.col("df"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.join(F.broadcast(df), "term").withColumns({"n": n, "avgdl": avgdl}).groupBy("id").agg(F.sum(idf * tf).alias("score"))
 
 
-def ranked(scores: DataFrame, higher_id: bool = False) -> DataFrame:
-    """(id, rank) by score, best first, then by id, the lower first unless ``higher_id``.
+#: Candidates of all legs that are numbered leg by leg; more are numbered by ranges.
+MOST_NUMBERED = 1_000_000
 
-    Scores that agree to nine digits are equal. Ranks of all candidates are
-    needed, so they are numbered by ranges of (score, id): however many share a
-    score, they span several ranges.
-    """
-    keyed = scores.select("id", (-F.round("score", 9)).alias("minus"), (-F.col("id") if higher_id else F.col("id")).alias("tie"))
-    return numbered(keyed, "minus", "tie").select("id", (F.col("nth") - 1).alias("rank"))
 
+def ranked(scores: list[tuple[str, DataFrame]], most: int = MOST_NUMBERED) -> tuple[DataFrame, dict[str, int]]:
+    """((leg, id, rank), candidates by leg) of legs of scores (id, score): best first, then by id, in the vector leg the higher id first.
 
-def segment_leg(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
-    return ranked(bm25(index, stats, terms))
+    Scores that agree to nine digits are equal. Ranks of all candidates are
+    needed. Up to a number of them a leg is sorted by one task; more are
+    numbered by ranges of (leg, score, id): however many share a score, they
+    span several ranges.
+    """
+    every = None
+    for name, rows in scores:
+        tie = -F.col("id") if name == "vector" else F.col("id")
+        rows = rows.select(F.lit(LEGS.index(name)).alias("leg"), (-F.round("score", 9)).alias("minus"), tie.alias("tie"), "id")
+        every = rows if every is None else every.unionByName(rows)
+    every = stored(every, "legs")
+    held = {LEGS[r["leg"]]: r["n"] for r in every.groupBy("leg").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(held.values()) <= most:
+        place = F.row_number().over(W.partitionBy("leg").orderBy("minus", "tie"))
+        return every.select("leg", "id", (place - 1).cast("long").alias("rank")), held
+    dealt = numbered(every, "leg", "minus", "tie")
+    first = dealt.groupBy("leg").agg(F.min("nth").alias("first"))  # as many rows as legs
+    return dealt.join(F.broadcast(first), "leg").select("leg", "id", (F.col("nth") - F.col("first")).alias("rank")), held
 
 
 def phrase_scores(units: DataFrame, phrases: list[str]) -> DataFrame:
-    """BM25 of substrings: (id, score) of units (id, text) with any phrase of 3 characters or more; shorter ones are left out."""
+    """BM25 of substrings: (id, score) of units (id, text) with any phrase of 3 characters or more; shorter ones are left out.
+
+    Reads every text; ``grams.phrase_scores`` has the same scores from stored trigrams.
+    """
     phrases = [p for p in phrases if len(p) >= 3]
     if not phrases:
         return units.where("false").select("id", F.lit(0.0).alias("score"))
@@ -73,8 +100,7 @@ def phrase_scores(units: DataFrame, phrases: list[str]) -> DataFrame:
     score = F.lit(0.0)
     for i in range(len(phrases)):
         df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        score += F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score += idf_of(F.col("n"), df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     names = ["n", "avgdl", *[f"df{i}" for i in range(len(phrases))]]
     any_hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(phrases))], F.lit(0.0)) > 0
     return counted.where(any_hit).withColumns({c: stats.select(c).scalar() for c in names}).select("id", score.alias("score"))
@@ -89,11 +115,6 @@ def keyword_scores(units: DataFrame, query: str) -> DataFrame:
     return scores.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def keyword_leg(units: DataFrame, query: str) -> DataFrame:
-    """First the units with the whole query, then those with any of its terms; each once, at its first place."""
-    return ranked(keyword_scores(units, query))
-
-
 def cosine(a, b):
     """Cosine of two vectors of equal size; 0 if sizes differ or a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -107,11 +128,6 @@ def vector_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.where("embedding is not null").select("id", cosine(F.col("embedding"), q).alias("score"))
 
 
-def vector_leg(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """Best first; of equal scores the higher id."""
-    return ranked(vector_scores(vectors, query), higher_id=True)
-
-
 def like_scores(units: DataFrame, terms: list[str]) -> DataFrame:
     """(id, score) of units with any term whatever its case; the score is the characters that removing exact occurrences takes away."""
     low = F.lower("text")
@@ -123,14 +139,10 @@ def like_scores(units: DataFrame, terms: list[str]) -> DataFrame:
     return units.where(any_hit).select("id", score.cast("long").alias("score"))
 
 
-def rrf(legs: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Reciprocal rank fusion: (id, score, reasons, first), one row per candidate; ties keep the first leg and rank that met them."""
-    every = None
-    for name, leg in legs:
-        rows = leg.select("id", F.lit(LEGS.index(name)).alias("leg"), F.col("rank"))
-        every = rows if every is None else every.unionByName(rows)
+def rrf(ranks: DataFrame) -> DataFrame:
+    """Reciprocal rank fusion of (leg, id, rank): (id, score, reasons, first), one row per candidate; ties keep the first leg and rank that met them."""
     names = F.array(*[F.lit(n) for n in LEGS])
-    return every.groupBy("id").agg(
+    return ranks.groupBy("id").agg(
         F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score"),
         F.transform(F.array_sort(F.collect_set("leg")), lambda i: F.element_at(names, i + 1)).alias("reasons"),
         F.min(F.struct("leg", "rank")).alias("first"),
@@ -149,22 +161,9 @@ def exact_hits(articles: DataFrame, laws: DataFrame, title: str, article_no: str
     return wanted.select(F.min_by("id", F.struct(F.col("article_no") != article_no, "id")).alias("id")).where("id is not null")
 
 
-def fuse(legs: list[tuple[str, DataFrame]], fallback: DataFrame | None = None, exact: DataFrame | None = None) -> DataFrame:
-    """(id, score, match_type, reasons, order columns): fused candidates, an exact hit first.
-
-    ``fallback`` (id, score) counts only if neither word leg has a candidate;
-    an anti-join against them keeps that a plan, not a driver's decision.
-    """
-    if fallback is not None:
-        words = None
-        for name, leg in legs:
-            if name != "vector":
-                words = leg.select("id") if words is None else words.union(leg.select("id"))
-        if words is not None:
-            some = words.agg(F.count(F.lit(1)).alias("n"))
-            fallback = fallback.where(some.scalar() == 0)
-        legs = [*legs, ("keyword", ranked(fallback))]
-    fused = rrf(legs)
+def fuse(ranks: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """(id, score, match_type, reasons, order columns): fused candidates of (leg, id, rank), an exact hit first."""
+    fused = rrf(ranks)
     exact_ids = exact if exact is not None else fused.where("false").select("id")
     both = fused.join(exact_ids.select("id", F.lit(True).alias("is_exact")), "id", "full")
     hit = F.coalesce("is_exact", F.lit(False))
@@ -181,15 +180,18 @@ def fuse(legs: list[tuple[str, DataFrame]], fallback: DataFrame | None = None, e
 def page(candidates: DataFrame, articles: DataFrame, laws: DataFrame, keep=None, number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame]:
     """(page, total) of fused candidates whose law passes ``keep``.
 
-    Filters go by the narrow columns; texts are fetched for the page's ids only.
+    Filters go by the narrow columns. The page's rows, ``size`` at most, are
+    looked up at once, so that texts are read by their ids, which reach the scan.
     """
     number, size = clamp_page(number, size)
     seen = laws.where(keep) if keep is not None else laws
     ids = candidates.join(articles.select("id", "law_id"), "id").join(seen.select(F.col("id").alias("law_id"), "title", "level", "status", "source_url"), "law_id")
     total = ids.agg(F.count(F.lit(1)).alias("total"))
-    shown = ids.orderBy("place", "id").offset((number - 1) * size).limit(size)
-    texts = articles.select("id", "article_no", "text")
-    return texts.join(F.broadcast(shown), "id").orderBy("place", "id"), total
+    rows = ids.orderBy("place", "id").offset((number - 1) * size).limit(size)
+    found = rows.collect()
+    shown = articles.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(found)], T.StructType([T.StructField("nth", T.IntegerType()), *rows.schema]))
+    texts = articles.select("id", "article_no", "text").where(F.col("id").isin([r["id"] for r in found]))
+    return texts.join(F.broadcast(shown), "id").repartition(1).sortWithinPartitions("nth").drop("nth"), total
 
 
 def clamp_page(number, size, most: int = 100, default: int = 10) -> tuple[int, int]:
@@ -222,36 +224,56 @@ def has_more(total: int, number: int, size: int, shown: int) -> bool:
     return (number - 1) * size + shown < total
 
 
-def unified(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, law_page: int = 1, article_page: int = 1, size: int = 10, **filters) -> tuple[DataFrame, DataFrame | None]:
-    """(laws, articles) that a query finds, each with its own page; without a query only the laws that pass the filters."""
+def unified(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, law_page: int = 1, article_page: int = 1, size: int = 10, phrases: tuple[DataFrame, DataFrame] | None = None, **filters) -> tuple[DataFrame, DataFrame | None]:
+    """(laws, articles) that a query finds, each with its own page; without a query only the laws that pass the filters.
+
+    Laws are found by articles that hold the query: with ``phrases``, the stored trigrams and their statistics, without reading a text.
+    """
     from . import catalog
 
     seen = V.active() & V.law_filters(**filters)
     if not query.strip():
         return catalog.list_laws(laws, number=law_page, size=size, **filters)[0], None
-    matched = articles.where(V.contains_ci(F.coalesce("text", F.lit("")), query)).select("law_id")
+    if phrases is not None and len(query) >= 3:
+        matched = articles.select("id", "law_id").join(grams.hits(phrases[0], [query]).select("id"), "id").select("law_id")
+    else:
+        matched = articles.where(V.contains_ci(F.coalesce("text", F.lit("")), query)).select("law_id")
     found = catalog.list_laws(laws, number=law_page, size=size, q=query, matched=matched, **filters)[0]
-    return found, search(articles, laws, index, stats, query, keep=seen, number=article_page, size=size)[0]
+    return found, search(articles, laws, index, stats, query, keep=seen, number=article_page, size=size, phrases=phrases)[0]
+
 
+def search(
+    articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, keep=None, vector: list[float] | None = None, number: int = 1, size: int = 10,
+    phrases: tuple[DataFrame, DataFrame] | None = None, tokens=X.tokens,
+) -> tuple[DataFrame, DataFrame, str]:
+    """(page, total, mode) of a query: segment, keyword and vector legs, a cited article first.
 
-def search(articles: DataFrame, laws: DataFrame, index: DataFrame, stats: DataFrame, query: str, keep=None, vector: list[float] | None = None, number: int = 1, size: int = 10) -> tuple[DataFrame, DataFrame, str]:
-    """(page, total, mode) of a query: segment, keyword and vector legs, the fallback, a cited article first."""
+    ``phrases`` are the stored trigrams and their statistics; without them the keyword
+    leg reads all texts. ``tokens`` has to be what the index was cut by. Only if
+    neither word leg has a candidate, texts are read for the query's terms. The
+    mode is hybrid if the vector leg has candidates, else keyword.
+    """
     spark = articles.sparkSession
-    row = spark.range(1).select(X.query_terms(F.lit(query)).alias("terms"), parse(query).alias("cited")).first()
     units = articles.select("id", F.concat_ws(" ", "article_no", "text").alias("text"))
-    legs = [("segment", segment_leg(index, stats, row["terms"])), ("keyword", keyword_leg(units, query))]
+    dictionary = isinstance(tokens, segment.Segmenter)
+    asked = spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": query})  # a local row: no job
+    row = asked.select(parse(F.col("q")).alias("cited"), X.query_terms(F.col("q"), X.tokens if dictionary else tokens).alias("terms")).first()
+    cited, terms = row["cited"], tokens.query_terms(query) if dictionary else row["terms"]
+    scores = [("segment", bm25(index, stats, terms)), ("keyword", grams.keyword_scores(*phrases, query) if phrases is not None else keyword_scores(units, query))]
     if vector is not None:
-        legs.append(("vector", vector_leg(articles, vector)))
-    exact = exact_hits(articles, laws, row["cited"]["title"], row["cited"]["article_no"]) if row["cited"] else None
-    fused = fuse(legs, like_scores(units, [t for t in X.split_terms(query) if t]), exact)
-    shown, total = page(fused, articles, laws, keep, number, size)
-    return shown.withColumn("snippet", X.snippet(F.col("text"), row["terms"])), total, "hybrid" if vector is not None else "keyword"
+        scores.append(("vector", vector_scores(articles, vector)))
+    ranks, held = ranked(scores)
+    if not held.keys() & {"segment", "keyword"}:
+        ranks = ranks.unionByName(ranked([("keyword", like_scores(units, [t for t in X.split_terms(query) if t]))])[0])
+    exact = exact_hits(articles, laws, cited["title"], cited["article_no"]) if cited else None
+    shown, total = page(fuse(ranks, exact), articles, laws, keep, number, size)
+    return shown.withColumn("snippet", X.snippet(F.col("text"), terms)), total, "hybrid" if "vector" in held else "keyword"
 
 
-def parse(query: str):
+def parse(query):
     from ..functions.numerals import parse_citation
 
-    return parse_citation(F.lit(query))
+    return parse_citation(query)
 
 
 def backfill_embeddings(articles: DataFrame, embed, batch: int = 64, chars: int = 3000) -> DataFrame:

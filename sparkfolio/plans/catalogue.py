@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numerals as N
+from ..functions import segment
 from ..functions import text as X
 from ..functions import titles as T
 from ..functions import visibility as V
 from .. import schema
-from ..operators import catalog, citations, governance, graph, index, retrieval, upsert
+from ..operators import catalog, citations, governance, grams, graph, index, retrieval, upsert
 from ..sources import files, pages, shared
 from .standins import ACTIVE_SQL, ARTICLES_SQL, LAWS_SQL, NAMED_SQL, RELATIONS_SQL, TITLED_SQL, TRADE_SQL, articles, laws, named, nation_relations, slim_laws, table, titled, trade
 
@@ -403,10 +404,20 @@ def _units(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _index_root(spark, d):
+    return f"{shared.folder(spark)}/index/{files.fingerprint(spark, f'{d}/documents.parquet')}"
+
+
 def _index(spark, d):
     """The stored index of the documents: made when first asked for, renewed when the input's files are others."""
-    root = f"{shared.folder(spark)}/index/{files.fingerprint(spark, f'{d}/documents.parquet')}"
-    return index.refresh(_units(spark, d), root)
+    root = _index_root(spark, d)
+    return index.read(spark, root) if index.versions(spark, root) else index.refresh(_units(spark, d), root)
+
+
+def _grams(spark, d):
+    """(trigrams, statistics) of the same index."""
+    _index(spark, d)
+    return index.read_grams(spark, _index_root(spark, d))
 
 
 def _segment_scores(spark, d):
@@ -428,7 +439,7 @@ _PHRASE_SQL = "p AS (SELECT doc_id AS id, (length(text) - length(replace(lower(t
 
 @query(f"WITH {_PHRASE_SQL} SELECT id, score FROM kw ORDER BY score DESC, id LIMIT 20")
 def substring_phrase_rank(spark, d):
-    return retrieval.phrase_scores(_units(spark, d), ["the on"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
+    return grams.phrase_scores(*_grams(spark, d), ["the on"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("SELECT doc_id AS id, CAST(length(text) - length(replace(text, 'heat', '')) + length(text) - length(replace(text, 'that', '')) AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'heat') OR contains(lower(text), 'that')")
@@ -456,14 +467,13 @@ _RRF_SQL = f"WITH {_STATS_SQL}, {_PHRASE_SQL}, {_VECTOR_SQL}, legs AS (SELECT id
 
 
 def _fused(spark, d):
-    units = _units(spark, d)
     rounded = lambda df: df.withColumn("score", F.round("score", 6))
-    legs = [
-        ("segment", retrieval.ranked(_segment_scores(spark, d))),
-        ("keyword", retrieval.ranked(rounded(retrieval.phrase_scores(units, ["the on"])))),
-        ("vector", retrieval.ranked(rounded(retrieval.vector_scores(_vectors(spark, d), _query_vector(spark, d))), higher_id=True)),
+    scores = [
+        ("segment", _segment_scores(spark, d)),
+        ("keyword", rounded(grams.phrase_scores(*_grams(spark, d), ["the on"]))),
+        ("vector", rounded(retrieval.vector_scores(_vectors(spark, d), _query_vector(spark, d)))),
     ]
-    return retrieval.rrf(legs)
+    return retrieval.rrf(retrieval.ranked(scores)[0])
 
 
 @query(f"{_RRF_SQL} SELECT id, score, reasons FROM fused")
@@ -501,17 +511,17 @@ def _results(found):
 
 @query(f"{_SEARCH_SQL} {_PAGE_SQL} OFFSET 10")
 def hybrid_page(spark, d):
-    return _results(retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d), number=2)[0])
+    return _results(retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d), number=2, phrases=_grams(spark, d))[0])
 
 
 @query(f"{_SEARCH_SQL} SELECT count(*) AS total FROM shown")
 def hybrid_total(spark, d):
-    return retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d))[1]
+    return retrieval.search(*_library(spark, d), " ".join(TERMS), V.active(), _query_vector(spark, d), phrases=_grams(spark, d))[1]
 
 
 @query(f"{_SEARCH_SQL} {_PAGE_SQL.replace('LIMIT 10', 'LIMIT 5')}")
 def search_first_results(spark, d):
-    return _results(retrieval.search_topk(*_library(spark, d), " ".join(TERMS), 5, keep=V.active(), vector=_query_vector(spark, d)))
+    return _results(retrieval.search_topk(*_library(spark, d), " ".join(TERMS), 5, keep=V.active(), vector=_query_vector(spark, d), phrases=_grams(spark, d)))
 
 
 @query(
@@ -520,7 +530,7 @@ def search_first_results(spark, d):
     "arts AS (SELECT id FROM shown ORDER BY round(score, 12) DESC, first, id LIMIT 10) SELECT 'law' AS side, id FROM found UNION ALL SELECT 'article', id FROM arts"
 )
 def unified_search(spark, d):
-    laws_, arts = retrieval.unified(*_library(spark, d), " ".join(TERMS))
+    laws_, arts = retrieval.unified(*_library(spark, d), " ".join(TERMS), phrases=_grams(spark, d))
     return laws_.select(F.lit("law").alias("side"), "id").unionByName(arts.select(F.lit("article").alias("side"), "id"))
 
 
@@ -545,6 +555,35 @@ def tokenize_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
 
 
+#: Titles with words of the field in them, and texts that name them: every path through a text's words is walked, the most probable one counts.
+_WORD_TITLE = "CASE p_partkey % 3 WHEN 0 THEN '证券发行' WHEN 1 THEN '上市公司信息披露' ELSE '减持' END || translate(CAST(p_size AS VARCHAR), '0123456789', '零一二三四五六七八九') || '号办法'"
+_WORD_TEXT = f"'依' || {_WORD_TITLE} || '减持及注册制' || CASE WHEN p_partkey % 2 = 0 THEN '信息披露义务' ELSE '证券 IPO 2023' END"
+
+
+@query(
+    f"WITH RECURSIVE titles AS (SELECT DISTINCT {_WORD_TITLE} AS term FROM part WHERE p_partkey % 5 > 0), "
+    f"counts AS (SELECT term, max(n) AS n FROM (SELECT unnest([{', '.join(repr(t) for t in X.TERMS)}]) AS term, 1 AS n UNION ALL SELECT term, 10000 FROM titles) GROUP BY term), "
+    "total AS (SELECT ln(sum(n)) AS logs FROM counts), "
+    f"texts AS (SELECT DISTINCT {_WORD_TEXT} AS text FROM part), runs AS (SELECT DISTINCT text, unnest(regexp_extract_all(text, '[一-鿿]+')) AS run FROM texts), "
+    "edges AS (SELECT run, i, 1 AS n, -logs AS log FROM (SELECT DISTINCT run FROM runs), total, unnest(range(1, length(run) + 1)) AS u(i) "
+    "UNION ALL SELECT run, i, length(term), ln(n) - logs FROM (SELECT DISTINCT run FROM runs), total, counts, unnest(range(1, length(run) + 1)) AS u(i) WHERE substr(run, i, length(term)) = term), "
+    "walks AS (SELECT run, CAST(1 AS BIGINT) AS pos, CAST(0 AS DOUBLE) AS log, '' AS path FROM (SELECT DISTINCT run FROM runs) "
+    "UNION ALL SELECT w.run, w.pos + e.n, w.log + e.log, w.path || CASE WHEN w.path = '' THEN '' ELSE '/' END || substr(w.run, w.pos, e.n) FROM walks w JOIN edges e ON e.run = w.run AND e.i = w.pos), "
+    "best AS (SELECT run, max_by(path, log) AS path FROM walks WHERE pos = length(run) + 1 GROUP BY run), "
+    "parts AS (SELECT text, u.nth, u.part FROM (SELECT text, regexp_extract_all(text, '[一-鿿]+|[A-Za-z0-9]+') AS p FROM texts), unnest(p) WITH ORDINALITY AS u(part, nth)), "
+    "cut AS (SELECT text, string_agg(coalesce(path, lower(part)), '/' ORDER BY nth) AS words FROM parts LEFT JOIN best ON run = part GROUP BY text) "
+    f"SELECT p_partkey AS id, words FROM part JOIN cut ON text = {_WORD_TEXT}"
+)
+def segment_paths(spark, d):
+    digits = lambda c: F.translate(c.cast("string"), "0123456789", "零一二三四五六七八九")
+    k = F.col("p_partkey")
+    title = F.concat(F.when(k % 3 == 0, "证券发行").when(k % 3 == 1, "上市公司信息披露").otherwise("减持"), digits(F.col("p_size")), F.lit("号办法"))
+    parts = table(spark, d, "part").select(k.alias("id"), title.alias("title"))
+    text = F.concat(F.lit("依"), "title", F.lit("减持及注册制"), F.when(F.col("id") % 2 == 0, "信息披露义务").otherwise("证券 IPO 2023"))
+    seg = segment.Segmenter(segment.dictionary(spark, parts.where("id % 5 > 0").select(F.concat(F.lit("《"), "title", F.lit("》")).alias("title"))))
+    return seg.words(parts.select("id", text.alias("text")), inner=False).select("id", F.array_join("w", "/").alias("words"))
+
+
 @query(
     "WITH s AS (SELECT item_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM (SELECT item_id, regexp_split_to_array(text, '[\\s，。、；：？！·,.:;?!]+') AS w FROM benchmark)), "
     "t AS (SELECT item_id, unnest(w) AS term, unnest(range(1000001, 1000001 + len(w))) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)), "
