@@ -31,22 +31,39 @@ def citations(answers: DataFrame, text: str = "text") -> DataFrame:
     return answers.select("id", F.posexplode_outer(extract(F.col(text))).alias("nth", "c")).where("c is not null").select("id", "nth", "c.title", "c.raw_no", normalize_article_no(F.col("c.raw_no")).alias("article_no"))
 
 
-#: Characters of a part that are looked up before the whole is compared.
+#: Characters of the grams by which parts are looked up.
 GRAM = 4
 
 
-def containing(parts: DataFrame, part: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows of ``parts`` joined with those of ``names`` whose name contains the part, whatever the case.
+def _grams(text: Column, n: Column) -> Column:
+    """A text's different grams of n characters."""
+    size = F.length(text)
+    places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+    return F.when((size >= n) & (n > 0), F.array_distinct(F.transform(places, lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
 
-    An equi-join: a part's first characters, up to GRAM, are met by the grams
-    of that length of the names; then the whole part is compared.
+
+def candidates(parts: DataFrame, part: str, names: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """(low, ...) pairs of different lower-cased parts with the rows of ``names`` that hold the part's rarest gram.
+
+    Every gram of a contained part is in the name, so any one of them finds it;
+    the one that the fewest names hold finds the fewest others. A part with a
+    gram that no name holds has no candidate. Parts below GRAM characters are
+    one gram; ``least`` says how short parts are, so that names needn't be
+    spread by shorter grams.
     """
-    low = F.lower(part)
-    keyed = parts.withColumn("gram", F.substring(low, 1, GRAM)).where(F.length(part) > 0)
-    size = F.length(name)
-    grams = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.lower(name), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    spread = names.withColumn("gram", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))))
-    return keyed.join(spread, "gram").where(F.contains(F.lower(name), low)).drop("gram")
+    sizes = range(min(least, GRAM), GRAM + 1)
+    spread = names.withColumn("gram", F.explode(F.concat(*[_grams(F.lower(F.col(name)), F.lit(n)) for n in sizes])))
+    held = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    low = parts.select(F.lower(part).alias("low")).where(F.length("low") >= least).distinct()
+    own = low.select("low", F.explode(_grams(F.col("low"), F.least(F.length("low"), F.lit(GRAM)))).alias("gram"))
+    rarest = own.join(held, "gram", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"))
+    return rarest.where("r.df > 0").select("low", F.col("r.gram").alias("gram")).join(spread, "gram").drop("gram")
+
+
+def containing(parts: DataFrame, part: str, names: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """Rows of ``parts`` joined with those of ``names`` whose name contains the part, whatever the case: candidates, then the whole part is compared."""
+    found = candidates(parts, part, names, name, least).where(F.contains(F.lower(F.col(name)), F.col("low")))
+    return parts.withColumn("low", F.lower(part)).join(found, "low").drop("low")
 
 
 def match_titles(cited: DataFrame, laws: DataFrame, variants=T.title_variants, keys=T.fuzzy_keys, guard=T.match_ok) -> DataFrame:
@@ -67,7 +84,7 @@ def match_titles(cited: DataFrame, laws: DataFrame, variants=T.title_variants, k
     left = names.join(exact, "title", "left_anti")
     parts = left.select("title", F.posexplode(variants(F.col("title"))).alias("p", "v")).where(F.length("v") >= 4)
     parts = parts.select("title", "p", F.posexplode(keys(F.col("v"))).alias("q", "key")).where(F.length("key") >= 4)
-    found = containing(parts, "key", seen, "law_title").where(guard(F.col("title"), F.col("law_title")))
+    found = containing(parts, "key", seen, "law_title", least=4).where(guard(F.col("title"), F.col("law_title")))
     fuzzy = found.groupBy("title").agg(F.min_by("law_id", F.struct("p", "q", F.length("law_title"), "law_id")).alias("law_id"))
     return exact.unionByName(fuzzy)
 
@@ -88,6 +105,48 @@ def unique_targets(candidates: DataFrame, key: str = "key", target: str = "targe
     return candidates.groupBy(key).agg(F.when(one, F.min(target)).alias(target))
 
 
+def chips(marks: DataFrame, cited: DataFrame) -> DataFrame:
+    """(id, nth, law_id, article_id) of an answer's marks (id, nth, title, no): the citation that each one means.
+
+    ``cited`` (id, title, ref_title, no, law_id, article_id) are the citations
+    that came with the answers. A mark goes by its title, in either of the
+    citation's two titles, and its number. Years in titles count; only a mark
+    without year whose title meets no citation of its answer goes by titles
+    without years. A mark whose citations have different targets, or none, gets
+    nulls.
+    """
+    bare = lambda c: F.regexp_replace(c, f"^{T.COUNTRY}", "")
+    number = lambda c: F.when(T.strip(F.coalesce(c, F.lit(""))) == "全文", F.lit("全文")).otherwise(normalize_article_no(c))
+
+    def keys(title: Column, years: bool) -> Column:
+        clean = T.clean_title(title)
+        bases = [clean] if years else [clean, T.strip(F.regexp_replace(clean, T.ANY_VERSION, ""))]
+        longer = [F.when(F.contains(b, F.lit(short)), F.replace(b, F.lit(short), F.lit(full))) for b in bases for short, full in T.ALIASES]
+        return F.array_remove(F.array_distinct(F.array_compact(F.transform(F.array(*bases, *longer), bare))), "")
+
+    # expressions of titles and numbers are worked out once for each different one
+    titles = marks.select("title").union(cited.select("title")).union(cited.select(F.col("ref_title"))).where("title is not null").distinct()
+    tagged = lambda kind, found: F.transform(found, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    every = F.concat(tagged("full", keys(F.col("title"), True)), tagged("loose", keys(F.col("title"), False)))
+    titles = titles.select("title", every.alias("keys"), bare(T.clean_title(F.col("title"))).alias("name"), F.col("title").rlike(T.ANY_VERSION).alias("dated"))
+    numbers = marks.select("no").union(cited.select("no")).where("no is not null").distinct()
+    numbers = numbers.select("no", number(F.col("no")).alias("number"))
+    left = marks.join(numbers, "no").join(titles, "title")
+    left = left.select("id", "nth", F.col("number").alias("no"), F.explode(F.filter("keys", lambda k: (k["kind"] == "full") | ~F.col("dated"))).alias("key"))
+    right = cited.join(numbers, "no").select("id", "number", "law_id", "article_id", "title", "ref_title").join(titles.drop("dated"), "title", "left")
+    right = right.join(titles.select(F.col("title").alias("ref_title"), F.col("keys").alias("ref_keys")), "ref_title", "left")
+    none = F.array().cast(titles.schema["keys"].dataType)
+    target = F.struct("law_id", "article_id", F.when(F.col("law_id").isNull(), F.coalesce("name", "ref_title")).alias("name"))
+    right = right.select("id", F.col("number").alias("cited_no"), target.alias("target"), F.explode(F.array_union(F.coalesce("keys", none), F.coalesce("ref_keys", none))).alias("key"))
+    met = left.join(right, ["id", "key"])
+    # a mark has one target if the least is the greatest
+    hit = {kind: F.when((F.col("key.kind") == kind) & (F.col("no") == F.col("cited_no")), F.col("target")) for kind in ("full", "loose")}
+    seen = met.groupBy("id", "nth").agg(F.max(F.col("key.kind") == "full").alias("any_full"), *[f(c).alias(f"{kind}_{f.__name__}") for kind, c in hit.items() for f in (F.min, F.max)])
+    one = lambda kind: F.when(F.col(f"{kind}_min") == F.col(f"{kind}_max"), F.col(f"{kind}_min"))
+    found = seen.select("id", "nth", F.when(F.col("any_full"), one("full")).otherwise(one("loose")).alias("target"))
+    return marks.select("id", "nth").join(found, ["id", "nth"], "left").select("id", "nth", "target.law_id", "target.article_id")
+
+
 def match_references(refs: DataFrame, laws: DataFrame) -> DataFrame:
     """(ref_title, law_id): exact variants in order, then laws whose name contains the shortest variant, the shortest name first; every law may be met."""
     names = refs.select("ref_title").distinct()
@@ -118,6 +177,11 @@ def within(answers: DataFrame, title: str, text: str = "text") -> DataFrame:
     return answers.select("id", F.forall(extract(F.col(text)), lambda c: T.clean_title(c["title"]) == T.clean_title(F.lit(title))).alias("inside"))
 
 
+def first_articles(articles: DataFrame, *more: str) -> DataFrame:
+    """(law_id, id, ...) of each law's first article, with further columns of it."""
+    return articles.groupBy("law_id").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in more])
+
+
 def new_relations(items: DataFrame, laws: DataFrame, articles: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, outcome) of extracted items (law_id, ref_title, rel_type, note).
 
@@ -125,7 +189,7 @@ def new_relations(items: DataFrame, laws: DataFrame, articles: DataFrame, relati
     Items that name no law, their own, or one without articles are unmatched;
     ``saved`` counts matched items, also where the edge is there already.
     """
-    first = articles.groupBy("law_id").agg(F.min("id").alias("first_id"))
+    first = first_articles(articles).select("law_id", F.col("id").alias("first_id"))
     target = match_references(items, laws).withColumnRenamed("law_id", "target_law")
     joined = items.join(target, "ref_title", "left").join(first.select("law_id", F.col("first_id").alias("from_id")), "law_id", "left").join(first.select(F.col("law_id").alias("target_law"), F.col("first_id").alias("to_id")), "target_law", "left")
     ok = F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & (F.col("law_id") != F.col("target_law"))

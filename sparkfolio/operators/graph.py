@@ -180,10 +180,18 @@ def layout(node_rows: DataFrame) -> DataFrame:
     return placed.select("id", (F.col("radius") * F.cos("turn")).alias("x"), (F.col("radius") * F.sin("turn")).alias("y"), "r")
 
 
-def labelled(node_rows: DataFrame, zoom: float, least: float = 8.0) -> DataFrame:
-    """Nodes whose label is shown: the larger ones always, others from a zoom on."""
+#: Zooms above which nodes of a degree are labelled, and the degree from which they always are.
+LABEL_ZOOMS, ALWAYS_LABELLED = [(1.6, 8), (0.9, 20)], 45
+
+
+def labelled(node_rows: DataFrame, zoom: float, level: str | None = None, every: bool = False, hovered: int | None = None) -> DataFrame:
+    """Nodes whose label is shown: the larger the zoom, the smaller ones too; with ``every`` (a small board) all. A focus on a level leaves out the others, but for the hovered node."""
     degree = F.col("n_out") + F.col("n_in")
-    return node_rows.where(degree * F.lit(float(zoom)) >= F.lit(float(least)))
+    least = next((n for above, n in LABEL_ZOOMS if zoom > above), ALWAYS_LABELLED)
+    shown = F.lit(every) | (degree >= min(least, ALWAYS_LABELLED))
+    if level is not None:
+        shown &= F.col("level") == level
+    return node_rows.where(shown | (F.col("id").eqNullSafe(hovered) if hovered is not None else F.lit(False)))
 
 
 def nearest(places: DataFrame, x: float, y: float, within: float) -> DataFrame:

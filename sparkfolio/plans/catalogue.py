@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import numerals as N
 from ..functions import segment
@@ -255,9 +256,26 @@ def graph_nodes_degree(spark, d):
     return graph.nodes(laws_, rels, arts)
 
 
-@query(f"WITH {_NODES_SQL} SELECT id FROM nodes WHERE (n_out + n_in) * 0.01 >= 8")
+#: Parts as nodes, line items as their edges to suppliers: degrees on both sides of every bound.
+_PART_NODES_SQL = "nodes AS (SELECT p_partkey AS id, p_type AS level, count(l_orderkey) * (1 + p_partkey % 4) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity < 25 GROUP BY p_partkey, p_type)"
+
+
+def _part_nodes(spark, d):
+    sold = table(spark, d, "lineitem").where("l_quantity < 25").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    degree = F.coalesce("n", F.lit(0)) * (1 + F.col("id") % 4)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("level")).join(sold, "id", "left").select("id", "level", F.floor(degree / 2).alias("n_out"), F.ceil(degree / 2).alias("n_in"))
+
+
+@query(
+    f"WITH {_PART_NODES_SQL}, z(zoom, least) AS (VALUES ('0.5', 45), ('1.0', 20), ('2.0', 8)) SELECT zoom, id FROM nodes, z WHERE degree >= least "
+    "UNION ALL SELECT 'focus', id FROM nodes WHERE (degree >= 20 AND level = (SELECT min(level) FROM nodes)) OR id = 7 UNION ALL SELECT 'all', id FROM nodes"
+)
 def graph_labels(spark, d):
-    return graph.labelled(graph_nodes_degree(spark, d), 0.01).select("id")
+    rows = _part_nodes(spark, d)
+    first = rows.agg(F.min("level")).first()[0]
+    made = [("0.5", {"zoom": 0.5}), ("1.0", {"zoom": 1.0}), ("2.0", {"zoom": 2.0}), ("focus", {"zoom": 1.0, "level": first, "hovered": 7}), ("all", {"zoom": 0.5, "every": True})]
+    out = [graph.labelled(rows, **how).select(F.lit(name).alias("zoom"), "id") for name, how in made]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
 @query(
@@ -805,9 +823,32 @@ def citation_part_of_title(spark, d):
     return citations.match_titles(parts, named(spark, d)[0])
 
 
-@query("SELECT p_name AS key, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS target FROM part GROUP BY p_name")
+@query("SELECT c_acctbal AS key, CASE WHEN count(DISTINCT c_custkey) = 1 THEN min(c_custkey) END AS target FROM customer GROUP BY c_acctbal")
+def unique_balances(spark, d):
+    return citations.unique_targets(table(spark, d, "customer").select(F.col("c_acctbal").alias("key"), F.col("c_custkey").alias("target")))
+
+
+#: An order is an answer; its line items are its citations (the supplier's nation is the law, in two versions), each mark names one of them or leaves the year out.
+_CHIPS_SQL = (
+    "c AS (SELECT l_orderkey AS id, s_nationkey AS law_id, l_suppkey AS article_id, 'LAW_' || s_nationkey || CASE WHEN l_returnflag = 'N' THEN '（2020年修订）' WHEN l_returnflag = 'A' THEN '（2018年修正）' ELSE '' END AS title, l_linenumber AS no "
+    "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY title, no, law_id, article_id) AS nth, CASE WHEN article_id % 3 = 0 THEN split_part(title, '（', 1) ELSE title END AS title, no FROM (SELECT DISTINCT * FROM c))"
+)
+
+
+@query(
+    f"WITH {_CHIPS_SQL}, f AS (SELECT m.id, m.nth, m.no, c.no AS cno, c.law_id, c.article_id FROM m JOIN c ON c.id = m.id AND c.title = m.title), "
+    "y AS (SELECT m.id, m.nth, m.no, c.no, c.law_id, c.article_id FROM m JOIN c ON c.id = m.id AND split_part(c.title, '（', 1) = m.title WHERE NOT contains(m.title, '（') AND NOT EXISTS (SELECT 1 FROM f WHERE f.id = m.id AND f.nth = m.nth)), "
+    "h AS (SELECT id, nth, CASE WHEN count(DISTINCT (law_id, article_id)) = 1 THEN min(law_id) END AS law_id, CASE WHEN count(DISTINCT (law_id, article_id)) = 1 THEN min(article_id) END AS article_id FROM (SELECT * FROM f UNION ALL SELECT * FROM y) WHERE no = cno GROUP BY id, nth) "
+    "SELECT m.id, m.nth, law_id, article_id FROM m LEFT JOIN h USING (id, nth)"
+)
 def citation_chips(spark, d):
-    return citations.unique_targets(table(spark, d, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("target")))
+    version = F.when(F.col("l_returnflag") == "N", "（2020年修订）").when(F.col("l_returnflag") == "A", "（2018年修正）").otherwise("")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    cited = rows.select(F.col("l_orderkey").alias("id"), F.col("s_nationkey").alias("law_id"), F.col("l_suppkey").alias("article_id"), F.concat(F.lit("LAW_"), F.col("s_nationkey").cast("string"), version).alias("title"), F.col("l_linenumber").alias("line"))
+    nth = F.row_number().over(W.partitionBy("id").orderBy("title", "line", "law_id", "article_id"))
+    said = F.concat(F.lit("第"), F.col("line").cast("string"), F.lit("条"))
+    marks = cited.distinct().select("id", nth.cast("long").alias("nth"), F.when(F.col("article_id") % 3 == 0, F.substring_index("title", "（", 1)).otherwise(F.col("title")).alias("title"), said.alias("no"))
+    return citations.chips(marks, cited.select("id", "law_id", "article_id", F.lit(None).cast("string").alias("ref_title"), "title", said.alias("no")))
 
 
 @query("SELECT p_partkey AS id, p_name AS question FROM part WHERE replace(p_name, ' ', '') = 'coldwidget'")
@@ -1037,10 +1078,10 @@ def cache_fingerprint(spark, d):
     return catalog.fingerprint(table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), table(spark, d, "lineitem"), F.col("o_orderdate"))
 
 
-@query("SELECT user_id, max(ts) AS changed, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS stale FROM events GROUP BY user_id")
+@query("SELECT user_id, max(ts) AS changed, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS stale FROM events WHERE event_type = 'purchase' AND value < 60 GROUP BY user_id")
 def stale_sources(spark, d):
     events = table(spark, d, "events")
-    last = events.groupBy("user_id").agg(F.max("ts").alias("changed"))
+    last = events.where("event_type = 'purchase' AND value < 60").groupBy("user_id").agg(F.max("ts").alias("changed"))
     return catalog.stale(last.withColumn("now", events.agg(F.max("ts")).scalar()), F.col("changed"), F.col("now")).drop("now")
 
 
@@ -1061,7 +1102,7 @@ def title_best_match(spark, d):
 
 @query("SELECT doc_id AS law_id, split_part(text, chr(10), 1) AS text FROM documents WHERE text IS NOT NULL")
 def first_article(spark, d):
-    return articles(spark, d).groupBy("law_id").agg(F.min_by("text", "id").alias("text"))
+    return citations.first_articles(articles(spark, d), "text").select("law_id", "text")
 
 
 @query("SELECT c_custkey, CASE WHEN length(c_name) < 8 THEN repeat('*', length(c_name)) ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked FROM customer")

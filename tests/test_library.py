@@ -276,3 +276,31 @@ def test_small_rules(spark):
     docx = io.BytesIO()
     with pytest.raises(Exception):  # noqa: B017
         files.docx_text(docx.getvalue())
+
+
+def test_parts_are_looked_up_by_their_rarest_gram(spark):
+    country = "中华人民共和国"
+    names = spark.createDataFrame([(i, f"{country}第{i}号法") for i in range(4000)], "law_id long, law_title string")
+    parts = spark.createDataFrame([(f"{country}第{i}号",) for i in range(2000)], "part string")
+    assert citations.candidates(parts, "part", names, "law_title", least=4).count() < 40_000
+    found = {(r.part, r.law_id) for r in citations.containing(parts.limit(50), "part", names, "law_title").collect()}
+    plain = {(p.part, n.law_id) for p in parts.limit(50).collect() for n in names.collect() if p.part in n.law_title}
+    assert found == plain and found
+    odd = spark.createDataFrame([("法",), ("号法",), ("",), (None,), ("不在",), ("WIDGET",)], "part string")
+    more = names.limit(30).unionByName(spark.createDataFrame([(9999, "old widget"), (9998, None), (9997, "")], "law_id long, law_title string"))
+    got = {(r.part, r.law_id) for r in citations.containing(odd, "part", more, "law_title").collect()}
+    assert got == {("法", i) for i in range(30)} | {("号法", i) for i in range(30)} | {("WIDGET", 9999)}
+
+
+def test_chips_take_a_year_off_only_where_none_was_said(spark):
+    cited = [
+        (1, "证券法（2019年修订）", None, "第一条", 10, 101), (1, "中华人民共和国公司法", "公司法", "第5条", 20, 205), (1, "最高人民法院规定", None, "全文", 30, None),
+        (2, "证券法（2019年修订）", None, "第一条", 10, 101), (2, "证券法（2005年修订）", None, "第一条", 11, 111), (2, "无号", None, None, 40, 1), (3, "没有的法", None, "第二条", None, None),
+    ]
+    marks = [(1, 1, "证券法", "第1条"), (1, 2, "证券法（2005年修订）", "第一条"), (1, 3, "公司法", "第五条"), (1, 4, "最高法规定", "全文"), (1, 5, "公司法", "第六条"), (2, 1, "证券法", "第一条"), (2, 2, "证券法（2005年修订）", "第一条"), (3, 1, "没有的法", "第二条"), (4, 1, None, None)]
+    got = citations.chips(
+        spark.createDataFrame(marks, "id long, nth long, title string, no string"), spark.createDataFrame(cited, "id long, title string, ref_title string, no string, law_id long, article_id long")
+    )
+    assert {(r.id, r.nth): (r.law_id, r.article_id) for r in got.collect()} == {
+        (1, 1): (10, 101), (1, 2): (None, None), (1, 3): (20, 205), (1, 4): (30, None), (1, 5): (None, None), (2, 1): (None, None), (2, 2): (11, 111), (3, 1): (None, None), (4, 1): (None, None),
+    }
