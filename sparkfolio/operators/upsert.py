@@ -26,23 +26,34 @@ def next_ids(rows: DataFrame, taken: DataFrame, *order: str) -> DataFrame:
 def classify(batch: DataFrame, laws: DataFrame) -> DataFrame:
     """``batch`` (source_name, title, full_text, ...) with content_hash, current_id and action.
 
-    Of a batch's documents with one source and title the last by content hash
+    Titles and texts lose white space at their ends before anything else. Of a
+    batch's documents with one source and title the last by content hash
     counts. Without title or with a short text: skip. The source's current law
     of that title with equal text: skip; with another: update. A new one is
-    inserted unless some law has its text already.
+    inserted unless some law has its text already, or another document of the
+    batch brings it: of several the first by source and title.
     """
-    keyed = batch.withColumn("content_hash", X.content_hash(F.col("full_text")))
+    trimmed = {c: T.strip(F.coalesce(c, F.lit(""))) for c in ("title", "full_text")}
+    keyed = batch.withColumns(trimmed).withColumn("content_hash", X.content_hash(F.col("full_text")))
     latest = keyed.groupBy("source_name", "title").agg(F.max_by(F.struct(*[c for c in keyed.columns if c not in ("source_name", "title")]), "content_hash").alias("d")).select("source_name", "title", "d.*")
     current = laws.where(V.edge_ok()).groupBy("source_name", "title").agg(F.min_by(F.struct("id", "content_hash"), "id").alias("now")).select("source_name", "title", F.col("now.id").alias("current_id"), F.col("now.content_hash").alias("current_hash"))
     held = laws.select("content_hash", F.lit(True).alias("held")).distinct()
     x = latest.join(current, ["source_name", "title"], "left").join(held, "content_hash", "left")
-    bad = (F.coalesce("title", F.lit("")) == "") | (F.length(F.coalesce("full_text", F.lit(""))) < LEAST_TEXT)
+    bad = (F.col("title") == "") | (F.length("full_text") < LEAST_TEXT)
     action = F.when(bad, "skip").when(F.col("current_hash") == F.col("content_hash"), "skip").when(F.col("current_id").isNotNull(), "update").when(F.col("held"), "skip").otherwise("insert")
-    return x.withColumn("action", action).drop("held", "current_hash")
+    x = x.withColumn("action", action).drop("held", "current_hash")
+    by = F.struct((F.col("action") == "insert").alias("new"), F.coalesce("source_name", F.lit("")).alias("source"), "title")
+    first = x.where("action <> 'skip'").groupBy("content_hash").agg(F.min(by).alias("first"))
+    again = (F.col("action") == "insert") & (by != F.col("first"))
+    return x.join(first, "content_hash", "left").withColumn("action", F.when(again, "skip").otherwise(F.col("action"))).drop("first")
 
 
-def apply(actions: DataFrame, laws: DataFrame, now: str) -> DataFrame:
-    """The laws after the actions: a changed law keeps its id, its old text becomes a row of its own that names it in superseded_by."""
+def apply(actions: DataFrame, laws: DataFrame, now: str, every: DataFrame | None = None) -> DataFrame:
+    """The laws after the actions: a changed law keeps its id, its old text becomes a row of its own that names it in superseded_by.
+
+    ``laws`` may be a part of ``every`` law that holds the changed ones; the others are looked at for their ids and hashes only.
+    """
+    every = laws if every is None else every
     changed = actions.where("action = 'update'").select(F.col("current_id").alias("id"), F.struct("full_text", "content_hash", "title", *[c for c in (*REPLACED, "issuer", "status") if c in actions.columns]).alias("new"))
     joined = laws.join(changed, "id", "left")
     has = lambda c: c in actions.columns
@@ -56,7 +67,7 @@ def apply(actions: DataFrame, laws: DataFrame, now: str) -> DataFrame:
     }
     updated = joined.select(*[F.when(F.col("new").isNotNull(), made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in laws.columns])
     # a version that another row holds already isn't kept twice
-    elsewhere = laws.select("content_hash", F.col("id").alias("other_id"))
+    elsewhere = every.select("content_hash", F.col("id").alias("other_id"))
     replaced = laws.join(changed.select("id"), "id", "left_semi")
     twice = replaced.select("id", "content_hash").join(elsewhere, "content_hash").where("id <> other_id").select("id").distinct()
     old = replaced.join(twice, "id", "left_anti").withColumns({"superseded_by": F.col("id"), "status": F.lit("已修订")}).drop("id")
@@ -64,15 +75,15 @@ def apply(actions: DataFrame, laws: DataFrame, now: str) -> DataFrame:
     blank = {c: F.lit(None).cast(t) for c, t in laws.dtypes if c != "id"}
     fresh = fresh.select(*[(F.col(c) if c in fresh.columns else blank[c]).alias(c) for c in laws.columns if c != "id"])
     fresh = fresh.withColumns({"status": F.coalesce("status", F.lit("现行有效")), "created_at": F.lit(now), "version_label": T.version_label(F.col("title"))})
-    new = next_ids(old.unionByName(fresh), laws, "source_name", "title", "content_hash")
+    new = next_ids(old.unionByName(fresh), every, "source_name", "title", "content_hash")
     return updated.unionByName(new.select(*laws.columns))
 
 
-def rebuild_articles(articles: DataFrame, laws: DataFrame, changed: DataFrame) -> DataFrame:
-    """Articles with those of the changed laws (id) split again; ids go on from the highest."""
+def rebuild_articles(articles: DataFrame, laws: DataFrame, changed: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Articles with those of the changed laws (id) split again; ids go on from the highest of ``every`` article, if ``articles`` are a part."""
     kept = articles.join(changed.select(F.col("id").alias("law_id")), "law_id", "left_anti")
     made = X.split_articles(laws.join(changed.select("id"), "id", "left_semi")).select("law_id", "pos", "article_no", "text")
-    fresh = next_ids(made, articles, "law_id", "pos").withColumn("embedding", F.lit(None).cast("array<float>"))
+    fresh = next_ids(made, articles if every is None else every, "law_id", "pos").withColumn("embedding", F.lit(None).cast("array<float>"))
     return kept.unionByName(fresh.select(*kept.columns))
 
 

@@ -949,10 +949,14 @@ def page_archive_name(spark, d):
 
 
 def _batch(spark, d):
-    """The English documents again, some with a line more, as a crawl's batch."""
+    """The English documents again, some with a line more and all with blanks around their titles, as a crawl's batch; every fifth under a second title too, and a blank one."""
     x = laws(spark, d).where("level = 'en'")
     more = F.when(F.contains("full_text", F.lit("scum")), F.concat("full_text", F.lit("\nmore"))).otherwise(F.col("full_text"))
-    return x.select(F.col("id").cast("string").alias("title"), "source_name", more.alias("full_text"))
+    title = F.col("id").cast("string")
+    once = x.select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("  "), title)).otherwise(F.concat(title, F.lit(" "))).alias("title"), "source_name", more.alias("full_text"))
+    again = x.where("id % 5 = 0").select(F.concat(F.lit("again "), title).alias("title"), "source_name", "full_text")
+    blank = laws(spark, d).where("id = 1").select(F.lit("  ").alias("title"), "source_name", F.lit(" " * 70).alias("full_text"))
+    return once.unionByName(again).unionByName(blank)
 
 
 def _titled(spark, d):
@@ -961,10 +965,14 @@ def _titled(spark, d):
 
 
 _ACTIONS_SQL = f"""WITH {LAWS_SQL}, held AS (SELECT CAST(id AS VARCHAR) AS title, * EXCLUDE (title) FROM laws WHERE NOT contains(full_text, '|')),
-batch AS (SELECT CAST(id AS VARCHAR) AS title, source_name, CASE WHEN contains(full_text, 'scum') THEN full_text || chr(10) || 'more' ELSE full_text END AS full_text FROM laws WHERE level = 'en'),
-actions AS (SELECT b.title, b.source_name, c.id AS current_id, CASE WHEN length(b.full_text) < 50 THEN 'skip' WHEN c.content_hash = sha256(b.full_text) THEN 'skip' WHEN c.id IS NOT NULL THEN 'update'
+batch AS (SELECT title, source_name, arg_max(full_text, sha256(full_text)) AS full_text FROM (
+  SELECT trim(CASE id % 4 WHEN 0 THEN '  ' || id ELSE CAST(id AS VARCHAR) || ' ' END) AS title, source_name, regexp_replace(CASE WHEN contains(full_text, 'scum') THEN full_text || chr(10) || 'more' ELSE full_text END, '^\\s+|\\s+$', '', 'g') AS full_text FROM laws WHERE level = 'en'
+  UNION ALL SELECT 'again ' || id, source_name, regexp_replace(full_text, '^\\s+|\\s+$', '', 'g') FROM laws WHERE level = 'en' AND id % 5 = 0
+  UNION ALL SELECT '', source_name, repeat(' ', 70) FROM laws WHERE id = 1) GROUP BY title, source_name),
+told AS (SELECT b.title, b.source_name, c.id AS current_id, sha256(b.full_text) AS h, CASE WHEN b.title = '' OR length(b.full_text) < 50 THEN 'skip' WHEN c.content_hash = sha256(b.full_text) THEN 'skip' WHEN c.id IS NOT NULL THEN 'update'
   WHEN sha256(b.full_text) IN (SELECT content_hash FROM held) THEN 'skip' ELSE 'insert' END AS action
-  FROM batch b LEFT JOIN held c ON c.title = b.title AND c.source_name = b.source_name AND c.duplicate_of IS NULL AND c.superseded_by IS NULL)"""
+  FROM batch b LEFT JOIN held c ON c.title = b.title AND c.source_name = b.source_name AND c.duplicate_of IS NULL AND c.superseded_by IS NULL),
+actions AS (SELECT title, source_name, current_id, CASE WHEN action = 'insert' AND (source_name, title) IS DISTINCT FROM first(CASE WHEN action <> 'skip' THEN (source_name, title) END ORDER BY action = 'skip', action = 'insert', source_name, title) OVER (PARTITION BY h ORDER BY action = 'skip', action = 'insert', source_name, title ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) THEN 'skip' ELSE action END AS action FROM told)"""
 
 
 @query(f"{_ACTIONS_SQL} SELECT title, source_name, current_id, action FROM actions")

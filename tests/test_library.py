@@ -13,7 +13,7 @@ from sparkfolio.functions import numerals as N
 from sparkfolio.functions import text as X
 from sparkfolio.functions import titles as T
 from sparkfolio.operators import catalog, citations, governance, graph, index, retrieval, upsert
-from sparkfolio.sources import files, pages, registry, shared
+from sparkfolio.sources import buckets, files, pages, registry, shared
 from sparkfolio.streaming import ingest
 
 
@@ -47,7 +47,84 @@ def test_ingest_of_two_batches(spark, tmp_path):
     texts = lambda i: [r.text[0] for r in second["articles"].where(F.col("law_id") == i).orderBy("id").collect()]
     assert texts(now["甲法"].id) == list("abcX") and texts(old[0].id) == list("abcdefgh") and texts(now["丙法"].id) == ["z"]
     assert [(r.new_count, r.updated_count, r.status) for r in second["sync_log"].orderBy("id").collect()] == [(2, 0, "ok"), (1, 1, "ok")]
-    assert len(files.snapshots(spark, root)) == 2
+    assert len(buckets.snapshots(spark, root)) == 2
+
+
+def lines_of(spark, *docs):
+    made = [(d if isinstance(d, str) else json.dumps({"source_name": "s", "title": d[0], "full_text": d[1]}, ensure_ascii=False), "f.json") for d in docs]
+    return spark.createDataFrame(made, "value string, file string")
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    root = f"file://{tmp_path}/root"
+    assert ingest.ingest_batch(lines_of(spark, *[(f"law {i}", law_text(f"body {i}")) for i in range(150)]), root, "000")
+    before = buckets.folders(spark, root)
+    seen = {t: sorted(map(str, df.collect())) for t, df in ingest.current(spark, root).items()}
+    files_of = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "root" / "data").rglob("*.parquet")}
+    old_files = files_of()
+    law = {r.title: r.id for r in ingest.current(spark, root)["laws"].collect()}
+    # a relation and a mark of a law that refers to the one that changes, and others that stay
+    art = {r.law_id: r.id for r in ingest.current(spark, root)["articles"].collect()}
+    relation = spark.createDataFrame([(1, art[law["law 5"]], art[law["law 7"]], "引用", None, None), (2, art[law["law 8"]], art[law["law 9"]], "引用", None, None)], schema.RELATIONS)
+    marks = spark.createDataFrame([(law[f"law {i}"], "ok", 1, 0, 0, 0, None, None) for i in (5, 7, 8)], schema.MARKS)
+    buckets.publish(spark, root, "000-x", {"relations": (relation, "from_id", set()), "relation_extractions": (marks, "law_id", set())})
+    assert ingest.ingest_batch(lines_of(spark, ("law 7", law_text("changed")), ("law 150", law_text("new")), ("law 8", law_text("body 8"))), root, "001")
+    after, now = buckets.folders(spark, root), ingest.current(spark, root)
+    replaced = {b for b, fs in before["laws"].items() if not set(fs) <= set(after["laws"][b])}
+    assert replaced == {r[0] for r in spark.createDataFrame([(law["law 7"],)], "id long").select(buckets.bucket_of("id")).collect()}
+    assert sum(before["laws"][b] == after["laws"][b] for b in before["laws"]) >= len(before["laws"]) - 3
+    # files of the older snapshot are as they were, and so is what its readers see
+    assert old_files.items() <= files_of().items()
+    assert {t: sorted(map(str, df.collect())) for t, df in ingest.current(spark, root, "000").items()} == seen
+    rows = now["laws"].collect()
+    assert len(rows) == 152 and len({r.id for r in rows}) == 152 and [r.superseded_by for r in rows if r.status == "已修订"] == [law["law 7"]]
+    assert {(r.from_id, r.to_id) for r in now["relations"].collect()} == {(art[law["law 8"]], art[law["law 9"]])}
+    assert {r.law_id for r in now["relation_extractions"].collect()} == {law["law 8"]}
+    assert [r.text[:7] for r in now["articles"].where(F.col("law_id") == law["law 7"]).collect()] == ["changed"]
+    assert now["articles"].select("id").distinct().count() == now["articles"].count() == 152
+    # the same batch again is no snapshot more
+    assert not ingest.ingest_batch(lines_of(spark, ("law 7", law_text("changed"))), root, "001") and buckets.snapshots(spark, root) == ["000", "000-x", "001"]
+    assert buckets.vacuum(spark, root, keep=1) > 0 and sorted(map(str, ingest.current(spark, root)["laws"].collect())) == sorted(map(str, rows))
+
+
+def test_crowded_buckets_are_written_anew(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/root"
+    monkeypatch.setattr(buckets, "MOST_FOLDERS", 1)
+    monkeypatch.setattr(buckets.bucket_of, "__defaults__", (1,))
+    for i in range(3):
+        ingest.ingest_batch(lines_of(spark, (f"law {i}", law_text(f"body {i}"))), root, f"{i:03d}")
+    own, now = buckets.folders(spark, root), ingest.current(spark, root)
+    assert len(own["laws"][0]) == 1 and len(own["articles"][0]) == 1
+    assert {r.title for r in now["laws"].collect()} == {"law 0", "law 1", "law 2"} and now["articles"].count() == 3 and now["sync_log"].count() == 3
+
+
+def test_broken_lines_are_kept_told_and_replayed(spark, tmp_path):
+    landing, root, mark = tmp_path / "landing", f"file://{tmp_path}/root", f"file://{tmp_path}/mark"
+    land(landing, "a.json", ("甲法", law_text("a")))
+    with (landing / "a.json").open("a", encoding="utf-8") as f:
+        f.write('\n{"title": "乙法", "full_text": "\n[1, 2]\n\n')
+    ingest.start_ingest(spark, f"file://{landing}", root, mark).awaitTermination(120)
+    log = ingest.current(spark, root)["sync_log"].first()
+    assert (log.new_count, log.status) == (1, "partial") and log.detail == "a.json: not a JSON document; a.json: not a JSON document"
+    name = buckets.snapshots(spark, root)[-1]
+    assert {r.line for r in ingest.refused(spark, root, name).collect()} == {'{"title": "乙法", "full_text": "', "[1, 2]"}
+    again = ingest.replay(spark, root, name)
+    assert ingest.refused(spark, root, again).count() == 2 and ingest.current(spark, root)["sync_log"].orderBy("id").collect()[-1].status == "failed"
+    third = ingest.replay(spark, root, name, lines_of(spark, ("乙法", law_text("b"))))
+    assert {r.title for r in ingest.current(spark, root)["laws"].collect()} == {"甲法", "乙法"} and buckets.snapshots(spark, root) == [name, again, third]
+    land(landing, "b.json", ("丙法", law_text("c")))
+    ingest.start_ingest(spark, f"file://{landing}", root, mark).awaitTermination(120)
+    assert ingest.current(spark, root)["laws"].count() == 3 and buckets.snapshots(spark, root)[-1] > third
+
+
+def test_one_text_is_taken_once_and_ends_are_stripped(spark):
+    laws = spark.createDataFrame([(1, "s", "A", "held " * 20 + "x", None, None)], "id long, source_name string, title string, full_text string, duplicate_of long, superseded_by long").withColumn("content_hash", X.content_hash(F.col("full_text")))
+    text, other = "new " * 20 + "x", "other " * 20 + "x"
+    rows = [("s", "B", text), ("s", "C", text), ("a", "Z", f"  {text}\n"), ("s", " A ", other), ("s", "D", other), ("s", "  ", text), ("s", "E", " " * 70), ("s", "\u3000A", "held " * 20 + "x"), (None, None, None)]
+    got = {(r.source_name, r.title): r.action for r in upsert.classify(spark.createDataFrame(rows, "source_name string, title string, full_text string"), laws).collect()}
+    assert got[("a", "Z")] == "insert" and got[("s", "B")] == got[("s", "C")] == "skip"
+    assert got[("s", "A")] in ("update", "skip") and got[("s", "D")] == ("skip" if got[("s", "A")] == "update" else "insert")
+    assert got[("s", "")] == got[("s", "E")] == got[(None, "")] == "skip"
 
 
 def test_old_version_held_elsewhere_is_not_kept_twice(spark):
