@@ -45,12 +45,19 @@ _SEEN: dict[str, list[tuple[str, int]]] = {}
 
 def _named(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """A version's list; what was read once isn't read again, as versions don't change."""
-    if path not in _SEEN:
+    key = _stamped(spark, path)
+    if key not in _SEEN:
         rows = spark.read.schema("nth int, name string, size long").parquet(path).orderBy("nth").collect()
         if len(_SEEN) > 1000:
             _SEEN.clear()
-        _SEEN[path] = [(r["name"], r["size"]) for r in rows]
-    return list(_SEEN[path])
+        _SEEN[key] = [(r["name"], r["size"]) for r in rows]
+    return list(_SEEN[key])
+
+
+def _stamped(spark: SparkSession, path: str) -> str:
+    """A version's path with its time, so that a root made anew isn't taken for the old one."""
+    fs, p = files._fs(spark, path)
+    return f"{path}@{fs.getFileStatus(p).getModificationTime()}"
 
 
 def _publish(spark: SparkSession, root: str, named: list[tuple[str, int]], number: int) -> bool:
@@ -72,7 +79,7 @@ def _write(tables: dict[str, DataFrame], root: str) -> tuple[str, int]:
     name = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
     for t, df in tables.items():
-        df.select(*[c.split(" ")[0] for c in TABLES[t].split(", ")]).repartitionByRange(*RANGES[t]).sortWithinPartitions(*RANGES[t]).write.parquet(f"{root}/segments/{name}/{t}")
+        df.select(*[c.split(" ")[0] for c in TABLES[t].split(", ")]).repartitionByRange(*RANGES[t]).sortWithinPartitions(*RANGES[t]).write.option("compression", "zstd").parquet(f"{root}/segments/{name}/{t}")
     return name, sum(_table(spark, root, name, t).count() for t in ("units", "gone"))
 
 
@@ -95,13 +102,13 @@ def _live(spark: SparkSession, root: str, named: list[tuple[str, int]], table: s
 
 def _stats(spark: SparkSession, root: str, version: str) -> tuple:
     """(units, mean words, mean grams) of a version, counted when first asked for."""
-    path = f"{root}/versions/{version}"
-    if path not in _COUNTED:
+    key = _stamped(spark, f"{root}/versions/{version}")
+    if key not in _COUNTED:
         if len(_COUNTED) > 1000:
             _COUNTED.clear()
         units = _live(spark, root, segments(spark, root, version), "units")
-        _COUNTED[path] = tuple(units.agg(F.count(F.lit(1)), F.avg("dl"), F.avg("grams")).first())
-    return _COUNTED[path]
+        _COUNTED[key] = tuple(units.agg(F.count(F.lit(1)), F.avg("dl"), F.avg("grams")).first())
+    return _COUNTED[key]
 
 
 _COUNTED: dict[str, tuple] = {}
@@ -135,37 +142,43 @@ def lengths(units: DataFrame, tokens=X.tokens) -> DataFrame:
     return units.select("id", grams.size(F.col("text")).alias("grams")).join(dl, "id")
 
 
-def _cut(units: DataFrame, gone: DataFrame, tokens) -> dict[str, DataFrame]:
-    return {"postings": retrieval.postings(units, tokens), "grams": grams.postings(units), "units": lengths(units, tokens), "gone": gone.select("id")}
+#: What an index can hold: words, trigrams, or both.
+KINDS = ("postings", "grams")
+
+
+def _cut(units: DataFrame, gone: DataFrame, tokens, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    make = {"postings": lambda: retrieval.postings(units, tokens), "grams": lambda: grams.postings(units)}
+    own = lengths(units, tokens) if "postings" in kinds else units.select("id", F.lit(None).cast("long").alias("dl"), grams.size(F.col("text")).alias("grams"))
+    return {**{k: make[k]() for k in kinds}, "units": own, "gone": gone.select("id")}
 
 
-def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, tokens=X.tokens) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) that cover ``units`` (id, text), ids all different.
+def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, tokens=X.tokens, kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) that cover ``units`` (id, text), ids all different; of trigrams if ``kinds``, the same at every call, has no words.
 
     Units that the newest version lacks, and the ``changed`` ones (id), are cut
     into a new segment, which takes away those that are gone; if nothing
     differs, nothing is written. A version belongs to one way of cutting:
     another dictionary needs another root.
     """
-    spark = units.sparkSession
+    spark, found = units.sparkSession, read if "postings" in kinds else read_grams
     held = versions(spark, root)
     number = int(held[-1]) + 1 if held else 0
     named = segments(spark, root)
     if not named:
-        _publish(spark, root, [_write(_cut(units, units.where("false"), tokens), root)], number)
-        return read(spark, root)
+        _publish(spark, root, [_write(_cut(units, units.where("false"), tokens, kinds), root)], number)
+        return found(spark, root)
     seen, ids = _live(spark, root, named, "units").select("id"), units.select("id")
     gone, fresh = seen.join(ids, "id", "left_anti"), retrieval.missing_from_index(ids, seen)
     if changed is not None:
         fresh = fresh.union(ids.join(changed.select("id"), "id", "left_semi")).distinct()
     if gone.isEmpty() and fresh.isEmpty():
-        return read(spark, root)
-    named.append(_write(_cut(units.join(fresh, "id", "left_semi"), gone, tokens), root))
-    _publish(spark, root, merged(spark, root, named), number)
-    return read(spark, root)
+        return found(spark, root)
+    named.append(_write(_cut(units.join(fresh, "id", "left_semi"), gone, tokens, kinds), root))
+    _publish(spark, root, merged(spark, root, named, kinds), number)
+    return found(spark, root)
 
 
-def merged(spark: SparkSession, root: str, named: list[tuple[str, int]]) -> list[tuple[str, int]]:
+def merged(spark: SparkSession, root: str, named: list[tuple[str, int]], kinds: tuple[str, ...] = KINDS) -> list[tuple[str, int]]:
     """The segments after those at the end that are too much alike in size became one."""
     at, size = len(named) - 1, named[-1][1]
     while at > 0 and named[at - 1][1] < FACTOR * size:
@@ -174,7 +187,7 @@ def merged(spark: SparkSession, root: str, named: list[tuple[str, int]]) -> list
     if at == len(named) - 1:
         return named
     some = named[at:]
-    tables = {t: _live(spark, root, some, t) for t in ("postings", "grams", "units")}
+    tables = {t: _live(spark, root, some, t) for t in (*kinds, "units")}
     # what the merged ones replace in earlier segments stays named
     ids = None
     for name, _ in some:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..functions import text as X
 from ..functions import titles as T
 from ..functions import visibility as V
 from .. import schema
-from ..operators import catalog, citations, governance, grams, graph, index, retrieval, upsert
+from ..operators import catalog, citations, governance, grams, graph, index, maintained, retrieval, upsert
 from ..sources import files, pages, shared
 from .standins import ACTIVE_SQL, ARTICLES_SQL, LAWS_SQL, NAMED_SQL, RELATIONS_SQL, TITLED_SQL, TRADE_SQL, articles, laws, named, nation_relations, slim_laws, table, titled, trade
 
@@ -266,6 +267,23 @@ def _part_nodes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("level")).join(sold, "id", "left").select("id", "level", F.floor(degree / 2).alias("n_out"), F.ceil(degree / 2).alias("n_in"))
 
 
+#: Relations of the nations that were told after the graph was stored: those of returned lines came, those of open lines with an even supplier went.
+@query(
+    f"WITH {TRADE_SQL}, r AS (SELECT b.c_nationkey AS s, p.s_nationkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer b ON b.c_custkey = o_custkey JOIN supplier p ON p.s_suppkey = l_suppkey WHERE NOT (l_linestatus = 'O' AND l_suppkey % 2 = 0)), "
+    "ends AS (SELECT s AS id, 1 AS o, 0 AS i FROM r UNION ALL SELECT t, 0, 1 FROM r) SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM ends GROUP BY id"
+)
+def maintained_degrees(spark, d):
+    _, arts, rels = trade(spark, d)
+    rels = rels.select("id", "from_id", "to_id", "rel_type", "note", ((F.col("to_id") - 1) / 2 % 2 == 0).alias("even")).withColumn("went", (F.col("note") == "O") & F.col("even"))
+    root = f"{shared.folder(spark)}/graph-{uuid.uuid4().hex}"
+    came = (F.col("rel_type") == "R") & ~F.col("went")
+    maintained.refresh(root, rels.where(~came), arts)
+    how = maintained.refresh(root, rels.where(~F.col("went")), arts, rels.where(came), rels.where("went"))
+    if how != "folded":
+        raise RuntimeError(f"the graph was {how}")
+    return maintained.read(spark, root)[1]
+
+
 @query(
     f"WITH {_PART_NODES_SQL}, z(zoom, least) AS (VALUES ('0.5', 45), ('1.0', 20), ('2.0', 8)) SELECT zoom, id FROM nodes, z WHERE degree >= least "
     "UNION ALL SELECT 'focus', id FROM nodes WHERE (degree >= 20 AND level = (SELECT min(level) FROM nodes)) OR id = 7 UNION ALL SELECT 'all', id FROM nodes"
@@ -422,20 +440,18 @@ def _units(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _index_root(spark, d):
-    return f"{shared.folder(spark)}/index/{files.fingerprint(spark, f'{d}/documents.parquet')}"
+def _held(spark, d, kind, read):
+    """The stored index of the documents' words or trigrams: made when first asked for, renewed when the input's files are others."""
+    root = f"{shared.folder(spark)}/index/{kind}-{files.fingerprint(spark, f'{d}/documents.parquet')}"
+    return read(spark, root) if index.versions(spark, root) else index.refresh(_units(spark, d), root, kinds=(kind,))
 
 
 def _index(spark, d):
-    """The stored index of the documents: made when first asked for, renewed when the input's files are others."""
-    root = _index_root(spark, d)
-    return index.read(spark, root) if index.versions(spark, root) else index.refresh(_units(spark, d), root)
+    return _held(spark, d, "postings", index.read)
 
 
 def _grams(spark, d):
-    """(trigrams, statistics) of the same index."""
-    _index(spark, d)
-    return index.read_grams(spark, _index_root(spark, d))
+    return _held(spark, d, "grams", index.read_grams)
 
 
 def _segment_scores(spark, d):
@@ -932,6 +948,17 @@ def page_links(spark, d):
     return pages.links(table(spark, d, "pages"))
 
 
+@query(
+    r"""WITH n AS (SELECT page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS html FROM pages),
+    a AS (SELECT page_id, url, unnest(l) AS l, CAST(unnest(range(0, len(l))) AS BIGINT) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*'')[^>]*>.*?</a\s*>') AS l FROM n)),
+    b AS (SELECT page_id, pos, url AS base, trim(replace(regexp_replace(l, '(?s)<[^>]*>', '', 'g'), '&amp;', '&')) AS text, replace(regexp_extract(l, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1), '&amp;', '&') AS href FROM a),
+    c AS (SELECT page_id, pos, text, CASE WHEN starts_with(href, '/') THEN regexp_extract(base, '^[a-z]+://[^/?#]*') || href ELSE href END AS url FROM b WHERE text <> ''),
+    f AS (SELECT page_id, min(pos) AS pos, arg_min(text, pos) AS text, url FROM c WHERE starts_with(url, 'http') GROUP BY page_id, url) SELECT * FROM f WHERE length(text) >= 6"""
+)
+def page_container_links(spark, d):
+    return pages.container_links(table(spark, d, "pages"), "nav")
+
+
 @query(
     r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', '', 'g'),
       '(?s)<[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[^\S\n]*\n\s*', chr(10), 'g'), chr(10) || ' ' || chr(9) || chr(13)) AS text FROM pages"""
