@@ -269,7 +269,7 @@ def _part_nodes(spark, d):
 
 #: Relations of the nations that were told after the graph was stored: those of returned lines came, those of open lines with an even supplier went.
 @query(
-    f"WITH {TRADE_SQL}, r AS (SELECT b.c_nationkey AS s, p.s_nationkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer b ON b.c_custkey = o_custkey JOIN supplier p ON p.s_suppkey = l_suppkey WHERE NOT (l_linestatus = 'O' AND l_suppkey % 2 = 0)), "
+    "WITH r AS (SELECT b.c_nationkey AS s, p.s_nationkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer b ON b.c_custkey = o_custkey JOIN supplier p ON p.s_suppkey = l_suppkey WHERE NOT (l_linestatus = 'O' AND l_suppkey % 2 = 0)), "
     "ends AS (SELECT s AS id, 1 AS o, 0 AS i FROM r UNION ALL SELECT t, 0, 1 FROM r) SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM ends GROUP BY id"
 )
 def maintained_degrees(spark, d):
