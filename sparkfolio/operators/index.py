@@ -74,12 +74,14 @@ def _publish(spark: SparkSession, root: str, named: list[tuple[str, int]], numbe
     return False
 
 
-def _write(tables: dict[str, DataFrame], root: str) -> tuple[str, int]:
-    """A new segment: each table in files of ranges, so that a query's terms are met in few row groups."""
+def _write(tables: dict[str, DataFrame], root: str, ranged: tuple[str, ...] = ()) -> tuple[str, int]:
+    """A new segment: each table in files of ranges, so that a query's terms are met in few row groups; the ``ranged`` ones are in ranges already."""
     name = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
     for t, df in tables.items():
-        df.select(*[c.split(" ")[0] for c in TABLES[t].split(", ")]).repartitionByRange(*RANGES[t]).sortWithinPartitions(*RANGES[t]).write.option("compression", "zstd").parquet(f"{root}/segments/{name}/{t}")
+        rows = df.select(*[c.split(" ")[0] for c in TABLES[t].split(", ")])
+        rows = rows if t in ranged else rows.repartitionByRange(*RANGES[t])
+        rows.sortWithinPartitions(*RANGES[t]).write.option("compression", "zstd").parquet(f"{root}/segments/{name}/{t}")
     return name, sum(_table(spark, root, name, t).count() for t in ("units", "gone"))
 
 
@@ -147,7 +149,7 @@ KINDS = ("postings", "grams")
 
 
 def _cut(units: DataFrame, gone: DataFrame, tokens, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
-    make = {"postings": lambda: retrieval.postings(units, tokens), "grams": lambda: grams.postings(units)}
+    make = {"postings": lambda: retrieval.postings(units, tokens, ranged=True), "grams": lambda: grams.postings(units)}
     own = lengths(units, tokens) if "postings" in kinds else units.select("id", F.lit(None).cast("long").alias("dl"), grams.size(F.col("text")).alias("grams"))
     return {**{k: make[k]() for k in kinds}, "units": own, "gone": gone.select("id")}
 
@@ -165,7 +167,7 @@ def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, token
     number = int(held[-1]) + 1 if held else 0
     named = segments(spark, root)
     if not named:
-        _publish(spark, root, [_write(_cut(units, units.where("false"), tokens, kinds), root)], number)
+        _publish(spark, root, [_write(_cut(units, units.where("false"), tokens, kinds), root, ("postings",))], number)
         return found(spark, root)
     seen, ids = _live(spark, root, named, "units").select("id"), units.select("id")
     gone, fresh = seen.join(ids, "id", "left_anti"), retrieval.missing_from_index(ids, seen)
@@ -173,7 +175,7 @@ def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, token
         fresh = fresh.union(ids.join(changed.select("id"), "id", "left_semi")).distinct()
     if gone.isEmpty() and fresh.isEmpty():
         return found(spark, root)
-    named.append(_write(_cut(units.join(fresh, "id", "left_semi"), gone, tokens, kinds), root))
+    named.append(_write(_cut(units.join(fresh, "id", "left_semi"), gone, tokens, kinds), root, ("postings",)))
     _publish(spark, root, merged(spark, root, named, kinds), number)
     return found(spark, root)
 

@@ -24,13 +24,20 @@ EXACT_SCORE = 10.0
 LEGS = ["segment", "keyword", "vector"]
 
 
-def postings(units: DataFrame, tokens=X.tokens) -> DataFrame:
-    """(term, id, tf, dl) of units (id, text); dl is the unit's number of tokens. Counted with map-side combine per unit and term.
+def occurrences(units: DataFrame, tokens=X.tokens) -> DataFrame:
+    """(term, id, dl) of every token of units (id, text); dl is the unit's number of tokens.
 
     ``tokens`` is a segmenter, or a function from a text column to an array column.
     """
     words = segment.words_of(units, tokens).select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
-    return words.where("term is not null").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return words.where("term is not null").select("term", "id", "dl")
+
+
+def postings(units: DataFrame, tokens=X.tokens, ranged: bool = False) -> DataFrame:
+    """(term, id, tf, dl) of units (id, text), counted with map-side combine per unit and term, or ``ranged`` by (term, id), which leaves nothing to shuffle for who stores them so."""
+    rows = occurrences(units, tokens)
+    rows = rows.repartitionByRange("term", "id") if ranged else rows
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def corpus_stats(units: DataFrame, tokens=X.tokens) -> DataFrame:

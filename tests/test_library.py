@@ -381,3 +381,23 @@ def test_chips_take_a_year_off_only_where_none_was_said(spark):
     assert {(r.id, r.nth): (r.law_id, r.article_id) for r in got.collect()} == {
         (1, 1): (10, 101), (1, 2): (None, None), (1, 3): (20, 205), (1, 4): (30, None), (1, 5): (None, None), (2, 1): (None, None), (2, 2): (11, 111), (3, 1): (None, None), (4, 1): (None, None),
     }
+
+
+def test_bounds_spare_comparisons_and_no_pair(spark):
+    import random
+
+    rng = random.Random(9)
+    base = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))  # difflib ignores characters that are too common
+    near = [base[:i] + rng.choice("xyz证") + base[i + 1 :] for i in range(0, 40, 4)]
+    shuffled = ["".join(rng.sample(base, len(base))) for _ in range(3)]  # same characters, other order: not ruled out
+    other = ["".join(chr(0x8000 + rng.randrange(3000)) for _ in range(400)) for _ in range(25)]
+    texts = [base, *near, *shuffled, *other, "", None]
+    laws = spark.createDataFrame([(i, "同名法", "s", t) for i, t in enumerate(texts)], "id long, title string, source_name string, full_text string").withColumn("content_hash", X.content_hash(F.col("full_text")))
+    laws = laws.withColumns({c: F.lit(None).cast("long") for c in ("duplicate_of", "superseded_by")}).withColumn("quality_flag", F.lit(None).cast("string"))
+    ratio = lambda t: difflib.SequenceMatcher(None, t or "", base).ratio()
+    got = {r.id: r.similarity for r in governance.duplicates(laws).collect()}  # the first of the longest texts is kept
+    assert got == {i: ratio(t) for i, t in enumerate(texts) if i and ratio(t) >= governance.SIMILAR}
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, len(texts))], "id long, keeper_id long")
+    left = {r.id for r in governance.to_compare(pairs, laws).collect()}
+    similar = {i for i, t in enumerate(texts) if i and ratio(t) >= governance.SIMILAR}
+    assert similar <= left and len(left) == len(near) + len(shuffled) and similar
