@@ -17,6 +17,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a folder of this machine only where no other has executors."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import quoted, row_key
 
 #: Words in a window.
 WINDOW = 10
@@ -136,5 +136,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
     table stays empty.
     """
     leaks = find_leaks(docs, items, window).where(F.size("hits") > 0).select(F.col("key").alias("leak_key"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs, "doc_id", "text").alias("row_key"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), row_key(docs, "doc_id", "text").alias("row_key"))
     return rows.join(leaks, F.col("row_key") == F.col("leak_key"), "left_anti").select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, sealed, stored, words
+from .common import cut, quoted, sealed, stored, words
 
 #: Cells into which the slots' cumulative range is dealt for the interval join.
 CELLS = 4096
@@ -196,6 +196,10 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+#: Copies of a unit that are looked up together.
+STRIDE = 256
+
+
 def mixed_stream(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: ``docs`` with text cut to one taken stretch a row, and slot, epoch, place and n_words.
 
@@ -204,16 +208,26 @@ def mixed_stream(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     it. Each stretch appears as often as the schedule takes it; documents of
     which nothing is taken have no row, so null and blank texts have none.
     Null ids and sources, repeated rows and long texts are treated as in
-    ``mix_documents``. Other columns stay; columns of the four names are replaced.
+    ``mix_documents``. Other columns stay, whatever their names, each row's own:
+    of rows with one doc_id, text and source that differ elsewhere, the order of
+    the differences says which copy is whose. Columns of the four names are
+    replaced.
     """
     made = ["slot", "epoch", "place", "n_words"]
     found = takes(docs, mix).where("n_words > 0").withColumn("unit", unit_key(F.col("order_key"), F.col("source")))
     lists = found.groupBy("unit", "copy").agg(F.collect_list(F.struct("slot", "epoch", "place", "first_word", "n_words")).alias("list"))
-    rest = [c for c in docs.columns if c not in made and c != "text"]
-    rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("rest"), docs["text"].alias("body"), unit_key(shuffle_key(docs["doc_id"], docs["text"]), docs["source"]).alias("unit"))
+    kept = [c for c in docs.columns if c.lower() not in made]
+    # plain columns of plain names: a struct of them would be pruned on its way through the generators
+    held = {c: f"own_{i}" for i, c in enumerate(kept) if c != "text"}
+    rows = docs.select(*[quoted(c).alias(n) for c, n in held.items()], F.col("text").alias("body"), unit_key(shuffle_key(F.col("doc_id"), F.col("text")), F.col("source")).alias("unit"))
+    variants = rows.withColumn("variant", F.xxhash64(F.to_json(F.struct(*held.values())))).groupBy("unit", "variant")
+    variants = variants.agg(F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in (*held.values(), "body")])
+    upto = W.partitionBy("unit").orderBy("variant").rowsBetween(W.unboundedPreceding, -1)
+    variants = variants.withColumn("from_copy", F.coalesce(F.sum("many").over(upto), F.lit(0)))
+    variants = variants.withColumn("stride", F.explode(F.expr(f"sequence(from_copy div {STRIDE}, (from_copy + many - 1) div {STRIDE})")))
+    joined = variants.join(lists.withColumn("stride", F.expr(f"copy div {STRIDE}")), ["unit", "stride"]).where("copy >= from_copy and copy < from_copy + many")
     pieces = F.split(F.regexp_replace("body", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    joined = rows.dropDuplicates(["unit"]).join(lists, "unit").withColumn("pieces", pieces)
     cut_out = lambda x: F.struct(*[x[c].alias(c) for c in made], F.array_join(F.slice("pieces", (x["first_word"] + 1).cast("int"), x["n_words"].cast("int")), "").alias("stretch"))
-    taken = sealed(joined.select("rest", "list", "pieces"), "list", "pieces").select("rest", F.explode_outer(F.transform("list", cut_out)).alias("x"))
-    named = taken.select("rest", F.col("x.stretch").alias("body"), *[F.col("x")[c].alias(f"x_{c}") for c in made])
-    return named.select(*[F.col("body").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns if c not in made], *[F.col(f"x_{c}").alias(c) for c in made])
+    whole = joined.select(*held.values(), "list", pieces.alias("pieces"))
+    taken = sealed(whole, "list", "pieces").select(*held.values(), F.explode_outer(F.transform("list", cut_out)).alias("x"))
+    return taken.select(*[F.col("x.stretch").alias(c) if c == "text" else F.col(held[c]).alias(c) for c in kept], *[F.col("x")[c].alias(c) for c in made])

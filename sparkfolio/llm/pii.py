@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import quoted, row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -190,7 +190,7 @@ def sanitise(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs, "doc_id", "text").alias("row_key"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), row_key(docs, "doc_id", "text").alias("row_key"))
     joined = rows.join(terms, F.col("row_key") == F.col("hit_key"), "left").select("row", mask("row.text", "terms").alias("masked"))
     made = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
     return joined.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])

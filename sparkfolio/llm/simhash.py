@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, stored
+from .common import cut, quoted, row_key, stored
 from .components import connected_components
 
 #: Fingerprints link at this many differing bits or fewer.
@@ -319,7 +319,7 @@ def keep_one(docs: DataFrame, words: int = 5, similar: float | None = SIMILAR) -
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     found = placed(slim, words, similar)
     gone = found.where("component_id is not null and not doc_id <=> component_id").select(F.col("key").alias("gone_key")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     rows = rows.select("row", row_key(rows, "doc_id", "text").alias("key"))
     return rows.join(gone, F.col("key") == F.col("gone_key"), "left_anti").dropDuplicates(["key"]).select("row.*")
 
