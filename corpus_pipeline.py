@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import decontaminate, mixing, pii, quality, simhash
-from sparkfolio.llm.common import scratch
+from sparkfolio.llm.common import quoted, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows and ties get equal verdicts; long texts are judged as a whole; extra
     columns stay, whatever their names; an empty table stays empty.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), docs["doc_id"], docs["text"])
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("document"), docs["doc_id"], docs["text"])
     judged = quality.judge_quality(packed, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select("document.*")
 
