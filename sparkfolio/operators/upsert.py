@@ -34,18 +34,22 @@ def classify(batch: DataFrame, laws: DataFrame) -> DataFrame:
     batch brings it: of several the first by source and title.
     """
     trimmed = {c: T.strip(F.coalesce(c, F.lit(""))) for c in ("title", "full_text")}
-    keyed = batch.withColumns(trimmed).withColumn("content_hash", X.content_hash(F.col("full_text")))
-    latest = keyed.groupBy("source_name", "title").agg(F.max_by(F.struct(*[c for c in keyed.columns if c not in ("source_name", "title")]), "content_hash").alias("d")).select("source_name", "title", "d.*")
+    keyed = batch.withColumns(trimmed).withColumn("content_hash", X.content_hash(F.col("full_text"))).withColumn("source_key", F.coalesce("source_name", F.lit("\0")))
+    key = ["source_key", "title"]
+    # decided on narrow rows; the texts travel once, to their source and title
+    bad = (F.col("title") == "") | (F.length("full_text") < LEAST_TEXT)
+    x = keyed.select(*key, "source_name", "content_hash", bad.alias("bad")).groupBy(*key).agg(F.max_by(F.struct("source_name", "content_hash", "bad"), "content_hash").alias("d")).select(*key, "d.*")
     current = laws.where(V.edge_ok()).groupBy("source_name", "title").agg(F.min_by(F.struct("id", "content_hash"), "id").alias("now")).select("source_name", "title", F.col("now.id").alias("current_id"), F.col("now.content_hash").alias("current_hash"))
     held = laws.select("content_hash", F.lit(True).alias("held")).distinct()
-    x = latest.join(current, ["source_name", "title"], "left").join(held, "content_hash", "left")
-    bad = (F.col("title") == "") | (F.length("full_text") < LEAST_TEXT)
-    action = F.when(bad, "skip").when(F.col("current_hash") == F.col("content_hash"), "skip").when(F.col("current_id").isNotNull(), "update").when(F.col("held"), "skip").otherwise("insert")
-    x = x.withColumn("action", action).drop("held", "current_hash")
+    x = x.join(current, ["source_name", "title"], "left").join(held, "content_hash", "left")
+    action = F.when(F.col("bad"), "skip").when(F.col("current_hash") == F.col("content_hash"), "skip").when(F.col("current_id").isNotNull(), "update").when(F.col("held"), "skip").otherwise("insert")
+    x = x.withColumn("action", action)
     by = F.struct((F.col("action") == "insert").alias("new"), F.coalesce("source_name", F.lit("")).alias("source"), "title")
     first = x.where("action <> 'skip'").groupBy("content_hash").agg(F.min(by).alias("first"))
     again = (F.col("action") == "insert") & (by != F.col("first"))
-    return x.join(first, "content_hash", "left").withColumn("action", F.when(again, "skip").otherwise(F.col("action"))).drop("first")
+    told = x.join(first, "content_hash", "left").select(*key, "current_id", F.when(again, "skip").otherwise(F.col("action")).alias("action"))
+    latest = keyed.groupBy(*key).agg(F.max_by(F.struct(*[c for c in keyed.columns if c not in key]), "content_hash").alias("d")).select(*key, "d.*")
+    return latest.join(told, key).select(*[c for c in (*batch.columns, "content_hash")], "current_id", "action")
 
 
 def apply(actions: DataFrame, laws: DataFrame, now: str, every: DataFrame | None = None) -> DataFrame:
@@ -68,7 +72,7 @@ def apply(actions: DataFrame, laws: DataFrame, now: str, every: DataFrame | None
     updated = joined.select(*[F.when(F.col("new").isNotNull(), made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in laws.columns])
     # a version that another row holds already isn't kept twice
     elsewhere = every.select("content_hash", F.col("id").alias("other_id"))
-    replaced = laws.join(changed.select("id"), "id", "left_semi")
+    replaced = joined.where("new is not null").select(*laws.columns)
     twice = replaced.select("id", "content_hash").join(elsewhere, "content_hash").where("id <> other_id").select("id").distinct()
     old = replaced.join(twice, "id", "left_anti").withColumns({"superseded_by": F.col("id"), "status": F.lit("已修订")}).drop("id")
     fresh = actions.where("action = 'insert'")

@@ -1017,7 +1017,7 @@ def upsert_actions(spark, d):
 def scd_snapshot(spark, d):
     held = _titled(spark, d)
     full = held.withColumns({c: F.lit(None).cast("string") for c in ("status", "created_at", "updated_at", "version_label")})
-    after = upsert.apply(upsert.classify(_batch(spark, d), held), full, "now")
+    after = upsert.apply(shared.stored(upsert.classify(_batch(spark, d), held), "actions"), full, "now")
     return after.select("id", "title", "source_name", "content_hash", "superseded_by", "status", "created_at", "updated_at")
 
 
