@@ -46,13 +46,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once into a Parquet table in the shared folder: for large tables, smaller and read by column."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
+    """Compute ``df`` once into a Parquet table in the shared folder, or a folder ``under`` it: for large tables, smaller and read by column."""
+    path = f"{under}/{name}-{uuid.uuid4().hex}" if under else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stored tables that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def row_key(df: DataFrame, *cols: str) -> Column:
     """Two independent hashes of the given columns and their nulls: equal for equal rows."""
     parts = [F.struct(F.col(c).isNull(), F.col(c)) for c in cols]

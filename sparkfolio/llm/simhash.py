@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, row_key, stored
+from .common import cut, quoted, removed, row_key, scratch, stored
 from .components import connected_components
 
 #: Fingerprints link at this many differing bits or fewer.
@@ -24,6 +24,8 @@ PIECE = 65536
 SIMILAR = 0.8
 #: Shingles met in more than one of about SAMPLE texts come last in the common order of shingles; at most COMMON of them are told apart.
 SAMPLE, COMMON = 8192, 16384
+#: Keys that the prefixes of similar sets have in common, at least: they are longer by as many less one, so that texts that meet by chance at a key or two aren't compared.
+SHARED = 6
 #: Bits of a set's sketch: each shingle flips one, so sets differ in at least as many shingles as sketches in bits.
 SKETCH = 512
 
@@ -68,12 +70,12 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(classes, minlength=SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first of the sorted ``shingles`` in the common order (by count, then hash), so many that two sets with a similarity of ``least`` have one in both their prefixes."""
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float, shared: int = 1) -> np.ndarray:
+    """The first of the sorted ``shingles`` in the common order (by count, then hash), so many that two sets with a similarity of ``least`` have ``shared`` in both their prefixes, or all that they have in common if that is less."""
     n = len(shingles)
     if not n:
         return shingles
-    size = min(n, n - math.ceil(least * n - 1e-9) + 1)
+    size = min(n, n - math.ceil(least * n - 1e-9) + shared)
     if not len(common):
         return shingles[:size]
     at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
@@ -163,7 +165,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return hashes[order], counts[order]
 
 
-def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
+def prints_and_sets(docs: DataFrame, words: int, least: float, under: str | None = None) -> DataFrame:
     """(key, doc_id, version, fp, shape, n, keys, bits) of each row.
 
     ``version`` is a hash of the text, ``shape`` one of its set of shingles
@@ -180,10 +182,10 @@ def prints_and_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
             pieces = list(shingle_hashes(t, words))
             held = set_of(pieces)
             shape = xxhash.xxh3_64_intdigest(held.tobytes()) - 2**63 if len(held) else None
-            rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least).view(np.int64), sketch(held)))
+            rows.append((print_of(pieces), shape, len(held), prefix(held, common, counts, least, SHARED).view(np.int64), sketch(held)))
         return pd.DataFrame(rows, columns=["fp", "shape", "n", "keys", "bits"]).astype({"shape": "Int64"})
 
-    return stored(docs.select("key", "doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("key", "doc_id", "version", "m.*"), "prints")
+    return stored(docs.select("key", "doc_id", F.xxhash64("text").alias("version"), made("text").alias("m")).select("key", "doc_id", "version", "m.*"), "prints", under)
 
 
 def near_sketches(one: Column, other: Column, n: Column, m: Column, least: float) -> Column:
@@ -192,7 +194,7 @@ def near_sketches(one: Column, other: Column, n: Column, m: Column, least: float
     return bits <= (n + m) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
 
 
-def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float, under: str | None = None) -> DataFrame:
     """Those of the ``pairs`` (a, b: versions) whose texts have at least that share of common shingles: each that the sketches allow is compared as a whole."""
 
     @F.pandas_udf("boolean")
@@ -208,31 +210,41 @@ def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least:
 
     slim = sets.select("version", "n", "bits")
     both = pairs.join(slim.toDF("a", "n_a", "bits_a"), "a").join(slim.toDF("b", "n_b", "bits_b"), "b")
-    pairs = stored(both.where(near_sketches(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), least)).select("a", "b"), "pairs")
+    pairs = stored(both.where(near_sketches(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), least)).select("a", "b"), "pairs", under)
     wanted = pairs.select(F.col("a").alias("version")).union(pairs.select(F.col("b").alias("version"))).distinct()
     own = docs.select(F.xxhash64("text").alias("version"), "text").join(wanted, "version", "left_semi")
-    texts = stored(own.dropDuplicates(["version"]), "candidates")
+    texts = stored(own.dropDuplicates(["version"]), "candidates", under)
     ones = texts.select(F.col("version").alias("a"), F.col("text").alias("text_a"))
     others = texts.select(F.col("version").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.join(ones, "a").join(others, "b").where(compare("text_a", "text_b")).select("a", "b"), "similar")
+    return stored(pairs.join(ones, "a").join(others, "b").where(compare("text_a", "text_b")).select("a", "b"), "similar", under)
 
 
-def can_be_alike(one: str, other: str, least: float) -> Column:
-    """Whether sets of n shingles whose first common key has the places pos can have that similarity: by length, and by what comes after the key."""
-    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
-    lengths = F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6)
-    return lengths & (F.least(n - F.col(f"{one}.pos"), m - F.col(f"{other}.pos")) >= (n + m) * F.lit(least / (1 + least)) - F.lit(1e-6))
+def lengths_fit(n: Column, m: Column, least: float) -> Column:
+    """Whether sets of n and m shingles can have that similarity."""
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6)
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: int, least: float) -> DataFrame:
+def needed(larger: Column, least: float) -> Column:
+    """How many keys two similar sets have in common in their prefixes, by the size of the larger one: as many as they share if that is below SHARED."""
+    return F.least(F.lit(SHARED), F.ceil(larger * F.lit(least) - F.lit(1e-6)))
+
+
+def sharing(met: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of rows (a, b, n, m), one for each key in common, that have as many keys in common as similar sets do."""
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n", "m")).alias("larger"))
+    return counted.where(F.col("shared") >= needed(F.col("larger"), least)).select("a", "b")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: int, least: float, under: str | None = None) -> DataFrame:
     """Links (a, b) of doc_ids whose components are those of ``known`` and of all pairs of texts that are similar.
 
-    Texts with one set of shingles are one. Similar sets have a key of their
-    prefixes in common, so every pair that can be similar meets at one. First
-    each text is compared with one of those at each of its keys, that where the
-    key comes first: the text with the fewest shingles of its own, which the
-    others are most like. Then all pairs are compared that share a key and
-    aren't in one component yet and whose sketches allow it. So a group of n near copies makes n pairs a
+    Texts with one set of shingles are one. Similar sets have SHARED keys of
+    their prefixes in common, so every pair that can be similar meets at so
+    many. First each text is compared with those that come first at as many of
+    its keys: the texts with the fewest shingles of their own, which the
+    others are most like. Then all pairs are compared that share as many keys and
+    aren't in one component yet and whose sketches allow it. Keys are counted
+    in narrow rows; texts are moved for what is left. So a group of n near copies makes n pairs a
     key, but no two texts are left out that nothing links.
     """
     sets = stored(
@@ -240,17 +252,17 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
         .groupBy("shape")
         .agg(F.min("doc_id").alias("lead"), F.min("version").alias("version"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")),
         "sets",
+        under,
     )
     copies = prints.where("doc_id is not null").join(sets.select("shape", "lead"), "shape").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     at_key = W.partitionBy("key").orderBy("pos", "version")
     met = stored(
-        sets.select("version", "n", F.posexplode_outer("keys").alias("pos", "key"))
-        .select("key", F.struct("version", "n", "pos").alias("x"), "pos", "version")
-        .withColumn("first", F.first("x").over(at_key))
-        .withColumn("more", F.lead("pos").over(at_key))
-        .where((F.col("x.version") != F.col("first.version")) | F.col("more").isNotNull())
-        .select("key", "x", "first"),
+        sets.select("version", F.col("n").cast("int").alias("n"), F.posexplode_outer("keys").alias("pos", "key"))
+        .withColumns({"first": F.first("version").over(at_key), "first_n": F.first("n").over(at_key), "more": F.lead("pos").over(at_key)})
+        .where((F.col("version") != F.col("first")) | F.col("more").isNotNull())
+        .select("key", "version", "n", "first", "first_n"),
         "met",
+        under,
     )
     leads = sets.select("version", "lead")
 
@@ -258,32 +270,28 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
         ends = pairs.join(leads.toDF("a", "lead_a"), "a").join(leads.toDF("b", "lead_b"), "b")
         return ends.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
 
-    stars = met.where((F.col("x.version") != F.col("first.version")) & can_be_alike("x", "first", least))
-    good = alike(stars.select(F.col("x.version").alias("a"), F.col("first.version").alias("b")).distinct(), sets, docs, words, least)
+    stars = met.where((F.col("version") != F.col("first")) & lengths_fit(F.col("n"), F.col("first_n"), least))
+    good = alike(sharing(stars.select(F.col("version").alias("a"), F.col("first").alias("b"), "n", F.col("first_n").alias("m")), least), sets, docs, words, least, under)
     joined = cut(connected_components(known.union(copies).union(named(good))))
-    place = sets.select("version", "lead").join(joined, F.col("lead") == F.col("node"), "left").select(F.col("version").alias("of"), F.coalesce("component", "lead").alias("c"))
-    placed = met.select("key", "x").join(place, F.col("x.version") == F.col("of")).drop("of")
-    placed = stored(placed, "placed")
-    open_keys = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "open")
-    bits = sets.select(F.col("version").alias("of"), "bits")
-    apart = stored(placed.join(open_keys, "key").join(bits, F.col("x.version") == F.col("of")).drop("of"), "apart")
-    ones, others = apart.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("c").alias("d"), F.col("bits").alias("bits_y")), apart
-    meet = (F.col("k") == F.col("key")) & (F.col("d") < F.col("c")) & can_be_alike("x", "y", least)
-    meet &= near_sketches(F.col("bits"), F.col("bits_y"), F.col("x.n"), F.col("y.n"), least)
-    pairs = others.join(ones, meet).select(F.col("x.version").alias("a"), F.col("y.version").alias("b")).distinct()
-    rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), sets, docs, words, least)
+    place = sets.select("version", "lead").join(joined, F.col("lead") == F.col("node"), "left").select("version", F.coalesce("component", "lead").alias("c"))
+    placed = stored(met.select("key", "version", "n").join(place, "version"), "placed", under)
+    open_keys = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "open", under)
+    apart = stored(placed.join(open_keys, "key"), "apart", under)
+    ones = apart.select("key", F.col("version").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    pairs = sharing(apart.withColumnRenamed("version", "a").join(ones, "key").where((F.col("d") < F.col("c")) & lengths_fit(F.col("n"), F.col("m"), least)), least)
+    rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), sets, docs, words, least, under)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(named(rest))
 
 
-def placed(docs: DataFrame, words: int, similar: float | None) -> DataFrame:
+def placed(docs: DataFrame, words: int, similar: float | None, under: str | None = None) -> DataFrame:
     """(key, doc_id, fp, component_id) per row of ``docs`` (doc_id, text); ``key`` tells different rows apart."""
     rows = docs.select("doc_id", "text", row_key(docs, "doc_id", "text").alias("key"))
-    prints = cut(fingerprints(rows, words).select("key", "doc_id", "fp")) if similar is None else prints_and_sets(rows, words, similar)
+    prints = cut(fingerprints(rows, words).select("key", "doc_id", "fp")) if similar is None else prints_and_sets(rows, words, similar, under)
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(groups.where("rep is not null"))
     if similar is not None:
         own = prints.where("doc_id is not null").select("doc_id", "fp").distinct().join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = similar_links(rows.drop("key"), prints, found.union(own), words, similar)
+        found = similar_links(rows.drop("key"), prints, found.union(own), words, similar, under)
     found = connected_components(found)
     named = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, prints["fp"] == named["group_fp"]).select("key", "doc_id", "fp", "component_id")
@@ -317,8 +325,10 @@ def keep_one(docs: DataFrame, words: int = 5, similar: float | None = SIMILAR) -
     table stays empty.
     """
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    found = placed(slim, words, similar)
-    gone = found.where("component_id is not null and not doc_id <=> component_id").select(F.col("key").alias("gone_key")).distinct()
+    under = scratch(docs.sparkSession, "near")
+    found = placed(slim, words, similar, under)
+    gone = stored(found.where("component_id is not null and not doc_id <=> component_id").select(F.col("key").alias("gone_key")).distinct(), "gone")
+    removed(docs.sparkSession, under)
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     rows = rows.select("row", row_key(rows, "doc_id", "text").alias("key"))
     return rows.join(gone, F.col("key") == F.col("gone_key"), "left_anti").dropDuplicates(["key"]).select("row.*")
