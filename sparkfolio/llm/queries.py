@@ -34,7 +34,7 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
