@@ -24,6 +24,8 @@ from . import grams, retrieval
 #: A segment is merged with the later ones unless it has so many times their units.
 FACTOR = 4
 TABLES = {"postings": "term string, id long, tf long, dl long", "grams": grams.SCHEMA, "units": "id long, dl long, grams long", "gone": "id long"}
+#: Characters of texts whose postings make one range at most, in the mean: what a task sorts doesn't grow with the texts.
+RANGE_CHARS = 8_000_000
 #: Columns by whose ranges a table's files are sorted; the id splits what has one term.
 RANGES = {"postings": ("term", "id"), "grams": ("gram", "id"), "units": ("id",), "gone": ("id",)}
 
@@ -74,13 +76,19 @@ def _publish(spark: SparkSession, root: str, named: list[tuple[str, int]], numbe
     return False
 
 
-def _write(tables: dict[str, DataFrame], root: str, ranged: tuple[str, ...] = ()) -> tuple[str, int]:
-    """A new segment: each table in files of ranges, so that a query's terms are met in few row groups; the ``ranged`` ones are in ranges already."""
+def _ranges(spark: SparkSession, chars: int | None) -> int | None:
+    """Ranges for the postings of so many characters; none where Spark's own number is enough."""
+    n = -(-(chars or 0) // RANGE_CHARS)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _write(tables: dict[str, DataFrame], root: str, ranged: tuple[str, ...] = (), ranges: int | None = None) -> tuple[str, int]:
+    """A new segment: each table in files of ranges, so that a query's terms are met in few row groups; the ``ranged`` ones are in ranges already, other postings are dealt to ``ranges``."""
     name = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
     for t, df in tables.items():
         rows = df.select(*[c.split(" ")[0] for c in TABLES[t].split(", ")])
-        rows = rows if t in ranged else rows.repartitionByRange(*RANGES[t])
+        rows = rows if t in ranged else rows.repartitionByRange(*([ranges] if ranges and t in KINDS else []), *RANGES[t])
         rows.sortWithinPartitions(*RANGES[t]).write.option("compression", "zstd").parquet(f"{root}/segments/{name}/{t}")
     return name, sum(_table(spark, root, name, t).count() for t in ("units", "gone"))
 
@@ -148,8 +156,14 @@ def lengths(units: DataFrame, tokens=X.tokens) -> DataFrame:
 KINDS = ("postings", "grams")
 
 
-def _cut(units: DataFrame, gone: DataFrame, tokens, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
-    make = {"postings": lambda: retrieval.postings(units, tokens, ranged=True), "grams": lambda: grams.postings(units)}
+def _segment(units: DataFrame, gone: DataFrame, tokens, kinds: tuple[str, ...], root: str) -> tuple[str, int]:
+    """A new segment of ``units``, in ranges by the length of their texts."""
+    ranges = _ranges(units.sparkSession, units.agg(F.sum(F.length("text"))).first()[0])
+    return _write(_cut(units, gone, tokens, kinds, ranges), root, ("postings",), ranges)
+
+
+def _cut(units: DataFrame, gone: DataFrame, tokens, kinds: tuple[str, ...], ranges: int | None = None) -> dict[str, DataFrame]:
+    make = {"postings": lambda: retrieval.postings(units, tokens, ranged=True, ranges=ranges), "grams": lambda: grams.postings(units)}
     own = lengths(units, tokens) if "postings" in kinds else units.select("id", F.lit(None).cast("long").alias("dl"), grams.size(F.col("text")).alias("grams"))
     return {**{k: make[k]() for k in kinds}, "units": own, "gone": gone.select("id")}
 
@@ -167,7 +181,7 @@ def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, token
     number = int(held[-1]) + 1 if held else 0
     named = segments(spark, root)
     if not named:
-        _publish(spark, root, [_write(_cut(units, units.where("false"), tokens, kinds), root, ("postings",))], number)
+        _publish(spark, root, [_segment(units, units.where("false"), tokens, kinds, root)], number)
         return found(spark, root)
     seen, ids = _live(spark, root, named, "units").select("id"), units.select("id")
     gone, fresh = seen.join(ids, "id", "left_anti"), retrieval.missing_from_index(ids, seen)
@@ -175,7 +189,7 @@ def refresh(units: DataFrame, root: str, changed: DataFrame | None = None, token
         fresh = fresh.union(ids.join(changed.select("id"), "id", "left_semi")).distinct()
     if gone.isEmpty() and fresh.isEmpty():
         return found(spark, root)
-    named.append(_write(_cut(units.join(fresh, "id", "left_semi"), gone, tokens, kinds), root, ("postings",)))
+    named.append(_segment(units.join(fresh, "id", "left_semi"), gone, tokens, kinds, root))
     _publish(spark, root, merged(spark, root, named, kinds), number)
     return found(spark, root)
 
@@ -196,7 +210,8 @@ def merged(spark: SparkSession, root: str, named: list[tuple[str, int]], kinds:
         own = _table(spark, root, name, "gone").union(_table(spark, root, name, "units").select("id"))
         ids = own if ids is None else ids.union(own)
     earlier = ids.distinct().join(tables["units"].select("id"), "id", "left_anti") if at else ids.where("false")
-    return [*named[:at], _write({**tables, "gone": earlier}, root)]
+    ranges = _ranges(spark, tables["units"].agg(F.sum("grams")).first()[0])
+    return [*named[:at], _write({**tables, "gone": earlier}, root, ranges=ranges)]
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:

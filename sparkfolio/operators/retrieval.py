@@ -33,13 +33,22 @@ def occurrences(units: DataFrame, tokens=X.tokens) -> DataFrame:
     return words.where("term is not null").select("term", "id", "dl")
 
 
-def postings(units: DataFrame, tokens=X.tokens, ranged: bool = False) -> DataFrame:
-    """(term, id, tf, dl) of units (id, text), counted with map-side combine per unit and term, or ``ranged`` by (term, id), which leaves nothing to shuffle for who stores them so."""
+def postings(units: DataFrame, tokens=X.tokens, ranged: bool = False, ranges: int | None = None) -> DataFrame:
+    """(term, id, tf, dl) of units (id, text), counted with map-side combine per unit and term, or ``ranged`` by (term, id), into so many ``ranges`` if given, which leaves nothing to shuffle for who stores them so."""
     rows = occurrences(units, tokens)
-    rows = rows.repartitionByRange("term", "id") if ranged else rows
+    rows = rows.repartitionByRange(*([ranges] if ranges else []), "term", "id") if ranged else rows
     return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
+def of_terms(units: DataFrame, terms: list[str], tokens=X.tokens) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) as of an index, but with the given terms only, of all units: what a search of texts that aren't indexed needs, in one pass over them."""
+    w = segment.words_of(units, tokens)
+    found = stored(w.select("id", F.size("w").cast("long").alias("dl"), F.filter("w", lambda t: t.isin(terms)).alias("held")), "terms")
+    rows = found.select("id", "dl", F.explode("held").alias("term"))
+    stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), stored(stats, "terms-stats")
+
+
 def corpus_stats(units: DataFrame, tokens=X.tokens) -> DataFrame:
     """One row (n, avgdl)."""
     return segment.words_of(units, tokens).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
