@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import stored
 
 #: Bits of a code point.
 BITS = 21
@@ -28,12 +29,15 @@ def gram(three: str) -> int:
     return a << 2 * BITS | b << BITS | c
 
 
-def _of_texts(ids: list[int], lengths: list[int], texts: list[str]) -> pa.RecordBatch:
+def _of_texts(ids: list[int], lengths: list[int], texts: list[str], only: np.ndarray | None = None) -> pa.RecordBatch:
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) for t in texts]
     sizes = np.array([max(len(p) - 2, 0) for p in points])
     keys = np.concatenate([(p[:-2] << 2 * BITS) | (p[1:-1] << BITS) | p[2:] for p in points if len(p) > 2] or [np.zeros(0, dtype=np.int64)])
     owner = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if only is not None:
+        held = np.isin(keys, only)
+        keys, owner, place = keys[held], owner[held], place[held]
     order = np.lexsort((place, keys, owner))
     keys, owner, place = keys[order], owner[order], place[order].astype(np.int32)
     begins = np.nonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))[0] if len(keys) else np.zeros(0, dtype=np.int64)
@@ -42,20 +46,21 @@ def _of_texts(ids: list[int], lengths: list[int], texts: list[str]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(keys[begins]), *owned, pa.ListArray.from_arrays(offsets, pa.array(place))], ["gram", "id", "dl", "places"])
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(gram, id, dl, places) of units (id, text) whose ids are different; texts below three characters have none."""
+def postings(units: DataFrame, only: list[int] | None = None) -> DataFrame:
+    """(gram, id, dl, places) of units (id, text) whose ids are different; texts below three characters have none. ``only`` names the grams that are wanted."""
+    wanted = None if only is None else np.array(sorted(only), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some, held = [], 0
             for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if some and held + len(row[2]) > AT_ONCE:
-                    yield _of_texts(*map(list, zip(*some)))
+                    yield _of_texts(*map(list, zip(*some)), wanted)
                     some, held = [], 0
                 some.append(row)
                 held += len(row[2])
             if some:
-                yield _of_texts(*map(list, zip(*some)))
+                yield _of_texts(*map(list, zip(*some)), wanted)
 
     return units.where("id is not null and text is not null").select(F.col("id").cast("long"), size(F.col("text")), F.lower("text").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -71,6 +76,13 @@ def cover(phrase: str) -> list[tuple[int, int]]:
     return [(i, gram(phrase[i : i + 3])) for i in sorted({*range(0, last + 1, 3), last})]
 
 
+def of_phrases(units: DataFrame, phrases: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) as of an index, but with the phrases' grams only, of all units: what a search of texts that aren't indexed needs, in one pass over them."""
+    only = sorted({g for p in phrases if len(p) >= 3 for _, g in cover(p.lower())})
+    stats = units.agg(F.count(F.lit(1)).alias("n"), F.avg(size(F.col("text"))).alias("avgdl"))
+    return stored(postings(units, only), "grams"), stored(stats, "grams-stats")
+
+
 def hits(index: DataFrame, phrases: list[str]) -> DataFrame:
     """(phrase, id, dl, n): how often each phrase, by its place in the list, is found without overlaps.
 
