@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titles as T
 from ..functions import visibility as V
-from ..functions.numerals import ARTICLE_NO, normalize_article_no
+from ..functions.numerals import ARTICLE_NO, let, normalize_article_no
 
 BLOCK = "【([^】]+)】"
 
@@ -17,17 +17,25 @@ def extract(text: Column) -> Column:
     items = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BLOCK), F.lit(1)), lambda b: F.split(b, "[；;]")))
     shape = r"(?s)^(.+?)·(.+)$"
 
-    def one(item: Column) -> Column:
-        trimmed = T.strip(item)
-        title, rest = T.strip(F.regexp_extract(trimmed, shape, 1)), T.strip(F.regexp_extract(trimmed, shape, 2))
-        numbers = F.when(F.startswith(rest, F.lit("全文")), F.array(F.lit("全文"))).otherwise(F.array_distinct(F.regexp_extract_all(rest, F.lit(ARTICLE_NO), F.lit(0))))
-        return F.when(trimmed.rlike(shape), F.transform(numbers, lambda n: F.struct(title.alias("title"), n.alias("raw_no")))).otherwise(F.array().cast("array<struct<title:string,raw_no:string>>"))
+    def named(x: Column) -> Column:
+        numbers = F.when(F.startswith(x["rest"], F.lit("全文")), F.array(F.lit("全文"))).otherwise(F.array_distinct(F.regexp_extract_all(x["rest"], F.lit(ARTICLE_NO), F.lit(0))))
+        return F.transform(numbers, lambda n: F.struct(x["title"].alias("title"), n.alias("raw_no")))
 
-    return F.flatten(F.transform(items, one))
+    def one(trimmed: Column) -> Column:
+        parts = F.struct(T.strip(F.regexp_extract(trimmed, shape, 1)).alias("title"), T.strip(F.regexp_extract(trimmed, shape, 2)).alias("rest"))
+        return F.when(trimmed.rlike(shape), let(parts, named)).otherwise(F.array().cast("array<struct<title:string,raw_no:string>>"))
+
+    return F.flatten(F.transform(items, lambda item: let(T.strip(item), one)))
 
 
 def citations(answers: DataFrame, text: str = "text") -> DataFrame:
-    """(id, nth, title, raw_no, article_no) of the answers' citations."""
+    """(id, nth, title, raw_no, article_no) of the answers' citations.
+
+    Answers are dealt to tasks by their id first, since patterns take far
+    longer than reading: a small file would be one task's work.
+    """
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = answers.select("id", F.col(text).alias(text)).repartition(n, "id")
     return answers.select("id", F.posexplode_outer(extract(F.col(text))).alias("nth", "c")).where("c is not null").select("id", "nth", "c.title", "c.raw_no", normalize_article_no(F.col("c.raw_no")).alias("article_no"))
 
 
