@@ -224,15 +224,24 @@ def lengths_fit(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6)
 
 
-def needed(larger: Column, least: float) -> Column:
-    """How many keys two similar sets have in common in their prefixes, by the size of the larger one: as many as they share if that is below SHARED."""
-    return F.least(F.lit(SHARED), F.ceil(larger * F.lit(least) - F.lit(1e-6)))
+def slack(n: Column, m: Column, i: Column, j: Column, least: float) -> Column:
+    """How far a key in common, at the places i and j of sets of n and m shingles, lies behind the last place for the first one of similar sets.
+
+    What sets have in common comes, in the common order, from their first
+    common shingle on. They have to share least / (1 + least) of both sizes, so
+    only so many places may lie before it in either, one more before the
+    second common shingle, and so on.
+    """
+    share = F.ceil((n + m) * F.lit(least / (1 + least)) - F.lit(1e-6))
+    return F.greatest(i - n, j - m) + share
 
 
 def sharing(met: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of rows (a, b, n, m), one for each key in common, that have as many keys in common as similar sets do."""
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n", "m")).alias("larger"))
-    return counted.where(F.col("shared") >= needed(F.col("larger"), least)).select("a", "b")
+    """Those pairs (a, b) of rows (a, b, n, m, late: the slack), one for each key in common, whose keys in common are as many, and as early, as those of similar sets."""
+    share = F.ceil((F.col("n") + F.col("m")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+    early = [F.when(share > k, (F.col("late") <= k).cast("int")).otherwise(SHARED) for k in range(SHARED)]
+    counted = met.groupBy("a", "b").agg(*[F.sum(e).alias(f"early_{k}") for k, e in enumerate(early)])
+    return counted.where(reduce(lambda x, y: x & y, [F.col(f"early_{k}") > k for k in range(SHARED)])).select("a", "b")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: int, least: float, under: str | None = None) -> DataFrame:
@@ -243,7 +252,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
     many. First each text is compared with those that come first at as many of
     its keys: the texts with the fewest shingles of their own, which the
     others are most like. Then all pairs are compared that share as many keys and
-    aren't in one component yet and whose sketches allow it. Keys are counted
+    aren't in one component yet and whose sketches allow it. A key counts for
+    texts only that have it early enough to be similar: of a group of near
+    copies those that are too different meet at none. Keys are counted
     in narrow rows; texts are moved for what is left. So a group of n near copies makes n pairs a
     key, but no two texts are left out that nothing links.
     """
@@ -258,9 +269,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
     at_key = W.partitionBy("key").orderBy("pos", "version")
     met = stored(
         sets.select("version", F.col("n").cast("int").alias("n"), F.posexplode_outer("keys").alias("pos", "key"))
-        .withColumns({"first": F.first("version").over(at_key), "first_n": F.first("n").over(at_key), "more": F.lead("pos").over(at_key)})
+        .withColumns({"first": F.first("version").over(at_key), "first_n": F.first("n").over(at_key), "first_pos": F.first("pos").over(at_key), "more": F.lead("pos").over(at_key)})
         .where((F.col("version") != F.col("first")) | F.col("more").isNotNull())
-        .select("key", "version", "n", "first", "first_n"),
+        .select("key", "version", "n", "pos", "first", "first_n", "first_pos"),
         "met",
         under,
     )
@@ -270,15 +281,18 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, words: i
         ends = pairs.join(leads.toDF("a", "lead_a"), "a").join(leads.toDF("b", "lead_b"), "b")
         return ends.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
 
-    stars = met.where((F.col("version") != F.col("first")) & lengths_fit(F.col("n"), F.col("first_n"), least))
-    good = alike(sharing(stars.select(F.col("version").alias("a"), F.col("first").alias("b"), "n", F.col("first_n").alias("m")), least), sets, docs, words, least, under)
+    late = slack(F.col("n"), F.col("first_n"), F.col("pos"), F.col("first_pos"), least)
+    stars = met.where((F.col("version") != F.col("first")) & lengths_fit(F.col("n"), F.col("first_n"), least) & (late < SHARED))
+    good = alike(sharing(stars.select(F.col("version").alias("a"), F.col("first").alias("b"), "n", F.col("first_n").alias("m"), late.alias("late")), least), sets, docs, words, least, under)
     joined = cut(connected_components(known.union(copies).union(named(good))))
     place = sets.select("version", "lead").join(joined, F.col("lead") == F.col("node"), "left").select("version", F.coalesce("component", "lead").alias("c"))
-    placed = stored(met.select("key", "version", "n").join(place, "version"), "placed", under)
+    placed = stored(met.select("key", "version", "n", "pos").join(place, "version"), "placed", under)
     open_keys = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "open", under)
     apart = stored(placed.join(open_keys, "key"), "apart", under)
-    ones = apart.select("key", F.col("version").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = sharing(apart.withColumnRenamed("version", "a").join(ones, "key").where((F.col("d") < F.col("c")) & lengths_fit(F.col("n"), F.col("m"), least)), least)
+    ones = apart.select("key", F.col("version").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("c").alias("d"))
+    late = slack(F.col("n"), F.col("m"), F.col("pos"), F.col("pos_b"), least)
+    meeting = apart.withColumnRenamed("version", "a").join(ones, "key").where((F.col("d") < F.col("c")) & lengths_fit(F.col("n"), F.col("m"), least) & (late < SHARED))
+    pairs = sharing(meeting.select("a", "b", "n", "m", late.alias("late")), least)
     rest = alike(pairs.join(good.union(good.select("b", "a")), ["a", "b"], "left_anti"), sets, docs, words, least, under)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(named(rest))
 
