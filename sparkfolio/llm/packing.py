@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import stored
-from .tokens import PATTERN
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Multiplicative-weights rounds for each solution, and the step by which covered lengths lose weight.
@@ -48,6 +48,10 @@ class Encoder:
 
     #: Characters outside Latin letters and common dashes, quotes and signs, or very long white space.
     OTHER = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]|\s{1000}")
+    #: Very long white space shows in every 500th character.
+    WIDE = re.compile(r"\s\s")
+    #: The same pre-tokens as ``tokens.PATTERN``, without stepping back in runs of letters, digits or signs.
+    PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
     def __init__(self, path: str):
         from tiktoken import Encoding
@@ -60,12 +64,21 @@ class Encoder:
         seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(0x100) if b not in seen)}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in self.tokenizer.get_vocab().items() if n not in control}
-        self.plain = Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = Encoding("plain", pat_str=self.PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def other(self, text: str) -> bool:
+        """Whether OTHER is in the text, which isn't read twice where all its characters are of Latin-1."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return bool(self.OTHER.search(text))
+        return bool(self.WIDE.search(text[::500])) and bool(self.OTHER.search(text))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.OTHER.search(text):
+        if self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        return np.array(self.plain(text), dtype=np.int32)
+        return np.frombuffer(array("i", self.plain(text)), dtype=np.int32)
 
 
 @functools.cache
