@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,41 +21,68 @@ RUN_SENTENCES, RUN_WORDS = 3, 24
 #: side, so that a passage is cut alike wherever it stands, and pieces of more than LONG_PIECE words are cut by count.
 LONG_SENTENCE, NEAR, LONG_PIECE = 12, 2, 24
 #: A sentence ends after one of these marks before white space, or at a line's end.
-WORD = re.compile(r"\S+")
-END = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+#: The pattern begins with the white space, which is rare, and looks back from there.
+END = re.compile(r"\s(?:(?<=[.!?…。！？]\s)\s*|(?<=\n)\n*)")
+#: A word with the white space before it.
+WORD = re.compile(r"\s*\S+")
 
 
-def cuts(words: list[str]) -> list[int]:
-    """Places among the words of a long sentence where its pieces begin: chosen by the words around, then by count."""
+def cuts(words: list[str], long: list[tuple[int, int]]) -> list[list[int]]:
+    """For each long sentence, given by its place in a text's words, where among its words its pieces begin: chosen by the words around, then by count."""
     import xxhash
 
-    own = [xxhash.xxh32_intdigest(w) for w in words]
-    edge = [1 << 40] * NEAR
-    h = [*edge, own[0], *[(x * 31 + y * 17) & 0xFFFFFFFF for x, y in zip(own[1:], own, strict=False)], *edge]
-    out = [0]
-    for i in range(1, len(words)):
-        v = h[i + NEAR]
-        if v < h[i + NEAR - 1] and v <= h[i + NEAR + 1] and v < min(h[i : i + NEAR]) and v <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1]):
-            out += [*range(out[-1] + LONG_PIECE, i, LONG_PIECE), i]
-    return [*out, *range(out[-1] + LONG_PIECE, len(words), LONG_PIECE)]
+    sizes = [hi - lo for lo, hi in long]
+    first = np.cumsum([0, *sizes[:-1]])
+    own = np.fromiter(map(xxhash.xxh32_intdigest, itertools.chain.from_iterable(words[lo:hi] for lo, hi in long)), dtype=np.int64, count=sum(sizes))
+    h = own * 31
+    h[1:] += own[:-1] * 17
+    h &= 0xFFFFFFFF
+    h[first] = own[first]
+    # sentences lie NEAR places apart, so that none sees the words of another
+    at = np.arange(len(own)) + NEAR * np.repeat(np.arange(1, len(long) + 1), sizes)
+    around = np.full(len(own) + NEAR * (len(long) + 1), 1 << 40)
+    around[at] = h
+    least = np.ones(len(own), dtype=bool)
+    for d in range(1, NEAR + 1):
+        least &= (h < around[at - d]) & (h <= around[at + d])
+    least[first] = False
+    chosen, out, k = [*np.flatnonzero(least).tolist(), len(own)], [], 0
+    for begin, size in zip(first.tolist(), sizes, strict=True):
+        starts = [0]
+        while chosen[k] < begin + size:
+            i = chosen[k] - begin
+            starts += [*range(starts[-1] + LONG_PIECE, i, LONG_PIECE), i]
+            k += 1
+        out.append([*starts, *range(starts[-1] + LONG_PIECE, size, LONG_PIECE)])
+    return out
+
+
+def parsed(text: str | None) -> tuple[list[tuple[int, int, int]], list[str]]:
+    """(begin, end, words) of the sentences of a text, and all its words in lower case; long sentences come in pieces, blank ones not at all."""
+    out, text, at, done, held = [], text or "", 0, 0, []
+    words, ends = text.lower().split(), list(itertools.accumulate(map(len, WORD.findall(text))))
+    for stop, after in [*(m.span() for m in END.finditer(text)), (len(text), len(text))]:
+        upto = bisect.bisect_right(ends, stop, done)
+        if upto > done:
+            held.append((at, stop, done, upto))
+        at, done = after, upto
+    long = [(lo, hi) for _, _, lo, hi in held if hi - lo > LONG_SENTENCE]
+    pieces = iter(cuts(words, long) if long else ())
+    for begin, stop, lo, hi in held:
+        if hi - lo <= LONG_SENTENCE:
+            out.append((begin, stop, hi - lo))
+            continue
+        starts = next(pieces)
+        for i, j in zip(starts, [*starts[1:], hi - lo], strict=True):
+            end = ends[lo + j - 1]
+            out.append((begin, end, j - i))
+            begin = end
+    return out, words
 
 
 def sentences(text: str | None) -> list[tuple[int, int, int]]:
     """(begin, end, words) of the sentences of a text; long ones come in pieces, blank ones not at all."""
-    out, text, at = [], text or "", 0
-    for stop, after in [*((m.start(), m.end()) for m in END.finditer(text)), (len(text), len(text))]:
-        piece, begin = text[at:stop], at
-        n = len(piece.split())
-        if n > LONG_SENTENCE:
-            places = [m.span() for m in WORD.finditer(text, at, stop)]
-            starts = cuts([text[b:e].lower() for b, e in places])
-            for i, j in zip(starts, [*starts[1:], len(places)], strict=True):
-                out.append((begin, places[j - 1][1], j - i))
-                begin = places[j - 1][1]
-        elif n:
-            out.append((begin, stop, n))
-        at = after
-    return out
+    return parsed(text)[0]
 
 
 def runs(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
@@ -65,11 +94,12 @@ def runs(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
     """
     import xxhash
 
-    found = sentences(text)
+    found, words = parsed(text)
     if not found:
         return [], [], np.zeros((0, 2), dtype=np.int64)
-    low = [" ".join(text[b:e].lower().split()).encode("utf-8", "surrogatepass") for b, e, _ in found]
-    total = np.concatenate([[0], np.cumsum([n for _, _, n in found])])
+    total = np.array([0, *itertools.accumulate(n for _, _, n in found)])
+    places = total.tolist()
+    low = [" ".join(words[i:j]).encode("utf-8", "surrogatepass") for i, j in itertools.pairwise(places)]
     begin = np.arange(len(found))
     end = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS, side="left"), begin + RUN_SENTENCES)
     whole = end <= len(found)
@@ -109,8 +139,8 @@ def all_runs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, run long, rest long")
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, gone): the sentences of a text that lie in a repeated run which isn't its first.
+def repeated_sentences(found: DataFrame) -> DataFrame:
+    """(doc_id, version, gone) from all runs: the sentences of a text that lie in a repeated run which isn't its first.
 
     The first of equal runs is that with the least (doc_id, version, pos). Runs
     are counted first with map-side combine; only those found twice or more go
@@ -119,7 +149,6 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     joined back is stored before, so Spark can split a run that very many texts
     share; no texts are carried.
     """
-    found = stored(all_runs(docs), "runs")
     twice = stored(found.groupBy("run", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
     shared = stored(found.join(twice, ["run", "rest"]), "shared")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
@@ -139,26 +168,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     any length are judged as a whole; extra columns stay, but n_sentences and
     n_removed are replaced; an empty table stays empty.
     """
-    gone = repeated_sentences(docs).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "gone")
+    found = stored(all_runs(docs), "runs")
+    # a text's last run ends with it, so the runs say how many sentences it has
+    size = found.groupBy("doc_id", "version").agg(F.max(F.col("pos") + F.col("len")).cast("long").alias("size"))
+    gone = repeated_sentences(found)
+    both = size.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)).unionByName(gone.withColumn("size", F.lit(None).cast("long")))
+    texts = both.groupBy(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version")).agg(F.max("size").alias("size"), F.max("gone").alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    joined = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_version")), "left")
+    joined = rows.join(texts, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("row.text") == F.col("of_version")), "left")
 
-    @F.pandas_udf("text string, n_sentences long, n_removed long")
+    @F.pandas_udf("text string, n_removed long")
     def clean(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
         for text, spans in zip(texts, gone, strict=True):
-            found, bad = sentences(text), set()
-            for s in spans if spans is not None else ():
+            if spans is None:
+                out.append((None, 0))
+                continue
+            found, bad, kept, at = sentences(text), set(), [], 0
+            for s in spans:
                 bad.update(range(s["pos"], s["pos"] + s["len"]))
-            if bad:
-                kept, at = [], 0
-                for i, (_, e, _) in enumerate(found):
-                    if i not in bad:
-                        kept.append(text[at:e])
-                    at = e
-                text = "".join([*kept, text[at:]]) if len(bad) < len(found) else ""
-            out.append((text, len(found), len(bad)))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+            for i, (_, e, _) in enumerate(found):
+                if i not in bad:
+                    kept.append(text[at:e])
+                at = e
+            out.append(("".join([*kept, text[at:]]) if len(bad) < len(found) else "", len(bad)))
+        return pd.DataFrame(out, columns=["text", "n_removed"])
 
     rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
-    return joined.select("row", clean("row.text", "gone").alias("made")).select(*rest, "made.*")
+    cleaned = joined.select("row", "size", F.col("gone").isNull().alias("whole"), clean(F.when(F.col("gone").isNotNull(), F.col("row.text")), "gone").alias("made"))
+    text = F.when(F.col("whole"), F.col("row.text")).otherwise(F.col("made.text"))
+    return cleaned.select(*rest, text.alias("text"), F.coalesce("size", F.lit(0)).alias("n_sentences"), "made.n_removed")
