@@ -134,22 +134,26 @@ def chips(marks: DataFrame, cited: DataFrame) -> DataFrame:
 
     # expressions of titles and numbers are worked out once for each different one
     titles = marks.select("title").union(cited.select("title")).union(cited.select(F.col("ref_title"))).where("title is not null").distinct()
-    tagged = lambda kind, found: F.transform(found, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-    every = F.concat(tagged("full", keys(F.col("title"), True)), tagged("loose", keys(F.col("title"), False)))
+    # keys with years are among those without; one row serves both
+    with_years = keys(F.col("title"), True)
+    every = F.transform(F.array_union(with_years, keys(F.col("title"), False)), lambda k: F.struct(k.alias("key"), F.array_contains(with_years, k).alias("full")))
     titles = titles.select("title", every.alias("keys"), bare(T.clean_title(F.col("title"))).alias("name"), F.col("title").rlike(T.ANY_VERSION).alias("dated"))
     numbers = marks.select("no").union(cited.select("no")).where("no is not null").distinct()
     numbers = numbers.select("no", number(F.col("no")).alias("number"))
     left = marks.join(numbers, "no").join(titles, "title")
-    left = left.select("id", "nth", F.col("number").alias("no"), F.explode(F.filter("keys", lambda k: (k["kind"] == "full") | ~F.col("dated"))).alias("key"))
+    left = left.select("id", "nth", F.col("number").alias("no"), (~F.col("dated")).alias("loose"), F.explode(F.filter("keys", lambda k: k["full"] | ~F.col("dated"))).alias("k"))
+    left = left.select("id", "nth", "no", "loose", "k.key", F.col("k.full").alias("full"))
     right = cited.join(numbers, "no").select("id", "number", "law_id", "article_id", "title", "ref_title").join(titles.drop("dated"), "title", "left")
     right = right.join(titles.select(F.col("title").alias("ref_title"), F.col("keys").alias("ref_keys")), "ref_title", "left")
     none = F.array().cast(titles.schema["keys"].dataType)
     target = F.struct("law_id", "article_id", F.when(F.col("law_id").isNull(), F.coalesce("name", "ref_title")).alias("name"))
-    right = right.select("id", F.col("number").alias("cited_no"), target.alias("target"), F.explode(F.array_union(F.coalesce("keys", none), F.coalesce("ref_keys", none))).alias("key"))
+    right = right.select("id", F.col("number").alias("cited_no"), target.alias("target"), F.explode(F.array_union(F.coalesce("keys", none), F.coalesce("ref_keys", none))).alias("k"))
+    right = right.select("id", "cited_no", "target", "k.key", F.col("k.full").alias("cited_full"))
     met = left.join(right, ["id", "key"])
     # a mark has one target if the least is the greatest
-    hit = {kind: F.when((F.col("key.kind") == kind) & (F.col("no") == F.col("cited_no")), F.col("target")) for kind in ("full", "loose")}
-    seen = met.groupBy("id", "nth").agg(F.max(F.col("key.kind") == "full").alias("any_full"), *[f(c).alias(f"{kind}_{f.__name__}") for kind, c in hit.items() for f in (F.min, F.max)])
+    full = F.col("full") & F.col("cited_full")
+    hit = {kind: F.when(fits & (F.col("no") == F.col("cited_no")), F.col("target")) for kind, fits in (("full", full), ("loose", F.col("loose")))}
+    seen = met.groupBy("id", "nth").agg(F.max(full).alias("any_full"), *[f(c).alias(f"{kind}_{f.__name__}") for kind, c in hit.items() for f in (F.min, F.max)])
     one = lambda kind: F.when(F.col(f"{kind}_min") == F.col(f"{kind}_max"), F.col(f"{kind}_min"))
     found = seen.select("id", "nth", F.when(F.col("any_full"), one("full")).otherwise(one("loose")).alias("target"))
     return marks.select("id", "nth").join(found, ["id", "nth"], "left").select("id", "nth", "target.law_id", "target.article_id")
