@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -111,50 +112,53 @@ def runs(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, len, run, rest): a row for every run of every text. ``version`` is a hash of the text; run and rest are a hash of the run."""
-    names = ["doc_id", "version", "pos", "len", "run", "rest"]
+    """(doc_id, version, pos, len, last, run, rest): a row for every run of every text. ``version`` is a hash of the text, ``last`` says that the run ends with it; run and rest are a hash of the run."""
+    names = ["doc_id", "version", "pos", "len", "last", "run", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("text"), strict=True)
-            ids, versions, pos, lens, hashes, n = [], [], [], [], [], 0
+            ids, versions, pos, lens, last, hashes, n = [], [], [], [], [], [], 0
             for doc_id, version, text in rows:
                 p, k, h = runs(text.as_py())
+                size = max(map(sum, zip(p, k, strict=True)), default=0)
                 ids += [doc_id] * len(p)
                 versions += [version] * len(p)
                 pos += p
                 lens += k
+                last += [i + j == size for i, j in zip(p, k, strict=True)]
                 hashes.append(h)
                 n += len(p)
                 if n >= 50_000:
-                    yield made(ids, versions, pos, lens, hashes)
-                    ids, versions, pos, lens, hashes, n = [], [], [], [], [], 0
+                    yield made(ids, versions, pos, lens, last, hashes)
+                    ids, versions, pos, lens, last, hashes, n = [], [], [], [], [], [], 0
             if n:
-                yield made(ids, versions, pos, lens, hashes)
+                yield made(ids, versions, pos, lens, last, hashes)
 
-    def made(ids: list, versions: list, pos: list, lens: list, hashes: list) -> pa.RecordBatch:
+    def made(ids: list, versions: list, pos: list, lens: list, last: list, hashes: list) -> pa.RecordBatch:
         h = np.concatenate(hashes)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(last, pa.bool_()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names
+        )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, run long, rest long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, last boolean, run long, rest long")
 
 
 def repeated_sentences(found: DataFrame) -> DataFrame:
-    """(doc_id, version, gone) from all runs: the sentences of a text that lie in a repeated run which isn't its first.
-
-    The first of equal runs is that with the least (doc_id, version, pos). Runs
-    are counted first with map-side combine; only those found twice or more go
-    on. Runs are told apart by 128 bits, whose chance agreement is left out of
-    account. Their first places come from an aggregation of the same kind. What is
-    joined back is stored before, so Spark can split a run that very many texts
-    share; no texts are carried.
+    """(doc_id, version, size, gone) of every text with runs: how many sentences it has, and those runs of it that are repeated and not the first of their kind, null without any.
+
+    The first of equal runs is that with the least (doc_id, version, pos), so
+    runs are ranked so where their hashes meet: all of them move once, as
+    narrow rows, and only the later ones and the texts' last ones, which say
+    how many sentences there are, move on to their texts. Runs are told apart
+    by 128 bits, whose chance agreement is left out of account. Rows of the same doc_id
+    and text tie, so they are all first.
     """
-    twice = stored(found.groupBy("run", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    shared = stored(found.join(twice, ["run", "rest"]), "shared")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
-    first = stored(shared.groupBy("run", "rest").agg(F.min(place).alias("first")), "first")
-    later = shared.join(first, ["run", "rest"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("gone"))
+    place = W.partitionBy("run", "rest").orderBy(F.col("doc_id").isNull(), "doc_id", "version", "pos")
+    ranked = found.withColumn("later", F.rank().over(place) > 1).where("later or last")
+    gone = F.collect_set(F.when(F.col("later"), F.struct("pos", "len")))
+    size = F.max(F.when(F.col("last"), F.col("pos") + F.col("len"))).cast("long")
+    return ranked.groupBy("doc_id", "version").agg(size.alias("size"), F.when(F.size(gone) > 0, F.array_sort(gone)).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -168,12 +172,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     any length are judged as a whole; extra columns stay, but n_sentences and
     n_removed are replaced; an empty table stays empty.
     """
-    found = stored(all_runs(docs), "runs")
-    # a text's last run ends with it, so the runs say how many sentences it has
-    size = found.groupBy("doc_id", "version").agg(F.max(F.col("pos") + F.col("len")).cast("long").alias("size"))
-    gone = repeated_sentences(found)
-    both = size.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)).unionByName(gone.withColumn("size", F.lit(None).cast("long")))
-    texts = both.groupBy(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version")).agg(F.max("size").alias("size"), F.max("gone").alias("gone"))
+    texts = stored(repeated_sentences(all_runs(docs)).withColumnsRenamed({"doc_id": "of_id", "version": "of_version"}), "texts")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = rows.join(texts, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("row.text") == F.col("of_version")), "left")
 
