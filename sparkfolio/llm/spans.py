@@ -21,6 +21,9 @@ RUN_SENTENCES, RUN_WORDS = 3, 24
 #: A sentence of more words counts as several: it is cut before each word whose hash is the least of NEAR words on either
 #: side, so that a passage is cut alike wherever it stands, and pieces of more than LONG_PIECE words are cut by count.
 LONG_SENTENCE, NEAR, LONG_PIECE = 12, 2, 24
+#: Runs that a task compares among themselves before they move.
+BATCH_RUNS = 50_000
+RUN_COLUMNS = ["doc_id", "version", "pos", "len", "last", "later", "run", "rest"]
 #: A sentence ends after one of these marks before white space, or at a line's end.
 #: The pattern begins with the white space, which is rare, and looks back from there.
 END = re.compile(r"\s(?:(?<=[.!?…。！？]\s)\s*|(?<=\n)\n*)")
@@ -111,14 +114,36 @@ def runs(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
     return begin.tolist(), (end - begin).tolist(), np.frombuffer(hashes, dtype=np.int64).reshape(-1, 2)
 
 
+def settled(ids: list, versions: list, pos: list, lens: list, last: list, hashes: list) -> pa.RecordBatch:
+    """Rows of all_runs for some texts' runs: of equal runs only the first still has to be compared with those of other batches."""
+    h, none = np.concatenate(hashes), np.array([i is None for i in ids])
+    at = [np.array([i or 0 for i in ids], dtype=np.int64), np.array(versions, dtype=np.int64), np.array(pos, dtype=np.int64)]
+    keys = [h[:, 0], h[:, 1], none, *at]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    equal = np.logical_and.accumulate([np.append(False, k[1:] == k[:-1]) for k in keys])
+    # the last row of equal has the repeated rows, one of which is enough
+    order, later, keys = order[~equal[-1]], equal[1][~equal[-1]], [k[~equal[-1]] for k in keys]
+    run, rest, none, own, version, place = keys
+    # a later run meets no other: it is dealt out by its text and place
+    run, rest = np.where(later, version ^ own * 0x9E3779B97F4A7C1, run), np.where(later, place, rest)
+    some = [pa.array(np.array(x, dtype=t)[order]) for x, t in ((lens, np.int32), (last, bool))]
+    return pa.RecordBatch.from_arrays([pa.array(own, mask=none), pa.array(version), pa.array(place.astype(np.int32)), *some, pa.array(later), pa.array(run), pa.array(rest)], names=RUN_COLUMNS)
+
+
 def all_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, len, last, run, rest): a row for every run of every text. ``version`` is a hash of the text, ``last`` says that the run ends with it; run and rest are a hash of the run."""
-    names = ["doc_id", "version", "pos", "len", "last", "run", "rest"]
+    """(doc_id, version, pos, len, last, later, run, rest): a row for every run of every text.
+
+    ``version`` is a hash of the text, ``last`` says that the run ends with it;
+    run and rest are a hash of the run. ``later`` runs are known to repeat one
+    that comes before, from among the BATCH_RUNS and more that are read
+    together; so a run that very many texts share is met once a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, versions, pos, lens, last, hashes = [], [], [], [], [], []
         for batch in batches:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("text"), strict=True)
-            ids, versions, pos, lens, last, hashes, n = [], [], [], [], [], [], 0
             for doc_id, version, text in rows:
                 p, k, h = runs(text.as_py())
                 size = max(map(sum, zip(p, k, strict=True)), default=0)
@@ -128,34 +153,27 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 lens += k
                 last += [i + j == size for i, j in zip(p, k, strict=True)]
                 hashes.append(h)
-                n += len(p)
-                if n >= 50_000:
-                    yield made(ids, versions, pos, lens, last, hashes)
-                    ids, versions, pos, lens, last, hashes, n = [], [], [], [], [], [], 0
-            if n:
-                yield made(ids, versions, pos, lens, last, hashes)
-
-    def made(ids: list, versions: list, pos: list, lens: list, last: list, hashes: list) -> pa.RecordBatch:
-        h = np.concatenate(hashes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(pos, pa.int32()), pa.array(lens, pa.int32()), pa.array(last, pa.bool_()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names
-        )
+                if len(ids) >= BATCH_RUNS:
+                    yield settled(ids, versions, pos, lens, last, hashes)
+                    ids, versions, pos, lens, last, hashes = [], [], [], [], [], []
+        if ids:
+            yield settled(ids, versions, pos, lens, last, hashes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, last boolean, run long, rest long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, pos int, len int, last boolean, later boolean, run long, rest long")
 
 
 def repeated_sentences(found: DataFrame) -> DataFrame:
     """(doc_id, version, size, gone) of every text with runs: how many sentences it has, and those runs of it that are repeated and not the first of their kind, null without any.
 
     The first of equal runs is that with the least (doc_id, version, pos), so
-    runs are ranked so where their hashes meet: all of them move once, as
-    narrow rows, and only the later ones and the texts' last ones, which say
+    runs are ranked so where their hashes meet, those apart that are known to
+    be later ones: all of them move once, as narrow rows, and only the later ones and the texts' last ones, which say
     how many sentences there are, move on to their texts. Runs are told apart
     by 128 bits, whose chance agreement is left out of account. Rows of the same doc_id
     and text tie, so they are all first.
     """
-    place = W.partitionBy("run", "rest").orderBy(F.col("doc_id").isNull(), "doc_id", "version", "pos")
-    ranked = found.withColumn("later", F.rank().over(place) > 1).where("later or last")
+    place = W.partitionBy("run", "rest", "later").orderBy(F.col("doc_id").isNull(), "doc_id", "version", "pos")
+    ranked = found.withColumn("later", F.col("later") | (F.rank().over(place) > 1)).where("later or last")
     gone = F.collect_set(F.when(F.col("later"), F.struct("pos", "len")))
     size = F.max(F.when(F.col("last"), F.col("pos") + F.col("len"))).cast("long")
     return ranked.groupBy("doc_id", "version").agg(size.alias("size"), F.when(F.size(gone) > 0, F.array_sort(gone)).alias("gone"))
