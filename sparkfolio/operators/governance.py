@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from ..functions import titles as T
 from ..functions import visibility as V
@@ -15,14 +16,31 @@ from ..functions import visibility as V
 SIMILAR, COMPARED, SHORT_TEXT, SHORT_ARTICLE = 0.95, 20_000, 200, 5
 
 
+def ratio(a: str, b: str) -> float | None:
+    """difflib's share of matching characters of two texts, or null as soon as what isn't compared yet can't bring it to the threshold.
+
+    Matching blocks are looked for in the stretches that earlier ones leave,
+    as difflib does; a stretch pair holds no more than the shorter one's characters.
+    """
+    both = len(a) + len(b)
+    if a == b:
+        return 1.0
+    matcher, matched, left, queue = difflib.SequenceMatcher(None, a, b), 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while queue and 2.0 * (matched + left) / both >= SIMILAR:
+        alo, ahi, blo, bhi = queue.pop()
+        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        matched, left = matched + k, left - min(ahi - alo, bhi - blo)
+        # without a block nothing in the stretches matches; the longer ones come last, so that small ones that don't match are known first
+        rest = [x for x in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k and x[0] < x[1] and x[2] < x[3]]
+        queue += sorted(rest, key=lambda x: x[0] - x[1])
+        left += sum(min(x[1] - x[0], x[3] - x[2]) for x in rest)
+    return 2.0 * matched / both if 2.0 * (matched + left) / both >= SIMILAR else None
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts' beginnings, by difflib."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = (x or "")[:COMPARED], (y or "")[:COMPARED]
-        out.append(1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio())
-    return pd.Series(out)
+    """Share of matching characters of two texts' beginnings, by difflib; null below the threshold."""
+    return pd.Series([ratio((x or "")[:COMPARED], (y or "")[:COMPARED]) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def could_be_similar(a, b):
@@ -31,29 +49,26 @@ def could_be_similar(a, b):
     return 2.0 * F.least(la, lb) >= SIMILAR * (la + lb)
 
 
-#: Classes of characters that are counted to bound similarities: letters, kinds of signs, stretches of the Chinese characters; all others are one class more.
-CLASSES = [*"abcdefghijklmnopqrstuvwxyz", r"0-9", r"\s", r"A-Z", r"，。、；：（）《》“”", r"\u00c0-\u024f", *[f"\\u{a:04x}-\\u{a + 0x3ff:04x}" for a in range(0x4E00, 0x9C00, 0x400)]]
-
+def could_match(a: str, b: str) -> bool:
+    """An upper bound of the similarity reaches the threshold: matched characters are the same on both sides."""
+    return 2.0 * (Counter(a) & Counter(b)).total() >= SIMILAR * (len(a) + len(b))
 
-def histogram(text):
-    """How many characters of each class a text has, those of no class last."""
-    counts = F.array(*[F.regexp_count(text, F.lit(f"[{c}]")) for c in CLASSES])
-    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0), lambda a, b: a + b)))
 
-
-def could_match(a, b):
-    """An upper bound of the similarity from two histograms reaches the threshold: matched characters are of one class on both sides."""
-    total = lambda h: F.aggregate(h, F.lit(0), lambda x, y: x + y)
-    shared = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-    return 2.0 * shared >= SIMILAR * (total(a) + total(b))
+@F.pandas_udf(BooleanType())
+def may_match(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([could_match((x or "")[:COMPARED], (y or "")[:COMPARED]) for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
 def to_compare(likely: DataFrame, fine: DataFrame) -> DataFrame:
-    """Those pairs (id, keeper_id) whose texts' histograms let them be similar; each text is counted once, however many pairs it is in."""
-    some = likely.select("id").union(likely.select(F.col("keeper_id").alias("id"))).distinct()
-    counted = fine.join(some, "id", "left_semi").select("id", histogram(F.substring(F.coalesce("full_text", F.lit("")), 1, COMPARED)).alias("h"))
-    both = likely.join(counted.toDF("id", "own"), "id").join(counted.toDF("keeper_id", "kept"), "keeper_id")
-    return both.where(could_match(F.col("own"), F.col("kept"))).select("id", "keeper_id")
+    """(id, keeper_id, mine, other): those pairs (id, keeper_id), with their texts' beginnings, whose characters let them be similar.
+
+    Pairs are dealt to tasks by their id before they are compared, since
+    comparing takes far longer than reading and a keeper may be in most pairs.
+    """
+    n = int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = fine.select(F.col("id").alias("of_id"), F.substring("full_text", 1, COMPARED).alias("text"))
+    both = likely.select("id", "keeper_id").join(texts.toDF("keeper_id", "other"), "keeper_id").repartition(n, "id").join(texts.toDF("id", "mine"), "id")
+    return both.where(may_match("mine", "other")).select("id", "keeper_id", "mine", "other")
 
 
 def keepers(laws: DataFrame, group, rank) -> DataFrame:
@@ -67,7 +82,7 @@ def duplicates(laws: DataFrame, group=None, rank=None) -> DataFrame:
     """(id, duplicate_of, similarity): laws with the title of a keeper and an equal hash or a similar text.
 
     Each is compared with its group's keeper only, and only if the lengths and
-    then the characters' numbers by class allow it: bounds that leave no
+    then the characters' numbers allow it: bounds that leave no
     similar pair out and spare most comparisons.
     """
     group = T.normalize_title(F.col("title")) if group is None else group
@@ -77,9 +92,7 @@ def duplicates(laws: DataFrame, group=None, rank=None) -> DataFrame:
     pairs = slim.join(keepers(fine, group, rank), "grp").where(F.col("id") != F.col("keeper_id"))
     same = F.coalesce(F.col("content_hash") == F.col("keeper_hash"), F.lit(False))
     likely = pairs.where(same | could_be_similar(F.col("chars"), F.col("keeper_chars"))).select("id", "keeper_id", same.alias("same"))
-    texts = fine.select(F.col("id").alias("of_id"), F.substring("full_text", 1, COMPARED).alias("text"))
-    mine, other = texts.toDF("id", "mine"), texts.toDF("keeper_id", "other")
-    scored = to_compare(likely.where("not same"), fine).join(mine, "id").join(other, "keeper_id").select("id", "keeper_id", similarity("mine", "other").alias("similarity"))
+    scored = to_compare(likely.where("not same"), fine).select("id", "keeper_id", similarity("mine", "other").alias("similarity"))
     scored = scored.unionByName(likely.where("same").select("id", "keeper_id", F.lit(1.0).alias("similarity")))
     return scored.where(F.col("similarity") >= SIMILAR).select("id", F.col("keeper_id").alias("duplicate_of"), "similarity")
 
