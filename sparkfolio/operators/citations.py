@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import titles as T
 from ..functions import visibility as V
 from ..functions.numerals import ARTICLE_NO, let, normalize_article_no
+from ..sources.shared import stored
 
 BLOCK = "【([^】]+)】"
 
@@ -98,10 +99,12 @@ def match_titles(cited: DataFrame, laws: DataFrame, variants=T.title_variants, k
 
 
 def resolve(answers: DataFrame, laws: DataFrame, articles: DataFrame, text: str = "text") -> DataFrame:
-    """(id, nth, ref_title, ref_no, article_no, law_id, article_id), each (title, number) of an answer once; unmatched ones stay with nulls."""
-    cited = citations(answers, text)
-    first = cited.groupBy("id", "title", "article_no").agg(F.min("nth").alias("nth"), F.min_by("raw_no", "nth").alias("ref_no"))
-    matched = first.join(match_titles(cited, laws), "title", "left")
+    """(id, nth, ref_title, ref_no, article_no, law_id, article_id), each (title, number) of an answer once; unmatched ones stay with nulls.
+
+    Answers are read once, though their titles are looked up in several ways: what they cite is stored.
+    """
+    first = stored(citations(answers, text).groupBy("id", "title", "article_no").agg(F.min("nth").alias("nth"), F.min_by("raw_no", "nth").alias("ref_no")), "cited")
+    matched = first.join(match_titles(first, laws), "title", "left")
     own = articles.select("law_id", F.col("id").alias("a_id"), F.col("article_no").alias("raw"), normalize_article_no(F.col("article_no")).alias("article_no"))
     placed = own.groupBy("law_id", "article_no").agg(F.min_by("a_id", F.struct(F.col("raw") != F.col("article_no"), "a_id")).alias("article_id"))
     return matched.join(placed, ["law_id", "article_no"], "left").select("id", "nth", F.col("title").alias("ref_title"), "ref_no", "article_no", "law_id", "article_id")
