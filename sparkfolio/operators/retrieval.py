@@ -55,7 +55,7 @@ def corpus_stats(units: DataFrame, tokens=X.tokens) -> DataFrame:
 
 
 def missing_from_index(units: DataFrame, index: DataFrame) -> DataFrame:
-    """Units that the postings don't hold yet."""
+    """Units that the index's units (id) don't name yet; its postings don't name those without words."""
     return units.join(index.select("id").distinct(), "id", "left_anti")
 
 
