@@ -124,7 +124,8 @@ def chips(marks: DataFrame, cited: DataFrame) -> DataFrame:
     citation's two titles, and its number. Years in titles count; only a mark
     without year whose title meets no citation of its answer goes by titles
     without years. A mark whose citations have different targets, or none, gets
-    nulls.
+    nulls. Marks and citations meet by their answer alone, so those that are
+    dealt to tasks by it already don't move again.
     """
     bare = lambda c: F.regexp_replace(c, f"^{T.COUNTRY}", "")
     number = lambda c: F.when(T.strip(F.coalesce(c, F.lit(""))) == "全文", F.lit("全文")).otherwise(normalize_article_no(c))
@@ -135,31 +136,31 @@ def chips(marks: DataFrame, cited: DataFrame) -> DataFrame:
         longer = [F.when(F.contains(b, F.lit(short)), F.replace(b, F.lit(short), F.lit(full))) for b in bases for short, full in T.ALIASES]
         return F.array_remove(F.array_distinct(F.array_compact(F.transform(F.array(*bases, *longer), bare))), "")
 
-    # expressions of titles and numbers are worked out once for each different one
-    titles = marks.select("title").union(cited.select("title")).union(cited.select(F.col("ref_title"))).where("title is not null").distinct()
-    # keys with years are among those without; one row serves both
-    with_years = keys(F.col("title"), True)
-    every = F.transform(F.array_union(with_years, keys(F.col("title"), False)), lambda k: F.struct(k.alias("key"), F.array_contains(with_years, k).alias("full")))
-    titles = titles.select("title", every.alias("keys"), bare(T.clean_title(F.col("title"))).alias("name"), F.col("title").rlike(T.ANY_VERSION).alias("dated"))
-    numbers = marks.select("no").union(cited.select("no")).where("no is not null").distinct()
-    numbers = numbers.select("no", number(F.col("no")).alias("number"))
-    left = marks.join(numbers, "no").join(titles, "title")
-    left = left.select("id", "nth", F.col("number").alias("no"), (~F.col("dated")).alias("loose"), F.explode(F.filter("keys", lambda k: k["full"] | ~F.col("dated"))).alias("k"))
-    left = left.select("id", "nth", "no", "loose", "k.key", F.col("k.full").alias("full"))
-    right = cited.join(numbers, "no").select("id", "number", "law_id", "article_id", "title", "ref_title").join(titles.drop("dated"), "title", "left")
-    right = right.join(titles.select(F.col("title").alias("ref_title"), F.col("keys").alias("ref_keys")), "ref_title", "left")
-    none = F.array().cast(titles.schema["keys"].dataType)
-    target = F.struct("law_id", "article_id", F.when(F.col("law_id").isNull(), F.coalesce("name", "ref_title")).alias("name"))
-    right = right.select("id", F.col("number").alias("cited_no"), target.alias("target"), F.explode(F.array_union(F.coalesce("keys", none), F.coalesce("ref_keys", none))).alias("k"))
-    right = right.select("id", "cited_no", "target", "k.key", F.col("k.full").alias("cited_full"))
-    met = left.join(right, ["id", "key"])
+    # expressions of titles and numbers are worked out once for each different one; these are stored, so that their size is known before marks and citations are joined with them
+    said = lambda df, **of: df.select(F.explode(F.array(*[F.struct(F.lit(of[c]).alias("kind"), F.col(c).cast("string").alias("said")) for c in of])).alias("s")).select("s.*")
+    every = said(marks, title="title", no="no").union(said(cited, title="title", ref_title="title", no="no"))
+    every = stored(every.where("said is not null").distinct(), "chips-said")
+    titles = every.where("kind = 'title'").select(F.col("said").alias("title"), keys(F.col("said"), True).alias("full"), keys(F.col("said"), False).alias("bare"), bare(T.clean_title(F.col("said"))).alias("name"), (~F.col("said").rlike(T.ANY_VERSION)).alias("loose"))
+    # keys with years are among those without
+    titles = titles.withColumn("bare", F.array_union("full", "bare"))
+    numbers = every.where("kind = 'no'").select(F.col("said").alias("no"), number(F.col("said")).alias("number"))
+    left = marks.join(numbers, "no", "left").join(titles, "title", "left").select("id", "nth", "number", "loose", "full", "bare")
+    # a mark meets the citations of one title and number as one
+    pair = F.struct("law_id", "article_id")
+    right = cited.groupBy("id", "title", "ref_title", "no").agg(F.min(pair).alias("least"), F.max(pair).alias("most"))
+    right = right.join(numbers.toDF("no", "cited_no"), "no", "left").join(titles.drop("loose"), "title", "left")
+    right = right.join(titles.select(F.col("title").alias("ref_title"), F.col("full").alias("ref_full"), F.col("bare").alias("ref_bare")), "ref_title", "left")
+    both = lambda *of: F.array_union(*[F.coalesce(c, F.array().cast("array<string>")) for c in of])
+    target = lambda c: F.struct(f"{c}.law_id", f"{c}.article_id", F.when(F.col(f"{c}.law_id").isNull(), F.coalesce("name", "ref_title")).alias("name"))
+    right = right.select(F.col("id").alias("of_id"), "cited_no", target("least").alias("least"), target("most").alias("most"), both("full", "ref_full").alias("cited_full"), both("bare", "ref_bare").alias("cited_bare"))
+    full = F.arrays_overlap("full", "cited_full")
+    met = left.join(right, (F.col("id") == F.col("of_id")) & F.when(F.col("loose"), F.arrays_overlap("bare", "cited_bare")).otherwise(full), "left")
     # a mark has one target if the least is the greatest
-    full = F.col("full") & F.col("cited_full")
-    hit = {kind: F.when(fits & (F.col("no") == F.col("cited_no")), F.col("target")) for kind, fits in (("full", full), ("loose", F.col("loose")))}
-    seen = met.groupBy("id", "nth").agg(F.max(full).alias("any_full"), *[f(c).alias(f"{kind}_{f.__name__}") for kind, c in hit.items() for f in (F.min, F.max)])
-    one = lambda kind: F.when(F.col(f"{kind}_min") == F.col(f"{kind}_max"), F.col(f"{kind}_min"))
-    found = seen.select("id", "nth", F.when(F.col("any_full"), one("full")).otherwise(one("loose")).alias("target"))
-    return marks.select("id", "nth").join(found, ["id", "nth"], "left").select("id", "nth", "target.law_id", "target.article_id")
+    same = F.col("number") == F.col("cited_no")
+    hit = {"full": full & same, "loose": F.col("loose") & same}
+    seen = met.groupBy("id", "nth").agg(F.max(full).alias("any_full"), *[f(F.when(fits, F.col(c))).alias(f"{kind}_{c}") for kind, fits in hit.items() for f, c in ((F.min, "least"), (F.max, "most"))])
+    one = lambda kind: F.when(F.col(f"{kind}_least") == F.col(f"{kind}_most"), F.col(f"{kind}_least"))
+    return seen.select("id", "nth", F.when(F.col("any_full"), one("full")).otherwise(one("loose")).alias("target")).select("id", "nth", "target.law_id", "target.article_id")
 
 
 def match_references(refs: DataFrame, laws: DataFrame) -> DataFrame:
