@@ -13,7 +13,9 @@ from pyspark.sql.types import BooleanType, DoubleType
 from ..functions import titles as T
 from ..functions import visibility as V
 
-SIMILAR, COMPARED, SHORT_TEXT, SHORT_ARTICLE = 0.95, 20_000, 200, 5
+SIMILAR, SHORT_TEXT, SHORT_ARTICLE = 0.95, 200, 5
+#: Where the stretch of a text that is compared ends: texts are compared as a whole.
+COMPARED = None
 
 
 def ratio(a: str, b: str) -> float | None:
@@ -39,14 +41,13 @@ def ratio(a: str, b: str) -> float | None:
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts' beginnings, by difflib; null below the threshold."""
-    return pd.Series([ratio((x or "")[:COMPARED], (y or "")[:COMPARED]) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Share of matching characters of two whole texts, by difflib; null below the threshold."""
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def could_be_similar(a, b):
-    """An upper bound of the similarity from the lengths alone reaches the threshold. As the similarity is one of beginnings, lengths count up to there."""
-    la, lb = (F.least(c, F.lit(COMPARED)) for c in (a, b))
-    return 2.0 * F.least(la, lb) >= SIMILAR * (la + lb)
+    """An upper bound of the similarity from the lengths alone reaches the threshold."""
+    return 2.0 * F.least(a, b) >= SIMILAR * (a + b)
 
 
 def could_match(a: str, b: str) -> bool:
@@ -56,17 +57,17 @@ def could_match(a: str, b: str) -> bool:
 
 @F.pandas_udf(BooleanType())
 def may_match(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([could_match((x or "")[:COMPARED], (y or "")[:COMPARED]) for x, y in zip(a, b, strict=True)], dtype="bool")
+    return pd.Series([could_match(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
 def to_compare(likely: DataFrame, fine: DataFrame) -> DataFrame:
-    """(id, keeper_id, mine, other): those pairs (id, keeper_id), with their texts' beginnings, whose characters let them be similar.
+    """(id, keeper_id, mine, other): those pairs (id, keeper_id), with their texts, whose characters let them be similar.
 
     Pairs are dealt to tasks by their id before they are compared, since
     comparing takes far longer than reading and a keeper may be in most pairs.
     """
     n = int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = fine.select(F.col("id").alias("of_id"), F.substring("full_text", 1, COMPARED).alias("text"))
+    texts = fine.select(F.col("id").alias("of_id"), F.col("full_text").alias("text"))
     both = likely.select("id", "keeper_id").join(texts.toDF("keeper_id", "other"), "keeper_id").repartition(n, "id").join(texts.toDF("id", "mine"), "id")
     return both.where(may_match("mine", "other")).select("id", "keeper_id", "mine", "other")
 
