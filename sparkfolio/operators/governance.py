@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -18,6 +19,57 @@ SIMILAR, SHORT_TEXT, SHORT_ARTICLE = 0.95, 200, 5
 COMPARED = None
 
 
+def runs(a: str, places: dict[str, list[int]], b: str) -> list[tuple[list[int], dict[str, list[int]]]] | None:
+    """By length: where in ``a`` the runs of so many characters begin that are in ``b`` too, and where those are in ``b``; only of characters that have ``places``. None if runs are many, as where few characters are too common for difflib."""
+    begins, found, size, total = [i for i, c in enumerate(a) if c in places], places, 1, 0
+    made = []
+    while begins:
+        total += len(begins)
+        if total > len(a) // 2:
+            return None
+        made.append((begins, found))
+        longer = {a[i : i + size + 1] for i in begins if a[i + size : i + size + 1] in places}
+        more: dict[str, list[int]] = {}
+        for run in {x[:-1] for x in longer}:
+            for j in found[run]:
+                if b[j : j + size + 1] in longer:
+                    more.setdefault(b[j : j + size + 1], []).append(j)
+        begins, found, size = [i for i in begins if a[i : i + size + 1] in more], more, size + 1
+    return made
+
+
+def longest_match(a: str, b: str):
+    """difflib's find_longest_match of two texts as a function, which looks runs up instead of meeting all places of a character.
+
+    The block is the longest run of characters that aren't too common, the
+    first of them in ``a`` and then in ``b``, grown by equal characters.
+    """
+    matcher = difflib.SequenceMatcher(None, a, b)
+    made = runs(a, matcher.b2j, b)
+    if made is None:
+        return matcher.find_longest_match
+
+    def find(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        i, j, k = alo, blo, 0
+        for size in range(min(len(made), ahi - alo, bhi - blo), 0, -1):
+            begins, found = made[size - 1]
+            for at in range(bisect_left(begins, alo), bisect_left(begins, ahi - size + 1)):
+                js = found[a[begins[at] : begins[at] + size]]
+                q = bisect_left(js, blo)
+                if q < len(js) and js[q] + size <= bhi:
+                    i, j, k = begins[at], js[q], size
+                    break
+            if k:
+                break
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, k = i - 1, j - 1, k + 1
+        while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+            k += 1
+        return i, j, k
+
+    return find
+
+
 def ratio(a: str, b: str) -> float | None:
     """difflib's share of matching characters of two texts, or null as soon as what isn't compared yet can't bring it to the threshold.
 
@@ -27,10 +79,10 @@ def ratio(a: str, b: str) -> float | None:
     both = len(a) + len(b)
     if a == b:
         return 1.0
-    matcher, matched, left, queue = difflib.SequenceMatcher(None, a, b), 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    find, matched, left, queue = longest_match(a, b), 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
     while queue and 2.0 * (matched + left) / both >= SIMILAR:
         alo, ahi, blo, bhi = queue.pop()
-        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        i, j, k = find(alo, ahi, blo, bhi)
         matched, left = matched + k, left - min(ahi - alo, bhi - blo)
         # without a block nothing in the stretches matches; the longer ones come last, so that small ones that don't match are known first
         rest = [x for x in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k and x[0] < x[1] and x[2] < x[3]]
