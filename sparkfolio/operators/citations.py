@@ -124,7 +124,7 @@ def chips(marks: DataFrame, cited: DataFrame) -> DataFrame:
     citation's two titles, and its number. Years in titles count; only a mark
     without year whose title meets no citation of its answer goes by titles
     without years. A mark whose citations have different targets, or none, gets
-    nulls. Marks and citations meet by their answer alone, so those that are
+    nulls; id and nth name a mark. Marks and citations meet by their answer alone, so those that are
     dealt to tasks by it already don't move again.
     """
     bare = lambda c: F.regexp_replace(c, f"^{T.COUNTRY}", "")
